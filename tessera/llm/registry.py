@@ -5,19 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup as ld
-from . import quality_rules as qr
+from . import bpe_transducer, lattice_lm, line_dedup, multi_index, packing, quality_rules
 from .common import table
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return multi_index.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_transducer.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ld.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qr.quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_line_dedup, op9_quality_rules)}
-ORACLES = {"op7_line_dedup": ld.SQL, "op9_quality_rules": qr.SQL}
+QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_multi_index, op6_bpe_transducer, op7_line_dedup, op9_quality_rules, op10_lattice_lm)}
+ORACLES = {"op7_line_dedup": line_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
