@@ -23,12 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nobody else has, below the application's id."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
     The files lie under the application's id, so that whoever owns the folder can clear them by application."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -49,13 +54,3 @@ def ascii_lower(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """Maximal runs of other characters than ASCII white space."""
     return F.filter(F.split(text, SPACE_CLASS + "+"), lambda w: w != "")
-
-
-def same(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join on keys where null equals null; the right side's keys go."""
-    renamed = right.select([F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
-    on = None
-    for k in keys:
-        test = left[k].eqNullSafe(renamed[f"__r_{k}"])
-        on = test if on is None else on & test
-    return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])

@@ -150,10 +150,20 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     return packed.withColumn("cut", kept).select(F.col("doc_row").alias("doc"), "n_lines", "n_dropped", "keep_bitmap", F.when(losing, F.col("cut")).otherwise(F.col("t")).alias("kept_text"))
 
 
+def drop_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """docs with text cut to the kept lines and n_chars, if there is one, counted anew; null texts stay null."""
+    found = line_dedup(docs, min_chars, min_docs)
+    text = F.when(F.col("doc.text").isNotNull(), F.col("kept_text"))
+    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
+    return found.select([new[c].alias(c) if c in new else F.col("doc")[c].alias(c) for c in docs.columns])
+
+
 SQL = r"""
 WITH l AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 e AS (SELECT doc_id, r, generate_subscripts(lines, 1) AS i, unnest(lines) AS line FROM l),
-k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[ 	-]+', ''), '[ 	-]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[ 	-
+]+', ''), '[ 	-
+]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
 c AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
 j AS (SELECT k.*, c.key IS NOT NULL AND doc_id <> top AS gone FROM k LEFT JOIN c USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,

@@ -118,12 +118,12 @@ def quality_rules(docs: DataFrame, doc: str = "doc_id", text: str = "text", host
     )
 
 
-def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of docs, as they are, whose verdict is kept. Rows are matched by their own number, so ids may repeat."""
-    spark_cols = docs.columns
-    numbered = cut(docs.select(F.monotonically_increasing_id().alias("__n"), F.struct(*[docs[c] for c in spark_cols]).alias("d")))
-    verdict = quality_rules(numbered.select("__n", F.col("d")[text].alias("t"), F.col("d")[host].alias("s")), "__n", "t", "s")
-    return numbered.join(verdict.where("kept").select(F.col("doc_id").alias("__k")), F.col("__n") == F.col("__k"), "left_semi").select("d.*")
+def keep_good(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of docs, as they are, whose verdict is kept. Rows are matched by id, text and host, so that ids may repeat."""
+    own = docs.select(F.struct(F.col(doc).alias("id"), F.xxhash64(text).alias("body"), F.col(host).cast("string").alias("host")).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("source"))
+    good = quality_rules(own).where("kept").select(F.col("doc_id.id").alias("__id"), F.col("doc_id.body").alias("__body"), F.col("doc_id.host").alias("__host"))
+    on = docs[doc].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__body")) & docs[host].cast("string").eqNullSafe(F.col("__host"))
+    return docs.join(good, on, "left_semi")
 
 
 SQL = r"""

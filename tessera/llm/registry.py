@@ -5,14 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, lattice_lm, line_dedup, multi_index, packing, quality_rules
-from .common import table
+from . import bpe_transducer, lattice_lm, line_dedup, multi_index, packing, pii, quality_rules, signature_join, suffix_dedup, token_rollup
+from .common import new_path, table
+
+
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = token_rollup.Rollup(spark, new_path(spark))
+    rollup.commit(1, token_rollup.count_tokens(table(spark, sf_dir, "documents")).withColumn("op", F.lit("insert")))
+    return rollup.totals()
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return multi_index.search(vectors, vectors.where("vec_id % 20 = 0"))
@@ -27,6 +41,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_join.link(table(spark, sf_dir, "documents"), width=3, num=90).drop("body")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -35,5 +53,8 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op5_multi_index, op6_bpe_transducer, op7_line_dedup, op9_quality_rules, op10_lattice_lm)}
+QUERIES = {f.__name__: f for f in (
+    op1_suffix_array, op2_token_rollup, op3_best_fit_packing, op4_pii_boosting, op5_multi_index,
+    op6_bpe_transducer, op7_line_dedup, op8_signature_join, op9_quality_rules, op10_lattice_lm,
+)}
 ORACLES = {"op7_line_dedup": line_dedup.SQL, "op9_quality_rules": quality_rules.SQL}
