@@ -1,7 +1,552 @@
-"""Every query of the library that does not belong to the llm subpackage."""
+"""Every query of the library that does not belong to the llm subpackage.
+
+Each is a function (spark, sf_dir) -> DataFrame over the given tables; ORACLES has SQL of the same
+result where SQL can state it. Searches ask with every row whose id is divisible by 50, against all rows.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import checks, text, tokens, vectors
+from ..operators import analytics, chunking, citations, context, generation, retrieval, store
+from ..sources import files
+from ..streaming import timings
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "retrieval_hybrid"
+FLOAT_DIGITS = 6
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+# Words, sentences and chunk tokens in DuckDB, of a text column x.
+def _words(x: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''))"
+
+
+def _tokens(x: str, n: str = "") -> str:
+    n = n or _words(x)
+    return f"(CASE WHEN length({x}) = 0 THEN 0 ELSE greatest(1, {n}, least(CAST(floor(CASE WHEN length({x}) < 1000 THEN {n} * 1.33::DOUBLE ELSE ({n} * 1.3::DOUBLE + length({x}) / 4.0::DOUBLE) / 2 END) AS INT), length({x}) // 2)) END)"
+
+
+# --- token estimates and texts -------------------------------------------------------------------
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), w AS (SELECT *, {_words('x')} AS n FROM d)
+SELECT doc_id, CAST(n AS INT) AS words, CAST({_tokens('x', 'n')} AS INT) AS chunk_tokens,
+  CAST(floor(floor(n * 1.3::DOUBLE) * 1.05::DOUBLE) AS INT) AS prompt_tokens,
+  CAST(greatest(10, floor(floor(floor(n * 1.8::DOUBLE) * 1.15::DOUBLE) * 1.10::DOUBLE)) AS INT) AS context_tokens,
+  CAST(floor((n * 1.3::DOUBLE + length(x) / 4.0::DOUBLE) / 2) AS INT) AS clean_tokens,
+  CAST(greatest(1, floor(n * 1.3::DOUBLE + len(regexp_extract_all(x, '[^\\p{{L}}\\p{{N}}_\\s]')) * 0.5::DOUBLE)) AS INT) AS punctuated_tokens
+FROM w
+""")
+def token_estimates(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return d.select(
+        "doc_id", tokens.word_count("text").alias("words"), tokens.chunk_tokens("text").alias("chunk_tokens"), tokens.prompt_tokens("text").alias("prompt_tokens"),
+        tokens.context_tokens("text").alias("context_tokens"), tokens.clean_tokens("text").alias("clean_tokens"), tokens.punctuated_tokens("text").alias("punctuated_tokens"),
+    )
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, text AS x, {_words('text')} AS n FROM documents),
+p AS (SELECT *, CAST(floor(floor(n * 1.3::DOUBLE) * 1.05::DOUBLE) AS INT) AS k FROM w)
+SELECT doc_id, k AS tokens, k + 1000 <= 8192 AS fits, greatest(0, 8092 - k) AS completion, round(k / 1000.0::DOUBLE * 0.002::DOUBLE, 6) AS cost,
+  CASE WHEN n <= 40 THEN x ELSE array_to_string(list_slice(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''), 1, 40), ' ') END AS head,
+  CASE WHEN n <= 40 THEN x ELSE array_to_string(list_slice(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> ''), n - 39, n), ' ') END AS tail
+FROM p
+""")
+def token_budget(spark, sf_dir):
+    k = tokens.prompt_tokens("text")
+    return documents(spark, sf_dir).select("doc_id", k.alias("tokens"), tokens.fits(k).alias("fits"), tokens.completion_budget(k).alias("completion"), tokens.cost(k).alias("cost"), tokens.keep_words("text", 40).alias("head"), tokens.keep_words("text", 40, "start").alias("tail"))
+
+
+@query()
+def cleaned_pages(spark, sf_dir):
+    """Entities are resolved in Python, which SQL cannot; tests hold it against html.unescape."""
+    return t(spark, sf_dir, "pages").select("page_id", text.clean("html", urls=True, emails=True).alias("text"))
+
+
+@query("""
+SELECT page_id, url LIKE 'http://%' OR url LIKE 'https://%' AS valid, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS domain,
+  length(regexp_replace(html, '<[^>]+>', '', 'g')) AS chars
+FROM pages
+""")
+def page_urls(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", checks.valid_url("url").alias("valid"), checks.domain("url").alias("domain"), F.length(text.without_tags("html")).alias("chars"))
+
+
+@query(r"""
+SELECT doc_id, sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda l:
+    NOT regexp_matches(trim(l), '^\d+$')
+    AND NOT regexp_matches(trim(l), '^(page \d+ of \d+$|\d+/\d+$|header:|draft|confidential)', 'i')
+    AND NOT regexp_matches(trim(l), '^(copyright ©|all rights reserved|footer:|\d{4} .+ inc\.)', 'i')), chr(10))) AS kept
+FROM documents
+""")
+def boilerplate_removed(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.sha2(text.without_boilerplate("text"), 256).alias("kept"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS i, unnest(s) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+f AS (SELECT doc_id, x, min(i) AS i FROM l GROUP BY ALL)
+SELECT doc_id, sha256(string_agg(x, chr(10) ORDER BY i)) AS kept, count(*) AS n_lines FROM f GROUP BY doc_id
+""")
+def deduplicated_lines(spark, sf_dir):
+    kept = text.distinct_lines("text")
+    return documents(spark, sf_dir).select("doc_id", F.sha2(kept, 256).alias("kept"), F.size(F.split(kept, "\n")).cast("long").alias("n_lines"))
+
+
+_SENTENCES = "list_filter(list_transform(string_split(regexp_replace({x}, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: trim(s, E' \\t\\n\\r')), lambda s: s <> '')"
+
+
+@query(r"""
+WITH q AS (SELECT doc_id, translate(text, '“”«»‘’‹›•◦▪▫⬩▹▸►▻→', repeat(chr(34), 4) || repeat(chr(39), 4) || repeat('•', 10)) AS a FROM documents)
+SELECT doc_id, sha256(a) AS normalised, length(regexp_replace(a, '[^a-zA-Z0-9\s.,!?;:''\-]', '', 'g')) AS plain_chars,
+  sha256(regexp_replace(trim(regexp_replace(a, '[ \t\r]+', ' ', 'g'), E' \t\n\r'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g')) AS squeezed
+FROM q
+""")
+def normalised_text(spark, sf_dir):
+    a = text.plain_bullets(text.plain_quotes("text"))
+    return documents(spark, sf_dir).select("doc_id", F.sha2(a, 256).alias("normalised"), F.length(text.without_special(a)).alias("plain_chars"), F.sha2(text.clean("text", html=False), 256).alias("squeezed"))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, text AS x, {_words('text')} AS n FROM documents)
+SELECT doc_id, n >= 3 AND length(regexp_replace(x, '[^\\p{{L}}]', '', 'g')) >= 3 AS meaningful, length(trim(x)) >= 50 AND regexp_matches(x, '[.!?]') AS sufficient,
+  length(trim(x)) >= 1 AND length(x) <= 1000 AND n >= 1 AND length(regexp_replace(x, '[^\\p{{L}}]', '', 'g')) >= 3 AS valid_query,
+  CASE WHEN length(x) <= 100 THEN x WHEN instr(substr(x, 2, 96), ' ') > 0 THEN regexp_extract(substr(x, 1, 97), '(?s)^(.*) [^ ]*$', 1) || '...' ELSE substr(x, 1, 97) || '...' END AS short
+FROM w
+""")
+def text_checks(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", checks.meaningful("text").alias("meaningful"), checks.sufficient("text").alias("sufficient"), checks.valid_query("text").alias("valid_query"), text.truncated("text", 100).alias("short"))
+
+
+@query(f"""
+SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INT) AS lines, length(text) AS chars, CAST({_words('text')} AS INT) AS words,
+  round(length(replace(text, chr(10), '')) / len(string_split(text, chr(10)))::DOUBLE, 4) AS mean_line,
+  CAST(greatest(1, length(text) // 3000) AS INT) AS pages, trim(text) = '' AS blank
+FROM documents
+""")
+def text_measures(spark, sf_dir):
+    return files.text_measures(documents(spark, sf_dir))
+
+
+@query()
+def marked_structure(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.sha2(text.marked_structure("text"), 256).alias("marked"), F.size(text.sections("text", 500)).alias("sections"))
+
+
+# --- chunking ------------------------------------------------------------------------------------
+
+
+@query(r"""
+WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '(?m)^[a-z]\)\s+[A-Z]')) > 2 AS project_headers, len(regexp_extract_all(text, '[●❖]')) > 5 AS bullets,
+  len(regexp_extract_all(text, '(?m)^\d+\.\s+[A-Z]')) > 2 AS numbered, len(regexp_extract_all(text, '(?m)^●\s+\w+.*:')) > 3 AS subsections,
+  len(list_filter(string_split(text, chr(10)), lambda l: l LIKE '   %' OR l LIKE chr(9) || '%')) > len(string_split(text, chr(10))) * 0.2 AS indented FROM documents)
+SELECT *, (project_headers::INT + bullets::INT + numbered::INT + subsections::INT + indented::INT) / 5.0::DOUBLE AS structure_score,
+  project_headers::INT + bullets::INT + numbered::INT + subsections::INT + indented::INT >= 2 AS has_structure FROM c
+""")
+def document_structure(spark, sf_dir):
+    return chunking.structure(documents(spark, sf_dir))
+
+
+@query()
+def chunks_fixed(spark, sf_dir):
+    """Greedy packing carries a state along the sentences; tests hold it against plain Python."""
+    return chunking.fixed(documents(spark, sf_dir), 512, 100)
+
+
+@query()
+def chunks_overlapping(spark, sf_dir):
+    return chunking.fixed(documents(spark, sf_dir), 256, 50, 25)
+
+
+@query()
+def chunk_statistics(spark, sf_dir):
+    made = chunking.fixed(documents(spark, sf_dir), 256, 0)
+    return chunking.statistics(made).join(chunking.overlap_statistics(made), "doc_id", "left")
+
+
+@query()
+def chunks_merged(spark, sf_dir):
+    return chunking.merged(chunking.fixed(documents(spark, sf_dir), 128, 0), 512)
+
+
+@query()
+def chunks_by_section(spark, sf_dir):
+    return chunking.by_section(documents(spark, sf_dir), 512, 50)
+
+
+@query()
+def chunks_semantic(spark, sf_dir):
+    return chunking.semantic(documents(spark, sf_dir), vectors.hashing_embedder(), 512, 0.80, 50)
+
+
+@query()
+def chunks_hierarchical(spark, sf_dir):
+    return chunking.expand_to_parent(chunking.hierarchical(documents(spark, sf_dir), 1024, 256, 50)).withColumn("parent_text", F.sha2("parent_text", 256))
+
+
+@query()
+def chunks_adaptive(spark, sf_dir):
+    return chunking.adaptive(documents(spark, sf_dir), vectors.hashing_embedder(), 1000, 4000)
+
+
+@query(f"""
+WITH k AS (SELECT {_tokens('text')} AS n FROM documents)
+SELECT CASE WHEN n <= 1000 THEN 'fixed' WHEN n <= 500000 THEN 'semantic' ELSE 'hierarchical' END AS strategy, count(*) AS documents, CAST(sum(greatest(1, n // 512)) AS BIGINT) AS chunks
+FROM k GROUP BY 1
+""")
+def chunking_strategies(spark, sf_dir):
+    return analytics.strategy_counts(chunking.strategy(documents(spark, sf_dir)))
+
+
+@query("""
+WITH e AS (SELECT label AS doc_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT doc_id, pos, v, lead(v) OVER (PARTITION BY doc_id ORDER BY pos) AS w FROM e),
+c AS (SELECT doc_id, pos, CASE WHEN w IS NULL THEN NULL ELSE list_inner_product(v, w) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(w, w))) END AS similarity FROM s),
+l AS (SELECT *, quantile_cont(similarity, 0.2) OVER (PARTITION BY doc_id) AS cut FROM c)
+SELECT doc_id, CAST(pos AS INT) AS pos, round(similarity, 6) AS similarity,
+  CAST(coalesce(sum((coalesce(similarity < cut, false))::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS segment
+FROM l
+""")
+def semantic_breaks(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    e = t(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("pos"), "embedding")
+    return chunking.breakpoints(e).select("doc_id", "pos", F.round("similarity", 6).alias("similarity"), "segment")
+
+
+# --- retrieval -----------------------------------------------------------------------------------
+
+_TERMS = r"list_filter(list_transform(regexp_split_to_array(lower({x}), '\s+'), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda w: length(w) BETWEEN 2 AND 50)"
+_BM25 = f"""
+d AS (SELECT doc_id, {_TERMS.format(x="text")} AS terms FROM documents),
+n AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM d),
+p AS (SELECT doc_id, len(terms) AS length, term, count(*) AS tf FROM (SELECT doc_id, terms, unnest(terms) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM p GROUP BY term),
+r AS (SELECT *, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM f, n),
+i AS (SELECT term, df, total_tf, CASE WHEN raw < 0 THEN (SELECT avg(raw) FROM r) * 0.25::DOUBLE ELSE raw END AS idf FROM r),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TERMS.format(x="text")}) AS term FROM benchmark WHERE item_id % 50 = 0) GROUP BY ALL),
+h AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score FROM p JOIN i USING (term) JOIN q USING (term), n GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h WHERE score > 0)"""
+
+
+@query(f"WITH {_BM25} SELECT term, df, CAST(total_tf AS BIGINT) AS total_tf, round(idf, 6) AS idf FROM i")
+def bm25_terms(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return retrieval.term_statistics(retrieval.postings(d), d.count()).withColumn("idf", F.round("idf", 6))
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    return t(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM b WHERE rank <= 10")
+def retrieval_keywords(spark, sf_dir):
+    return retrieval.bm25(documents(spark, sf_dir), _asked(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
+def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+    return e, e.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+
+
+_NEAREST = """
+a AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+x AS (SELECT q.vec_id AS query_id, a.vec_id AS doc_id, a.label, list_sum(list_transform(list_zip(q.v, a.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS distance FROM a, a AS q WHERE q.vec_id % 50 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 12), doc_id) AS rank, CASE WHEN distance <= 0 THEN 1.0 ELSE 1 / (1 + distance) END AS score FROM x)"""
+
+
+@query(f"WITH {_NEAREST} SELECT query_id, doc_id, round(distance, 6) AS distance, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10")
+def retrieval_vectors(spark, sf_dir):
+    e, q = _vectors(spark, sf_dir)
+    found = retrieval.nearest(e, q, 10)
+    return found.select("query_id", "doc_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""
+WITH {_NEAREST}, z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS m FROM k WHERE rank <= 20 AND label < 5)
+SELECT query_id, doc_id, CAST(rank AS INT) AS rank FROM z WHERE m <= 10
+""")
+def retrieval_vectors_filtered(spark, sf_dir):
+    e, q = _vectors(spark, sf_dir)
+    hits = retrieval.nearest(e, q, 20).join(e.select("doc_id", "label"), "doc_id")
+    return retrieval.filtered(hits, F.col("label") < 5, 10).select("query_id", "doc_id", "rank")
+
+
+@query("SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: isnan(x))) = 0 AS valid, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings")
+def embedding_checks(spark, sf_dir):
+    e = t(spark, sf_dir, "embeddings")
+    return e.select("vec_id", checks.valid_vector("embedding", 64).alias("valid"), F.round(F.sqrt(vectors.dot("embedding", "embedding")), 6).alias("norm"))
+
+
+_RRF = f"""
+{_BM25}, {_NEAREST},
+u AS (SELECT query_id, doc_id, 0.4::DOUBLE / (60 + rank) AS part FROM b WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, 0.6::DOUBLE / (60 + rank) FROM k WHERE rank <= 20),
+s AS (SELECT query_id, doc_id, sum(part) AS total FROM u GROUP BY ALL),
+m AS (SELECT query_id, doc_id, total / max(total) OVER (PARTITION BY query_id) AS score FROM s),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM m)"""
+
+
+def _lists(spark, sf_dir, k: int) -> list[tuple[DataFrame, float]]:
+    e, q = _vectors(spark, sf_dir)
+    return [(retrieval.nearest(e, q, k), 0.6), (retrieval.bm25(documents(spark, sf_dir), _asked(spark, sf_dir), k), 0.4)]
+
+
+@query(f"WITH {_RRF} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM g WHERE rank <= 10")
+def retrieval_hybrid(spark, sf_dir):
+    return retrieval.fused(_lists(spark, sf_dir, 20), 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"""
+WITH {_BM25}, c AS (SELECT query_id, doc_id, score, max(score) OVER (PARTITION BY query_id) AS hi, min(score) OVER (PARTITION BY query_id) AS lo FROM b WHERE rank <= 20)
+SELECT query_id, doc_id, round(CASE WHEN hi - lo < 1e-6 THEN 0.5 ELSE (score - lo) / (hi - lo) END, 6) AS score FROM c
+""")
+def scores_normalised(spark, sf_dir):
+    hits = retrieval.bm25(documents(spark, sf_dir), _asked(spark, sf_dir), 20)
+    return retrieval.normalised(hits).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def retrieval_reranked(spark, sf_dir):
+    d, q = documents(spark, sf_dir), _asked(spark, sf_dir)
+    hits = retrieval.bm25(d, q, 20).join(d.select("doc_id", "text"), "doc_id").join(q.withColumnRenamed("text", "query"), "query_id")
+    return retrieval.reranked(hits, retrieval.overlap_scorer("query", "text"), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""
+WITH {_BM25}, c AS (SELECT query_id, doc_id, source, score / max(score) OVER (PARTITION BY query_id) AS score, count(*) OVER (PARTITION BY query_id) AS n, count(*) OVER (PARTITION BY query_id, source) AS k FROM b JOIN documents USING (doc_id) WHERE rank <= 20),
+z AS (SELECT query_id, doc_id, CASE WHEN n = 1 THEN score ELSE score - 0.1::DOUBLE * (k - 1) END AS score FROM c)
+SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM z WHERE score > 0
+""")
+def retrieval_diverse(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    d = documents(spark, sf_dir)
+    hits = retrieval.bm25(d, _asked(spark, sf_dir), 20).join(d.select("doc_id", F.col("source").alias("source_id")), "doc_id")
+    hits = hits.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("query_id")))
+    return retrieval.diverse(hits).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    d = documents(spark, sf_dir)
+    hits = retrieval.bm25(d, _asked(spark, sf_dir), 20)
+    made = hits.join(d, "doc_id").withColumn("tokens", tokens.context_tokens("text"))
+    return made.select("query_id", F.col("doc_id").alias("chunk_id"), "text", "score", "rank", "tokens", F.col("source").alias("source_id"), F.lit(None).cast("int").alias("page_number"), F.col("lang").alias("section_title"))
+
+
+_SELECTED = f"""
+{_BM25}, c AS (SELECT query_id, doc_id, text, source, lang, score, rank, {_words('text')} AS w FROM b JOIN documents USING (doc_id) WHERE rank <= 20),
+y AS (SELECT *, greatest(10, CAST(floor(floor(floor(w * 1.8::DOUBLE) * 1.15::DOUBLE) * 1.10::DOUBLE) AS INT)) AS tokens FROM c),
+z AS (SELECT *, sum(tokens + 25) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM y)"""
+
+
+@query(f"WITH {_SELECTED} SELECT query_id, doc_id AS chunk_id, CAST(rank AS INT) AS rank, tokens FROM z WHERE used <= 7992")
+def context_selected(spark, sf_dir):
+    return context.within_budget(_chunks(spark, sf_dir), 8192).select("query_id", "chunk_id", "rank", "tokens")
+
+
+@query()
+def context_partial(spark, sf_dir):
+    return context.within_budget(_chunks(spark, sf_dir), 2048, tokens.context_tokens).select("query_id", "chunk_id", "rank", "tokens", "partial")
+
+
+@query(f"""
+WITH {_SELECTED}
+SELECT query_id, sha256(string_agg('[' || (rank::INT)::VARCHAR || '] (Section: ' || lang || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context FROM z WHERE used <= 7992 GROUP BY query_id
+""")
+def context_text(spark, sf_dir):
+    return context.assembled(context.within_budget(_chunks(spark, sf_dir), 8192)).select("query_id", F.sha2("context", 256).alias("context"))
+
+
+@query(f"""
+WITH {_SELECTED}
+SELECT query_id, count(*) AS n_chunks, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT source) AS n_sources, round(sum(tokens) / 8192.0::DOUBLE * 100, 4) AS utilisation
+FROM z WHERE used <= 7992 GROUP BY query_id
+""")
+def context_statistics(spark, sf_dir):
+    return context.statistics(context.within_budget(_chunks(spark, sf_dir), 8192), 8192)
+
+
+# --- answers -------------------------------------------------------------------------------------
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    """Turns of conversations as answers that cite their own and neighbouring turns."""
+    c = t(spark, sf_dir, "conversations")
+    cite = lambda x: F.concat(F.lit(" ["), x.cast("string"), F.lit("]"))
+    answer = F.concat(F.col("text"), cite(F.col("turn") + 2), cite(F.col("turn") + 1), cite(F.col("turn") + 2), F.lit(" [99]"))
+    return c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("answer_id"), answer.alias("answer"), F.lit(3).alias("n_sources"))
+
+
+_ANSWERS = "a AS (SELECT conv_id::VARCHAR || '-' || turn::VARCHAR AS answer_id, text || ' [' || (turn + 2)::VARCHAR || '] [' || (turn + 1)::VARCHAR || '] [' || (turn + 2)::VARCHAR || '] [99]' AS answer FROM conversations), c AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\\[(\\d+)\\]', 1), lambda x: TRY_CAST(x AS INT)))) AS cited FROM a)"
+
+
+@query(f"""
+WITH {_ANSWERS}
+SELECT answer_id, CAST(len(cited) AS INT) AS cited, CAST(len(regexp_extract_all(answer, '\\[\\d+\\]')) AS INT) AS mentions, len(list_filter(cited, lambda n: n < 1 OR n > 3)) = 0 AS valid,
+  round(len(cited) / greatest(1, {_words('answer')})::DOUBLE, 6) AS density
+FROM c
+""")
+def citation_statistics(spark, sf_dir):
+    return citations.statistics(_answers(spark, sf_dir))
+
+
+@query(f"WITH {_ANSWERS} SELECT number, count(*) AS answers FROM (SELECT unnest(cited) AS number FROM c) GROUP BY number")
+def citation_usage(spark, sf_dir):
+    return citations.usage(_answers(spark, sf_dir))
+
+
+@query(f"""
+WITH {_ANSWERS}, g AS (SELECT *, list_filter(cited, lambda n: n BETWEEN 1 AND 3) AS good FROM c),
+s AS (SELECT answer_id, CASE WHEN len(good) < 1 THEN answer ELSE replace(answer, '[' || good[1] || ']', '[1]') END AS answer, good FROM g),
+s2 AS (SELECT answer_id, CASE WHEN len(good) < 2 THEN answer ELSE replace(answer, '[' || good[2] || ']', '[2]') END AS answer, good FROM s)
+SELECT answer_id, regexp_replace(CASE WHEN len(good) < 3 THEN answer ELSE replace(answer, '[' || good[3] || ']', '[3]') END, '\\[(\\d+)\\]', '(\\1)', 'g') AS answer FROM s2
+""")
+def citations_renumbered(spark, sf_dir):
+    return _answers(spark, sf_dir).select("answer_id", citations.styled(citations.renumbered(F.col("answer"), F.col("n_sources")), "academic").alias("answer"))
+
+
+_KINDS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(q, '{w}')" for w in words) + f" THEN '{kind}'" for kind, words in generation.PROMPT_WORDS.items()) + " ELSE 'qa' END"
+
+
+@query(f"""
+WITH c AS (SELECT conv_id, turn, lower(text) AS q, {_words('text')} AS n FROM conversations)
+SELECT conv_id, turn, {_KINDS} AS kind,
+  CASE WHEN q = '' THEN 0.5 WHEN contains(q, 'compare') OR contains(q, 'contrast') OR contains(q, 'difference') THEN 0.8 WHEN (contains(q, 'why') OR contains(q, 'how') OR contains(q, 'explain')) AND n > 15 THEN 0.7 WHEN n > 20 THEN 0.6 ELSE 0.3 END::DOUBLE AS complexity
+FROM c
+""")
+def query_kinds(spark, sf_dir):
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", generation.prompt_type(F.col("text")).alias("kind"), generation.complexity(F.col("text")).alias("complexity"))
+
+
+@query()
+def temperatures(spark, sf_dir):
+    made = context.assembled(context.within_budget(_chunks(spark, sf_dir), 8192)).join(_asked(spark, sf_dir), "query_id")
+    kind = generation.prompt_type(F.col("text"))
+    adaptive = generation.temperature(F.col("text"), F.col("context"), kind)
+    return made.select("query_id", kind.alias("kind"), F.round(generation.context_quality(F.col("context")), 6).alias("quality"), adaptive.alias("adaptive"), generation.progressive_temperature(F.col("text"), kind).alias("progressive"), generation.sampling(adaptive)["top_p"].alias("top_p"))
+
+
+@query()
+def prompts(spark, sf_dir):
+    made = context.assembled(context.within_budget(_chunks(spark, sf_dir), 8192)).join(_asked(spark, sf_dir).withColumnRenamed("text", "query"), "query_id")
+    return generation.prompts(made).withColumn("user", F.sha2("user", 256))
+
+
+# --- analytics and store -------------------------------------------------------------------------
+
+
+@query("""
+WITH s AS (SELECT user_id, ts, value, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS pos, max(ts) OVER (PARTITION BY user_id) AS newest FROM events)
+SELECT user_id, count(*) AS n, CAST(trunc(avg(value)) AS BIGINT) AS mean_ms, CAST(trunc(min(value)) AS BIGINT) AS least_ms, CAST(trunc(max(value)) AS BIGINT) AS most_ms, CAST(trunc(quantile_cont(value, 0.5)) AS BIGINT) AS median_ms,
+  CASE WHEN count(*) > 10 THEN CAST(trunc(max(value) FILTER (pos = floor(n * 0.95::DOUBLE))) AS BIGINT) ELSE 0 END AS p95_ms, count(*) FILTER (ts > newest - INTERVAL 1 HOUR) AS last_hour
+FROM s GROUP BY user_id
+""")
+def performance(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("user_id", "ts", F.col("value").alias("duration_ms"), F.col("event_id").alias("id"))
+    return analytics.performance(e, "user_id")
+
+
+@query("""
+WITH r AS (SELECT event_type, event_id AS id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events)
+SELECT event_type, id FROM r WHERE n <= 100
+""")
+def recent_timings(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("event_type", "ts", F.col("event_id").alias("id"))
+    return analytics.recent(e, "event_type", 100).select("event_type", "id")
+
+
+@query("""
+SELECT conv_id AS session_id, count(*) AS messages, count(*) FILTER (role = 'user') AS questions, arg_min(text, turn) AS first_text, arg_max(text, turn) AS last_text,
+  round(avg(length(text)), 4) AS mean_chars, round(coalesce(stddev_samp(length(text)), 0), 4) AS sd_chars
+FROM conversations GROUP BY conv_id
+""")
+def sessions(spark, sf_dir):
+    c = t(spark, sf_dir, "conversations")
+    return analytics.sessions(c.withColumnRenamed("conv_id", "session_id"))
+
+
+def _evaluated(spark, sf_dir) -> DataFrame:
+    """Each document judged as an answer to the first benchmark item of its number, against itself as context."""
+    d = documents(spark, sf_dir)
+    lines = F.split("text", "\n")
+    return d.select(F.col("doc_id").alias("id"), lines[0].alias("query"), F.get(lines, F.lit(1)).alias("answer"), F.col("text").alias("context"), "lang").fillna("", ["answer"])
+
+
+_EVALUATED = f"""
+l AS (SELECT doc_id AS id, lang, string_split(text, chr(10)) AS s, text FROM documents),
+w AS (SELECT id, lang, list_distinct({_TERMS.format(x="s[1]")}) AS q, list_distinct({_TERMS.format(x="coalesce(s[2], '')")}) AS a, list_distinct({_TERMS.format(x="text")}) AS c FROM l),
+e AS (SELECT id, lang, round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, a)) / len(q)::DOUBLE END, 6) AS answer_relevancy, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_intersect(a, c)) / len(a)::DOUBLE END, 6) AS faithfulness,
+  round(CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, c)) / len(q)::DOUBLE END, 6) AS context_relevancy, round(CASE WHEN len(c) = 0 THEN 0 ELSE len(list_intersect(c, a)) / len(c)::DOUBLE END, 6) AS context_utilisation FROM w)"""
+
+
+@query(f"WITH {_EVALUATED} SELECT id, answer_relevancy, faithfulness, context_relevancy, context_utilisation FROM e")
+def evaluations(spark, sf_dir):
+    return analytics.lexical_evaluation(_evaluated(spark, sf_dir)).drop("overall")
+
+
+@query()
+def evaluation_statistics(spark, sf_dir):
+    rows = _evaluated(spark, sf_dir)
+    return analytics.evaluation_statistics(analytics.lexical_evaluation(rows).join(rows.select("id", "lang"), "id"), "lang")
+
+
+@query("""
+WITH u AS (SELECT doc_id, 0 AS seq, source, n_chars FROM documents UNION ALL SELECT doc_id, 1, 'revised', n_chars + 1 FROM documents JOIN labels USING (doc_id) WHERE quality = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS k FROM u)
+SELECT doc_id, seq, source, n_chars FROM r WHERE k = 1
+""")
+def upserted(spark, sf_dir):
+    old = t(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("seq"), "source", "n_chars")
+    good = t(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    new = old.join(good, "doc_id").select("doc_id", F.lit(1).alias("seq"), F.lit("revised").alias("source"), (F.col("n_chars") + 1).alias("n_chars"))
+    return store.upsert(old, new, ["doc_id"], "seq")
+
+
+@query("SELECT d.doc_id, d.source, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def chunk_lookup(spark, sf_dir):
+    return store.with_documents(t(spark, sf_dir, "documents").select("doc_id", "source"), t(spark, sf_dir, "labels"))
+
+
+@query("SELECT source AS doc_id, arg_min(lang, doc_id) AS metadata, count(*) AS n_chunks FROM documents GROUP BY source")
+def document_rows(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk_index"), F.col("lang").alias("metadata"))
+    return store.document_rows(d)
+
+
+@query("""
+SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY ALL
+""")
+def timing_windows(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    return timings.windowed(e.withColumn("ts", F.col("ts").cast("timestamp_ntz").cast("timestamp"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT input_type, count(*) AS n, count(*) FILTER (ok) AS succeeded FROM (SELECT 'text' AS input_type, trim(text) <> '' AS ok FROM documents UNION ALL SELECT 'url', true FROM pages) GROUP BY input_type")
+def inputs(spark, sf_dir):
+    d, p = t(spark, sf_dir, "documents"), t(spark, sf_dir, "pages")
+    made = files.inputs(spark, d.select(F.col("doc_id").alias("id"), "text"), p.select(F.col("page_id").alias("id"), "html"))
+    return made.groupBy("input_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("success").alias("succeeded"))
