@@ -31,7 +31,7 @@ from . import tokens
 class Transducer:
     """encode(piece) -> ids of one pre-token."""
 
-    def __init__(self, ranks: dict[bytes, int], most_states: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], most_states: int = 250_000):
         self.ranks, self.most_states = ranks, most_states
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.children: list[dict[int, int]] = [{}]
@@ -50,7 +50,9 @@ class Transducer:
 
     def reset(self) -> None:
         start = (-1, ((0, ()),))
-        self.number, self.states, self.arcs = {start: 0}, [start], [{}]
+        self.number, self.states = {start: 0}, [start]
+        #: state * 256 + byte -> (state, emitted)
+        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Merge by rank, for the few bytes of two tokens."""
@@ -73,31 +75,46 @@ class Transducer:
     def arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """The state after byte, and what is emitted on the way."""
         before, live = self.states[state]
-        onward, ended = [], None
+        children, token_at = self.children, self.token_at
+        onward, ending = [], []
         for node, pending in live:
-            nxt = self.children[node].get(byte)
-            if nxt is None:
-                continue
-            token = self.token_at[nxt]
-            if ended is None and token >= 0 and self.may_follow(pending[-1] if pending else before, token):
-                ended = (0, (*pending, token))
-            if self.children[nxt]:
-                onward.append((nxt, pending))
-        if ended is None:
+            nxt = children[node].get(byte)
+            if nxt is not None:
+                if token_at[nxt] >= 0:
+                    ending.append((pending, token_at[nxt]))
+                if children[nxt]:
+                    onward.append((nxt, pending))
+        if not ending:
             raise ValueError(f"no token ends in byte {byte}: the vocabulary lacks single bytes")
-        onward.append(ended)
-        shared = 0
-        shortest = min(len(p) for _, p in onward)
-        while shared < shortest and len({p[shared] for _, p in onward}) == 1:
-            shared += 1
-        out = onward[0][1][:shared]
-        made = (out[-1] if out else before, tuple((n, p[shared:]) for n, p in onward))
+        # One of them is right: the last needs no test if the others fail.
+        last = len(ending) - 1
+        for i, (pending, token) in enumerate(ending):
+            if i == last or self.may_follow(pending[-1] if pending else before, token):
+                break
+        here = (*pending, token)
+        onward.append((0, here))
+        shared, stop = 0, min([len(p) for _, p in onward])
+        while shared < stop:
+            one = here[shared]
+            for _, p in onward:
+                if p[shared] != one:
+                    break
+            else:
+                shared += 1
+                continue
+            break
+        out = here[:shared]
+        if shared:
+            onward = [(n, p[shared:]) for n, p in onward]
+            before = out[-1]
+        if before >= 0 and stop > shared:  # every token to come follows a pending one
+            before = -2
+        made = (before, tuple(onward))
         number = self.number.get(made)
         if number is None:
             number = self.number[made] = len(self.states)
             self.states.append(made)
-            self.arcs.append({})
-        self.arcs[state][byte] = (number, out)
+        self.arcs[state << 8 | byte] = (number, out)
         return number, out
 
     def encode(self, piece: bytes) -> list[int]:
@@ -105,12 +122,11 @@ class Transducer:
             return [whole]
         if len(self.states) > self.most_states:
             self.reset()
-        state, out, arcs = 0, [], self.arcs
+        state, out, get = 0, [], self.arcs.get
         for byte in piece:
-            hit = arcs[state].get(byte) or self.arc(state, byte)
-            state = hit[0]
-            if hit[1]:
-                out += hit[1]
+            state, made = get(state << 8 | byte) or self.arc(state, byte)
+            if made:
+                out += made
         out += self.states[state][1][-1][1]  # the position at the end stands last
         return out
 
@@ -150,10 +166,21 @@ class Codec:
         self.transducer = Transducer(tokens.read_ranks(ranks_path))
         self.machine = Utf8Machine(self.transducer.bytes_of)
         find, encode = regex.compile(pattern).findall, self.transducer.encode
-        self.chunked = tokens.Chunked(lambda text: tuple(chain.from_iterable(encode(p.encode()) for p in find(text))))
+        pieces = tokens.Memo(lambda piece: tuple(encode(piece.encode())), 50_000)
+
+        def chunk(text: str) -> tuple[tuple[int, ...], str]:
+            ids = tuple(chain.from_iterable(map(pieces.__getitem__, find(text))))
+            return ids, " ".join(map(str, ids))
+
+        self.chunked = tokens.Chunked(chunk, 500_000)
+
+    def spelt(self, text: str) -> tuple[list[int], str]:
+        """The ids, and the same in decimals with a space between."""
+        made = [x for x in self.chunked(text) if x[0]]
+        return list(chain.from_iterable([x[0] for x in made])), " ".join([x[1] for x in made])
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.chunked(text)))
+        return self.spelt(text)[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.machine.decode(ids)
@@ -207,9 +234,9 @@ def digests(docs: DataFrame, doc: str = "doc_id", text: str = "text", ranks_path
         for b in batches:
             n, hashes, back = [], [], []
             for t in b.column(1):
-                found = c.encode(t.as_py() or "")
+                found, decimals = c.spelt(t.as_py() or "")
                 n.append(len(found))
-                hashes.append(sha(" ".join(map(str, found)).encode()))
+                hashes.append(sha(decimals.encode()))
                 back.append(sha(c.decode(found).encode()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
