@@ -146,7 +146,7 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", model_path:
             yield pa.RecordBatch.from_arrays([pa.array([key_of(w) for w in words], pa.binary()), b.column(1), b.column(2), pa.array([base(c) for c in train]), pa.array([lattice.score(w.decode()) for w in words])], names=["key", "train", "held", "base", "marginal"])
 
     weighed = cut(counts.mapInArrow(weigh, "key binary, train long, held long, base double, marginal double"))
-    is_hot = ((F.col("train") + F.col("held")) * hot >= n_all) & (F.length("key") <= LONG)
+    is_hot = (F.col("train") + F.col("held")) * hot >= n_all
     # `hot` rows of 32-byte words at most: counts of at least n_all / hot add up to n_all.
     often = {bytes(r["key"]): (r["train"] > 0, r["base"], r["marginal"]) for r in weighed.where(is_hot).collect()}
     often = spark.sparkContext.broadcast(often)
@@ -159,12 +159,13 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", model_path:
                 words = Counter(split_words(text))
                 k, s, m, rare, rare_n = 0, 0.0, 0.0, [], []
                 for w, c in words.items():
-                    if (hit := known_words.get(w)) is not None:
+                    key = w if len(w) <= LONG else key_of(w)
+                    if (hit := known_words.get(key)) is not None:
                         k += c * hit[0]
                         s += c * hit[1]
                         m += c * hit[2]
                     else:
-                        rare.append(key_of(w))
+                        rare.append(key)
                         rare_n.append(c)
                 total.append(words.total() + 1)
                 known.append(k)
