@@ -137,7 +137,7 @@ def sentences(text) -> Column:
 
 def sections(text, max_chars: int) -> Column:
     """Runs of sentence pieces, joined by '. ', of about max_chars each."""
-    parts = F.filter(F.transform(F.split(F.coalesce(_c(text), F.lit("")), r"[.!?]+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(_c(text), F.lit("")), r"[.!?]+"), lambda p: F.trim(p)), lambda s: s != "")
     first = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
 
     def step(acc, s):

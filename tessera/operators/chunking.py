@@ -43,7 +43,7 @@ def packed_sentences(text: Column, size: int) -> Column:
         return F.when(F.size(acc["now"]) > 0, F.array_append(acc["done"], F.struct(F.lit(False).alias("long"), acc["now"].alias("parts")))).otherwise(acc["done"])
 
     def step(acc, x):
-        cut = F.filter(F.transform(F.split(x["s"], "[,;]"), F.trim), lambda p: p != "")
+        cut = F.filter(F.transform(F.split(x["s"], "[,;]"), lambda p: F.trim(p)), lambda p: p != "")
         return F.struct(
             F.when(x["long"], F.array_append(close(acc), F.struct(F.lit(True).alias("long"), cut.alias("parts")))).otherwise(acc["done"]).alias("done"),
             F.when(x["long"], F.array().cast("array<string>")).otherwise(F.array_append(acc["now"], x["s"])).alias("now"),

@@ -65,5 +65,5 @@ def statistics(chunks: DataFrame, max_tokens: int) -> DataFrame:
 
 
 def distinct_sentences(text: Column) -> Column:
-    parts = F.filter(F.transform(F.split(text, r"\. "), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(text, r"\. "), lambda p: F.trim(p)), lambda s: s != "")
     return F.array_join(F.array_distinct(parts), ". ")

@@ -541,8 +541,7 @@ def document_rows(spark, sf_dir):
 SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY ALL
 """)
 def timing_windows(spark, sf_dir):
-    e = t(spark, sf_dir, "events")
-    return timings.windowed(e.withColumn("ts", F.col("ts").cast("timestamp_ntz").cast("timestamp"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return timings.windowed(t(spark, sf_dir, "events"))
 
 
 @query("SELECT input_type, count(*) AS n, count(*) FILTER (ok) AS succeeded FROM (SELECT 'text' AS input_type, trim(text) <> '' AS ok FROM documents UNION ALL SELECT 'url', true FROM pages) GROUP BY input_type")

@@ -16,17 +16,22 @@ def source(spark: SparkSession, path: str, files_per_batch: int = 10) -> DataFra
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def _marked(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """With a watermark, which needs a time with a zone: times without one are taken in the session's."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def windowed(events: DataFrame, ts: str = "ts", key: str = "event_type", value: str = "value", width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Counts, sums and extremes per window and key; events later than `late` are left out in a stream."""
     w = F.window(ts, width)
-    marked = events.withWatermark(ts, late) if events.isStreaming else events
-    return marked.groupBy(w.alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total"), F.min(value).alias("least"), F.max(value).alias("most")).select(F.col("w.start").alias("window_start"), key, "n", "total", "least", "most")
+    marked = _marked(events, ts, late) if events.isStreaming else events
+    return marked.groupBy(w.alias("w"), key).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total"), F.min(value).alias("least"), F.max(value).alias("most")).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), key, "n", "total", "least", "most")
 
 
 def distinct_events(events: DataFrame, keys: list[str], ts: str = "ts", late: str = "1 day") -> DataFrame:
     if not events.isStreaming:
         return events.dropDuplicates(keys)
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    return _marked(events, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
 def newest_per_key(events: DataFrame, n: int = 1000, key: str = "user_id", ts: str = "ts", value: str = "value", ttl_ms: int = 3_600_000) -> DataFrame:
