@@ -6,6 +6,9 @@ Suffixes whose first eight words stand nowhere else are dropped; the others get
 and right from the text again, are sorted by what follows, and each is compared with its neighbours,
 extending matches both ways. Matches of at least min_words are reported, overlapping ones as one span.
 
+A span can fall short by the few words at its left end that a document shares with one other holder
+of a frequent passage alone, if that one is not among its NEAR neighbours; the passage is found in any case.
+
 A range of the sorted order needs no more than its own rows; what lies at the seams of two ranges is
 compared apart, a few rows per range. A passage of any number of documents spreads over many ranges.
 
@@ -28,7 +31,7 @@ from .common import cut
 
 GRAM = 8
 #: Neighbours on either side that a suffix is compared with.
-NEAR = 3
+NEAR = 8
 
 
 def minimisers(hashes: np.ndarray, window: int) -> np.ndarray:

