@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import checks, text, tokens, vectors
 from ..operators import analytics, chunking, citations, context, generation, retrieval, store
 from ..sources import files
+from ..sources.shared import new_path
 from ..streaming import timings
 
 QUERIES: dict = {}
@@ -544,6 +545,19 @@ def timing_windows(spark, sf_dir):
     return timings.windowed(t(spark, sf_dir, "events"))
 
 
+@query(ORACLES["timing_windows"])
+def timing_windows_stream(spark, sf_dir):
+    """The same, as a stream over what is there now: state, watermark and checkpoint included."""
+    made = timings.windowed(timings.source(spark, f"{sf_dir}/events.parquet"))
+    return timings.run_complete(made, new_path(spark), new_path(spark))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+def distinct_events_stream(spark, sf_dir):
+    made = timings.distinct_events(timings.source(spark, f"{sf_dir}/events.parquet"), ["event_id"], late="1000 days")
+    return timings.run_once(made, new_path(spark), new_path(spark)).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
 @query("SELECT input_type, count(*) AS n, count(*) FILTER (ok) AS succeeded FROM (SELECT 'text' AS input_type, trim(text) <> '' AS ok FROM documents UNION ALL SELECT 'url', true FROM pages) GROUP BY input_type")
 def inputs(spark, sf_dir):
     d, p = t(spark, sf_dir, "documents"), t(spark, sf_dir, "pages")

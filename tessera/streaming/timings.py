@@ -11,9 +11,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def source(spark: SparkSession, path: str, files_per_batch: int = 10) -> DataFrame:
-    """A stream over a folder of Parquet files."""
+    """A stream over a folder of Parquet files, or over one file, which streams accept as a pattern only."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def _marked(events: DataFrame, ts: str, late: str) -> DataFrame:
