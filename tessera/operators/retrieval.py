@@ -39,12 +39,8 @@ def term_statistics(index: DataFrame, n_docs: int) -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", "total_tf", F.when(F.col("raw") < 0, F.col("mean") * FLOOR).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Top k of docs (doc_id, text) for each of queries (query_id, text); a query's repeated term counts as often."""
-    own = docs.select("doc_id", tx.bm25_terms("text").alias("terms"))
-    sizes = own.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("mean")).first()
-    n, mean = sizes["n"], sizes["mean"] or 1.0
-    index = postings(docs)
+def scored(index: DataFrame, queries: DataFrame, n: int, mean: float, k: int = 10) -> DataFrame:
+    """Top k of an index of postings for each of queries (query_id, text); a query's repeated term counts as often."""
     asked = queries.select("query_id", F.explode(tx.bm25_terms("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     # Only terms that are asked for need weights and postings, but the floor is a mean over all terms.
     weights = term_statistics(index, n).join(asked, "term").select("term", "idf", "query_id", "times")
@@ -53,6 +49,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return ranked(hits.where("score > 0"), k)
 
 
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Top k of docs (doc_id, text) for each of queries (query_id, text), without a stored index."""
+    sizes = docs.select(F.size(tx.bm25_terms("text")).alias("n")).agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
+    return scored(postings(docs), queries, sizes["n"], sizes["mean"] or 1.0, k)
+
+
 def _blocked(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:
     return rows.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks, text, tokens, vectors
-from ..operators import analytics, chunking, citations, context, generation, retrieval, store
+from ..operators import analytics, chunking, citations, context, exports, generation, index, layout, retrieval, store
 from ..sources import files
 from ..sources.shared import new_path
 from ..streaming import timings
@@ -563,3 +563,64 @@ def inputs(spark, sf_dir):
     d, p = t(spark, sf_dir, "documents"), t(spark, sf_dir, "pages")
     made = files.inputs(spark, d.select(F.col("doc_id").alias("id"), "text"), p.select(F.col("page_id").alias("id"), "html"))
     return made.groupBy("input_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("success").alias("succeeded"))
+
+
+@query(ORACLES["retrieval_keywords"])
+def index_search(spark, sf_dir):
+    """An index on disk, built in two steps, gives what a search over all documents gives."""
+    d, kept = documents(spark, sf_dir), index.KeywordIndex(spark, new_path(spark))
+    kept.add(d.where("doc_id % 2 = 0"))
+    kept.add(d.where("doc_id % 2 <> 0"))
+    return kept.search(_asked(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_BM25} SELECT (SELECT n FROM n) AS documents, round((SELECT mean FROM n), 6) AS mean_length, count(*) AS postings, count(DISTINCT term) AS terms FROM p")
+def index_statistics(spark, sf_dir):
+    kept = index.KeywordIndex(spark, new_path(spark))
+    kept.add(documents(spark, sf_dir))
+    return kept.statistics()
+
+
+@query("""
+SELECT a.conv_id AS session_id, a.turn, a.text AS query, b.text AS response, length(b.text) AS chars FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+WHERE a.role = 'user' AND b.role = 'assistant'
+""")
+def chat_export(spark, sf_dir):
+    return exports.chat_rows(t(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session_id"))
+
+
+@query("SELECT conv_id AS session_id, turn FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) > 5)")
+def sessions_removed(spark, sf_dir):
+    c = t(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "session_id").select("session_id", "turn")
+    return exports.without_session(c, c.groupBy("session_id").count().where("count > 5"))
+
+
+@query()
+def page_layout(spark, sf_dir):
+    """Words of documents as boxes of a page, 12 a line, with one wide gap in every third line."""
+    d = documents(spark, sf_dir).select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("i", "text"))
+    row, col = F.floor(F.col("i") / 12), F.col("i") % 12
+    x0 = col * 60.0 + F.when((row % 3 == 0) & (col > 5), 100.0).otherwise(0.0)
+    boxes = d.select(F.col("doc_id").alias("page_id"), "text", F.lit(0.9).alias("confidence"), (x0 + 25).alias("cx"), (row * 30.0).alias("cy"), x0.alias("x0"), (x0 + 50).alias("x1"), F.lit(12.0).alias("height"))
+    return layout.lines(boxes).groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@query("""
+WITH u AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS done, count(*) OVER (PARTITION BY user_id) + 1 AS total FROM events),
+m AS (SELECT user_id, max(done) AS done, max(total) AS total, floor(epoch(max(ts))) - floor(epoch(min(ts))) AS seconds FROM u GROUP BY user_id)
+SELECT user_id AS task_id, CAST(done AS INT) AS done, total, round(100.0::DOUBLE * done / total, 4) AS percent, CAST(seconds AS BIGINT) AS seconds, round((total - done) * seconds::DOUBLE / done, 4) AS seconds_left, 'running' AS status FROM m
+""")
+def task_progress(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    by = Window.partitionBy("user_id")
+    e = t(spark, sf_dir, "events")
+    u = e.select(F.col("user_id").alias("task_id"), F.col("ts").cast("timestamp").alias("ts"), F.row_number().over(by.orderBy("ts", "event_id")).alias("done"), (F.count(F.lit(1)).over(by) + 1).alias("total"))
+    return analytics.task_progress(u)
+
+
+@query("SELECT source, round(least(0.9, 0.7 + 0.1 * m), 3)::DOUBLE AS relevancy, round(least(0.95, 0.8 + 0.05 * m), 3)::DOUBLE AS faithfulness, round(least(0.85, 0.6 + 0.1 * m), 3)::DOUBLE AS context FROM (SELECT source, avg(n)::DOUBLE AS m FROM (SELECT source, count(*) AS n FROM documents GROUP BY source, lang) GROUP BY source)")
+def quality_estimates(spark, sf_dir):
+    per = documents(spark, sf_dir).groupBy("source", "lang").count().groupBy("source").agg(F.avg("count").alias("m"))
+    q = analytics.quality_estimates(F.col("m"))
+    return per.select("source", q["relevancy"].alias("relevancy"), q["faithfulness"].alias("faithfulness"), q["context"].alias("context"))
