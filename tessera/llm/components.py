@@ -11,29 +11,28 @@ from .common import cut
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Point each node's neighbours at its least neighbour: the larger ones, or the smaller ones and itself.
 
-    Sums of a node's edges are formed before the shuffle, and the join on a hot node is one that Spark may split."""
+    Least neighbours come from partial sums, and the join on a hot node is one that Spark may split."""
     if small:
         own = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     else:
         own = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = own.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
     met = own.join(least, F.col("u") == F.col("w"))
-    if small:
-        made = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-    else:
-        made = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    if not small:
+        return met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    made = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
     return made.where("u <> v").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node either has one edge, to a smaller node, or is such a centre."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out = 1 AND into = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the component's least node."""
-    now = cut(edges.where("u <> v").select("u", "v").distinct())
-    state = None
-    while True:
+    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while not _are_stars(now):
         now = cut(_star(_star(now, small=False), small=True))
-        # Stars only: every edge leads to a root, and no root leads on. Equal sums mean that nothing moved.
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state:
-            break
-        state = tuple(seen)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

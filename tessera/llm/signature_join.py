@@ -191,13 +191,6 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, roots: li
     b = a if right is None else Tree(right, bits)
     up = {r: r for r in roots}
 
-    def root(i: int):
-        r = roots[i]
-        while up[r] != r:
-            up[r] = up[up[r]]
-            r = up[r]
-        return r
-
     found: list[tuple[int, int]] = []
 
     def leaves(i: int, j: int) -> None:
@@ -207,7 +200,7 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, roots: li
         apart = np.bitwise_count(ma[:, None, :] ^ mb[None, :, :]).sum(2, dtype="i8")
         for x, y in np.argwhere(apart * (den + num) <= (den - num) * (sa[:, None] + sb[None, :])).tolist():
             p, q = x0 + x, shift + y0 + y
-            if (right is None and p >= q) or (rp := root(p)) == (rq := root(q)):
+            if (right is None and p >= q) or (rp := _root(up, roots[p])) == (rq := _root(up, roots[q])):
                 continue
             both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
             if den * both >= num * (len(sets[p]) + len(sets[q]) - both):
@@ -234,16 +227,28 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _block_links(num: int, den: int):
+    """A block, or two, to edges that join each root with the least one that its links reach."""
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["side", "n", "node"], kind="stable")
-        nodes, roots, sets = frame.node.tolist(), frame.root.tolist(), [_unpack(x) for x in frame.members]
+        roots, sets = frame.root.tolist(), [_unpack(x) for x in frame.members]
         n_left = int((frame.side == 0).sum())
         links = tree_links(sets[:n_left], sets[n_left:] if n_left < len(sets) else None, roots, num, den) if n_left else []
-        return pd.DataFrame([(nodes[i], nodes[j]) for i, j in links], columns=["u", "v"]).astype("i8")
+        up = {r: r for r in roots}
+        for i, j in links:
+            a, b = _root(up, roots[i]), _root(up, roots[j])
+            up[max(a, b)] = min(a, b)
+        return pd.DataFrame([(r, top) for r in up if (top := _root(up, r)) != r], columns=["u", "v"]).astype("i8")
 
     return run
 
 
+def _root(up: dict[int, int], r: int) -> int:
+    while up[r] != r:
+        up[r] = r = up[up[r]]
+    return r
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, members) for the nodes; nodes: node, doc_id of a row that has its text."""
 
@@ -259,7 +264,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
 
 
 def _link_clusters(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges that span every component of the links within clusters. members: cluster, node, n, members."""
+    """(node, root) of every node with a link. members: cluster, node, n, members."""
     ratio = float(np.log(den / num))
     banded = members.withColumn("band", F.floor(F.log("n") / ratio).cast("long"))
     sizes = banded.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("band_n"))
@@ -270,29 +275,32 @@ def _link_clusters(members: DataFrame, num: int, den: int) -> DataFrame:
         "cluster", F.when(F.col("small"), 0).otherwise(F.col("band")).alias("band"), F.when(F.col("small"), 0).otherwise(F.col("sub")).alias("sub"), "small", "node", "n", "members"))
     join = _block_links(num, den)
     own = blocked.withColumn("root", F.col("node")).withColumn("side", F.lit(0))
-    edges = cut(own.groupBy("cluster", "band", "sub").applyInPandas(join, "u long, v long"))
+    # Stars within blocks: of clusters of one block these are the components.
+    roots = components(own.groupBy("cluster", "band", "sub").applyInPandas(join, "u long, v long"))
     large = blocked.where(~F.col("small"))
     blocks = cut(large.groupBy("cluster", "band", "sub").agg(F.count(F.lit(1)).alias("k")))
     if blocks.isEmpty():
-        return edges
+        return roots
     left = blocks.select("cluster", F.col("band").alias("b1"), F.col("sub").alias("s1"))
     right = blocks.select(F.col("cluster").alias("c2"), F.col("band").alias("b2"), F.col("sub").alias("s2"))
     # Only neighbouring bands hold sizes that can be linked.
     pairs = left.join(right, (F.col("cluster") == F.col("c2")) & ((F.col("b2") - F.col("b1")).isin(0, 1)) & ((F.col("b1") != F.col("b2")) | (F.col("s1") < F.col("s2")))).drop("c2")
-    for near in (True, False):
-        roots = components(edges)
+    chained = pairs.where((F.col("s1") + 1 == F.col("s2")) & (F.col("b1") == F.col("b2")) | (F.col("b1") != F.col("b2")) & (F.col("s1") == 0) & (F.col("s2") == 0))
+    for chosen in (chained, pairs):
         now = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        chosen = pairs.where((F.col("s1") + 1 == F.col("s2")) | (F.col("b1") != F.col("b2")) & (F.col("s1") == 0) & (F.col("s2") == 0)) if near else pairs
         # Blocks that are one component each, and the same one, have nothing left to find.
-        state = now.groupBy("cluster", "band", "sub").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+        state = cut(now.groupBy("cluster", "band", "sub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
         a = state.select(F.col("cluster").alias("ca"), F.col("band").alias("ba"), F.col("sub").alias("sa"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
         b = state.select(F.col("cluster").alias("cb"), F.col("band").alias("bb"), F.col("sub").alias("sb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
         open_pairs = chosen.join(a, (F.col("cluster") == F.col("ca")) & (F.col("b1") == F.col("ba")) & (F.col("s1") == F.col("sa"))).join(b, (F.col("cluster") == F.col("cb")) & (F.col("b2") == F.col("bb")) & (F.col("s2") == F.col("sb")))
         open_pairs = cut(open_pairs.where("la <> ha OR lb <> hb OR la <> lb").select("cluster", "b1", "s1", "b2", "s2"))
+        if open_pairs.isEmpty():
+            break
         sides = open_pairs.select("*", F.col("b1").alias("band"), F.col("s1").alias("sub"), F.lit(0).alias("side")).union(open_pairs.select("*", F.col("b2").alias("band"), F.col("s2").alias("sub"), F.lit(1).alias("side")))
         met = sides.join(now.select("cluster", "band", "sub", "node", "n", "members", "root"), ["cluster", "band", "sub"])
-        edges = cut(edges.union(met.groupBy("cluster", "b1", "s1", "b2", "s2").applyInPandas(join, "u long, v long")))
-    return edges
+        more = met.groupBy("cluster", "b1", "s1", "b2", "s2").applyInPandas(join, "u long, v long")
+        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+    return roots
 
 
 def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -306,8 +314,7 @@ def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
     wanted = cut(clusters.join(ids, "node"))
     sets = _sets(own, wanted, width)
     members = wanted.join(sets, "node").select("cluster", "node", "n", "members").dropDuplicates(["node"])
-    edges = _link_clusters(members, num, den)
-    roots = components(edges)
+    roots = _link_clusters(members, num, den)
     least = ids.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("component_id"))
     placed = ids.select("node").join(roots, "node", "left").select(F.col("node").alias("k"), F.coalesce("root", "node").alias("root")).join(least, "root").select("k", "component_id")
     return heads.join(placed, F.col("node") == F.col("k"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "body")
