@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import checks, text, tokens, vectors
-from ..operators import analytics, chunking, citations, context, exports, generation, index, layout, retrieval, store
+from ..operators import analytics, chunking, citations, context, embedding, exports, generation, index, layout, retrieval, store
 from ..sources import files
 from ..sources.shared import new_path
 from ..streaming import timings
@@ -624,3 +624,14 @@ def quality_estimates(spark, sf_dir):
     per = documents(spark, sf_dir).groupBy("source", "lang").count().groupBy("source").agg(F.avg("count").alias("m"))
     q = analytics.quality_estimates(F.col("m"))
     return per.select("source", q["relevancy"].alias("relevancy"), q["faithfulness"].alias("faithfulness"), q["context"].alias("context"))
+
+
+@query("SELECT label, count(*) AS n, count(*) AS valid, 1.0::DOUBLE AS share, true AS enough FROM embeddings WHERE len(embedding) = 64 GROUP BY label")
+def embedding_validity(spark, sf_dir):
+    return embedding.validity(t(spark, sf_dir, "embeddings"), 64, "label")
+
+
+@query("SELECT lang, count(*) AS texts, count(*) FILTER (trim(text) <> '') AS embedded, round(100.0::DOUBLE * count(*) FILTER (trim(text) <> '') / count(*), 4) AS rate FROM documents GROUP BY lang")
+def embedding_rate(spark, sf_dir):
+    made = embedding.once_per_text(documents(spark, sf_dir), vectors.hashing_embedder())
+    return embedding.processing(made, "lang")

@@ -41,7 +41,7 @@ def kind_of(path: Column, content: Column | None = None) -> Column:
         magic = F.hex(F.substring(content, 1, 4))
         for prefix, kind in (("25504446", "pdf"), ("504B0304", "archive"), ("1F8B", "archive"), ("89504E47", "image"), ("FFD8FF", "image"), ("52617221", "archive"), ("377ABCAF", "archive")):
             out = out.when(magic.startswith(prefix), kind)
-        out = out.when(F.is_valid_utf8(F.decode(content, "ISO-8859-1")) & F.try_validate_utf8(content.cast("string")).isNotNull(), "txt")
+        out = out.when(F.try_validate_utf8(content.cast("string")).isNotNull(), "txt")
     return out
 
 
