@@ -46,6 +46,7 @@ class Transducer:
                 node = nxt
             self.token_at[node] = i
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.spines: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -54,22 +55,50 @@ class Transducer:
         #: state * 256 + byte -> (state, emitted)
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """Merge by rank, for the few bytes of two tokens."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if rank == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[x] for x in parts]
+    def spine(self, token: int, side: int) -> list[tuple[int, int]]:
+        """What stands at the token's left (0) or right (1) end while its bytes merge: (part, rank that ends it), last the whole."""
+        found = self.spines.get((token, side))
+        if found is None:
+            parts = [bytes([x]) for x in self.bytes_of[token]]
+            found, at = [], 0
+            while True:
+                end = parts[-side]
+                if not found or found[-1][0] != end:
+                    found.append((end, at))
+                if len(parts) == 1:
+                    break
+                at, i = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+                if at == 1 << 60:  # a token that merging does not reach
+                    found = []
+                    break
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            # from "made at this rank" to "gone at the rank at which the next is made"
+            found = [(part, found[k + 1][1] if k + 1 < len(found) else 1 << 60) for k, (part, _) in enumerate(found)]
+            self.spines[token, side] = found
+        return found
 
     def may_follow(self, a: int, b: int) -> bool:
+        """Whether a and b stay two when their bytes merge: no part at a's right end and one at b's left end,
+        while both are there, make a token of a rank that comes before either ends (of equal ranks, the left one first)."""
         if a < 0:
-            return self.merged(self.bytes_of[b]) == [b]
-        found = self.pairs.get((a, b))
+            return bool(self.spine(b, 0))
+        key = (a, b)
+        found = self.pairs.get(key)
         if found is None:
-            found = self.pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            left, right = self.spine(a, 1), self.spine(b, 0)
+            found, i, j, get = bool(left) and bool(right), 0, 0, self.ranks.get
+            while found:
+                (x, x_ends), (y, y_ends) = left[i], right[j]
+                rank = get(x + y, 1 << 60)
+                if rank < x_ends and rank <= y_ends and rank < 1 << 60:
+                    found = False
+                elif x_ends == y_ends == 1 << 60:
+                    break
+                elif x_ends <= y_ends:
+                    i += 1
+                else:
+                    j += 1
+            self.pairs[key] = found
         return found
 
     def arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -168,19 +197,16 @@ class Codec:
         find, encode = regex.compile(pattern).findall, self.transducer.encode
         pieces = tokens.Memo(lambda piece: tuple(encode(piece.encode())), 50_000)
 
-        def chunk(text: str) -> tuple[tuple[int, ...], str]:
-            ids = tuple(chain.from_iterable(map(pieces.__getitem__, find(text))))
-            return ids, " ".join(map(str, ids))
-
-        self.chunked = tokens.Chunked(chunk, 500_000)
+        def chunk(text: str) -> tuple[int, ...]:
+            # Latin letters after a space are one piece under any such pattern; the rest is for the pattern to say.
+            if text[1:].isalpha() and text[0] == " " and max(text) < "\u0250":
+                return tuple(encode(text.encode()))
+            return tuple(chain.from_iterable(map(pieces.__getitem__, find(text))))
 
-    def spelt(self, text: str) -> tuple[list[int], str]:
-        """The ids, and the same in decimals with a space between."""
-        made = [x for x in self.chunked(text) if x[0]]
-        return list(chain.from_iterable([x[0] for x in made])), " ".join([x[1] for x in made])
+        self.chunked = tokens.Chunked(chunk, 400_000)
 
     def encode(self, text: str) -> list[int]:
-        return self.spelt(text)[0]
+        return list(chain.from_iterable(self.chunked(text)))
 
     def decode(self, ids: Iterable[int]) -> str:
         return self.machine.decode(ids)
@@ -234,9 +260,9 @@ def digests(docs: DataFrame, doc: str = "doc_id", text: str = "text", ranks_path
         for b in batches:
             n, hashes, back = [], [], []
             for t in b.column(1):
-                found, decimals = c.spelt(t.as_py() or "")
+                found = c.encode(t.as_py() or "")
                 n.append(len(found))
-                hashes.append(sha(decimals.encode()))
+                hashes.append(sha(" ".join(map(str, found)).encode()))
                 back.append(sha(c.decode(found).encode()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

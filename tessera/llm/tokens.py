@@ -23,18 +23,23 @@ def default_path(name: str) -> str:
 
 
 class Memo(dict):
-    """Chunk -> make(chunk), for at most `most` chunks of moderate length; starts over when full."""
+    """Chunk -> make(chunk). When `most` chunks are held they become the old ones, from which those asked
+    for again come back: what is frequent stays."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 200_000):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, chunk: str):
-        made = self.make(chunk)
-        if len(chunk) <= 48:
-            if len(self) >= self.most:
-                self.clear()
-            self[chunk] = made
+        made = self.old.get(chunk)
+        if made is None:
+            made = self.make(chunk)
+            if len(chunk) > 48:
+                return made
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = made
         return made
 
 
@@ -44,16 +49,20 @@ class Chunked:
     Byte-level pieces hold no space but a leading one, so that texts whose spaces stand alone may be cut
     before every space; other texts go through make() whole."""
 
-    def __init__(self, make, most: int = 300_000):
+    def __init__(self, make, most: int = 200_000):
         self.make = make
         self.head, self.rest = Memo(make, 20_000), Memo(lambda chunk: make(" " + chunk), most)
 
     def __call__(self, text: str) -> list:
         if UNSAFE.search(text):
             return [self.make(text)]
-        first, *rest = text.split(" ")
-        found = list(map(self.rest.__getitem__, rest))
-        return [self.head[first], *found] if first else found
+        rest = text.split(" ")
+        first = rest[0]
+        if first:
+            found = list(map(self.rest.__getitem__, rest[1:]))
+            found.insert(0, self.head[first])
+            return found
+        return list(map(self.rest.__getitem__, rest[1:]))
 
 
 @lru_cache(1)
