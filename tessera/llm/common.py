@@ -23,6 +23,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, n: int, most: int, *keys: str) -> DataFrame:
+    """About `most` of df's n rows (all, if there are no more): those whose keys' hash falls into that share.
+
+    Every task picks its own; nothing is sorted or sent but the sample. Adds the hash as h."""
+    share = min(1.0, 0.95 * most / max(n, 1)) if n > most else 1.0
+    return df.withColumn("h", F.xxhash64(*keys)).where(F.shiftrightunsigned("h", 11) < int(share * 2**53))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

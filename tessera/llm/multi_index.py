@@ -23,9 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hash_sample
 
-#: Rows that the centroids are fitted on, at most: those of the smallest hashed ids.
+#: Rows that the centroids are fitted on, at most: an even share by hashed id.
 SAMPLE = 20_000
 SHARD_ROWS, QUERY_ROWS = 8192, 4096
 
@@ -122,12 +122,13 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, vec: str = "ve
     clustered ones a hundredth will do, and the work falls in proportion."""
     spark = vectors.sparkSession
     rows = usable(vectors, vec, embedding)
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect() if len(r["v"]) > 1] or [[0.0, 0.0]], dtype=object)
+    n = rows.count()
+    drawn = hash_sample(rows, n, SAMPLE, "vec_id").select("h", "vec_id", "v").collect()
+    sample = [r["v"] for r in sorted(drawn, key=lambda r: (r["h"], r["vec_id"], r["v"]))[:SAMPLE] if len(r["v"]) > 1] or [[0.0, 0.0]]
     sizes = pd.Series([len(x) for x in sample]).mode()
     dim = int(sizes.iloc[0])
-    sample = np.array([x for x in sample.tolist() if len(x) == dim], dtype=float)
-    rows = rows.where(F.size("v") == dim)
-    n, half = rows.count(), dim // 2
+    sample = np.array([x for x in sample if len(x) == dim], dtype=float)
+    rows, half = rows.where(F.size("v") == dim), dim // 2
     k = max(1, min(centroids, len(sample)))
     books = spark.sparkContext.broadcast((kmeans(sample[:, :half], k), kmeans(sample[:, half:], k)))
     wanted = max(top * 50, int(share * n))
