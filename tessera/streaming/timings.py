@@ -34,8 +34,11 @@ def distinct_events(events: DataFrame, keys: list[str], ts: str = "ts", late: st
     return _marked(events, ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def newest_per_key(events: DataFrame, n: int = 1000, key: str = "user_id", ts: str = "ts", value: str = "value", ttl_ms: int = 3_600_000) -> DataFrame:
-    """A stream of (key, n, mean) over the newest n values of each key; a key unseen for ttl_ms is dropped."""
+def newest_per_key(events: DataFrame, n: int = 1000, key: str = "user_id", ts: str = "ts", value: str = "value", ttl_ms: int | None = None) -> DataFrame:
+    """A stream of (key, n, mean) over the newest n values of each key.
+
+    With ttl_ms, a key unseen for so long is dropped; such a query looks for expired keys for ever, and so
+    must not be run with an availableNow trigger."""
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -46,10 +49,11 @@ def newest_per_key(events: DataFrame, n: int = 1000, key: str = "user_id", ts: s
             kept += zip(f[ts].astype("int64").tolist(), f[value].tolist(), strict=True)
         kept = sorted(kept)[-n:]
         state.update(([a for a, _ in kept], [b for _, b in kept]))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms is not None:
+            state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({key: [k[0]], "n": [len(kept)], "mean": [sum(b for _, b in kept) / len(kept)]})
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} long, n long, mean double", "at array<long>, v array<double>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} long, n long, mean double", "at array<long>, v array<double>", "update", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
