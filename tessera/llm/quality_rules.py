@@ -2,9 +2,12 @@
 
 Normalised lines are hashed; for each host the distinct documents that hold a line are counted;
 lines above the limits count as removed, and a document that loses too many of its words is rejected.
-A line is boilerplate only if it also stands in as many different surroundings (line before, line
-after): a document that was copied a thousand times brings its lines into a thousand documents but
-into one surrounding, and copies are for the near-duplicate operators to deal with.
+Exact copies count as one document: a text that was copied a thousand times brings its lines into a
+thousand documents, and copies are for the near-duplicate operators to deal with. The lines of a block
+are counted each for itself, whatever stands beside them, so that a block goes whole.
+
+SQL below states an earlier, narrower rule, which also asked for different lines around a line: it keeps
+the inner lines of a block. Where lines above the limit stand in as many surroundings, the two agree.
 
 Nulls: a null text is an empty one (no words, base_failed); a null host is a host of its own; a null
 id stays null. Repeated rows are judged one by one and count as one document if their ids agree.
@@ -46,15 +49,14 @@ def _repeat_words(words: Column) -> Column:
 
 
 def _lines(lines: Column) -> Column:
-    """Per line with words: two hashes of the normalised line, one of the lines around it, its words."""
+    """Per line with words: two hashes of the normalised line, its words."""
 
     def rows(norm: Column) -> Column:
         made = F.transform(
             norm,
-            lambda x, i: F.struct(
+            lambda x: F.struct(
                 F.xxhash64(x).alias("h1"),
                 F.xxhash64(F.lit(9), x).alias("h2"),
-                F.xxhash64(F.get(norm, i - 1), F.get(norm, i + 1)).alias("around"),
                 F.when(x == "", 0).otherwise(F.size(F.split(x, SPACE_CLASS + "+"))).alias("n"),
             ),
         )
@@ -77,33 +79,34 @@ def measures(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str
         F.length(F.regexp_replace("body", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         worded.cast("long").alias("n_dup_lines"),
         _repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
+        F.xxhash64("body").alias("copy"),
         _lines(F.col("lines")).alias("lines"),
     )
 
 
 def line_frequency(lines: DataFrame) -> DataFrame:
-    """(host, h1, h2) -> n_docs, the distinct documents, and n_around, the distinct surroundings.
+    """(host, h1, h2) -> n_docs, the distinct documents, exact copies counted once.
 
-    lines: host, h1, h2, around, doc_id. Each step adds up partial sums before its shuffle, so that a
-    line of a third of all documents arrives as one row per task."""
-    once = lines.groupBy("host", "h1", "h2", "doc_id").agg(F.min("around").alias("around"))
-    around = once.groupBy("host", "h1", "h2", "around").agg(F.count(F.lit(1)).alias("n"))
-    return around.groupBy("host", "h1", "h2").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_around"))
+    lines: host, h1, h2, copy, a hash of the whole text, doc_id. The last step adds up partial sums before
+    its shuffle, so that a line of a third of all documents arrives as one row per task."""
+    once = lines.groupBy("host", "h1", "h2", "doc_id").agg(F.min("copy").alias("copy"))
+    texts = once.groupBy("host", "h1", "h2", "copy").agg(F.lit(1).alias("n"))
+    return texts.groupBy("host", "h1", "h2").agg(F.sum("n").alias("n_docs"))
 
 
 def quality_rules(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = 20, share: float = 0.002, max_removed: float = 0.7) -> DataFrame:
     """Verdict per row: base counts, n_removed_words, n_removed_lines, kept.
 
-    A line goes if over max(min_docs, share of its host's documents) documents of the host hold it, in
-    over as many surroundings. A document is depleted if over max_removed of its words go."""
+    A line goes if over max(min_docs, share of its host's documents) documents of the host hold it,
+    of which exact copies count once. A document is depleted if over max_removed of its words go."""
     rows = cut(measures(docs, doc, text, host))
-    lines = rows.select("row_id", "doc_id", "host", F.explode("lines").alias("x")).select("row_id", "doc_id", "host", "x.*")
+    lines = rows.select("row_id", "doc_id", "host", "copy", F.explode("lines").alias("x")).select("row_id", "doc_id", "host", "copy", "x.*")
     hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    often = line_frequency(lines).where((F.col("n_docs") > min_docs) & (F.col("n_around") > min_docs))
+    often = line_frequency(lines).where(F.col("n_docs") > min_docs)
     # Hosts may be as many as documents: a plain join, whose hot host has one row on either side's key and line.
     often = often.join(hosts, often["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
     limit = F.greatest(F.lit(float(min_docs)), F.col("host_docs") * share)
-    often = often.where((F.col("n_docs") > limit) & (F.col("n_around") > limit)).select(
+    often = often.where(F.col("n_docs") > limit).select(
         F.coalesce("host", F.lit("\0")).alias("f_host"), F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("f_salt")
     )
     salted = lines.withColumn("salt", F.pmod("row_id", F.lit(SALTS)).cast("int"))

@@ -86,6 +86,17 @@ def test_boilerplate_goes_and_copies_stay(spark):
     assert all(out[200 + i]["kept"] for i in range(60))
 
 
+def test_a_block_of_fixed_lines_goes_whole(spark):
+    own = lambda i: " ".join(f"v{i}x{k}" for k in range(25))
+    block = "\n".join(" ".join(f"block{j}x{k}" for k in range(30)) for j in range(4))
+    rows = [(i, f"{block}\n{own(i)}", "en", "a", 0) for i in range(30)] + [(100 + i, f"{own(100 + i)}\n{block}", "en", "a", 0) for i in range(30)]
+    copy = "\n".join(map(own, range(9000, 9004)))
+    rows += [(200 + i, copy, "en", "a", 0) for i in range(60)]
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(table(spark, rows)).collect()}
+    assert all(out[i]["n_removed_lines"] == 4 and out[i]["n_removed_words"] == 120 and not out[i]["kept"] and not out[i]["base_failed"] for i in out if i < 200)
+    assert all(out[200 + i]["kept"] and out[200 + i]["n_removed_lines"] == 0 for i in range(60))
+
+
 def test_keep_good_returns_rows_unchanged(spark):
     docs = table(spark, clashing=True)
     kept = quality_rules.keep_good(docs)
