@@ -6,8 +6,9 @@ Suffixes whose first eight words stand nowhere else are dropped; the others get
 and right from the text again, are sorted by what follows, and each is compared with its neighbours,
 extending matches both ways. Matches of at least min_words are reported, overlapping ones as one span.
 
-A span can fall short by the few words at its left end that a document shares with one other holder
-of a frequent passage alone, if that one is not among its NEAR neighbours; the passage is found in any case.
+Two texts may agree in min_words around a place and yet stand far apart, if more than NEAR others agree
+with what follows it. So each run of min_words whose part from its minimiser on agrees with a suffix's
+NEAR-th neighbour is hashed as a whole too; those hashes are sorted, and runs that stand twice are reported.
 
 A range of the sorted order needs no more than its own rows; what lies at the seams of two ranges is
 compared apart, a few rows per range. A passage of any number of documents spreads over many ranges.
@@ -32,18 +33,23 @@ from .common import cut
 GRAM = 8
 #: Neighbours on either side that a suffix is compared with.
 NEAR = 8
+PACKED = 20
 
 
-def minimisers(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the least hash, leftmost of equal ones, of every `window` neighbours."""
+def minimisers(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the least hash, leftmost of equal ones, of every `window` neighbours; how far before it
+    the first and the last of those windows begin."""
     if len(hashes) < window:
-        return np.empty(0, np.int64)
+        return (np.empty(0, np.int64),) * 3
     least = np.lib.stride_tricks.sliding_window_view(hashes, window).argmin(axis=1)
-    return np.unique(least + np.arange(len(least)))
+    at, first, n = np.unique(least + np.arange(len(least)), return_index=True, return_counts=True)
+    return at, at - first, at - (first + n - 1)
 
 
 def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
-    """(gram, doc_id, body, pos) of every kept suffix; body, a hash of the text, tells rows of one id apart."""
+    """(gram, doc_id, body, pos) of every kept suffix; body, a hash of the text, tells rows of one id apart.
+
+    Below pos' PACKED bits stand how far before it its windows begin, at most and at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = shingles.WordHashes()
@@ -51,14 +57,14 @@ def suffixes(docs: DataFrame, min_words: int) -> DataFrame:
             grams, pos, row = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
             for i, text in enumerate(b.column(2)):
                 h = shingles.grams(shingles.word_hashes(text.as_py(), memo), GRAM)
-                at = minimisers(h, min_words - GRAM + 1)
+                at, most, least = minimisers(h, min_words - GRAM + 1)
                 grams.append(h[at])
-                pos.append(at)
+                pos.append((at << PACKED) + (most << PACKED // 2) + least)
                 row += [i] * len(at)
             rows = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(np.concatenate(pos).astype("i4"))], names=["gram", "doc_id", "body", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), b.column(0).take(rows), b.column(1).take(rows), pa.array(np.concatenate(pos))], names=["gram", "doc_id", "body", "pos"])
 
-    return docs.mapInArrow(run, "gram long, doc_id long, body long, pos int")
+    return docs.mapInArrow(run, "gram long, doc_id long, body long, pos long")
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,38 +87,65 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def contexts(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
-    """(ahead, behind, doc_id, body, pos): 32-bit word hashes from the place on, and backwards before it."""
+    """(ahead, behind, doc_id, body, pos, most, least): 32-bit word hashes from the place on, and backwards before it."""
     width = min_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = shingles.WordHashes()
         for b in batches:
-            ahead, behind, row, pos = [], [], [], []
+            ahead, behind, row, packed = [], [], [], []
             for i, (text, places) in enumerate(zip(b.column(2), b.column(3), strict=True)):
                 words = np.maximum((shingles.word_hashes(text.as_py(), memo) >> np.uint64(32)).astype("u4"), 1)
                 padded = np.concatenate([np.zeros(width, "u4"), words, np.zeros(width, "u4")])
                 back = padded[::-1]
-                for p in places.as_py():
+                for place in places.as_py():
+                    p = place >> PACKED
                     ahead.append(padded[width + p : 2 * width + p].tobytes())
                     at = len(padded) - width - p
                     behind.append(back[at : at + width].tobytes())
                     row.append(i)
-                    pos.append(p)
+                    packed.append(place)
                 if len(row) > 4096:
-                    yield out(b, ahead, behind, row, pos)
-                    ahead, behind, row, pos = [], [], [], []
-            yield out(b, ahead, behind, row, pos)
+                    yield out(b, ahead, behind, row, packed)
+                    ahead, behind, row, packed = [], [], [], []
+            yield out(b, ahead, behind, row, packed)
 
-    def out(b, ahead, behind, row, pos) -> pa.RecordBatch:
-        rows = pa.array(row, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(ahead, pa.binary()), pa.array(behind, pa.binary()), b.column(0).take(rows), b.column(1).take(rows), pa.array(pos, pa.int32())], names=["ahead", "behind", "doc_id", "body", "pos"])
+    def out(b, ahead, behind, row, packed) -> pa.RecordBatch:
+        rows, at, half = pa.array(row, pa.int64()), np.array(packed, np.int64), PACKED // 2
+        ints = [pa.array(x.astype("i4")) for x in (at >> PACKED, (at >> half) & ((1 << half) - 1), at & ((1 << half) - 1))]
+        return pa.RecordBatch.from_arrays([pa.array(ahead, pa.binary()), pa.array(behind, pa.binary()), b.column(0).take(rows), b.column(1).take(rows), *ints], names=["ahead", "behind", "doc_id", "body", "pos", "most", "least"])
 
     listed = places.groupBy(F.col("doc_id").alias("d"), F.col("body").alias("t")).agg(F.collect_set("pos").alias("places"))
     met = docs.join(listed, docs["doc_id"].eqNullSafe(F.col("d")) & (docs["body"] == F.col("t")))
-    return met.select("doc_id", "body", "text", "places").mapInArrow(run, "ahead binary, behind binary, doc_id long, body long, pos int")
+    return met.select("doc_id", "body", "text", "places").mapInArrow(run, "ahead binary, behind binary, doc_id long, body long, pos int, most int, least int")
+
+
+#: A repeat has start, end and other; a row at a range's seam has pos; a window has start, key and check, its hashes.
+_FOUND = "doc_id long, body long, start int, end int, other long, ahead binary, behind binary, pos int, most int, least int, key long, check int"
+_FOUND_TYPES = {f.split()[0]: {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[f.split()[1]] for f in _FOUND.split(", ")}
+
+
+def _found_rows(**columns) -> pa.RecordBatch:
+    """A batch of _FOUND; columns that are not given are null."""
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if isinstance(columns.get(c), np.ndarray) else columns.get(c, pa.nulls(n, t)) for c, t in _FOUND_TYPES.items()], names=list(_FOUND_TYPES))
 
 
-_FOUND = "doc_id long, body long, start int, end int, other long, ahead binary, behind binary, pos int"
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def _window_hashes(ahead: np.ndarray, behind: np.ndarray, row: np.ndarray, back: np.ndarray) -> list[np.ndarray]:
+    """Per (row, back), two hashes of as many words as ahead has, from `back` words before the place on."""
+    width = ahead.shape[1]
+    words = shingles.mix(np.concatenate([behind[:, ::-1], ahead], axis=1).astype(np.uint64))
+    out = []
+    for base in _BASES:
+        inverse = pow(base, -1, 1 << 64)
+        powers, undone = (np.array([pow(x, i, 1 << 64) for i in range(2 * width + 1)], np.uint64) for x in (base, inverse))
+        sums = np.concatenate([np.zeros((len(words), 1), np.uint64), np.cumsum(words * powers[:-1], axis=1, dtype=np.uint64)], axis=1)
+        at = width - back
+        out.append(shingles.mix((sums[row, at + width] - sums[row, at]) * undone[at]))
+    return out
 
 
 def _reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,13 +158,27 @@ def _extend(min_words: int):
     width = min_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, begun = None, False
-        names = ["ahead", "behind", "doc_id", "body", "pos"]
+        held, begun, held_shared = None, False, np.empty(0, "i8")
+        names = ["ahead", "behind", "doc_id", "body", "pos", "most", "least"]
 
         def seam(rows: pa.Table) -> list[pa.RecordBatch]:
-            n = rows.num_rows
-            none = pa.nulls(n, pa.int32())
-            return pa.table([rows["doc_id"], rows["body"], none, none, pa.nulls(n, pa.int64()), rows["ahead"], rows["behind"], rows["pos"]], names=["doc_id", "body", "start", "end", "other", "ahead", "behind", "pos"]).to_batches()
+            return [_found_rows(**{c: b.column(c) for c in names}) for b in rows.to_batches()]
+
+        def windows(rows: pa.Table, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """The windows of rows that more suffixes may hold than their neighbours; shared: words ahead that the NEAR-th has too."""
+            most, least, pos = (rows[c].to_numpy().astype("i8") for c in ("most", "least", "pos"))
+            least = np.maximum(least, width - shared)
+            for pick in np.array_split(np.flatnonzero(most >= least), max(1, len(most) // 4096)):
+                if not len(pick):
+                    continue
+                some = rows.take(pa.array(pick)).combine_chunks()
+                ahead, behind = (np.frombuffer(b"".join(some[c].to_pylist()), "u4").reshape(len(pick), width) for c in ("ahead", "behind"))
+                n = (most - least)[pick] + 1
+                row = np.repeat(np.arange(len(pick)), n)
+                back = least[pick][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                key, check = _window_hashes(ahead, behind, row, back)
+                docs, bodies = (some[c].combine_chunks().take(pa.array(row)) for c in ("doc_id", "body"))
+                yield _found_rows(doc_id=docs, body=bodies, start=(pos[pick][row] - back).astype("i4"), key=key.view("i8"), check=(check >> np.uint64(32)).astype("u4").view("i4"))
 
         for b in batches:
             if not b.num_rows:
@@ -146,29 +193,74 @@ def _extend(min_words: int):
             ahead, behind = (np.frombuffer(b"".join(rows[c].to_pylist()), "u4").reshape(n, width) for c in ("ahead", "behind"))
             doc, pos = rows["doc_id"], rows["pos"].to_numpy()
             left, right, other = np.zeros(n, "i4"), np.zeros(n, "i4"), np.full(n, -1)
+            shared = np.concatenate([held_shared, np.zeros(n - old, "i8")])
             for d in range(1, NEAR + 1):
                 at = np.arange(max(0, old - d), n - d)
                 if not len(at):
                     continue
                 r, l = _reach(ahead[at], ahead[at + d]), _reach(behind[at], behind[at + d])
+                if d == NEAR:
+                    shared[at], shared[at + d] = np.maximum(shared[at], r), np.maximum(shared[at + d], r)
                 hit = at[l + r >= min_words]
                 r, l = r[l + r >= min_words], l[l + r >= min_words]
                 for x, y in ((hit, hit + d), (hit + d, hit)):
                     left[x], right[x] = np.maximum(left[x], l), np.maximum(right[x], r)
                     other[x] = y
             pick = np.flatnonzero(other >= 0)
-            k = len(pick)
-            yield pa.RecordBatch.from_arrays(
-                [doc.combine_chunks().take(pa.array(pick)), rows["body"].combine_chunks().take(pa.array(pick)), pa.array((pos[pick] - left[pick]).astype("i4")), pa.array((pos[pick] + right[pick]).astype("i4")), doc.combine_chunks().take(pa.array(other[pick])), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32())],
-                names=["doc_id", "body", "start", "end", "other", "ahead", "behind", "pos"],
+            yield _found_rows(
+                doc_id=doc.combine_chunks().take(pa.array(pick)), body=rows["body"].combine_chunks().take(pa.array(pick)), start=(pos[pick] - left[pick]).astype("i4"), end=(pos[pick] + right[pick]).astype("i4"), other=doc.combine_chunks().take(pa.array(other[pick]))
             )
-            held = rows.slice(max(0, n - NEAR))
+            done = max(0, n - NEAR)
+            yield from windows(rows.slice(0, done), shared[:done])
+            held, held_shared = rows.slice(done), shared[done:]
         if held is not None:
+            yield from windows(held, held_shared)
             yield from seam(held)
 
     return run
 
 
+_TWICE = "doc_id long, body long, start int, other long, key long, check int"
+
+
+def _twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a sorted range, the windows that a neighbour has too; its first and last rows come again, with their key."""
+    names = ["doc_id", "body", "start", "key", "check"]
+    held = None
+
+    def out(rows: pa.Table, other: pa.Array, key: pa.Array, check: pa.Array) -> list[pa.RecordBatch]:
+        return pa.table([rows["doc_id"], rows["body"], rows["start"], other, key, check], names=["doc_id", "body", "start", "other", "key", "check"]).to_batches()
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = pa.Table.from_batches([b]).select(names)
+        if held is None:
+            yield from out(first := now.slice(0, 1), pa.nulls(1, pa.int64()), first["key"], first["check"])
+        rows = (now if held is None else pa.concat_tables([held, now])).combine_chunks()
+        key, check = rows["key"].to_numpy(), rows["check"].to_numpy()
+        same = [rows["doc_id"].combine_chunks().is_null().to_numpy(zero_copy_only=False), *(rows[c].combine_chunks().fill_null(0).to_numpy() for c in ("doc_id", "body", "start"))]
+        again = np.logical_and.reduce([x[1:] == x[:-1] for x in same])  # one window, made in both passes
+        at = np.flatnonzero((key[1:] == key[:-1]) & (check[1:] == check[:-1]) & ~again)
+        pick, other = np.concatenate([at, at + 1]), np.concatenate([at + 1, at])
+        k = len(pick)
+        if k:
+            yield from out(rows.take(pa.array(pick)), rows["doc_id"].combine_chunks().take(pa.array(other)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()))
+        held = rows.slice(rows.num_rows - 1)
+    if held is not None:
+        yield from out(held, pa.nulls(1, pa.int64()), held["key"], held["check"])
+
+
+def _same_windows(windows: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, body, start, end, other of the windows (doc_id, body, start, key, check) that stand twice."""
+    order = ["key", "check", "doc_id", "body", "start"]
+    swept = cut(windows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_twice, _TWICE))
+    # Two rows a range, whatever the data.
+    seams = swept.where("key IS NOT NULL").select("doc_id", "body", "start", "key", "check").distinct().coalesce(1).sortWithinPartitions(*order)
+    both = swept.where("key IS NULL").union(seams.mapInArrow(_twice, _TWICE).where("key IS NULL"))
+    return both.select("doc_id", "body", "start", (F.col("start") + min_words).alias("end"), "other")
+
+
 def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words, other_doc_id: passages of at least min_words that stand elsewhere too.
 
@@ -177,13 +269,16 @@ def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words:
     own = docs.select(F.col(doc).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("body"), F.col(text).cast("string").alias("text"))
     kept = cut(suffixes(own, min_words))
     order = ["gram", "doc_id", "body", "pos"]
-    places = cut(kept.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_repeated, "doc_id long, body long, pos int"))
+    places = cut(kept.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_repeated, "doc_id long, body long, pos long"))
     around = contexts(own, places, min_words)
     order = ["ahead", "doc_id", "body", "pos"]
     compared = cut(around.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_extend(min_words), _FOUND))
     # A few rows per range, whatever the data.
-    seams = compared.where("pos IS NOT NULL").select("ahead", "behind", "doc_id", "body", "pos").distinct().coalesce(1).sortWithinPartitions(*order)
-    found = compared.where("pos IS NULL").union(seams.mapInArrow(_extend(min_words), _FOUND).where("pos IS NULL"))
+    seams = compared.where("pos IS NOT NULL").select("ahead", "behind", "doc_id", "body", "pos", "most", "least").distinct().coalesce(1).sortWithinPartitions(*order)
+    found = compared.where("pos IS NULL").union(cut(seams.mapInArrow(_extend(min_words), _FOUND)).where("pos IS NULL"))
+    windows = found.where("key IS NOT NULL").select("doc_id", "body", "start", "key", "check")
+    spans = ["doc_id", "body", "start", "end", "other"]
+    found = found.where("key IS NULL").select(spans).union(_same_windows(windows, min_words))
     by = Window.partitionBy("doc_id", "body").orderBy("start", "end")
     before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     spans = found.select("doc_id", "body", "start", "end", "other").withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1))

@@ -163,3 +163,22 @@ def test_planted_passages_over_many_ranges(spark):
     # Words before a passage that two of its forty holders share by chance may be missed, nothing else.
     assert set(got) == set(want) and all(got[d] <= want[d] and len(want[d] - got[d]) <= 2 for d in want)
     assert not any(d >= 1000 for d in got)
+
+
+def test_a_passage_that_ends_in_a_frequent_phrase(spark):
+    rnd = __import__("random").Random(12)
+    phrase = passage(rnd, 30, 5000)
+    rows = [(1000 + i, f"{passage(rnd, 30, 5000)} {phrase} {passage(rnd, 60, 5000)}", "en", "s", 0) for i in range(300)]
+    for i in range(20):
+        own = passage(rnd, 20, 5000)
+        rows += [(2 * i + k, f"{passage(rnd, 30, 5000)} {own} {phrase} {passage(rnd, 60, 5000)}", "en", "s", 0) for k in range(2)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = suffix_dedup.repeats(table(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = defaultdict(set)
+    for r in found:
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+        assert r["other_doc_id"] == r["doc_id"] ^ 1
+    assert dict(got) == dict(plain_cover(rows)) and set(got) == set(range(40))
