@@ -305,6 +305,11 @@ def _link_clusters(members: DataFrame, num: int, den: int) -> DataFrame:
 
 def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links of Jaccard >= num / den reach. body: a hash of the text."""
+    return _linked(docs, doc, text, width, num, den).drop("root")
+
+
+def _linked(docs: DataFrame, doc: str, text: str, width: int, num: int, den: int) -> DataFrame:
+    """link's columns and root, the component's least node, which tells components apart whatever the ids are."""
     own = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("body"), F.col(text).cast("string").alias("text"))
     heads = cut(_heads(own, width, num, den))
     some = heads.where("n > 0")
@@ -316,17 +321,17 @@ def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int =
     members = wanted.join(sets, "node").select("cluster", "node", "n", "members").dropDuplicates(["node"])
     roots = _link_clusters(members, num, den)
     least = ids.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("component_id"))
-    placed = ids.select("node").join(roots, "node", "left").select(F.col("node").alias("k"), F.coalesce("root", "node").alias("root")).join(least, "root").select("k", "component_id")
-    return heads.join(placed, F.col("node") == F.col("k"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "body")
+    placed = ids.select("node").join(roots, "node", "left").select(F.col("node").alias("k"), F.coalesce("root", "node").alias("root")).join(least, "root").select("k", "root", "component_id")
+    return heads.join(placed, F.col("node") == F.col("k"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "body", "root")
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without all but one document of each component: that of the smallest id stays, of the smallest hash among texts of that id.
+    """docs without all but one document of each component: that of the smallest id stays (a null id is the last), of the smallest hash among texts of that id.
 
     Documents without words stay, each row of them; of other rows alike in id and text, one stays."""
-    found = cut(link(docs, doc, text, width, num, den))
+    found = cut(_linked(docs, doc, text, width, num, den))
     empty = found.where("n_shingles = 0").select("doc_id", "body").distinct()
-    first = found.where("n_shingles > 0 AND doc_id <=> component_id").groupBy("doc_id").agg(F.min("body").alias("body"))
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("x")).select("x.doc_id", "x.body")
     chosen = empty.select("*", F.lit(True).alias("__all")).union(first.select("*", F.lit(False).alias("__all"))).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), "__all")
     met = docs.join(chosen, docs[doc].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text].cast("string")) == F.col("__body")))
     each = Window.partitionBy("__id", "__body").orderBy(F.lit(0))

@@ -109,6 +109,14 @@ def test_keep_one(spark):
     assert got[3] == 1 and 4 not in got and got[12] == 0 and got[11] == 1 and got[0] == got[1] == got[2] == 1
 
 
+def test_keep_one_keeps_a_row_of_every_component(spark):
+    rnd = __import__("random").Random(21)
+    texts = [passage(rnd, 40, 5000) for _ in range(5)]
+    rows = [(i, t, "en", "s", 0) for i, t in zip((None, None, 7, 7, None, 9), [*texts, texts[4]], strict=True)]
+    got = rows_of(signature_join.keep_one(table(spark, rows)).select("doc_id", "text"))
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4])], key=repr)
+
+
 def test_empty_tables(spark):
     assert signature_join.link(table(spark, [])).count() == 0
     assert signature_join.keep_one(table(spark, [])).count() == 0
