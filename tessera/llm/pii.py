@@ -2,9 +2,9 @@
 
 Generators of high recall propose overlapping spans (digit groups, dotted numbers, local parts with @,
 long random-looking strings); each has features of its format and its context; gradient-boosted trees,
-trained on a bounded sample of the corpus' own candidates, score them. Their labels come from the
+trained on a bounded sample of each kind of the corpus' own candidates, score them. Their labels come from the
 patterns' validity rules (Luhn, octets, digit counts, a naming word before a secret). Per kind, the
-threshold is the lowest at which the held-out part of the sample keeps the wanted precision. Base spans
+threshold is the lowest at which all candidates of the corpus keep the wanted precision. Base spans
 always stay; selected candidates are added where they overlap none.
 
 Nulls: a null text is an empty one, without spans; ids and repeated rows are passed through. Columns
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash_sample
+from .common import cut
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Candidates that the trees are trained and calibrated on, at most.
+#: Candidates that the trees are trained on, at most; every kind has an equal part of it.
 SAMPLE = 20_000
 TREES, DEPTH, PRECISION = 10, 3, 0.98
 
@@ -163,30 +163,50 @@ def _tree(node) -> tuple:
     return (split.featureIndex(), split.threshold(), _tree(node.leftChild()), _tree(node.rightChild()))
 
 
+def _counts(flat: DataFrame, model: Model) -> dict[int, list[tuple[float, int, int]]]:
+    """Per kind, (score, right, all) of all candidates, best scores first. Trees have few distinct scores."""
+    held = flat.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, float], list[int]] = {}
+        for b in batches:
+            for f in b.column(0).to_pylist():
+                at = found.setdefault((int(f[0]), float(held.value.score(f))), [0, 0])
+                at[0] += _label(f)
+                at[1] += 1
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([p for _, p in found], pa.float64()), pa.array([x for x, _ in found.values()], pa.int64()), pa.array([n for _, n in found.values()], pa.int64())], names=["kind", "score", "good", "n"])
+
+    summed = flat.select("features").mapInArrow(run, "kind int, score double, good long, n long").groupBy("kind", "score").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+    out: dict[int, list[tuple[float, int, int]]] = {}
+    for x in sorted(summed.collect(), key=lambda x: -x["score"]):
+        out.setdefault(x["kind"], []).append((x["score"], x["good"], x["n"]))
+    return out
+
+
 def train(proposed: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Model:
-    """Fit on about `sample` candidates, an even share by their hash; a fifth of them calibrates. proposed is read twice."""
+    """Fit on about `sample` candidates, an equal part of each kind, drawn by hash; all candidates calibrate. proposed is read three times."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
     spark = proposed.sparkSession
-    n = proposed.agg(F.sum(F.size("found"))).first()[0] or 0
     flat = proposed.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
-    drawn = hash_sample(flat, n, sample, "doc_id", "start", "kind", "end").select("h", "features").collect()
-    rows = sorted((r["h"], [float(v) for v in r["features"]]) for r in drawn)[:sample]
-    labelled = [(h, f, float(_label(f))) for h, f in rows]
-    fit, held = [x for x in labelled if x[0] % 5], [x for x in labelled if x[0] % 5 == 0]
-    if len({y for _, _, y in fit}) < 2 or not held:
+    most = sample // len(KINDS)
+    share = {x["kind"]: min(1.0, 0.95 * most / x["count"]) if x["count"] > most else 1.0 for x in flat.groupBy("kind").count().collect()}
+    limit = F.lit(0).cast("long")
+    for kind, x in share.items():
+        limit = F.when(F.col("kind") == kind, F.lit(int(x * 2**53))).otherwise(limit)
+    drawn = flat.withColumn("h", F.xxhash64("doc_id", "start", "kind", "end")).where(F.shiftrightunsigned("h", 11) < limit).select("h", "features").collect()
+    fit = [(f, float(_label(f))) for _, f in sorted((r["h"], [float(v) for v in r["features"]]) for r in drawn)]
+    if len({y for _, y in fit}) < 2:
         return Model([], [None] * len(KINDS))
-    data = spark.createDataFrame([(f, y) for _, f, y in fit], "f array<double>, label double").coalesce(2)
+    data = spark.createDataFrame(fit, "f array<double>, label double").coalesce(2)
     made = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.4, seed=7).fit(data.select(array_to_vector("f").alias("features"), "label"))
     model = Model([(w, _tree(t._call_java("rootNode"))) for w, t in zip(made.treeWeights, made.trees, strict=True)], [None] * len(KINDS))
-    for kind in range(len(KINDS)):
-        scored = sorted(((model.score(f), y) for _, f, y in held if f[0] == kind), reverse=True)
-        right = 0.0
-        for i, (p, y) in enumerate(scored, 1):
-            right += y
-            last = i == len(scored) or scored[i][0] < p
-            if last and right / i >= precision and p > 0.5:
+    for kind, scores in _counts(flat, model).items():
+        right = every = 0
+        for p, good, n in scores:
+            right, every = right + good, every + n
+            if right / every >= precision and p > 0.5:
                 model.thresholds[kind] = p
     return model
 

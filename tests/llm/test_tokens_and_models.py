@@ -169,6 +169,17 @@ def test_trained_spans_find_secrets_and_leave_prose_alone(spark):
     assert all("192.168.1." not in r["text"] for r in cleaned if r["doc_id"] % 300 <= 255 and r["doc_id"] % 3)
 
 
+def test_a_rare_kind_has_a_threshold_beside_a_frequent_one(spark):
+    rnd = random.Random(6)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    hexes = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
+    rows = [(i, " and ".join(digits(rnd.choice((15, 16, 17))) for _ in range(20)), "en", "s", 0) for i in range(300)]
+    rows += [(1000 + i, f'token = "{hexes()}"', "en", "s", 0) for i in range(6)]
+    model = pii.train(pii.propose(table(spark, rows)), sample=200)
+    assert model.thresholds[4] is not None
+    assert all(any(k == 4 for _, k, _ in model.select([], pii.candidates(t))) for i, t, *_ in rows if i >= 1000)
+
+
 def test_lattice_sums_over_all_segmentations():
     pieces, p = ["▁", "a", "b", "ab", "▁a", "ba", "<0xC3>", "<0xA9>"], [0.1, 0.2, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05]
     lattice = lattice_lm.Lattice(pieces, [math.log(x) for x in p])
