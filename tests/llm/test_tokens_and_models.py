@@ -180,6 +180,11 @@ def test_a_rare_kind_has_a_threshold_beside_a_frequent_one(spark):
     assert all(any(k == 4 for _, k, _ in model.select([], pii.candidates(t))) for i, t, *_ in rows if i >= 1000)
 
 
+def test_long_secrets_and_local_parts_are_proposed_whole():
+    for kind, text in ((4, "a1" * 400), (0, "b" * 90 + "@example.com"), (0, "a@" + "c" * 200 + ".org"), (0, "1" * 5000 + ".1.2@3.4")):
+        assert (0, kind, len(text)) in [x[:3] for x in pii.candidates(text)]
+
+
 def test_lattice_sums_over_all_segmentations():
     pieces, p = ["▁", "a", "b", "ab", "▁a", "ba", "<0xC3>", "<0xA9>"], [0.1, 0.2, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05]
     lattice = lattice_lm.Lattice(pieces, [math.log(x) for x in p])
