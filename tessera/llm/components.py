@@ -21,7 +21,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     if not small:
         return met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     made = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-    return made.where("u <> v").distinct()
+    # Dealt anew: as the join left them, a star's edges lie with its centre.
+    return made.where("u <> v").repartition("u", "v").distinct()
 
 
 def _are_stars(edges: DataFrame) -> bool:

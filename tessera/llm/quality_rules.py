@@ -6,9 +6,6 @@ Exact copies count as one document: a text that was copied a thousand times brin
 thousand documents, and copies are for the near-duplicate operators to deal with. The lines of a block
 are counted each for itself, whatever stands beside them, so that a block goes whole.
 
-SQL below states an earlier, narrower rule, which also asked for different lines around a line: it keeps
-the inner lines of a block. Where lines above the limit stand in as many surroundings, the two agree.
-
 Nulls: a null text is an empty one (no words, base_failed); a null host is a host of its own; a null
 id stays null. Repeated rows are judged one by one and count as one document if their ids agree.
 Columns beyond the id, the text and the host are ignored; an empty table gives an empty table.
@@ -123,10 +120,14 @@ def quality_rules(docs: DataFrame, doc: str = "doc_id", text: str = "text", host
 
 def keep_good(docs: DataFrame, doc: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """The rows of docs, as they are, whose verdict is kept. Rows are matched by id, text and host, so that ids may repeat."""
-    own = docs.select(F.struct(F.col(doc).alias("id"), F.xxhash64(text).alias("body"), F.col(host).cast("string").alias("host")).alias("doc_id"), F.col(text).alias("text"), F.col(host).alias("source"))
-    good = quality_rules(own).where("kept").select(F.col("doc_id.id").alias("__id"), F.col("doc_id.body").alias("__body"), F.col("doc_id.host").alias("__host"))
-    on = docs[doc].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__body")) & docs[host].cast("string").eqNullSafe(F.col("__host"))
-    return docs.join(good, on, "left_semi")
+    # The user's columns go by number here, so that none can clash.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    doc_id, body, of = (F.col(names[docs.columns.index(c)]) for c in (doc, text, host))
+    key = F.struct(doc_id.alias("id"), F.xxhash64(body).alias("body"), of.cast("string").alias("host"))
+    good = quality_rules(rows.select(key.alias("doc_id"), body.alias("text"), of.alias("source"))).where("kept").select(*(F.col(f"doc_id.{c}").alias(f"good_{c}") for c in ("id", "body", "host")))
+    on = doc_id.eqNullSafe(F.col("good_id")) & (F.xxhash64(body) == F.col("good_body")) & of.cast("string").eqNullSafe(F.col("good_host"))
+    return rows.join(good, on, "left_semi").toDF(*docs.columns)
 
 
 SQL = r"""
@@ -135,13 +136,12 @@ t AS (SELECT *, list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lam
 w AS (SELECT row_id, i, list_slice(words, i, i + 7) AS win FROM t, unnest(range(1, greatest(len(words) - 6, 1))) AS u(i)),
 m AS (SELECT row_id, unnest(range(i, i + 8)) AS p FROM (SELECT row_id, i, count(*) OVER (PARTITION BY row_id, win) AS c FROM w) WHERE c > 1),
 r AS (SELECT row_id, count(DISTINCT p) AS n FROM m GROUP BY row_id),
-l AS (SELECT row_id, doc_id, host, generate_subscripts(norm, 1) AS i, unnest(norm) AS x, norm FROM (
-      SELECT row_id, doc_id, host, list_transform(lines, lambda x: lower(regexp_replace(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''))) AS norm FROM t)),
-a AS (SELECT row_id, doc_id, host, x, len(regexp_split_to_array(x, '[\x20\x09-\x0D]+')) AS n, coalesce(norm[i - 1], '#none') || chr(10) || coalesce(norm[i + 1], '#none') AS around FROM l WHERE x <> ''),
-o AS (SELECT host, x, doc_id, min(around) AS around FROM a GROUP BY ALL),
-f AS (SELECT host, x, count(*) AS n_docs, count(DISTINCT around) AS n_around FROM o GROUP BY ALL),
+l AS (SELECT row_id, doc_id, host, body, unnest(list_transform(lines, lambda x: lower(regexp_replace(regexp_replace(x, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', '')))) AS x FROM t),
+a AS (SELECT row_id, doc_id, host, body, x, len(regexp_split_to_array(x, '[\x20\x09-\x0D]+')) AS n FROM l WHERE x <> ''),
+o AS (SELECT host, x, doc_id, min(body) AS body FROM a GROUP BY ALL),
+f AS (SELECT host, x, count(DISTINCT body) AS n_docs FROM o GROUP BY ALL),
 h AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
-z AS (SELECT f.host, f.x FROM f JOIN h ON f.host IS NOT DISTINCT FROM h.host WHERE n_docs > greatest(20, host_docs * 0.002) AND n_around > greatest(20, host_docs * 0.002)),
+z AS (SELECT f.host, f.x FROM f JOIN h ON f.host IS NOT DISTINCT FROM h.host WHERE n_docs > greatest(20, host_docs * 0.002)),
 g AS (SELECT row_id, sum(n) AS words, count(*) AS lines FROM a JOIN z ON a.host IS NOT DISTINCT FROM z.host AND a.x = z.x GROUP BY row_id),
 b AS (SELECT t.doc_id, t.row_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(body, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
       CAST(length(regexp_replace(body, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,

@@ -1,18 +1,22 @@
 """Jaccard self-join of word-shingle sets by signature trees; links are reported as components.
 
-1. Equal sets become one node. A set of s shingles is cut into parts by hash, one part more than two
-   linked sets of its size class can differ in, so that linked sets agree in a whole part. Nodes that
-   agree in a part are put into one cluster (stars over the sorted part keys, then components).
-2. A cluster's nodes are dealt over blocks of like size. A block is a signature tree: its nodes hold
-   OR-combined bitmaps of shingles and the range of set sizes. Block pairs, then tree node pairs, are
-   dropped if the largest overlap that bitmaps and sizes allow is too small; what is left is compared
-   exactly, unless already known to hang together. Large clusters go in rounds: within blocks, between
-   neighbouring blocks, and then between those that are not yet one component.
-No link between different sets is lost; no step forms all pairs of a group of copies.
+1. Equal sets become one node. A set of s shingles is cut into parts by hash, more than two linked sets
+   of its size class can differ in, so that linked sets agree in a whole part. Nodes that agree in a
+   part are put into one cluster: each task joins the nodes of a key that it has itself into a star and
+   passes on one node a key, so that a key of any number of nodes arrives as one row a task.
+2. A cluster's nodes are dealt over blocks of like size, bounded in sets and in shingles. A block is a
+   signature tree: its nodes hold OR-combined bitmaps of shingles and the range of set sizes. Block
+   pairs, then tree node pairs, are dropped if the largest overlap that bitmaps and sizes allow is too
+   small; what is left is compared exactly, unless already known to hang together. Large clusters go in
+   rounds: within blocks, between neighbouring blocks, and then between those that are not yet one component.
+No link between different sets is lost; no step forms all pairs of a group of copies. Where texts have to
+move, they move compressed.
 
 Nulls: a null or wordless text has an empty set and is linked with nothing. A null id gives a null
 component unless linked rows have ids. Rows are the nodes: of repeated ids, each row is judged by its
-own text. Columns beyond the id and the text are ignored.
+own text. Very long texts make large sets, of which a block holds fewer. Columns beyond the id and the
+text are ignored by link() and kept by keep_one(), whatever their names are. An empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import shingles
@@ -32,9 +38,11 @@ from .components import components
 
 #: Sizes of a class lie within this factor of each other.
 CLASS_RATIO = 1.4
-#: Nodes of a block: with 20,000 shingles each, 80 MB.
-BLOCK = 512
+#: Sets, and shingles, of a block at most (a single larger set is a block).
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 LEAF, FANOUT, SEEDS = 16, 4, 3
+#: Part keys that a task gathers before it joins and passes them on; nodes that it remembers having met.
+TASK_KEYS, TASK_NODES = 1_000_000, 500_000
 
 
 class Parts:
@@ -60,44 +68,62 @@ class Parts:
         return found
 
     def keys(self, members: np.ndarray) -> np.ndarray:
+        """Of n parts, linked sets agree in n - differ at least: in a filled one, if one of them has fewer empty parts.
+
+        A set with more empty parts is dealt out again under another seed, beside; under the last one,
+        empty parts count as parts. Either both sets ask that far, or the one that stops has found enough."""
         out = []
         for c in self.classes(len(members)) if len(members) else ():
-            n = self.differ(self.bounds[c + 1] - 1) + 1 if c + 1 < len(self.bounds) else 0
-            if n < 2:  # linked sets of this class are equal
+            most = self.differ(self.bounds[c + 1] - 1) if c + 1 < len(self.bounds) else 0
+            if not most:  # linked sets of this class are equal
                 continue
+            n = most + most // 16 + int(most**0.5) // 2 + 1
             for seed in range(SEEDS):
                 h = shingles.mix(members + np.uint64(seed * 7919 + 1))
                 part = ((h >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 filled, start = np.unique(part[order], return_index=True)
                 total = np.add.reduceat(members[order], start)
-                empty = len(filled) < n
-                if empty and seed == SEEDS - 1:
+                few = n - len(filled) < n - most
+                if not few and seed == SEEDS - 1:
                     every = np.zeros(n, np.uint64)
                     every[filled] = total
                     filled, total = np.arange(n), every
                 label = np.uint64(c * SEEDS + seed + 1) * np.uint64(1 << 32) + filled.astype(np.uint64)
                 out.append(shingles.mix(shingles.mix(label) + total))
-                if not empty:  # else sets may agree in the empty part alone: ask another dealing too
+                if few:
                     break
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _heads(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _own(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """doc_id, body and ident, hashes of the text and of the id, and text."""
+    return docs.select(F.col(doc).alias("doc_id"), _body(F.col(text)).alias("body"), _ident(F.col(doc)).alias("ident"), F.col(text).cast("string").alias("text"))
+
+
+def _body(text: Column) -> Column:
+    return F.xxhash64(text.cast("string"))
+
+
+def _ident(doc: Column) -> Column:
+    return F.xxhash64(F.lit(1), doc)
+
+
+def _heads(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, body, ident, n, the set's size, and node, its number."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, parts = shingles.WordHashes(), Parts(num, den)
+        memo = shingles.WordHashes()
         for b in batches:
-            size, node, keys = [], [], []
-            for text in b.column(2):
+            size, node = [], []
+            for text in b.column(3):
                 members = shingles.shingle_set(shingles.word_hashes(text.as_py(), memo), width)
                 size.append(len(members))
                 node.append(_node(members))
-                keys.append(parts.keys(members).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "body", "n", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(size, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "body", "ident", "n", "node"])
 
-    return docs.mapInArrow(run, f"doc_id {doc_type}, body long, n long, node long, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id {doc_type}, body long, ident long, n long, node long")
 
 
 def _node(members: np.ndarray) -> int | None:
@@ -107,42 +133,78 @@ def _node(members: np.ndarray) -> int | None:
     return int(shingles.mix(shingles.mix(members).sum(keepdims=True) + np.uint64(len(members))).view(np.int64)[0])
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over one sorted range of (key, node): an edge from each key's first node to each of its others.
+_KEYED = "key long, u long, v long"
 
-    A key may go on in the next range: the range's first and last (key, first node) come with it."""
-    key = first = None
-    ends: list[tuple[int, int]] = []
 
-    def out(k, u, v) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["edge_key", "u", "v"])
+def _keyed(key: np.ndarray, u: np.ndarray, v: np.ndarray | None) -> pa.RecordBatch:
+    """Rows (key, u): u has the key; with v: an edge, the key of which is of no meaning."""
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(u), pa.nulls(len(u), pa.int64()) if v is None else pa.array(v)], names=["key", "u", "v"])
+
 
+def _part_keys(width: int, num: int, den: int):
+    """Texts to one row a part key and lot of texts, and edges from its node to the others that have the key."""
+
+    def joined(keys: list[np.ndarray], nodes: list[int]) -> Iterator[pa.RecordBatch]:
+        node = np.repeat(np.array(nodes, np.int64), [len(k) for k in keys])
+        key = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        yield _keyed(key[new], node[new], None)
+        first = node[new][np.cumsum(new) - 1]
+        pairs = np.unique(np.stack([first, node], axis=1)[first != node], axis=0)
+        if len(pairs):
+            yield _keyed(shingles.mix(pairs.astype(np.uint64).sum(axis=1)).view(np.int64), pairs[:, 0].copy(), pairs[:, 1].copy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, parts = shingles.WordHashes(), Parts(num, den)
+        met: set[int] = set()
+        keys, nodes, held = [], [], 0
+        for b in batches:
+            for text in b.column(0):
+                members = shingles.shingle_set(shingles.word_hashes(text.as_py(), memo), width)
+                node = _node(members)
+                if node is None or node in met:
+                    continue
+                if len(met) >= TASK_NODES:
+                    met.clear()
+                met.add(node)
+                keys.append(parts.keys(members))
+                nodes.append(node)
+                held += len(keys[-1])
+                if held >= TASK_KEYS:
+                    yield from joined(keys, nodes)
+                    keys, nodes, held = [], [], 0
+        yield from joined(keys, nodes)
+
+    return run
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by (key, u), all of a key in one place: edges from each key's first node to its others."""
+    key = first = None
     for b in batches:
-        if not b.num_rows:
+        rows = pa.Table.from_batches([b])
+        edges = rows.filter(rows["v"].is_valid())
+        yield from edges.select(["u", "v"]).to_batches()
+        rows = rows.filter(rows["v"].is_null())
+        if not rows.num_rows:
             continue
-        k, v = b.column(0).to_numpy(), b.column(1).to_numpy()
+        k, v = rows["key"].to_numpy(), rows["u"].to_numpy()
         new = np.ones(len(k), bool)
         new[1:] = k[1:] != k[:-1]
         new[0] = key is None or key != k[0]
-        of = np.cumsum(new)
-        u = np.concatenate([[first if first is not None else v[0]], v[new]])[of]
+        u = np.concatenate([[first if first is not None else v[0]], v[new]])[np.cumsum(new)]
         pick = u != v
-        yield out([None] * int(pick.sum()), u[pick], v[pick])
-        if not ends:
-            ends.append((int(k[0]), int(v[0])))
+        yield pa.RecordBatch.from_arrays([pa.array(u[pick]), pa.array(v[pick])], names=["u", "v"])
         key, first = int(k[-1]), int(u[-1])
-    if key is not None:
-        ends.append((key, first))
-        yield out([x[0] for x in ends], [x[1] for x in ends], [x[1] for x in ends])
 
 
-def _clusters(nodes: DataFrame) -> DataFrame:
-    """(node, root) for the nodes that share a part key with others. nodes: node, keys."""
-    rows = nodes.select(F.explode("keys").alias("key"), "node")
-    swept = cut(rows.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(_stars, "edge_key long, u long, v long").distinct())
-    # Two rows a range: the nodes with which a key begins in each of the ranges that it spans.
-    seams = swept.where("edge_key IS NOT NULL").groupBy("edge_key").agg(F.min("u").alias("m"), F.collect_set("u").alias("others")).select(F.col("m").alias("u"), F.explode("others").alias("v"))
-    return components(swept.where("edge_key IS NULL").select("u", "v").union(seams))
+def _clusters(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, root) for the nodes that share a part key with others."""
+    keyed = docs.select("text").mapInArrow(_part_keys(width, num, den), _KEYED)
+    return components(keyed.repartition("key").sortWithinPartitions("key", "u").mapInArrow(_stars, "u long, v long"))
 
 
 class Tree:
@@ -249,30 +311,69 @@ def _root(up: dict[int, int], r: int) -> int:
     return r
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, members) for the nodes; nodes: node, doc_id of a row that has its text."""
+def _pack(column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            packed = [None if t is None else pack(t.encode()) for t in b.column(column).to_pylist()]
+            yield b.set_column(column, b.schema.names[column], pa.array(packed, pa.binary()))
+
+    return run
+
+
+def _unpack_text(packed: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed).decode()
+
+
+def _with_type(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, kind if f.name == column else f.dataType) for f in df.schema])
+
+
+def _packed(df: DataFrame, column: str) -> DataFrame:
+    """df with a text column compressed, for a shuffle."""
+    return df.mapInArrow(_pack(df.columns.index(column)), _with_type(df, column, T.BinaryType()))
+
+
+def _unpacked(df: DataFrame, column: str) -> DataFrame:
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(at, column, pa.array([None if x is None else _unpack_text(x) for x in b.column(at).to_pylist()], pa.string()))
+
+    return df.mapInArrow(run, _with_type(df, column, T.StringType()))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """wanted, which names a row of docs by body and ident, with members, the row's set."""
+    columns = [c for c in wanted.columns if c not in ("body", "ident")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = shingles.WordHashes()
         for b in batches:
-            made = [shingles.shingle_set(shingles.word_hashes(t.as_py(), memo), width) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(m) for m in made], pa.int64()), pa.array([m.tobytes() for m in made], pa.binary())], names=["node", "members"])
+            made = [shingles.shingle_set(shingles.word_hashes(_unpack_text(x), memo), width).tobytes() for x in b.column(len(columns)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(made, pa.binary())], names=[*columns, "members"])
 
-    wanted = nodes.select(F.col("doc_id").alias("__id")).distinct()
-    found = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").select("text").mapInArrow(run, "node long, members binary")
-    return found
+    texts = _packed(docs.select(F.col("body").alias("text_body"), F.col("ident").alias("text_ident"), "text").where("text IS NOT NULL"), "text")
+    met = texts.join(wanted, (F.col("text_body") == F.col("body")) & (F.col("text_ident") == F.col("ident")))
+    # Rows alike in id and text are one.
+    once = met.groupBy("text_body", "text_ident").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in columns)).select(*columns, "text")
+    return once.mapInArrow(run, T.StructType([*wanted.select(columns).schema, T.StructField("members", T.BinaryType())]))
+
+
+def _blocks(wanted: DataFrame, num: int, den: int) -> DataFrame:
+    """wanted (cluster, node, n) with small, band and sub: a cluster of a single block is joined as a whole, else bands of sizes make the blocks."""
+    ratio = float(np.log(den / num)) if num < den else 1.0
+    banded = wanted.withColumn("band", F.floor(F.log("n") / ratio).cast("long"))
+    sizes = banded.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("band_sets"), F.sum("n").alias("band_n"))
+    whole = sizes.groupBy("cluster").agg(((F.sum("band_sets") <= BLOCK) & (F.sum("band_n") <= BLOCK_SHINGLES)).alias("small"))
+    subs = F.greatest(F.ceil(F.col("band_sets") / BLOCK), F.ceil(F.col("band_n") / BLOCK_SHINGLES))
+    dealt = banded.join(sizes, ["cluster", "band"]).join(whole, "cluster").withColumn("sub", F.pmod(F.xxhash64("node"), subs))
+    return dealt.select("cluster", "node", "n", "small", *(F.when(F.col("small"), 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("band", "sub")), "body", "ident")
 
 
-def _link_clusters(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, root) of every node with a link. members: cluster, node, n, members."""
-    ratio = float(np.log(den / num))
-    banded = members.withColumn("band", F.floor(F.log("n") / ratio).cast("long"))
-    sizes = banded.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("band_n"))
-    blocked = banded.join(sizes, ["cluster", "band"]).withColumn("sub", F.pmod(F.xxhash64("node"), F.ceil(F.col("band_n") / BLOCK)))
-    # A cluster of a single block is joined as a whole; otherwise bands of sizes make the blocks.
-    whole = sizes.groupBy("cluster").agg(F.sum("band_n").alias("cluster_n"))
-    blocked = cut(blocked.join(whole, "cluster").withColumn("small", F.col("cluster_n") <= BLOCK).select(
-        "cluster", F.when(F.col("small"), 0).otherwise(F.col("band")).alias("band"), F.when(F.col("small"), 0).otherwise(F.col("sub")).alias("sub"), "small", "node", "n", "members"))
+def _link_clusters(blocked: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, root) of every node with a link. blocked, a written table: cluster, node, n, small, band, sub, members."""
     join = _block_links(num, den)
     own = blocked.withColumn("root", F.col("node")).withColumn("side", F.lit(0))
     # Stars within blocks: of clusters of one block these are the components.
@@ -305,24 +406,22 @@ def _link_clusters(members: DataFrame, num: int, den: int) -> DataFrame:
 
 def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links of Jaccard >= num / den reach. body: a hash of the text."""
-    return _linked(docs, doc, text, width, num, den).drop("root")
+    return _linked(docs, doc, text, width, num, den).drop("root", "ident")
 
 
 def _linked(docs: DataFrame, doc: str, text: str, width: int, num: int, den: int) -> DataFrame:
-    """link's columns and root, the component's least node, which tells components apart whatever the ids are."""
-    own = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("body"), F.col(text).cast("string").alias("text"))
-    heads = cut(_heads(own, width, num, den))
+    """link's columns, ident and root, the component's least node, which tells components apart whatever the ids are."""
+    own = _own(docs, doc, text)
+    heads = cut(_heads(own, width))
     some = heads.where("n > 0")
-    nodes = some.groupBy("node").agg(F.min(F.struct("doc_id", "n", "keys")).alias("x")).select("node", "x.doc_id", "x.n", "x.keys")
-    clusters = cut(_clusters(nodes).select("node", F.col("root").alias("cluster")))
-    ids = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("doc_id").alias("least"))
-    wanted = cut(clusters.join(ids, "node"))
-    sets = _sets(own, wanted, width)
-    members = wanted.join(sets, "node").select("cluster", "node", "n", "members").dropDuplicates(["node"])
-    roots = _link_clusters(members, num, den)
-    least = ids.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("component_id"))
-    placed = ids.select("node").join(roots, "node", "left").select(F.col("node").alias("k"), F.coalesce("root", "node").alias("root")).join(least, "root").select("k", "root", "component_id")
-    return heads.join(placed, F.col("node") == F.col("k"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "body", "root")
+    clusters = _clusters(own, width, num, den)
+    nodes = some.groupBy("node").agg(F.min(F.struct("doc_id", "ident", "body")).alias("x"), F.first("n").alias("n")).select(F.col("node").alias("own_node"), "n", F.col("x.doc_id").alias("least"), "x.ident", "x.body")
+    wanted = nodes.join(clusters.withColumnRenamed("root", "cluster"), F.col("own_node") == F.col("node")).select("cluster", "node", "n", "body", "ident")
+    roots = _link_clusters(cut(_sets(own, _blocks(cut(wanted), num, den), width)), num, den)
+    placed = nodes.join(roots, F.col("own_node") == F.col("node"), "left").select("own_node", "least", F.coalesce("root", "own_node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = placed.select("own_node", "root").join(least, "root")
+    return heads.join(placed, F.col("node") == F.col("own_node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "body", "ident", "root")
 
 
 def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -330,9 +429,16 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: in
 
     Documents without words stay, each row of them; of other rows alike in id and text, one stays."""
     found = cut(_linked(docs, doc, text, width, num, den))
-    empty = found.where("n_shingles = 0").select("doc_id", "body").distinct()
-    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body")).alias("x")).select("x.doc_id", "x.body")
-    chosen = empty.select("*", F.lit(True).alias("__all")).union(first.select("*", F.lit(False).alias("__all"))).select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), "__all")
-    met = docs.join(chosen, docs[doc].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text].cast("string")) == F.col("__body")))
-    each = Window.partitionBy("__id", "__body").orderBy(F.lit(0))
-    return met.withColumn("__nth", F.when(F.col("__all"), 1).otherwise(F.row_number().over(each))).where("__nth = 1").select(docs.columns)
+    empty = found.where("n_shingles = 0").select("ident", "body").distinct()
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body", "ident")).alias("x")).select("x.ident", "x.body")
+    chosen = empty.select("*", F.lit(True).alias("every")).union(first.select("*", F.lit(False).alias("every")))
+    # The user's columns go by number here, so that none can clash.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    doc, text = names[docs.columns.index(doc)], names[docs.columns.index(text)]
+    moved = rows.select(*names, _ident(F.col(doc)).alias("row_ident"), _body(F.col(text)).alias("row_body"))
+    moved = _packed(moved, text) if docs.schema[names.index(text)].dataType == T.StringType() else moved
+    met = moved.join(chosen, (F.col("row_ident") == F.col("ident")) & (F.col("row_body") == F.col("body")))
+    each = Window.partitionBy("row_ident", "row_body").orderBy(F.xxhash64(*[c for c in names if c != text]))
+    kept = met.withColumn("nth", F.when(F.col("every"), 1).otherwise(F.row_number().over(each))).where("nth = 1").select(names)
+    return (_unpacked(kept, text) if dict(kept.dtypes)[text] == "binary" else kept).toDF(*docs.columns)
