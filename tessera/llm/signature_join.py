@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +34,7 @@ from pyspark.sql.window import Window
 from . import shingles
 from .common import cut
 from .components import components
+from .packed import packed, unpack_text, unpacked
 
 #: Sizes of a class lie within this factor of each other.
 CLASS_RATIO = 1.4
@@ -311,39 +311,6 @@ def _root(up: dict[int, int], r: int) -> int:
     return r
 
 
-def _pack(column: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
-            packed = [None if t is None else pack(t.encode()) for t in b.column(column).to_pylist()]
-            yield b.set_column(column, b.schema.names[column], pa.array(packed, pa.binary()))
-
-    return run
-
-
-def _unpack_text(packed: bytes) -> str:
-    return zstandard.ZstdDecompressor().decompress(packed).decode()
-
-
-def _with_type(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, kind if f.name == column else f.dataType) for f in df.schema])
-
-
-def _packed(df: DataFrame, column: str) -> DataFrame:
-    """df with a text column compressed, for a shuffle."""
-    return df.mapInArrow(_pack(df.columns.index(column)), _with_type(df, column, T.BinaryType()))
-
-
-def _unpacked(df: DataFrame, column: str) -> DataFrame:
-    at = df.columns.index(column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b.set_column(at, column, pa.array([None if x is None else _unpack_text(x) for x in b.column(at).to_pylist()], pa.string()))
-
-    return df.mapInArrow(run, _with_type(df, column, T.StringType()))
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """wanted, which names a row of docs by body and ident, with members, the row's set."""
     columns = [c for c in wanted.columns if c not in ("body", "ident")]
@@ -351,10 +318,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = shingles.WordHashes()
         for b in batches:
-            made = [shingles.shingle_set(shingles.word_hashes(_unpack_text(x), memo), width).tobytes() for x in b.column(len(columns)).to_pylist()]
+            made = [shingles.shingle_set(shingles.word_hashes(unpack_text(x), memo), width).tobytes() for x in b.column(len(columns)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(made, pa.binary())], names=[*columns, "members"])
 
-    texts = _packed(docs.select(F.col("body").alias("text_body"), F.col("ident").alias("text_ident"), "text").where("text IS NOT NULL"), "text")
+    texts = packed(docs.select(F.col("body").alias("text_body"), F.col("ident").alias("text_ident"), "text").where("text IS NOT NULL"), "text")
     met = texts.join(wanted, (F.col("text_body") == F.col("body")) & (F.col("text_ident") == F.col("ident")))
     # Rows alike in id and text are one.
     once = met.groupBy("text_body", "text_ident").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in columns)).select(*columns, "text")
@@ -437,8 +404,8 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: in
     rows = docs.toDF(*names)
     doc, text = names[docs.columns.index(doc)], names[docs.columns.index(text)]
     moved = rows.select(*names, _ident(F.col(doc)).alias("row_ident"), _body(F.col(text)).alias("row_body"))
-    moved = _packed(moved, text) if docs.schema[names.index(text)].dataType == T.StringType() else moved
+    moved = packed(moved, text) if docs.schema[names.index(text)].dataType == T.StringType() else moved
     met = moved.join(chosen, (F.col("row_ident") == F.col("ident")) & (F.col("row_body") == F.col("body")))
     each = Window.partitionBy("row_ident", "row_body").orderBy(F.xxhash64(*[c for c in names if c != text]))
     kept = met.withColumn("nth", F.when(F.col("every"), 1).otherwise(F.row_number().over(each))).where("nth = 1").select(names)
-    return (_unpacked(kept, text) if dict(kept.dtypes)[text] == "binary" else kept).toDF(*docs.columns)
+    return (unpacked(kept, text) if dict(kept.dtypes)[text] == "binary" else kept).toDF(*docs.columns)

@@ -3,18 +3,22 @@
 Of all suffixes of a text, those are kept that begin at a minimiser: the least hash of eight words among
 43 neighbours. Two texts that share 50 words share the 43 hashes in them, and so keep the same suffix.
 Suffixes whose first eight words stand nowhere else are dropped; the others get their words to the left
-and right from the text again, are sorted by what follows, and each is compared with its neighbours,
-extending matches both ways. Matches of at least min_words are reported, overlapping ones as one span.
+and right from the text again, are sorted by what follows, then by what precedes, and each is compared
+with its neighbours, extending matches both ways. Matches of at least min_words are reported,
+overlapping ones as one span.
 
 Two texts may agree in min_words around a place and yet stand far apart, if more than NEAR others agree
-with what follows it. So each run of min_words whose part from its minimiser on agrees with a suffix's
-NEAR-th neighbour is hashed as a whole too; those hashes are sorted, and runs that stand twice are reported.
+with what follows it. So where a run of suffixes that agree in what follows is longer than NEAR, each
+window of min_words around them that the neighbours do not account for is hashed as a whole, and with
+them one of each that they do; the hashes are sorted, and windows that stand twice are reported. Thereby
+the spans are whole: every word of every window of min_words that stands twice lies in one.
 
 A range of the sorted order needs no more than its own rows; what lies at the seams of two ranges is
 compared apart, a few rows per range. A passage of any number of documents spreads over many ranges.
 
 Nulls: a null text has no words; a null id is an id. Of repeated rows, each reports the other (with its
-own id as other_doc_id). Columns beyond the id and the text are ignored.
+own id as other_doc_id). Very long texts have more suffixes, no longer ones. Columns beyond the id and
+the text are ignored, whatever their names are; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,11 +33,15 @@ from pyspark.sql.window import Window
 
 from . import shingles
 from .common import cut
+from .packed import packed as packed_texts
+from .packed import unpack_text
 
 GRAM = 8
-#: Neighbours on either side that a suffix is compared with.
-NEAR = 8
+#: Neighbours on either side that a suffix is compared with; windows are hashed beyond them.
+NEAR = 4
 PACKED = 20
+#: A null id among numbers.
+NULL = -(2**63)
 
 
 def minimisers(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,7 +103,7 @@ def contexts(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
         for b in batches:
             ahead, behind, row, packed = [], [], [], []
             for i, (text, places) in enumerate(zip(b.column(2), b.column(3), strict=True)):
-                words = np.maximum((shingles.word_hashes(text.as_py(), memo) >> np.uint64(32)).astype("u4"), 1)
+                words = np.maximum((shingles.word_hashes(unpack_text(text.as_py()), memo) >> np.uint64(32)).astype("u4"), 1)
                 padded = np.concatenate([np.zeros(width, "u4"), words, np.zeros(width, "u4")])
                 back = padded[::-1]
                 for place in places.as_py():
@@ -116,7 +124,8 @@ def contexts(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ahead, pa.binary()), pa.array(behind, pa.binary()), b.column(0).take(rows), b.column(1).take(rows), *ints], names=["ahead", "behind", "doc_id", "body", "pos", "most", "least"])
 
     listed = places.groupBy(F.col("doc_id").alias("d"), F.col("body").alias("t")).agg(F.collect_set("pos").alias("places"))
-    met = docs.join(listed, docs["doc_id"].eqNullSafe(F.col("d")) & (docs["body"] == F.col("t")))
+    texts = packed_texts(docs.where("text IS NOT NULL"), "text")
+    met = texts.join(listed, texts["doc_id"].eqNullSafe(F.col("d")) & (texts["body"] == F.col("t")))
     return met.select("doc_id", "body", "text", "places").mapInArrow(run, "ahead binary, behind binary, doc_id long, body long, pos int, most int, least int")
 
 
@@ -155,45 +164,59 @@ def _reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _extend(min_words: int):
+    """Over one sorted range of suffixes: what the neighbours share, windows to be looked up, rows at the seams."""
     width = min_words
+    names = ["ahead", "behind", "doc_id", "body", "pos", "most", "least"]
+
+    def seam(rows: pa.Table) -> list[pa.RecordBatch]:
+        return [_found_rows(**{c: b.column(c) for c in names}) for b in rows.to_batches()]
+
+    def matrix(rows: pa.Table, column: str) -> np.ndarray:
+        return np.frombuffer(b"".join(rows[column].to_pylist()), "u4").reshape(rows.num_rows, width)
+
+    def settled(rows: pa.Table, left: np.ndarray, right: np.ndarray, other: np.ndarray, run: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of rows that have met all their neighbours: their spans, and the windows that others may hold.
+
+        left, right: the words that some neighbour shares, if at least width in all; run: those ahead that the NEAR-th has too."""
+        rows = rows.combine_chunks()
+        doc, body = (rows[c].combine_chunks() if rows.num_rows else pa.array([], pa.int64()) for c in ("doc_id", "body"))
+        pos = rows["pos"].to_numpy().astype("i8")
+        pick = np.flatnonzero(left + right >= width)
+        at = pa.array(pick)
+        yield _found_rows(doc_id=doc.take(at), body=body.take(at), start=(pos[pick] - left[pick]).astype("i4"), end=(pos[pick] + right[pick]).astype("i4"), other=pa.array(other[pick], mask=other[pick] == NULL))
+        most, least = (rows[c].to_numpy().astype("i8") for c in ("most", "least"))
+        least = np.maximum(least, width - run)
+        for pick in np.array_split(np.flatnonzero(most >= least), max(1, len(most) // 4096)):
+            if not len(pick):
+                continue
+            some = rows.take(pa.array(pick))
+            n = (most - least)[pick] + 1
+            row = np.repeat(np.arange(len(pick)), n)
+            back = least[pick][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            key, check = _window_hashes(matrix(some, "ahead"), matrix(some, "behind"), row, back)
+            known = (back <= left[pick][row]) & (width - back <= right[pick][row])
+            # Of a window that the neighbours account for, one is enough for others to be found by.
+            once = np.zeros(len(key), bool)
+            once[np.unique(key, return_index=True)[1]] = True
+            go = ~known | once
+            row, back, key, check = row[go], back[go], key[go], check[go]
+            of = pa.array(pick[row])
+            yield _found_rows(doc_id=doc.take(of), body=body.take(of), start=(pos[pick][row] - back).astype("i4"), key=key.view("i8"), check=(check >> np.uint64(32)).astype("u4").view("i4"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, begun, held_shared = None, False, np.empty(0, "i8")
-        names = ["ahead", "behind", "doc_id", "body", "pos", "most", "least"]
-
-        def seam(rows: pa.Table) -> list[pa.RecordBatch]:
-            return [_found_rows(**{c: b.column(c) for c in names}) for b in rows.to_batches()]
-
-        def windows(rows: pa.Table, shared: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """The windows of rows that more suffixes may hold than their neighbours; shared: words ahead that the NEAR-th has too."""
-            most, least, pos = (rows[c].to_numpy().astype("i8") for c in ("most", "least", "pos"))
-            least = np.maximum(least, width - shared)
-            for pick in np.array_split(np.flatnonzero(most >= least), max(1, len(most) // 4096)):
-                if not len(pick):
-                    continue
-                some = rows.take(pa.array(pick)).combine_chunks()
-                ahead, behind = (np.frombuffer(b"".join(some[c].to_pylist()), "u4").reshape(len(pick), width) for c in ("ahead", "behind"))
-                n = (most - least)[pick] + 1
-                row = np.repeat(np.arange(len(pick)), n)
-                back = least[pick][row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                key, check = _window_hashes(ahead, behind, row, back)
-                docs, bodies = (some[c].combine_chunks().take(pa.array(row)) for c in ("doc_id", "body"))
-                yield _found_rows(doc_id=docs, body=bodies, start=(pos[pick][row] - back).astype("i4"), key=key.view("i8"), check=(check >> np.uint64(32)).astype("u4").view("i4"))
-
+        held = None
         for b in batches:
             if not b.num_rows:
                 continue
             now = pa.Table.from_batches([b]).select(names)
-            if not begun:
-                begun = True
+            if held is None:
                 yield from seam(now.slice(0, NEAR))
-            old = 0 if held is None else held.num_rows
-            rows = (now if held is None else pa.concat_tables([held, now])).combine_chunks()
+                held, left, right, other, shared = now.slice(0, 0), *(np.zeros(0, "i8"),) * 4
+            old, rows = held.num_rows, pa.concat_tables([held, now]).combine_chunks()
             n = rows.num_rows
-            ahead, behind = (np.frombuffer(b"".join(rows[c].to_pylist()), "u4").reshape(n, width) for c in ("ahead", "behind"))
-            doc, pos = rows["doc_id"], rows["pos"].to_numpy()
-            left, right, other = np.zeros(n, "i4"), np.zeros(n, "i4"), np.full(n, -1)
-            shared = np.concatenate([held_shared, np.zeros(n - old, "i8")])
+            ahead, behind, doc = matrix(rows, "ahead"), matrix(rows, "behind"), rows["doc_id"].fill_null(NULL).to_numpy()
+            left, right, shared = (np.concatenate([x, np.zeros(n - old, "i8")]) for x in (left, right, shared))
+            other = np.concatenate([other, doc[old:]])  # another document comes before one's own
             for d in range(1, NEAR + 1):
                 at = np.arange(max(0, old - d), n - d)
                 if not len(at):
@@ -201,20 +224,16 @@ def _extend(min_words: int):
                 r, l = _reach(ahead[at], ahead[at + d]), _reach(behind[at], behind[at + d])
                 if d == NEAR:
                     shared[at], shared[at + d] = np.maximum(shared[at], r), np.maximum(shared[at + d], r)
-                hit = at[l + r >= min_words]
-                r, l = r[l + r >= min_words], l[l + r >= min_words]
-                for x, y in ((hit, hit + d), (hit + d, hit)):
+                long = l + r >= width
+                at, r, l = at[long], r[long], l[long]
+                for x, y in ((at, at + d), (at + d, at)):
                     left[x], right[x] = np.maximum(left[x], l), np.maximum(right[x], r)
-                    other[x] = y
-            pick = np.flatnonzero(other >= 0)
-            yield _found_rows(
-                doc_id=doc.combine_chunks().take(pa.array(pick)), body=rows["body"].combine_chunks().take(pa.array(pick)), start=(pos[pick] - left[pick]).astype("i4"), end=(pos[pick] + right[pick]).astype("i4"), other=doc.combine_chunks().take(pa.array(other[pick]))
-            )
+                    other[x] = np.where(other[x] == doc[x], doc[y], other[x])
             done = max(0, n - NEAR)
-            yield from windows(rows.slice(0, done), shared[:done])
-            held, held_shared = rows.slice(done), shared[done:]
+            yield from settled(rows.slice(0, done), left[:done], right[:done], other[:done], shared[:done])
+            held, left, right, other, shared = rows.slice(done), left[done:], right[done:], other[done:], shared[done:]
         if held is not None:
-            yield from windows(held, held_shared)
+            yield from settled(held, left, right, other, shared)
             yield from seam(held)
 
     return run
@@ -270,8 +289,8 @@ def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", min_words:
     kept = cut(suffixes(own, min_words))
     order = ["gram", "doc_id", "body", "pos"]
     places = cut(kept.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_repeated, "doc_id long, body long, pos long"))
-    around = contexts(own, places, min_words)
-    order = ["ahead", "doc_id", "body", "pos"]
+    around = cut(contexts(own, places, min_words))
+    order = ["ahead", "behind", "doc_id", "body", "pos"]
     compared = cut(around.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_extend(min_words), _FOUND))
     # A few rows per range, whatever the data.
     seams = compared.where("pos IS NOT NULL").select("ahead", "behind", "doc_id", "body", "pos", "most", "least").distinct().coalesce(1).sortWithinPartitions(*order)
