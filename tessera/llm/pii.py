@@ -1,14 +1,17 @@
 """Personal data: fixed base patterns, and more spans from candidates that boosted trees select.
 
 Generators of high recall propose overlapping spans (digit groups, dotted numbers, local parts with @,
-long random-looking strings); each has features of its format and its context; gradient-boosted trees,
-trained on a bounded sample of each kind of the corpus' own candidates, score them. Their labels come from the
-patterns' validity rules (Luhn, octets, digit counts, a naming word before a secret). Per kind, the
-threshold is the lowest at which all candidates of the corpus keep the wanted precision. Base spans
+long strings with digits, values after a naming word), of any length; each has features of its format and its
+context; gradient-boosted trees score them. They are trained on examples that plants.py makes, right ones
+and look-alikes, set between words of a bounded sample of the corpus' own documents, so that labels come
+from how an example was made and not from its features. A fold of the examples that the trees have not
+seen turns scores into probabilities. Per kind, the threshold is the lowest score from which on all
+candidates of the corpus, each counted with its probability, keep the wanted precision. Base spans
 always stay; selected candidates are added where they overlap none.
 
-Nulls: a null text is an empty one, without spans; ids and repeated rows are passed through. Columns
-beyond the id and the text are ignored by find() and kept by redact().
+Nulls: a null text is an empty one, without spans; ids and repeated rows are passed through. Very long
+texts and candidates are treated whole. Columns beyond the id and the text are ignored by find() and kept
+by redact(), whatever their names are. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,15 +22,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from . import plants
+from .common import SPACE_CLASS, cut, hash_sample
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Candidates that the trees are trained on, at most; every kind has an equal part of it.
-SAMPLE = 20_000
-TREES, DEPTH, PRECISION = 10, 3, 0.98
+#: Examples that trees and probabilities are fitted on; documents, and words of each, that they are set among.
+SAMPLE, HOSTS, HOST_WORDS = 12_000, 300, 400
+TREES, DEPTH, PRECISION = 12, 4, 0.98
 
 # A run of a class is entered at its first character only: a match that began later would have begun there.
 _EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -36,17 +40,22 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-#: High-recall generators, by kind.
+_NAME = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|credential|api[_ -]?key|access[_ -]?key|private[_ -]?key|key|bearer|auth)"
+#: High-recall generators, by kind; the span is the group "x" where there is one.
 _CANDIDATES = (
     (0, re.compile(r"(?<![^\s<>()\"',;])[^\s@<>()\"',;]++@[^\s@<>()\"',;]++")),
-    (1, re.compile(r"(?<![0-9.])[0-9]{1,5}+(?:\.[0-9]{1,5}+){2,4}(?![0-9])")),
-    (2, re.compile(r"(?<![0-9])[0-9](?:[ ./-]?[0-9]){11,20}(?![0-9])")),
-    (3, re.compile(r"(?<![0-9])(?:\+|00)?[(]?[0-9](?:[ ().-]{0,2}[0-9]){7,15}(?![0-9])")),
-    (4, re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+(?![A-Za-z0-9+/_-])")),
+    (1, re.compile(r"(?<![0-9.])[0-9]++(?:\.[0-9]++){2,}+(?![0-9])")),
+    (2, re.compile(r"(?<![0-9])[0-9](?:[ ./-]?[0-9]){11,}+")),
+    (3, re.compile(r"(?<![0-9])(?:\+|00)?[(]?[0-9](?:[ ().-]{0,3}[0-9]){6,}+")),
+    (4, re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+")),
+    (4, re.compile(_NAME + r"[\"']?\s{0,2}(?:[:=]|\s)\s{0,2}[\"']?(?P<x>[^\s\"'<>,;]{6,}+)", re.I)),
 )
-_NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|api[_ -]?key|key|bearer)\W{0,6}$", re.I)
-_CUES = tuple(re.compile(x, re.I) for x in (r"mail|contact|@", r"\bip\b|host|server|addr", r"card|visa|account|iban|credit", r"phone|tel|call|fax|mobile", r"token|secret|pass|key|auth|bearer"))
-FEATURES = ("kind", "length", "digits", "digit_share", "upper_share", "separators", "distinct_share", "luhn", "octets", "hex", "plus", "domain", "named", "cue", "before", "after", "runs", "turns")
+_NAMED = re.compile(_NAME + r"[\"']?\s{0,2}[:=]?\s{0,2}[\"']?$", re.I)
+_CUES = tuple(re.compile(x, re.I) for x in (r"mail|contact|@", r"\bip\b|host|server|addr", r"card|visa|account|iban|credit", r"phone|tel|call|fax|mobile", _NAME))
+_COUNTER_CUES = re.compile(r"commit|sha-?\d*|md5|digest|checksum|version|isbn|order|invoice|serial|uuid|https?://\S*$|[/\\]\S*$|\bv$", re.I)
+#: How public kinds of keys begin.
+_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "SG.", "npm_", "hf_")
+FEATURES = ("kind", "length", "digits", "digit_share", "upper_share", "separators", "distinct", "luhn", "octets", "hex", "plus", "domain", "named", "cue", "before", "after", "runs", "turns", "lower_share", "prefix", "assigned", "counter", "longest_word", "first_group", "groups", "brackets")
 
 
 def luhn(digits: str) -> bool:
@@ -79,46 +88,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
     s, before, after = text[start:end], text[max(0, start - 32) : start], text[end : end + 1]
     digits = re.sub("[^0-9]", "", s)
+    groups = re.findall("[0-9]+", s)
     octets = s.split(".")
-    kinds = [0 if c.isdigit() else 1 if c.isalpha() else 2 for c in s]
+    kinds = [0 if "0" <= c <= "9" else 1 if c.isalpha() else 2 for c in s]
     edge = lambda c: 0.0 if not c or c.isspace() else 1.0 if c.isalnum() else 2.0
+    near = before.rstrip(" \t\"'")
     return [
-        kind, len(s), len(digits), len(digits) / len(s), sum(c.isupper() for c in s) / len(s), kinds.count(2), len(set(s)) / len(s),
+        kind, len(s), len(digits), len(digits) / len(s), sum(c.isupper() for c in s) / len(s), kinds.count(2), len(set(s)),
         float(12 <= len(digits) <= 19 and luhn(digits)), float(len(octets) == 4 and all(o.isdigit() and len(o) < 9 and int(o) <= 255 for o in octets)),
-        float(re.fullmatch("[0-9a-fA-F]+", s) is not None), float(s[0] == "+"), float(re.search(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$", s) is not None),
+        float(re.fullmatch("[0-9a-fA-F]+", s) is not None), float(s[0] == "+" or s[:2] == "00"), float(re.search(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$", s) is not None),
         float(_NAMED.search(before) is not None), float(_CUES[kind].search(before) is not None), edge(before[-1:]), edge(after),
-        len(re.findall("[0-9]+", s)), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / len(s),
+        len(groups), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / len(s), sum(c.islower() for c in s) / len(s),
+        float(s.startswith(_PREFIXES)), float(near[-1:] in ("=", ":")), float(_COUNTER_CUES.search(before) is not None), max(map(len, re.findall("[a-z]+", s)), default=0),
+        len(groups[0]) if groups else 0, len(re.split(r"[ ./-]+", s)), s.count("(") + s.count(")"),
     ]
 
 
-def _label(f: list[float]) -> bool:
-    """The kind's own validity rule, on a candidate's features."""
-    x = dict(zip(FEATURES, f, strict=True))
-    match int(x["kind"]):
-        case 0:
-            return bool(x["domain"])
-        case 1:
-            return bool(x["octets"])
-        case 2:
-            return 14 <= x["digits"] <= 19 and bool(x["luhn"])
-        case 3:
-            return 10 <= x["digits"] <= 15 and bool(x["plus"] or x["cue"])
-        case _:
-            return bool(x["named"]) and x["distinct_share"] < 0.9 and x["digits"] > 0
-
-
 def candidates(text: str) -> list[tuple[int, int, int, list[float]]]:
     """(start, kind, end, features) of every generator's spans."""
-    return [(m.start(), kind, m.end(), features(text, kind, m.start(), m.end())) for kind, pattern in _CANDIDATES for m in pattern.finditer(text)]
+    spans = sorted({(*m.span("x" if "x" in pattern.groupindex else 0), kind) for kind, pattern in _CANDIDATES for m in pattern.finditer(text)})
+    return [(start, kind, end, features(text, kind, start, end)) for start, end, kind in spans]
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
-_FOUND = "array<struct<start:int,kind:int,end:int,features:array<float>>>"
+_FOUND = "array<struct<start:int,kind:int,end:int,features:array<double>>>"
 
 
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
-    wide = pa.struct([*span, pa.field("features", pa.list_(pa.float32()))])
+    wide = pa.struct([*span, pa.field("features", pa.list_(pa.float64()))])
     for b in batches:
         texts = [t or "" for t in b.column(1).to_pylist()]
         base = [[dict(zip(("start", "kind", "end"), x, strict=True)) for x in base_spans(t)] for t in texts]
@@ -163,50 +161,80 @@ def _tree(node) -> tuple:
     return (split.featureIndex(), split.threshold(), _tree(node.leftChild()), _tree(node.rightChild()))
 
 
-def _counts(flat: DataFrame, model: Model) -> dict[int, list[tuple[float, int, int]]]:
-    """Per kind, (score, right, all) of all candidates, best scores first. Trees have few distinct scores."""
+def _fitted(spark: SparkSession, examples: list[tuple[list[float], float]]) -> Model:
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
+
+    data = spark.createDataFrame(examples, "f array<double>, label double").coalesce(2)
+    made = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.4, seed=7).fit(data.select(array_to_vector("f").alias("features"), "label"))
+    return Model([(w, _tree(t._call_java("rootNode"))) for w, t in zip(made.treeWeights, made.trees, strict=True)], [None] * len(KINDS))
+
+
+def rising(scores: list[float], right: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities that rise with the score: steps (least score, share that is right), neighbours that fall being put together."""
+    order = np.argsort(scores, kind="stable")
+    steps: list[list[float]] = []  # least score, right, all
+    for i in order:
+        if steps and steps[-1][0] == scores[i]:
+            steps[-1][1:] = [steps[-1][1] + right[i], steps[-1][2] + 1]
+        else:
+            steps.append([scores[i], right[i], 1])
+        while len(steps) > 1 and steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]:
+            last = steps.pop()
+            steps[-1][1:] = [steps[-1][1] + last[1], steps[-1][2] + last[2]]
+    return np.array([x[0] for x in steps]), np.array([x[1] / x[2] for x in steps])
+
+
+def _counts(flat: DataFrame, model: Model) -> dict[int, list[tuple[float, int]]]:
+    """Per kind, (score, candidates) of the whole corpus, best scores first. Trees have few distinct scores."""
     held = flat.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[int, float], list[int]] = {}
+        found: dict[tuple[int, float], int] = {}
         for b in batches:
             for f in b.column(0).to_pylist():
-                at = found.setdefault((int(f[0]), float(held.value.score(f))), [0, 0])
-                at[0] += _label(f)
-                at[1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([p for _, p in found], pa.float64()), pa.array([x for x, _ in found.values()], pa.int64()), pa.array([n for _, n in found.values()], pa.int64())], names=["kind", "score", "good", "n"])
+                at = int(f[0]), float(held.value.score(f))
+                found[at] = found.get(at, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([p for _, p in found], pa.float64()), pa.array(list(found.values()), pa.int64())], names=["kind", "score", "n"])
 
-    summed = flat.select("features").mapInArrow(run, "kind int, score double, good long, n long").groupBy("kind", "score").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    out: dict[int, list[tuple[float, int, int]]] = {}
+    summed = flat.select("features").mapInArrow(run, "kind int, score double, n long").groupBy("kind", "score").agg(F.sum("n").alias("n"))
+    out: dict[int, list[tuple[float, int]]] = {}
     for x in sorted(summed.collect(), key=lambda x: -x["score"]):
-        out.setdefault(x["kind"], []).append((x["score"], x["good"], x["n"]))
+        out.setdefault(x["kind"], []).append((x["score"], x["n"]))
     return out
 
 
-def train(proposed: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> Model:
-    """Fit on about `sample` candidates, an equal part of each kind, drawn by hash; all candidates calibrate. proposed is read three times."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector
+def hosts(docs: DataFrame, text: str, n: int, most: int = HOSTS) -> list[list[str]]:
+    """Words of about `most` of n documents, an even share by the text's hash; of each, HOST_WORDS at most."""
+    some = hash_sample(docs.select(F.col(text).cast("string").alias("t")).where("t IS NOT NULL"), n, most, "t")
+    rows = some.select("h", F.slice(F.split("t", SPACE_CLASS + "+"), 1, HOST_WORDS).alias("words")).dropDuplicates(["h"]).collect()
+    return [r["words"] for r in sorted(rows, key=lambda r: r["h"])][: 2 * most]
 
-    spark = proposed.sparkSession
-    flat = proposed.select("doc_id", F.explode("found").alias("x")).select("doc_id", "x.*")
-    most = sample // len(KINDS)
-    share = {x["kind"]: min(1.0, 0.95 * most / x["count"]) if x["count"] > most else 1.0 for x in flat.groupBy("kind").count().collect()}
-    limit = F.lit(0).cast("long")
-    for kind, x in share.items():
-        limit = F.when(F.col("kind") == kind, F.lit(int(x * 2**53))).otherwise(limit)
-    drawn = flat.withColumn("h", F.xxhash64("doc_id", "start", "kind", "end")).where(F.shiftrightunsigned("h", 11) < limit).select("h", "features").collect()
-    fit = [(f, float(_label(f))) for _, f in sorted((r["h"], [float(v) for v in r["features"]]) for r in drawn)]
-    if len({y for _, y in fit}) < 2:
-        return Model([], [None] * len(KINDS))
-    data = spark.createDataFrame(fit, "f array<double>, label double").coalesce(2)
-    made = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.4, seed=7).fit(data.select(array_to_vector("f").alias("features"), "label"))
-    model = Model([(w, _tree(t._call_java("rootNode"))) for w, t in zip(made.treeWeights, made.trees, strict=True)], [None] * len(KINDS))
+
+def examples(host_words: list[list[str]], sample: int = SAMPLE) -> list[tuple[list[float], float]]:
+    """(features, label) of planted spans as the generators propose them, kinds and labels in turn."""
+    made = []
+    for before, span, after, kind, right in plants.plant(host_words, sample, len(KINDS)):
+        t = f"{before}{span}{after}"
+        at = len(before), len(before) + len(span)
+        made += [(list(map(float, f)), float(right)) for start, k, end, f in candidates(t) if k == kind and start < at[1] and end > at[0] and (not right or (start, end) == at)]
+    return made
+
+
+def train(proposed: DataFrame, docs: DataFrame, text: str = "text", sample: int = SAMPLE, precision: float = PRECISION) -> Model:
+    """Fit on `sample` planted examples, two thirds for the trees and one for probabilities; thresholds from all candidates."""
+    made = examples(hosts(docs, text, proposed.count()), sample)
+    model = _fitted(proposed.sparkSession, [x for i, x in enumerate(made) if i % 3])
+    flat = proposed.select(F.explode("found").alias("x")).select("x.features")
     for kind, scores in _counts(flat, model).items():
-        right = every = 0
-        for p, good, n in scores:
-            right, every = right + good, every + n
-            if right / every >= precision and p > 0.5:
+        unseen = [(float(model.score(f)), y) for i, (f, y) in enumerate(made) if i % 3 == 0 and int(f[0]) == kind]
+        steps, share = rising([p for p, _ in unseen], [y for _, y in unseen])
+        right = every = 0.0
+        for p, n in scores:
+            at = np.searchsorted(steps, p, "right") - 1
+            chance = float(share[at]) if at >= 0 else 0.0
+            right, every = right + chance * n, every + n
+            if right / every >= precision and chance > 0.5:
                 model.thresholds[kind] = p
     return model
 
@@ -216,13 +244,13 @@ def _text_of(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_added, n_spans."""
     proposed = cut(propose(docs, doc, text))
-    model = docs.sparkSession.sparkContext.broadcast(train(proposed))
+    model = docs.sparkSession.sparkContext.broadcast(train(proposed, docs, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts, digest, spans, added = [[], [], [], []], [], [], []
+            counts, digest, spans, secret, added, total = [[], [], [], []], [], [], [], [], []
             for base, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 own = [(x["start"], x["kind"], x["end"]) for x in base]
                 every = model.value.select(own, [(x["start"], x["kind"], x["end"], x["features"]) for x in found])
@@ -230,18 +258,21 @@ def find(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
                     n.append(sum(x[1] == k for x in own))
                 digest.append(hashlib.sha256(_text_of(own).encode()).hexdigest())
                 spans.append(_text_of(every))
+                secret.append(sum(x[1] == 4 for x in every))
                 added.append(len(every) - len(own))
-            longs = [pa.array(x, pa.int64()) for x in (*counts, added)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *longs[:4], pa.array(digest, pa.string()), pa.array(spans, pa.string()), longs[4]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                total.append(len(every))
+            longs = [pa.array(x, pa.int64()) for x in (*counts, secret, added, total)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *longs[:4], pa.array(digest, pa.string()), pa.array(spans, pa.string()), *longs[4:]], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "n_added", "n_spans"])
 
-    return proposed.mapInArrow(run, f"doc_id {proposed.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return proposed.mapInArrow(run, f"doc_id {proposed.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_added long, n_spans long")
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[{}]") -> DataFrame:
     """docs with every found span replaced by its kind in brackets; null texts stay null.
 
-    Texts are read twice, to train and to redact, and never shuffled."""
-    model = docs.sparkSession.sparkContext.broadcast(train(cut(propose(docs.withColumn("__n", F.xxhash64(text)), "__n", text))))
+    Texts are read three times, to propose, to sample and to redact, and never shuffled."""
+    only = docs.select(F.col(text).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(train(cut(propose(only, "text", "text").drop("doc_id", "base")), only))
     at = docs.columns.index(text)
 
     def clean(t: str | None) -> str | None:
