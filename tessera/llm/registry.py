@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_transducer, lattice_lm, line_dedup, multi_index, packing, pii, quality_rules, signature_join, suffix_dedup, token_rollup
-from .common import new_path, table
+from .common import cut, new_path, table
 
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,20 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rollup = token_rollup.Rollup(spark, new_path(spark))
-    rollup.commit(1, token_rollup.count_tokens(table(spark, sf_dir, "documents")).withColumn("op", F.lit("insert")))
+    """Totals after a table's life in batches: inserted with estimates, revised to counted tokens, exact copies deleted
+    and put back. Two batches come twice. What is left has to be the plain totals of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    rollup, counted = token_rollup.Rollup(spark, new_path(spark)), cut(token_rollup.count_tokens(docs))
+    text = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).where("doc_id IS NOT NULL")
+    first = text.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"))
+    copies = text.join(first, "text_hash").where("doc_id <> first_id").select("doc_id").distinct()
+    copied = cut(counted.join(copies, "doc_id", "left_semi"))
+    rollup.commit(1, token_rollup.estimate_tokens(docs).withColumn("op", F.lit("insert")))
+    for _ in range(2):
+        rollup.commit(2, counted.withColumn("op", F.lit("revise")))
+    for _ in range(2):
+        rollup.commit(3, copied.withColumn("op", F.lit("delete")))
+    rollup.commit(4, copied.withColumn("op", F.lit("insert")))
     return rollup.totals()
 
 

@@ -11,7 +11,10 @@ and delete are turned into the negative of what the ledger holds. Within a batch
 document and version counts (seq, then the remaining columns decide ties). Inserting a document that is
 there revises it; deleting one that is not does nothing.
 
-Nulls: null keys are keys; null counts are zero. Repeated changes are one change.
+Nulls: null keys are keys; null counts are zero. A document without an id is known by its text, source
+and language (body, a hash of them, beside the null id). Repeated changes are one change; of rows of one
+id with several texts, the last one counts, as for any document that changes. Very long texts are counted
+whole. Columns beyond those named are ignored; an empty batch is a batch without deltas.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from pyspark.sql import functions as F
 from . import tokens
 
 KEY = ["source", "lang", "version"]
-_LEDGER = "doc_id long, version string, source string, lang string, tokens long, live boolean, batch long"
+_LEDGER = "doc_id long, body long, version string, source string, lang string, tokens long, live boolean, batch long"
 _DELTA = "source string, lang string, version string, docs long, tokens long, batch long"
 
 
 def count_tokens(docs: DataFrame, version: str = "byte_bpe_50k", ranks_path: str | None = None) -> DataFrame:
-    """docs' doc_id, source, lang with version and tokens, the count of the whole text's ids."""
+    """docs' doc_id, source, lang, body with version and tokens, the count of the whole text's ids."""
     where = ranks_path or tokens.default_path(f"{version}.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,8 +41,18 @@ def count_tokens(docs: DataFrame, version: str = "byte_bpe_50k", ranks_path: str
         for b in batches:
             yield b.drop_columns(["text"]).append_column("tokens", pa.array([len(encode(t or "")) // 4 for t in b.column("text").to_pylist()], pa.int64()))
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, source string, lang string, tokens long").withColumn("version", F.lit(version))
+    return keyed(docs).mapInArrow(run, "doc_id long, source string, lang string, body long, tokens long").withColumn("version", F.lit(version))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, body, by which documents without an id are told apart (0 for others), and text."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return own.select("doc_id", "source", "lang", F.when(F.col("doc_id").isNull(), F.xxhash64("text", "source", "lang")).otherwise(F.lit(0).cast("long")).alias("body"), "text")
+
+
+def estimate_tokens(docs: DataFrame, version: str = "byte_bpe_50k") -> DataFrame:
+    """As count_tokens, by length alone: a token for four characters. For counts that a later batch revises."""
+    return keyed(docs).select("doc_id", "source", "lang", "body", F.ceil(F.coalesce(F.length("text"), F.lit(0)) / 4).cast("long").alias("tokens"), F.lit(version).alias("version"))
 
 
 class Rollup:
@@ -69,29 +82,30 @@ class Rollup:
 
     def ledger(self) -> DataFrame:
         """The live row of each document and version."""
-        newest = self._read("changes", _LEDGER).groupBy("doc_id", "version").agg(F.max_by(F.struct("source", "lang", "tokens", "live"), "batch").alias("x"))
-        return newest.select("doc_id", "version", "x.*").where("live").drop("live")
+        newest = self._read("changes", _LEDGER).groupBy("doc_id", "body", "version").agg(F.max_by(F.struct("source", "lang", "tokens", "live"), "batch").alias("x"))
+        return newest.select("doc_id", "body", "version", "x.*").where("live").drop("live")
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens; keys without documents are left out."""
         return self._read("deltas", _DELTA).groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 OR tokens <> 0")
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
-        """Apply changes (op, doc_id, source, lang, version, tokens, optionally seq) as batch; False if it was there already."""
+        """Apply changes (op, doc_id, source, lang, version, tokens, optionally seq and body) as batch; False if it was there already."""
         if self._exists(f"commits/{int(batch)}"):
             return False
         done = self.batches()
         if done and batch < done[-1]:
             raise ValueError(f"batch {batch} is older than {done[-1]}, which is committed")
         seq = F.col("seq").cast("long") if "seq" in changes.columns else F.lit(0).cast("long")
-        rows = changes.select("op", F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "version", F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")).alias("tokens"), seq.alias("seq"))
-        last = rows.groupBy("doc_id", "version").agg(F.max(F.struct("seq", "op", "source", "lang", "tokens")).alias("x")).select("doc_id", "version", "x.*").drop("seq")
-        last.select("doc_id", "version", "source", "lang", "tokens", (F.col("op") != "delete").alias("live")).write.mode("overwrite").parquet(f"{self.path}/changes/batch={int(batch)}")
+        body = F.col("body").cast("long") if "body" in changes.columns else F.lit(0).cast("long")
+        rows = changes.select("op", F.col("doc_id").cast("long").alias("doc_id"), body.alias("body"), "source", "lang", "version", F.coalesce(F.col("tokens").cast("long"), F.lit(0).cast("long")).alias("tokens"), seq.alias("seq"))
+        last = rows.groupBy("doc_id", "body", "version").agg(F.max(F.struct("seq", "op", "source", "lang", "tokens")).alias("x")).select("doc_id", "body", "version", "x.*").drop("seq")
+        last.select("doc_id", "body", "version", "source", "lang", "tokens", (F.col("op") != "delete").alias("live")).write.mode("overwrite").parquet(f"{self.path}/changes/batch={int(batch)}")
         new = self.spark.read.parquet(f"{self.path}/changes/batch={int(batch)}")
         signed = [new.where("live").select(*KEY, F.lit(1).alias("docs"), "tokens")]
         if done:
             old = self.ledger()
-            touched = old.join(new.select(F.col("doc_id").alias("d"), F.col("version").alias("v")), old["doc_id"].eqNullSafe(F.col("d")) & old["version"].eqNullSafe(F.col("v")), "left_semi")
+            touched = old.join(new.select(F.col("doc_id").alias("d"), F.col("body").alias("b"), F.col("version").alias("v")), old["doc_id"].eqNullSafe(F.col("d")) & (old["body"] == F.col("b")) & old["version"].eqNullSafe(F.col("v")), "left_semi")
             signed.append(touched.select(*KEY, F.lit(-1).alias("docs"), (-F.col("tokens")).alias("tokens")))
         delta = signed[0] if len(signed) == 1 else signed[0].union(signed[1])
         delta.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={int(batch)}")
