@@ -7,7 +7,10 @@ whole counts at a time. The plan has a bounded number of runs (a length, a range
 go); each document finds its place by its rank among the documents of its length, which Spark counts
 from per-bucket counts and ranks within buckets. No task sees all documents of a length.
 
-Nulls: a null text is empty and has just the end id; a null doc_id stays. Repeated rows are packed each.
+Nulls: a null text is empty and has just the end id; a null doc_id stays. Repeated rows are packed each,
+and ties among documents of one length are settled by the row's number. Very long texts are cut into
+pieces whole. Columns beyond the id and the text are ignored, whatever their names are; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,14 +31,14 @@ from .common import cut
 BUCKET_ROWS = 100_000
 
 
-def pieces(docs: DataFrame, doc: str, text: str, ranks_path: str, capacity: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, doc: str, text: str, ranks_path: str, added: tuple, capacity: int, end_id: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): texts of over `capacity` ids are cut, the first piece taking the remainder."""
     end = int(end_id).to_bytes(4, "little")
     doc_type = docs.schema[doc].dataType
     schema = f"doc_id {doc_type.simpleString()}, piece int, start long, length long, ids_crc32 long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.id_bytes(ranks_path)
+        encode = tokens.id_bytes(ranks_path, added)
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(b.column(1)):
@@ -216,8 +219,11 @@ def pack(sized: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(place, ", ".join([*fields, "sequence_id long", "offset long"]))
 
 
-def pack_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", ranks_path: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    made = pieces(docs, doc, text, ranks_path or tokens.default_path("byte_bpe_50k.tiktoken"), capacity, end_id)
+def pack_documents(docs: DataFrame, doc: str = "doc_id", text: str = "text", ranks_path: str | None = None, json_path: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    json_path: the tokenizer whose added tokens count; ranks_path: the same vocabulary as ranks."""
+    added = tokens.added_tokens(json_path or tokens.default_path("byte_bpe_50k.json"))
+    made = pieces(docs, doc, text, ranks_path or tokens.default_path("byte_bpe_50k.tiktoken"), added, capacity, end_id)
     sized = cut(made.withColumn("row_id", F.monotonically_increasing_id()))
     return pack(sized, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -65,12 +66,27 @@ class Chunked:
         return list(map(self.rest.__getitem__, rest[1:]))
 
 
-@lru_cache(1)
-def id_bytes(ranks_path: str):
-    """text -> its ids as little-endian unsigned 32-bit integers; ranks_path holds the same vocabulary as the .json."""
+def added_tokens(json_path: str) -> tuple[tuple[str, int], ...]:
+    """(content, id) of what a tokenizers file adds to its vocabulary: it is one id wherever a text has it."""
+    with open(json_path, encoding="utf-8") as f:
+        return tuple((x["content"], int(x["id"])) for x in json.load(f).get("added_tokens", []))
+
+
+@lru_cache(4)
+def id_bytes(ranks_path: str, added: tuple[tuple[str, int], ...] = ()):
+    """text -> its ids as little-endian unsigned 32-bit integers; ranks_path holds the same vocabulary as the .json.
+
+    added: strings that are one id each, as tokenizers has it, whatever stands around them."""
     import public_tokenizers
     import tiktoken
 
-    encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(ranks_path), special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(ranks_path), special_tokens=dict(added))
+    encode, strings = encoding.encode_ordinary, [x for x, _ in added]
     chunked = Chunked(lambda x: array("I", encode(x)).tobytes())
-    return lambda text: b"".join(chunked(text))
+
+    def run(text: str) -> bytes:
+        if any(x in text for x in strings):
+            return array("I", encoding.encode(text, allowed_special="all")).tobytes()
+        return b"".join(chunked(text))
+
+    return run
