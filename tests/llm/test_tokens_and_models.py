@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe_transducer, lattice_lm, multi_index, packing, pii, token_rollup, tokens
+from tessera.llm import bpe_transducer, lattice_lm, multi_index, packing, pii, registry, token_rollup, tokens
 
 from .fixtures import awkward, rows_of, table, words
 
@@ -51,7 +51,6 @@ def test_packing_is_exact(spark, clashing):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     out = packing.pack_documents(table(spark, clashing=clashing)).collect()
     got = Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out)
     want = Counter()
@@ -175,11 +174,39 @@ def test_a_rare_kind_has_a_threshold_beside_a_frequent_one(spark):
     hexes = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(40))
     rows = [(i, " and ".join(digits(rnd.choice((15, 16, 17))) for _ in range(20)), "en", "s", 0) for i in range(300)]
     rows += [(1000 + i, f'token = "{hexes()}"', "en", "s", 0) for i in range(6)]
-    model = pii.train(pii.propose(table(spark, rows)), sample=200)
+    docs = table(spark, rows)
+    model = pii.train(pii.propose(docs), docs)
     assert model.thresholds[4] is not None
     assert all(any(k == 4 for _, k, _ in model.select([], pii.candidates(t))) for i, t, *_ in rows if i >= 1000)
 
 
+def test_added_spans_are_the_planted_ones(spark):
+    """Formats that the corpus has and the training examples do not come from: each is found whole, look-alikes are left."""
+    rnd = random.Random(8)
+    prose = lambda: " ".join("".join(rnd.choice("aeioulnrst") for _ in range(rnd.randint(2, 9))) for _ in range(30))
+    some = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    upper, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789abcdef"
+    secrets = [lambda: ("", "AKIA" + some(upper, 16)), lambda: ("password=", some(hexes, 18)), lambda: ('token = "', some(hexes, 40)), lambda: ("api_key: ", some(upper.lower() + upper, 320))]
+    clean = [lambda: ("commit ", some(hexes, 40)), lambda: ("order ", "1" + some("0123456789", 12)), lambda: ("", "2021-03-04"), lambda: ("", "heitlichkeitenverbindlich"), lambda: ("the key ", "moment")]
+    rows, want = [], {}
+    for i in range(600):
+        before, span = (secrets[i % 4] if i % 2 else clean[i // 2 % 5])()
+        head = f"{prose()} {before}"
+        rows.append((i, f"{head}{span}{chr(34) if before.endswith(chr(34)) else ''} {prose()}", "en", "s", 0))
+        if i % 2:
+            want[i] = f"secret:{len(head)}:{len(head) + len(span)}"
+    out = {r["doc_id"]: r for r in pii.find(table(spark, rows)).collect()}
+    hit = sum(want[i] in out[i]["spans"].split(",") for i in want)
+    wrong = sum(out[i]["n_added"] > 0 for i in out if i not in want)
+    assert hit >= 0.95 * len(want) and wrong <= 0.02 * len(rows)
+    assert all(r["n_spans"] == len(list(filter(None, r["spans"].split(",")))) for r in out.values())
+
+
+def test_probabilities_rise():
+    at, share = pii.rising([0.1, 0.2, 0.2, 0.3, 0.4, 0.5], [0, 1, 0, 0, 1, 1])
+    assert (np.diff(at) > 0).all() and (np.diff(share) > 0).all() and share[0] == 0 and share[-1] == 1
+
+
 def test_long_secrets_and_local_parts_are_proposed_whole():
     for kind, text in ((4, "a1" * 400), (0, "b" * 90 + "@example.com"), (0, "a@" + "c" * 200 + ".org"), (0, "1" * 5000 + ".1.2@3.4")):
         assert (0, kind, len(text)) in [x[:3] for x in pii.candidates(text)]
@@ -243,6 +270,48 @@ def test_multi_index_recall(spark):
     assert set(got) == set(range(0, 3000, 20)) and hit / (20 * 150) >= 0.9
 
 
+def plain_nearest(vectors, query, top=20):
+    width = max(map(len, vectors.values()))
+    pad = lambda v: np.pad(np.array(v, "f8"), (0, width - len(v)))
+    scored = sorted((-float(pad(v) @ pad(vectors[query])), i) for i, v in vectors.items() if i != query)
+    return [i for _, i in scored[:top]]
+
+
+@pytest.mark.parametrize("sizes", [(1,), (2, 5), (1, 3, 8)])
+def test_vectors_of_any_dimension_take_part(spark, sizes):
+    rnd = np.random.default_rng(5)
+    rows = {i: [float(np.float32(x)) for x in rnd.normal(size=sizes[i % len(sizes)])] for i in range(60)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("v", "cell", "h", "shard", "block", "query_id", "depth")})
+    got = {}
+    for r in multi_index.search(df, df.where("vec_id % 20 = 0"), recall=1.0).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: plain_nearest(rows, q) for q in (0, 20, 40)}
+
+
+def test_clustered_vectors_need_a_small_share(spark):
+    rnd = np.random.default_rng(9)
+    centers = rnd.normal(size=(40, 16)) * 6
+    x = (centers[rnd.integers(0, 40, 8000)] + rnd.normal(size=(8000, 16))).astype("f4")
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(8000)], "vec_id long, embedding array<float>")
+    books = tuple(multi_index.kmeans(h.astype("f8"), 22) for h in (x[:, :8], x[:, 8:]))
+    cell = multi_index.assign(x[:, :8], books[0]) * 22 + multi_index.assign(x[:, 8:], books[1])
+    counts = np.bincount(cell, minlength=22 * 22)
+    asked = [(i, x[i].tolist()) for i in range(0, 8000, 100)]
+    true = {}
+    for i, v in asked:
+        s = x.astype("f8") @ np.array(v)
+        s[i] = -np.inf
+        true[i] = cell[np.argsort(-s)[:20]].tolist()
+    assert multi_index.depth(books, counts, asked, true, 16, 0.94) < 0.15 * 8000
+    assert multi_index.search(df, df.where("vec_id % 400 = 0")).count() == 20 * 20
+
+
+def test_repeated_query_rows_are_asked_once(spark):
+    df = spark.createDataFrame([(i % 30, [float(i % 7) + 1, 1.0, float(i % 5)]) for i in range(60)], "vec_id long, embedding array<float>")
+    out = multi_index.search(df, df.where("vec_id = 0")).collect()
+    assert len(out) == 20 and all(r["vec_id"] != 0 for r in out)
+
+
 def test_multi_index_ties_and_few_rows(spark):
     same = spark.createDataFrame([(i, [1.0, 0.5, 0.25, 1.0]) for i in range(40)], "vec_id long, embedding array<float>")
     out = multi_index.search(same, same.where("vec_id = 20"), centroids=4).orderBy("rank").collect()
@@ -278,11 +347,34 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     assert ("a", "en", "v1", 1, 6) in rows_of(r.totals())
 
 
+def plain_totals():
+    encode, totals = reference_encoder(), {}
+    last = {}
+    for i, t, lang, source, *_ in awkward():
+        last[(i, None if i is not None else t)] = (source, lang, len(encode(t or "")))
+    for source, lang, n in last.values():
+        docs, tokens_ = totals.get((source, lang), (0, 0))
+        totals[source, lang] = (docs + 1, tokens_ + n)
+    return sorted([(*k, "byte_bpe_50k", *v) for k, v in totals.items()], key=repr)
+
+
 def test_token_counts_of_awkward_documents(spark, tmp_path):
     encode = reference_encoder()
     counted = token_rollup.count_tokens(table(spark, clashing=True))
     assert sorted((r["doc_id"], r["tokens"]) for r in counted.collect() if r["doc_id"] is not None) == sorted((i, len(encode(t or ""))) for i, t, *_ in awkward() if i is not None)
     r = token_rollup.Rollup(spark, str(tmp_path / "r"))
     r.commit(1, counted.withColumn("op", F.lit("insert")))
-    assert r.totals().agg(F.sum("docs")).first()[0] == len({i for i, *_ in awkward()})
+    assert rows_of(r.totals()) == plain_totals()
     assert r.commit(2, counted.limit(0).withColumn("op", F.lit("insert")))
+    assert rows_of(r.totals()) == plain_totals()
+
+
+def test_rollup_query_ends_with_the_plain_totals(spark, tmp_path):
+    table(spark, clashing=False).write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows_of(registry.op2_token_rollup(spark, str(tmp_path))) == plain_totals()
+
+
+def test_added_tokens_are_single_ids():
+    added = tokens.added_tokens(P.path("byte_bpe_50k.json"))
+    ids = tokens.id_bytes(P.path("byte_bpe_50k.tiktoken"), added)("x<|endoftext|>")
+    assert len(ids) == 8 and int.from_bytes(ids[4:], "little") == 50256
