@@ -6,12 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import greedy, let, runs
+
 # Fixed values of the text rules.
 ABBREVIATIONS = ["Dr.", "Mr.", "Mrs.", "Ms.", "Jr.", "Sr.", "Prof.", "Inc.", "Ltd.", "Corp.", "Co.", "vs.", "etc.", "e.g.", "i.e.", "Ph.D.", "M.D.", "B.A.", "M.A.", "U.S.", "U.K."]
 BULLETS = "•◦▪▫⬩▹▸►▻→"
 DOUBLE_QUOTES, SINGLE_QUOTES = "“”«»", "‘’‹›"
-PAGE_LINES = r"(?i)^(page \d+ of \d+$|\d+/\d+$|header:|draft|confidential)"
-FOOT_LINES = r"(?i)^(copyright ©|all rights reserved|footer:|\d{4} .+ inc\.)"
+PAGE_LINES = (r"page \d+ of \d+$", r"\d+/\d+$", "header:", "draft", "confidential")
+FOOT_LINES = ("copyright ©", "all rights reserved", "footer:", r"\d{4} .+ inc\.")
 URLS = r"https?://[^\s]+"
 EMAILS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONES = r"\+?\d{1,3}?[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
@@ -50,14 +52,14 @@ def plain_bullets(text) -> Column:
 
 
 def clean(text, urls: bool = False, emails: bool = False, phones: bool = False, html: bool = True, unicode: bool = False, quotes: bool = True, bullets: bool = True, spaces: bool = True, newlines: bool = True, lower: bool = False, lines: bool = True) -> Column:
-    """The cleaning chain, in order. The first three flags remove what they name; html drops tags and
+    """The cleaning chain, in order. The first three flags put a space for what they name; html drops tags and
     resolves entities; lines keeps line breaks when spaces are squeezed. Null stays null."""
     t = _c(text)
     if html:
         t = html_unescaped(without_tags(t))
     for on, pattern in ((urls, URLS), (emails, EMAILS), (phones, PHONES)):
         if on:
-            t = F.regexp_replace(t, pattern, "")
+            t = F.regexp_replace(t, pattern, " ")
     if unicode:
         t = nfc(t)
     if quotes:
@@ -81,6 +83,10 @@ def _lines(text) -> Column:
     return F.split(_c(text), "\n")
 
 
+def _begins(line: Column, patterns: tuple[str, ...]) -> Column:
+    return line.rlike("(?i)^(" + "|".join(patterns) + ")")
+
+
 def without_boilerplate(text, headers: bool = True, footers: bool = True, page_numbers: bool = True) -> Column:
     """Without lines that are page numbers, running heads or feet."""
 
@@ -90,9 +96,9 @@ def without_boilerplate(text, headers: bool = True, footers: bool = True, page_n
         if page_numbers:
             ok = ok & ~bare.rlike(r"^\d+$")
         if headers:
-            ok = ok & ~bare.rlike(PAGE_LINES)
+            ok = ok & ~_begins(bare, PAGE_LINES)
         if footers:
-            ok = ok & ~bare.rlike(FOOT_LINES)
+            ok = ok & ~_begins(bare, FOOT_LINES)
         return ok
 
     return F.array_join(F.filter(_lines(text), stays), "\n")
@@ -138,16 +144,15 @@ def sentences(text) -> Column:
 def sections(text, max_chars: int) -> Column:
     """Runs of sentence pieces, joined by '. ', of about max_chars each."""
     parts = F.filter(F.transform(F.split(F.coalesce(_c(text), F.lit("")), r"[.!?]+"), lambda p: F.trim(p)), lambda s: s != "")
-    first = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    # A run's length counts the two characters that join each further piece to it.
+    units = lambda p: F.transform(p, lambda s: F.struct((F.length(s) + 2).alias("n"), F.lit(0).alias("key")))
+    return let(parts, lambda p: let(greedy(units(p), max_chars + 4), lambda starts: F.transform(runs(p, starts), lambda r: F.array_join(r, ". "))))
 
-    def step(acc, s):
-        full = (acc["now"] != "") & (F.length(acc["now"]) + F.length(s) > max_chars)
-        return F.struct(
-            F.when(full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"),
-            F.when(full | (acc["now"] == ""), s).otherwise(F.concat(acc["now"], F.lit(". "), s)).alias("now"),
-        )
 
-    return F.aggregate(parts, first, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.array_append(a["done"], a["now"])))
+def ocr_folded(text) -> Column:
+    """Typeset quotes, dashes, ellipses and hard spaces as typed ones; a lone l at a word's end as I; white space squeezed."""
+    t = F.replace(F.translate(_c(text), "‘’“”—–\u00a0", "''\"\"-- "), F.lit("…"), F.lit("..."))
+    return F.trim(F.regexp_replace(F.replace(t, F.lit("l "), F.lit("I ")), r"\s+", " "))
 
 
 def bm25_terms(text) -> Column:

@@ -1,7 +1,7 @@
 """Chunkers: fixed, by section, semantic, hierarchical, and the choice between them.
 
-Packing runs as an aggregate over the document's own array of sentences, inside the JVM; documents never
-meet, so that chunking needs no shuffle. Input: doc_id, text. Chunks: doc_id, chunk_index, text,
+Packing runs over the document's own array of sentence lengths, inside the JVM; documents never meet, so
+that chunking needs no shuffle. Input: doc_id, text. Chunks: doc_id, chunk_index, text,
 token_count, and what the chunker adds.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..functions.arrays import greedy, let, runs
 from ..functions.checks import chunk_id
 from ..functions.tokens import chunk_tokens, word_count
 
@@ -20,37 +21,24 @@ SMALL, LARGE = 1000, 500_000
 
 def _pack(parts: Column, size: int) -> Column:
     """Greedy packing of strings: an array of joined strings, none over size tokens unless a part is."""
-    sized = F.transform(parts, lambda p: F.struct(p.alias("p"), chunk_tokens(p).alias("n")))
-    first = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("n"))
-
-    def step(acc, x):
-        full = (acc["n"] + x["n"] > size) & (F.size(acc["now"]) > 0)
-        return F.struct(
-            F.when(full, F.array_append(acc["done"], F.array_join(acc["now"], " "))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.array(x["p"])).otherwise(F.array_append(acc["now"], x["p"])).alias("now"),
-            F.when(full, x["n"]).otherwise(acc["n"] + x["n"]).alias("n"),
-        )
-
-    return F.aggregate(sized, first, step, lambda a: F.when(F.size(a["now"]) > 0, F.array_append(a["done"], F.array_join(a["now"], " "))).otherwise(a["done"]))
+    units = lambda p: F.transform(p, lambda x: F.struct(chunk_tokens(x).alias("n"), F.lit(0).alias("key")))
+    return let(parts, lambda p: let(greedy(units(p), size), lambda starts: F.transform(runs(p, starts), lambda r: F.array_join(r, " "))))
 
 
 def packed_sentences(text: Column, size: int) -> Column:
     """Sentences packed to size; a longer sentence is a run of its own, packed from its comma-separated parts."""
-    sentences = F.transform(tx.sentences(text), lambda s: F.struct(s.alias("s"), (chunk_tokens(s) > size).alias("long")))
-    first = F.struct(F.array().cast("array<struct<long:boolean,parts:array<string>>>").alias("done"), F.array().cast("array<string>").alias("now"))
 
-    def close(acc) -> Column:
-        return F.when(F.size(acc["now"]) > 0, F.array_append(acc["done"], F.struct(F.lit(False).alias("long"), acc["now"].alias("parts")))).otherwise(acc["done"])
+    def units(sentence: Column, i: Column) -> Column:
+        def parts(n: Column) -> Column:
+            cut = F.filter(F.transform(F.split(sentence, "[,;]"), lambda p: F.trim(p)), lambda p: p != "")
+            short = F.array(F.struct(sentence.alias("p"), n.alias("n"), F.lit(-1).alias("key")))
+            long = F.transform(cut, lambda p: F.struct(p.alias("p"), chunk_tokens(p).alias("n"), i.alias("key")))
+            return F.when(n > size, long).otherwise(short)
 
-    def step(acc, x):
-        cut = F.filter(F.transform(F.split(x["s"], "[,;]"), lambda p: F.trim(p)), lambda p: p != "")
-        return F.struct(
-            F.when(x["long"], F.array_append(close(acc), F.struct(F.lit(True).alias("long"), cut.alias("parts")))).otherwise(acc["done"]).alias("done"),
-            F.when(x["long"], F.array().cast("array<string>")).otherwise(F.array_append(acc["now"], x["s"])).alias("now"),
-        )
+        return let(chunk_tokens(sentence), parts)
 
-    runs = F.aggregate(sentences, first, step, close)
-    return F.flatten(F.transform(runs, lambda r: _pack(r["parts"], size)))
+    flat = F.flatten(F.transform(tx.sentences(text), units))
+    return let(flat, lambda u: let(greedy(u, size), lambda starts: F.transform(runs(u, starts), lambda r: F.array_join(F.transform(r, lambda x: x["p"]), " "))))
 
 
 def clean_chunk(text: Column) -> Column:
@@ -146,21 +134,11 @@ def by_section(docs: DataFrame, size: int = 512, min_tokens: int = 100) -> DataF
     """A chunk per section of the text; large sections are packed from their items or sentences.
 
     Categories are no breaks. Lines before the first header belong to a section without a title."""
-    first = F.struct(F.array().cast("array<struct<title:string,lines:array<string>>>").alias("done"), F.lit(None).cast("string").alias("title"), F.array().cast("array<string>").alias("now"))
-
-    def close(a) -> Column:
-        return F.when(F.size(a["now"]) > 0, F.array_append(a["done"], F.struct(a["title"].alias("title"), a["now"].alias("lines")))).otherwise(a["done"])
-
-    def step(a, x):
-        breaks = F.coalesce(header_kind(x).isin("section", "subsection"), F.lit(False))
-        return F.struct(
-            F.when(breaks, close(a)).otherwise(a["done"]).alias("done"),
-            F.when(breaks, F.trim(x)).otherwise(a["title"]).alias("title"),
-            F.when(breaks, F.array(x)).otherwise(F.array_append(a["now"], x)).alias("now"),
-        )
-
-    cut = docs.select("doc_id", F.posexplode(F.aggregate(F.split("text", "\n"), first, step, close)).alias("section", "s"))
-    body = cut.select("doc_id", "section", F.col("s.title").alias("title"), F.array_join("s.lines", "\n").alias("body"))
+    breaks = lambda x: F.coalesce(header_kind(x).isin("section", "subsection"), F.lit(False))
+    headers = lambda l: F.filter(F.transform(l, lambda x, i: F.when(breaks(x), i)), lambda i: i.isNotNull())
+    starts = lambda l: F.array_distinct(F.concat(F.array(F.lit(0)), headers(l)))
+    cut = docs.select("doc_id", F.posexplode(let(F.split("text", "\n"), lambda l: let(starts(l), lambda s: runs(l, s)))).alias("section", "lines"))
+    body = cut.select("doc_id", "section", F.when(breaks(F.col("lines")[0]), F.trim(F.col("lines")[0])).alias("title"), F.array_join("lines", "\n").alias("body"))
     items = F.filter(F.split("body", f"(?={ITEM})"), lambda p: F.trim(p) != "")
     parts = F.when(chunk_tokens("body") <= size * 1.5, F.array("body")).when(F.col("body").contains(ITEM), _pack(items, size)).otherwise(packed_sentences(F.col("body"), size))
     rows = body.select("doc_id", "section", "title", F.posexplode(parts).alias("part", "text"))
@@ -226,25 +204,121 @@ def structure(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *[c.alias(n) for n, c in signs.items()], (score / 5).alias("structure_score"), (score >= 2).alias("has_structure"))
 
 
-def strategy(docs: DataFrame, small: int = SMALL, large: int = LARGE, size: int = 512) -> DataFrame:
-    """The chunker that a document's size and structure call for, with the measures behind the choice."""
-    n = chunk_tokens("text")
-    measured = docs.select("doc_id", n.alias("tokens"), F.length(F.coalesce("text", F.lit(""))).alias("chars"), word_count("text").alias("words"), F.size(tx.sentences("text")).alias("sentences"))
+def strategy(docs: DataFrame, small: int = SMALL, large: int = LARGE, size: int = 512, child: int = 512) -> DataFrame:
+    """The chunker that a document's size calls for, with the measures behind the choice and whether it is structured.
+
+    Structured documents of a middle size go to the chunker of sections, which is a part of the semantic one."""
+    n, t = chunk_tokens("text"), F.coalesce("text", F.lit(""))
+    measured = docs.select(
+        "doc_id", n.alias("tokens"), F.length(t).alias("chars"), word_count("text").alias("words"), F.size(tx.sentences("text")).alias("sentences"),
+        F.size(F.filter(F.split(t, "\n\n"), lambda p: F.trim(F.translate(p, "\n\t\r", "   ")) != "")).alias("paragraphs"),
+    ).join(structure(docs).select("doc_id", "structure_score", "has_structure"), "doc_id")
     picked = F.when(F.col("tokens") <= small, "fixed").when(F.col("tokens") <= large, "semantic").otherwise("hierarchical")
-    return measured.withColumn("strategy", picked).withColumn("category", F.when(F.col("tokens") <= small, "small").when(F.col("tokens") <= large, "medium").otherwise("large")).withColumn("estimated_chunks", F.greatest(F.lit(1), F.floor(F.col("tokens") / size).cast("int")))
+    estimate = lambda per: F.greatest(F.lit(1), F.floor(F.col("tokens") / per).cast("int"))
+    return measured.withColumns({
+        "strategy": picked, "category": F.when(F.col("tokens") <= small, "small").when(F.col("tokens") <= large, "medium").otherwise("large"),
+        "estimated_chunks": estimate(size), "estimated_semantic": estimate(2 * size), "estimated_hierarchical": estimate(child),
+        "mean_sentence": F.when(F.col("sentences") > 0, F.round(F.col("words") / F.col("sentences"), 4)).otherwise(0.0),
+    })
+
+
+# What speaks for each chunker; fixed values.
+ADVICE = {"fixed": "Small documents, homogeneous content", "semantic": "Medium documents, structured content", "hierarchical": "Large documents, complex structure"}
+
+
+def recommendations(docs: DataFrame, small: int = SMALL, large: int = LARGE) -> DataFrame:
+    """Per document and chunker: whom it suits, the chunks to expect, and whether it is the chosen one."""
+    chosen = strategy(docs, small, large)
+    estimate = {"fixed": "estimated_chunks", "semantic": "estimated_semantic", "hierarchical": "estimated_hierarchical"}
+    rows = F.array(*[F.struct(F.lit(k).alias("chunker"), F.lit(v).alias("recommended_for"), F.col(estimate[k]).alias("chunks")) for k, v in ADVICE.items()])
+    return chosen.select("doc_id", F.explode(rows).alias("x"), "strategy", "has_structure").select("doc_id", "x.*", (F.col("strategy") == F.col("x.chunker")).alias("selected"), "has_structure")
+
+
+def clearly_structured(kind: Column, sections: Column, paragraphs: Column, pages: Column) -> Column:
+    """A word file of several sections or over 50 paragraphs, or a PDF of over ten pages."""
+    docx = (kind == "docx") & ((F.coalesce(sections, F.lit(0)) > 1) | (F.coalesce(paragraphs, F.lit(0)) > 50))
+    return docx | ((kind == "pdf") & (F.coalesce(pages, F.lit(0)) > 10))
 
 
 def adaptive(docs: DataFrame, embed, small: int = SMALL, large: int = LARGE, size: int = 512, min_tokens: int = 100) -> DataFrame:
-    """Each document by the chunker of its size; structured ones by section."""
-    t = docs.withColumn("__n", chunk_tokens("text"))
+    """Each document by the chunker of its size; of the middle ones, those with section headers by section."""
+    sized = docs.withColumn("__n", chunk_tokens("text"))
+    middle = (F.col("__n") > small) & (F.col("__n") <= large)
+    headed = F.exists(F.split("text", "\n"), lambda x: header_kind(x).isNotNull())
     cols = ["doc_id", "chunk_index", "text", "token_count", "strategy"]
     by = {
         "fixed": (F.col("__n") <= small, lambda d: fixed(d, size, min_tokens)),
-        "semantic": ((F.col("__n") > small) & (F.col("__n") <= large), lambda d: semantic(d, embed, size, min_tokens=min_tokens)),
+        "section": (middle & headed, lambda d: by_section(d, size, min_tokens)),
+        "semantic": (middle & ~headed, lambda d: semantic(d, embed, size, min_tokens=min_tokens)),
         "hierarchical": (F.col("__n") > large, lambda d: hierarchical(d, child=size, min_tokens=min_tokens).where("kind = 'child'")),
     }
     made = None
     for name, (which, chunk) in by.items():
-        part = chunk(t.where(which).drop("__n")).withColumn("strategy", F.lit(name)).select(cols)
+        part = chunk(sized.where(which).drop("__n")).withColumn("strategy", F.lit(name)).select(cols)
         made = part if made is None else made.unionByName(part)
     return made
+
+
+def without_boundaries(docs: DataFrame, size: int = 512) -> DataFrame:
+    """Chunks of size estimated tokens whatever stands there: cut after so many words as make them."""
+    every = max(1, int(size / 1.33))
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    starts = lambda w: F.when(F.size(w) == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(w) - 1, F.lit(every)))
+    return _exploded(docs, let(words, lambda w: F.transform(starts(w), lambda i: F.array_join(F.slice(w, i + 1, every), " "))))
+
+
+def validated(chunks: DataFrame) -> DataFrame:
+    """Per document: chunks, whether their indexes have no gap, blank ones, and ones without tokens."""
+    return chunks.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_chunks"), ((F.min("chunk_index") == 0) & (F.max("chunk_index") == F.count(F.lit(1)) - 1) & (F.countDistinct("chunk_index") == F.count(F.lit(1)))).alias("contiguous"),
+        F.count_if(F.trim("text") == "").alias("blank"), F.count_if(F.col("token_count") == 0).alias("without_tokens"),
+    )
+
+
+def page_numbers(chunks: DataFrame) -> DataFrame:
+    """chunks (with marks still in text) with page_number: of the first [PAGE n] within, else of the last one before."""
+    by = Window.partitionBy("doc_id").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1)
+    marks = F.regexp_extract_all("text", F.lit(r"\[PAGE (\d+)\]"), F.lit(1))
+    first, last = F.get(marks, F.lit(0)), F.get(marks, F.size(marks) - 1)
+    return chunks.withColumn("page_number", F.coalesce(first, F.last(last, True).over(by)).cast("int"))
+
+
+def family(chunks: DataFrame) -> DataFrame:
+    """Per parent of hierarchical chunks: its children's indexes, in order."""
+    kids = chunks.where("kind = 'child'").groupBy("doc_id", "parent_index").agg(F.sort_array(F.collect_list("chunk_index")).alias("children"))
+    return kids.withColumn("n_children", F.size("children"))
+
+
+def without_following(chunks: DataFrame) -> DataFrame:
+    """Chunks without the words at their end that begin the chunk after."""
+    by = Window.partitionBy("doc_id").orderBy("chunk_index")
+    rest = chunks.withColumn("__n", F.coalesce(suffix_prefix(F.col("text"), F.lead("text").over(by)), F.lit(0)))
+    words = F.split("text", r"\s+")
+    return rest.withColumn("text", F.array_join(F.slice(words, F.lit(1), F.size(words) - F.col("__n")), " ")).drop("__n").withColumn("token_count", chunk_tokens("text"))
+
+
+def overlap_adjusted(chunks: DataFrame, target: int, tolerance: int = 10) -> DataFrame:
+    """Chunks whose overlap with the next is near target tokens: the next one's start is lent, or one's own end cut.
+
+    The overlap is measured in words that end the one and begin the other, of the unchanged chunks."""
+    by = Window.partitionBy("doc_id").orderBy("chunk_index")
+    near = chunks.withColumns({"__next": F.lead("text").over(by), "__words": F.split("text", r"\s+")})
+    shared = suffix_prefix(F.col("text"), F.col("__next"))
+    near = near.withColumn("__shared", shared).withColumn("__have", chunk_tokens(F.array_join(F.slice("__words", F.greatest(F.lit(1), F.size("__words") - F.col("__shared") + 1), F.col("__shared")), " ")))
+    per_word = lambda tokens: F.floor(tokens / F.lit(1.33)).cast("int")
+    following = F.split("__next", r"\s+")
+    lent = F.array_join(F.slice(following, F.col("__shared") + 1, per_word(F.lit(target) - F.col("__have"))), " ")
+    cut = F.array_join(F.slice("__words", F.lit(1), F.greatest(F.lit(1), F.size("__words") - per_word(F.col("__have") - target))), " ")
+    text = F.when(F.col("__next").isNull() | (F.abs(F.col("__have") - target) <= tolerance), F.col("text")).when(F.col("__have") < target, F.concat_ws(" ", "text", lent)).otherwise(cut)
+    return near.withColumn("text", text).drop("__next", "__words", "__shared", "__have").withColumn("token_count", chunk_tokens("text"))
+
+
+def overlap_sentences(sentences: Column, tokens: int) -> Column:
+    """The last sentences of an array that fit in so many tokens together."""
+    sizes = F.transform(F.reverse(sentences), lambda s: chunk_tokens(s))
+    taken = F.aggregate(
+        sizes, F.struct(F.lit(0).alias("n"), F.lit(0).alias("k"), F.lit(True).alias("open")),
+        lambda a, x: F.struct(F.when(a["open"] & (a["n"] + x <= tokens), a["n"] + x).otherwise(a["n"]).alias("n"), F.when(a["open"] & (a["n"] + x <= tokens), a["k"] + 1).otherwise(a["k"]).alias("k"), (a["open"] & (a["n"] + x <= tokens)).alias("open")),
+        lambda a: a["k"],
+    )
+    return F.slice(sentences, F.size(sentences) - taken + 1, taken)
