@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import cut
+from .common import cut, few
 
 FOLDS, HELD_OUT = 7, 2
 #: A task's own counts are passed on when it holds so many words.
@@ -90,7 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c.clear()
         return made
 
-    for b in batches:
+    for b in few(batches):
         for held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             counts[held].update(split_words(text))
             if len(counts[0]) + len(counts[1]) >= TASK_WORDS:
@@ -153,7 +153,7 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", model_path:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words = often.value
-        for b in batches:
+        for b in few(batches):
             total, known, base_sum, marginal, keys, times = [], [], [], [], [], []
             for text in b.column(2).to_pylist():
                 words = Counter(split_words(text))

@@ -9,6 +9,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import few
+
 
 def unpack_text(packed: bytes) -> str:
     return zstandard.ZstdDecompressor().decompress(packed).decode()
@@ -24,7 +26,7 @@ def packed(df: DataFrame, column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        for b in batches:
+        for b in few(batches):
             yield b.set_column(at, column, pa.array([None if t is None else pack(t.encode()) for t in b.column(at).to_pylist()], pa.binary()))
 
     return df.mapInArrow(run, _with_type(df, column, T.BinaryType()))
@@ -35,7 +37,7 @@ def unpacked(df: DataFrame, column: str) -> DataFrame:
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             yield b.set_column(at, column, pa.array([None if x is None else unpack_text(x) for x in b.column(at).to_pylist()], pa.string()))
 
     return df.mapInArrow(run, _with_type(df, column, T.StringType()))

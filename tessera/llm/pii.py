@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import plants
-from .common import SPACE_CLASS, cut, hash_sample
+from .common import SPACE_CLASS, cut, few, hash_sample
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Examples that trees and probabilities are fitted on; documents, and words of each, that they are set among.
@@ -117,7 +117,7 @@ _FOUND = "array<struct<start:int,kind:int,end:int,features:array<double>>>"
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])
     wide = pa.struct([*span, pa.field("features", pa.list_(pa.float64()))])
-    for b in batches:
+    for b in few(batches):
         texts = [t or "" for t in b.column(1).to_pylist()]
         base = [[dict(zip(("start", "kind", "end"), x, strict=True)) for x in base_spans(t)] for t in texts]
         more = [[dict(zip(("start", "kind", "end", "features"), x, strict=True)) for x in candidates(t)] for t in texts]
@@ -191,7 +191,7 @@ def _counts(flat: DataFrame, model: Model) -> dict[int, list[tuple[float, int]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, float], int] = {}
-        for b in batches:
+        for b in few(batches):
             for f in b.column(0).to_pylist():
                 at = int(f[0]), float(held.value.score(f))
                 found[at] = found.get(at, 0) + 1
@@ -249,7 +249,7 @@ def find(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(train(proposed, docs, text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             counts, digest, spans, secret, added, total = [[], [], [], []], [], [], [], [], []
             for base, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 own = [(x["start"], x["kind"], x["end"]) for x in base]
@@ -286,7 +286,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[{}]") -> DataFrame
         return "".join([*out, t[done:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in few(batches):
             yield b.set_column(at, text, pa.array([clean(t) for t in b.column(at).to_pylist()], pa.string()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         found = xxhash.xxh64_intdigest(word)
         if len(word) <= 32:
-            if len(self) >= 300_000:
+            if len(self) >= 150_000:
                 self.clear()
             self[word] = found
         return found

@@ -32,17 +32,17 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import shingles
-from .common import cut
+from .common import cut, few
 from .components import components
 from .packed import packed, unpack_text, unpacked
 
 #: Sizes of a class lie within this factor of each other.
 CLASS_RATIO = 1.4
 #: Sets, and shingles, of a block at most (a single larger set is a block).
-BLOCK, BLOCK_SHINGLES = 512, 4_000_000
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 LEAF, FANOUT, SEEDS = 16, 4, 3
 #: Part keys that a task gathers before it joins and passes them on; nodes that it remembers having met.
-TASK_KEYS, TASK_NODES = 1_000_000, 500_000
+TASK_KEYS, TASK_NODES = 500_000, 250_000
 
 
 class Parts:
@@ -84,14 +84,14 @@ class Parts:
                 order = np.argsort(part, kind="stable")
                 filled, start = np.unique(part[order], return_index=True)
                 total = np.add.reduceat(members[order], start)
-                few = n - len(filled) < n - most
-                if not few and seed == SEEDS - 1:
+                enough = n - len(filled) < n - most
+                if not enough and seed == SEEDS - 1:
                     every = np.zeros(n, np.uint64)
                     every[filled] = total
                     filled, total = np.arange(n), every
                 label = np.uint64(c * SEEDS + seed + 1) * np.uint64(1 << 32) + filled.astype(np.uint64)
                 out.append(shingles.mix(shingles.mix(label) + total))
-                if few:
+                if enough:
                     break
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -115,7 +115,7 @@ def _heads(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = shingles.WordHashes()
-        for b in batches:
+        for b in few(batches):
             size, node = [], []
             for text in b.column(3):
                 members = shingles.shingle_set(shingles.word_hashes(text.as_py(), memo), width)
@@ -317,7 +317,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = shingles.WordHashes()
-        for b in batches:
+        for b in few(batches, 128):
             made = [shingles.shingle_set(shingles.word_hashes(unpack_text(x), memo), width).tobytes() for x in b.column(len(columns)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(made, pa.binary())], names=[*columns, "members"])
 

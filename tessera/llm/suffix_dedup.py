@@ -113,7 +113,7 @@ def contexts(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
                     behind.append(back[at : at + width].tobytes())
                     row.append(i)
                     packed.append(place)
-                if len(row) > 4096:
+                if len(row) > 2048:
                     yield out(b, ahead, behind, row, packed)
                     ahead, behind, row, packed = [], [], [], []
             yield out(b, ahead, behind, row, packed)

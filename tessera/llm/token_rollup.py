@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import few
 
 KEY = ["source", "lang", "version"]
 _LEDGER = "doc_id long, body long, version string, source string, lang string, tokens long, live boolean, batch long"
@@ -38,7 +39,7 @@ def count_tokens(docs: DataFrame, version: str = "byte_bpe_50k", ranks_path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens.id_bytes(where)
-        for b in batches:
+        for b in few(batches):
             yield b.drop_columns(["text"]).append_column("tokens", pa.array([len(encode(t or "")) // 4 for t in b.column("text").to_pylist()], pa.int64()))
 
     return keyed(docs).mapInArrow(run, "doc_id long, source string, lang string, body long, tokens long").withColumn("version", F.lit(version))

@@ -50,7 +50,7 @@ class Chunked:
     Byte-level pieces hold no space but a leading one, so that texts whose spaces stand alone may be cut
     before every space; other texts go through make() whole."""
 
-    def __init__(self, make, most: int = 200_000):
+    def __init__(self, make, most: int = 100_000):
         self.make = make
         self.head, self.rest = Memo(make, 20_000), Memo(lambda chunk: make(" " + chunk), most)
 
