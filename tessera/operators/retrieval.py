@@ -18,8 +18,10 @@ BLOCK = 4096
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: str = "score") -> DataFrame:
-    """scores with rank, cut to k; the limit is applied before the shuffle as well."""
-    w = Window.partitionBy("query_id").orderBy(F.col(by).desc(), "doc_id")
+    """scores with rank, cut to k; the limit is applied before the shuffle as well.
+
+    Sums differ in their last digits by the order in which they are added up: ties are those of nine digits."""
+    w = Window.partitionBy("query_id").orderBy(F.round(by, 9).desc(), "doc_id")
     out = scores.withColumn("rank", F.row_number().over(w))
     return out if k is None else out.where(F.col("rank") <= k)
 

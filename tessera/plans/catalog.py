@@ -172,29 +172,123 @@ def document_structure(spark, sf_dir):
     return chunking.structure(documents(spark, sf_dir))
 
 
-@query()
+# Greedy packing in DuckDB: a table u (doc_id, ord, p, n, key) to groups (doc_id, c, text).
+
+
+def _grouped(units: str, size: int, name: str, by: str = "doc_id", joint: str = "' '") -> str:
+    opens = f"(len(a.cs) = 0 OR a.n + x.n > {size} OR a.key <> x.key)"
+    return f"""
+{name}_l AS (SELECT {by}, list(struct_pack(n := n::INT, key := key::INT, c := -1::INT, cs := []::INT[]) ORDER BY ord) AS l FROM {units} GROUP BY ALL),
+{name}_c AS (SELECT {by}, list_reduce(l, lambda a, x: struct_pack(n := (CASE WHEN {opens} THEN x.n ELSE a.n + x.n END)::INT, key := x.key, c := (a.c + {opens}::INT)::INT, cs := list_append(a.cs, (a.c + {opens}::INT)::INT)),
+  struct_pack(n := 0::INT, key := -9::INT, c := -1::INT, cs := []::INT[])).cs AS cs FROM {name}_l),
+{name}_o AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ord) AS r FROM {units}),
+{name}_u AS (SELECT {by}, unnest(cs) AS c, generate_subscripts(cs, 1) AS r FROM {name}_c),
+{name} AS (SELECT {by}, c, string_agg(p, {joint} ORDER BY r) AS text FROM {name}_o JOIN {name}_u USING ({by}, r) GROUP BY ALL)"""
+
+
+def _sentences_of(x: str) -> str:
+    held = x
+    for word in text.ABBREVIATIONS:
+        held = f"replace({held}, '{word}', replace('{word}', '.', chr(2)))"
+    split = f"string_split(regexp_replace({held}, '([.!?])\\s+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+    return f"list_filter(list_transform({split}, lambda s: trim(replace(s, chr(2), '.'), E' \\t\\n\\r')), lambda s: s <> '')"
+
+
+def _packed(source: str, size: int, name: str, by: str = "doc_id") -> str:
+    """Sentences of source (doc_id, text) packed to size."""
+    return f"""
+{name}_s AS (SELECT {by}, unnest(ss) AS s, generate_subscripts(ss, 1) AS i FROM (SELECT {by}, {_sentences_of("text")} AS ss FROM {source})),
+{name}_n AS (SELECT *, {_tokens("s")} AS n FROM {name}_s),
+{name}_p AS (SELECT {by}, i, CASE WHEN n > {size} THEN i ELSE -1 END AS key, unnest(ps) AS p, generate_subscripts(ps, 1) AS j FROM (
+  SELECT *, CASE WHEN n > {size} THEN list_filter(list_transform(string_split(replace(s, ';', ','), ','), lambda p: trim(p)), lambda p: p <> '') ELSE [s] END AS ps FROM {name}_n)),
+{name}_q AS (SELECT {by}, i * 100000 + j AS ord, p, {_tokens("p")} AS n, key FROM {name}_p),{_grouped(f"{name}_q", size, name, by)}"""
+
+
+_CLEAN_CHUNK = r"trim(regexp_replace(regexp_replace(text, '\[PAGE \d+\]|\[HEADER\]|\[FOOTER\]|\[TABLE \d+\]', '', 'g'), '\s+', ' ', 'g'))"
+
+
+def _fixed(size: int, least: int, name: str = "k") -> str:
+    return f"""{_packed("documents", size, f"{name}0")},
+{name}1 AS (SELECT doc_id, c AS chunk_index, {_CLEAN_CHUNK} AS text FROM {name}0),
+{name} AS (SELECT *, CAST({_tokens("text")} AS INT) AS token_count FROM {name}1 WHERE {_tokens("text")} >= {least})"""
+
+
+_CHUNK_ID = "'chunk_' || doc_id || '_' || chunk_index AS chunk_id"
+
+
+@query(f"WITH {_fixed(512, 100)} SELECT doc_id, chunk_index, text, token_count, {_CHUNK_ID} FROM k")
 def chunks_fixed(spark, sf_dir):
-    """Greedy packing carries a state along the sentences; tests hold it against plain Python."""
     return chunking.fixed(documents(spark, sf_dir), 512, 100)
 
 
-@query()
+def _lent(t: str, n: str, tokens: int, end: bool) -> str:
+    size = f"CAST(trunc(length({t}) * {tokens} / greatest(1, {n})::DOUBLE) AS INT)"
+    cut = f"right({t}, greatest(1, {size}))" if end else f"regexp_replace(left({t}, {size}), '\\s+\\S*$', '')"
+    return f"CASE WHEN {n} <= {tokens} THEN {t} ELSE {cut} END"
+
+
+_OVERLAPPING = f"""{_fixed(256, 50)},
+v AS (SELECT *, lag(text) OVER w AS pt, lag(token_count) OVER w AS pn, lead(text) OVER w AS nt, lead(token_count) OVER w AS nn FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)),
+o AS (SELECT doc_id, chunk_index, concat_ws(' ', {_lent("pt", "pn", 25, True)}, text, {_lent("nt", "nn", 25, False)}) AS text FROM v)"""
+
+
+@query(f"WITH {_OVERLAPPING} SELECT doc_id, chunk_index, text, CAST({_tokens('text')} AS INT) AS token_count, {_CHUNK_ID} FROM o")
 def chunks_overlapping(spark, sf_dir):
     return chunking.fixed(documents(spark, sf_dir), 256, 50, 25)
 
 
-@query()
+@query(f"""
+WITH {_fixed(256, 0)},
+w AS (SELECT doc_id, chunk_index, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS a FROM k),
+p AS (SELECT doc_id, a, lead(a) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS b FROM w),
+s AS (SELECT doc_id, len(list_intersect(a, b)) / least(len(a), len(b))::DOUBLE * 100 AS share FROM p WHERE b IS NOT NULL),
+o AS (SELECT doc_id, count(share) AS pairs, round(avg(share), 4) AS mean_share, round(min(share), 4) AS least_share, round(max(share), 4) AS most_share FROM s GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) AS n_chunks, CAST(sum(token_count) AS BIGINT) AS tokens, round(avg(token_count), 4) AS mean_tokens, min(token_count) AS least_tokens, max(token_count) AS most_tokens, CAST(sum(length(text)) AS BIGINT) AS chars FROM k GROUP BY doc_id)
+SELECT * FROM c LEFT JOIN o USING (doc_id)
+""")
 def chunk_statistics(spark, sf_dir):
     made = chunking.fixed(documents(spark, sf_dir), 256, 0)
     return chunking.statistics(made).join(chunking.overlap_statistics(made), "doc_id", "left")
 
 
-@query()
+@query(f"WITH {_fixed(256, 50)} SELECT doc_id, count(*) AS n_chunks, min(chunk_index) = 0 AND max(chunk_index) = count(*) - 1 AND count(DISTINCT chunk_index) = count(*) AS contiguous, count(*) FILTER (trim(text) = '') AS blank, count(*) FILTER (token_count = 0) AS without_tokens FROM k GROUP BY doc_id")
+def chunks_validated(spark, sf_dir):
+    return chunking.validated(chunking.fixed(documents(spark, sf_dir), 256, 50))
+
+
+@query(f"""
+WITH {_fixed(128, 0)}, u AS (SELECT doc_id, chunk_index AS ord, text AS p, token_count AS n, 0 AS key FROM k),{_grouped("u", 512, "g")},
+m AS (SELECT doc_id, c AS chunk_index, {_CLEAN_CHUNK} AS text FROM g) SELECT *, CAST({_tokens('text')} AS INT) AS token_count FROM m
+""")
 def chunks_merged(spark, sf_dir):
     return chunking.merged(chunking.fixed(documents(spark, sf_dir), 128, 0), 512)
 
 
-@query()
+@query(f"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(0, len(w), 384)) AS b FROM w),
+c AS (SELECT doc_id, CAST(b // 384 AS INT) AS chunk_index, array_to_string(list_slice(w, b + 1, b + 384), ' ') AS text FROM i),
+m AS (SELECT doc_id, chunk_index, {_CLEAN_CHUNK} AS text FROM c) SELECT *, CAST({_tokens('text')} AS INT) AS token_count FROM m
+""")
+def chunks_without_boundaries(spark, sf_dir):
+    return chunking.without_boundaries(documents(spark, sf_dir), 512)
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+h AS (SELECT *, (regexp_matches(trim(x), '^[a-z]\\)\\s+[A-Z]') OR regexp_matches(trim(x), '^●.*:') OR regexp_matches(trim(x), '^\\d+\\.\\s+[A-Z\\s&]+:')) AND i > 1 AS b FROM l),
+g AS (SELECT *, CAST(sum(b::INT) OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS section FROM h),
+y AS (SELECT doc_id, section, arg_min(x, i) AS head, string_agg(x, chr(10) ORDER BY i) AS text FROM g GROUP BY ALL),
+z AS (SELECT *, {_tokens('text')} <= 768 AS whole, contains(text, '❖') AS items,
+  CASE WHEN regexp_matches(trim(head), '^[a-z]\\)\\s+[A-Z]') OR regexp_matches(trim(head), '^●.*:') OR regexp_matches(trim(head), '^\\d+\\.\\s+[A-Z\\s&]+:') THEN trim(head) END AS title FROM y),
+f AS (SELECT doc_id * 100000 + section AS sid, text FROM z WHERE NOT whole AND NOT items),{_packed('f', 512, 'k0', 'sid')},
+e AS (SELECT doc_id * 100000 + section AS sid, unnest(ps) AS p, generate_subscripts(ps, 1) AS ord FROM (SELECT *, list_filter(string_split(replace(text, '❖', chr(1) || '❖'), chr(1)), lambda p: trim(p) <> '') AS ps FROM z WHERE NOT whole AND items)),
+e2 AS (SELECT *, {_tokens('p')} AS n, 0 AS key FROM e),{_grouped('e2', 512, 'e3', 'sid')},
+r AS (SELECT doc_id, section, title, 0 AS part, text FROM z WHERE whole UNION ALL SELECT doc_id, section, title, c, k0.text FROM k0 JOIN z ON sid = doc_id * 100000 + section UNION ALL SELECT doc_id, section, title, c, e3.text FROM e3 JOIN z ON sid = doc_id * 100000 + section),
+m AS (SELECT doc_id, section, title, CAST(part AS INT) AS part, {_CLEAN_CHUNK} AS text FROM r),
+n AS (SELECT *, CAST({_tokens('text')} AS INT) AS token_count FROM m)
+SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section, part) - 1 AS INT) AS chunk_index FROM n WHERE token_count >= 50
+""")
 def chunks_by_section(spark, sf_dir):
     return chunking.by_section(documents(spark, sf_dir), 512, 50)
 
@@ -204,11 +298,22 @@ def chunks_semantic(spark, sf_dir):
     return chunking.semantic(documents(spark, sf_dir), vectors.hashing_embedder(), 512, 0.80, 50)
 
 
-@query()
+_FAMILY = f"""{_packed("documents", 1024, "p0")}, p1 AS (SELECT doc_id * 10000 + c AS pid, doc_id, c AS parent_index, text FROM p0), f AS (SELECT pid, text FROM p1),{_packed("f", 256, "c0", "pid")},
+c1 AS (SELECT p1.doc_id, p1.parent_index, c0.c AS part, c0.text AS text, p1.text AS body FROM c0 JOIN p1 USING (pid)),
+c2 AS (SELECT doc_id, parent_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY parent_index, part) - 1 AS INT) AS chunk_index, {_CLEAN_CHUNK} AS text, {_CLEAN_CHUNK.replace("text", "body")} AS body FROM c1),
+h AS (SELECT doc_id, 'child' AS kind, parent_index, chunk_index, text, CAST({_tokens("text")} AS INT) AS token_count, sha256(body) AS parent_text FROM c2 WHERE {_tokens("text")} >= 50)"""
+
+
+@query(f"WITH {_FAMILY} SELECT * FROM h")
 def chunks_hierarchical(spark, sf_dir):
     return chunking.expand_to_parent(chunking.hierarchical(documents(spark, sf_dir), 1024, 256, 50)).withColumn("parent_text", F.sha2("parent_text", 256))
 
 
+@query(f"WITH {_FAMILY} SELECT doc_id, parent_index, array_to_string(list(chunk_index ORDER BY chunk_index), ',') AS children, CAST(count(*) AS INT) AS n_children FROM h GROUP BY ALL")
+def chunk_families(spark, sf_dir):
+    return chunking.family(chunking.hierarchical(documents(spark, sf_dir), 1024, 256, 50)).withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))
+
+
 @query()
 def chunks_adaptive(spark, sf_dir):
     return chunking.adaptive(documents(spark, sf_dir), vectors.hashing_embedder(), 1000, 4000)
@@ -223,6 +328,18 @@ def chunking_strategies(spark, sf_dir):
     return analytics.strategy_counts(chunking.strategy(documents(spark, sf_dir)))
 
 
+@query(fr"""
+WITH c AS (SELECT doc_id, text, {_tokens('text')} AS n,
+    (len(regexp_extract_all(text, '(?m)^[a-z]\)\s+[A-Z]')) > 2)::INT + (len(regexp_extract_all(text, '[●❖]')) > 5)::INT + (len(regexp_extract_all(text, '(?m)^\d+\.\s+[A-Z]')) > 2)::INT + (len(regexp_extract_all(text, '(?m)^●\s+\w+.*:')) > 3)::INT
+    + (len(list_filter(string_split(text, chr(10)), lambda l: l LIKE '   %' OR l LIKE chr(9) || '%')) > len(string_split(text, chr(10))) * 0.2)::INT >= 2 AS has_structure FROM documents),
+p AS (SELECT *, CASE WHEN n <= 1000 THEN 'fixed' WHEN n <= 500000 THEN 'semantic' ELSE 'hierarchical' END AS picked FROM c),
+k AS (SELECT * FROM (VALUES ('fixed', 512, 'Small documents, homogeneous content'), ('semantic', 1024, 'Medium documents, structured content'), ('hierarchical', 512, 'Large documents, complex structure')) AS t(chunker, per, recommended_for))
+SELECT doc_id, chunker, recommended_for, CAST(greatest(1, n // per) AS INT) AS chunks, picked = chunker AS selected, has_structure FROM p, k
+""")
+def chunker_recommendations(spark, sf_dir):
+    return chunking.recommendations(documents(spark, sf_dir))
+
+
 @query("""
 WITH e AS (SELECT label AS doc_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos, embedding::DOUBLE[] AS v FROM embeddings),
 s AS (SELECT doc_id, pos, v, lead(v) OVER (PARTITION BY doc_id ORDER BY pos) AS w FROM e),
@@ -247,11 +364,12 @@ d AS (SELECT doc_id, {_TERMS.format(x="text")} AS terms FROM documents),
 n AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM d),
 p AS (SELECT doc_id, len(terms) AS length, term, count(*) AS tf FROM (SELECT doc_id, terms, unnest(terms) AS term FROM d) GROUP BY ALL),
 f AS (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM p GROUP BY term),
-r AS (SELECT *, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM f, n),
-i AS (SELECT term, df, total_tf, CASE WHEN raw < 0 THEN (SELECT avg(raw) FROM r) * 0.25::DOUBLE ELSE raw END AS idf FROM r),
+r AS MATERIALIZED (SELECT *, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM f, n),
+e AS MATERIALIZED (SELECT avg(raw) AS mean_raw FROM r),
+i AS (SELECT term, df, total_tf, CASE WHEN raw < 0 THEN mean_raw * 0.25::DOUBLE ELSE raw END AS idf FROM r, e),
 q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TERMS.format(x="text")}) AS term FROM benchmark WHERE item_id % 50 = 0) GROUP BY ALL),
 h AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score FROM p JOIN i USING (term) JOIN q USING (term), n GROUP BY ALL),
-b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM h WHERE score > 0)"""
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM h WHERE score > 0)"""
 
 
 @query(f"WITH {_BM25} SELECT term, df, CAST(total_tf AS BIGINT) AS total_tf, round(idf, 6) AS idf FROM i")
@@ -491,7 +609,7 @@ def sessions(spark, sf_dir):
 
 
 def _evaluated(spark, sf_dir) -> DataFrame:
-    """Each document judged as an answer to the first benchmark item of its number, against itself as context."""
+    """Each document's second line as the answer to its first one, in front of the whole document."""
     d = documents(spark, sf_dir)
     lines = F.split("text", "\n")
     return d.select(F.col("doc_id").alias("id"), lines[0].alias("query"), F.get(lines, F.lit(1)).alias("answer"), F.col("text").alias("context"), "lang").fillna("", ["answer"])
@@ -626,7 +744,10 @@ def quality_estimates(spark, sf_dir):
     return per.select("source", q["relevancy"].alias("relevancy"), q["faithfulness"].alias("faithfulness"), q["context"].alias("context"))
 
 
-@query("SELECT label, count(*) AS n, count(*) AS valid, 1.0::DOUBLE AS share, true AS enough FROM embeddings WHERE len(embedding) = 64 GROUP BY label")
+@query("""
+WITH v AS (SELECT label, coalesce(len(embedding) = 64 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AND len(list_filter(embedding, lambda x: isnan(x))) = 0, false) AS ok FROM embeddings)
+SELECT label, count(*) AS n, count(*) FILTER (ok) AS valid, round(count(*) FILTER (ok) / count(*)::DOUBLE, 6) AS share, count(*) FILTER (ok) >= 0.9::DOUBLE * count(*) AS enough FROM v GROUP BY label
+""")
 def embedding_validity(spark, sf_dir):
     return embedding.validity(t(spark, sf_dir, "embeddings"), 64, "label")
 
