@@ -79,3 +79,29 @@ def chunk_id(document, index) -> Column:
 def valid_vector(vector, dim: int) -> Column:
     v = _c(vector)
     return F.coalesce((F.size(v) == dim) & F.exists(v, lambda x: x != 0) & F.forall(v, lambda x: ~F.isnan(x)), F.lit(False))
+
+
+# Media types by extension.
+MEDIA_TYPES = {
+    "pdf": "application/pdf",
+    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
+    "doc": "application/msword",
+    "txt": "text/plain",
+    "zip": "application/zip",
+    "rar": "application/vnd.rar",
+    "7z": "application/x-7z-compressed",
+}
+
+
+def media_type(path) -> Column:
+    out = F.lit("application/octet-stream")
+    for ext, name in MEDIA_TYPES.items():
+        out = F.when(extension(path) == ext, name).otherwise(out)
+    return out
+
+
+def unique_name(name, made) -> Column:
+    """name_{time}_{8 hex digits of a hash of both}.ext, the name being made safe."""
+    safe, at = safe_name(name), F.date_format(_c(made), "yyyyMMdd_HHmmss")
+    stem, ext = F.regexp_replace(safe, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(safe, r"(?<=.)(\.[^.]*)$", 1)
+    return F.concat(stem, F.lit("_"), at, F.lit("_"), F.substring(F.md5(F.concat(_c(name), at)), 1, 8), ext)

@@ -91,3 +91,17 @@ def windows(ids: Column, size: int, overlap: int = 0) -> Column:
     stride = size - overlap
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(ids) - 1), F.lit(stride)), lambda i: (i == 0) | (i + overlap < F.size(ids)))
     return F.when(F.size(ids) == 0, F.array().cast("array<array<int>>")).otherwise(F.transform(starts, lambda i: F.slice(ids, i + 1, size)))
+
+
+def token_stats(text) -> dict[str, Column]:
+    """Estimated tokens with characters, words, and their ratios (0 for an empty text)."""
+    t, n, w = _text(text), chunk_tokens(text), word_count(text)
+    return {
+        "tokens": n, "chars": F.length(t), "words": w,
+        "chars_per_token": F.when(n > 0, F.round(F.length(t) / n, 6)).otherwise(0.0), "tokens_per_word": F.when(w > 0, F.round(n / w, 6)).otherwise(0.0),
+    }
+
+
+def message_tokens(content, role) -> Column:
+    """A chat message's prompt tokens: content, role, and 5 for its frame."""
+    return prompt_tokens(content) + prompt_tokens(role) + 5

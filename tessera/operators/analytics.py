@@ -21,22 +21,25 @@ def recent(timings: DataFrame, by: str | None = None, n: int = KEPT_TIMINGS) ->
 
 def performance(timings: DataFrame, by: str | None = None) -> DataFrame:
     """Mean, least and largest duration as whole numbers, the count, the last hour's count, and the 95th
-    percentile by position (0 for up to ten). The hour ends with the newest timing."""
+    percentile by position (0 for up to ten). The hour ends with the newest timing.
+
+    One aggregation a step, in partial sums: counts of equal durations stand for the durations, so that a key of
+    any number of timings comes as its different values."""
     keys = [by] if by else []
-    newest = F.max("ts")
-    base = timings.groupBy(*keys).agg(
+    newest = timings.groupBy(*keys).agg(F.max("ts").alias("newest"))
+    joined = timings.join(F.broadcast(newest)) if not keys else timings.join(newest, keys)  # without a key, one row
+    late = F.col("ts") > F.col("newest") - F.expr("INTERVAL 1 HOUR")
+    base = joined.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("duration_ms").cast("long").alias("mean_ms"), F.min("duration_ms").cast("long").alias("least_ms"), F.max("duration_ms").cast("long").alias("most_ms"),
-        newest.alias("newest"), F.percentile("duration_ms", F.lit(0.5)).cast("long").alias("median_ms"),
+        F.percentile("duration_ms", F.lit(0.5)).cast("long").alias("median_ms"), F.count_if(late).alias("last_hour"),
     )
-    rank = Window.partitionBy(*keys).orderBy("duration_ms") if keys else Window.orderBy("duration_ms")
-    placed = timings.select(*keys, "duration_ms", (F.row_number().over(rank) - 1).alias("at"))
-    if keys:
-        p95 = placed.join(base.select(*keys, "n"), keys).where(F.col("at") == F.floor(F.col("n") * F.lit(0.95))).select(*keys, F.col("duration_ms").cast("long").alias("p95"))
-        late = timings.join(base.select(*keys, "newest"), keys).where(F.col("ts") > F.col("newest") - F.expr("INTERVAL 1 HOUR")).groupBy(*keys).agg(F.count(F.lit(1)).alias("last_hour"))
-        out = base.join(p95, keys, "left").join(late, keys, "left")
-    else:
-        raise ValueError("name a key: one list of all durations would be sorted in one task")
-    return out.select(*keys, "n", "mean_ms", "least_ms", "most_ms", "median_ms", F.when(F.col("n") > 10, F.col("p95")).otherwise(0).alias("p95_ms"), F.coalesce("last_hour", F.lit(0)).alias("last_hour"))
+    held = timings.groupBy(*keys, "duration_ms").agg(F.count(F.lit(1)).alias("k"))
+    up_to = F.sum("k").over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0))
+    at = held.select(*keys, "duration_ms", up_to.alias("up_to"))
+    placed = at.join(base.select(*keys, "n"), keys) if keys else at.join(F.broadcast(base.select("n")))
+    p95 = placed.where(F.col("up_to") > F.floor(F.col("n") * F.lit(0.95))).groupBy(*keys).agg(F.min("duration_ms").cast("long").alias("p95"))
+    out = base.join(p95, keys, "left") if keys else base.join(F.broadcast(p95), how="left")
+    return out.select(*keys, "n", "mean_ms", "least_ms", "most_ms", "median_ms", F.when(F.col("n") > 10, F.col("p95")).otherwise(0).alias("p95_ms"), "last_hour")
 
 
 def sessions(messages: DataFrame) -> DataFrame:
@@ -104,3 +107,55 @@ def task_progress(updates: DataFrame) -> DataFrame:
 
 def strategy_counts(chosen: DataFrame) -> DataFrame:
     return chosen.groupBy("strategy").agg(F.count(F.lit(1)).alias("documents"), F.sum("estimated_chunks").alias("chunks"))
+
+
+def answer_quality(rows: DataFrame) -> DataFrame:
+    """id, answer_words, answer_chars, citations, context_use (words against the context's, 1 at most), overlap (of the query's words). rows: id, query, answer, context."""
+    from ..functions.tokens import word_count, words
+
+    distinct = lambda c: F.array_distinct(words(F.lower(c)))
+    asked = distinct("query")
+    return rows.select(
+        "id", word_count("answer").alias("answer_words"), F.length("answer").alias("answer_chars"), F.regexp_count("answer", F.lit(r"\[\d+\]")).alias("citations"),
+        F.round(F.least(F.lit(1.0), word_count("answer") / F.greatest(F.lit(1), word_count("context"))), 6).alias("context_use"),
+        F.round(F.size(F.array_intersect(asked, distinct("answer"))) / F.greatest(F.lit(1), F.size(asked)), 6).alias("overlap"),
+    )
+
+
+def generation_statistics(calls: DataFrame, by: str) -> DataFrame:
+    """Per key of calls (ok, duration_ms, tokens): how many, failed, their share, mean time, tokens."""
+    return calls.groupBy(by).agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("ok")).alias("failed"), F.round(100 * F.count_if("ok") / F.count(F.lit(1)), 4).alias("success_rate"),
+        F.round(F.avg("duration_ms"), 4).alias("mean_ms"), F.sum("tokens").alias("tokens"),
+    )
+
+
+def cache_statistics(requests: DataFrame, by: str) -> DataFrame:
+    """Per key of requests (hit): requests, hits, misses, hit rate in %."""
+    return requests.groupBy(by).agg(F.count(F.lit(1)).alias("requests"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.round(100 * F.count_if("hit") / F.count(F.lit(1)), 4).alias("hit_rate"))
+
+
+def task_totals(tasks: DataFrame) -> DataFrame:
+    """One row over tasks (status, began, ended): active, completed, failed, all, success rate in %, mean seconds of the completed."""
+    done = F.col("status") == "completed"
+    return tasks.agg(
+        F.count_if(F.col("status") == "active").alias("active"), F.count_if(done).alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), F.count(F.lit(1)).alias("tasks"),
+        F.round(100 * F.count_if(done) / F.count(F.lit(1)), 4).alias("success_rate"), F.round(F.avg(F.when(done, F.unix_timestamp("ended") - F.unix_timestamp("began"))), 4).alias("mean_seconds"),
+    )
+
+
+def unfinished_or_recent(tasks: DataFrame, now, hours: int = 24) -> DataFrame:
+    """tasks without those that ended more than so many hours before now (a column)."""
+    return tasks.where(F.col("ended").isNull() | (F.col("ended") > now - F.make_dt_interval(hours=F.lit(hours))))
+
+
+def overview(documents: DataFrame, chunks: DataFrame, messages: DataFrame) -> DataFrame:
+    """One row: documents, chunks, chunks a document, sessions, messages, messages a session, bytes.
+
+    documents: doc_id, size; chunks: doc_id; messages: session_id. Each is added up by itself."""
+    d = documents.agg(F.count(F.lit(1)).alias("documents"), F.sum("size").alias("bytes"))
+    c = chunks.agg(F.count(F.lit(1)).alias("chunks"))
+    m = messages.agg(F.countDistinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("messages"))
+    one = d.join(F.broadcast(c)).join(F.broadcast(m))  # one row each
+    share = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 2)).otherwise(0.0)
+    return one.select("*", share("chunks", "documents").alias("chunks_per_document"), share("messages", "sessions").alias("messages_per_session"))

@@ -59,3 +59,20 @@ def statistics(answers: DataFrame) -> DataFrame:
 def usage(answers: DataFrame) -> DataFrame:
     """How many answers cite each number."""
     return answers.select(F.explode(extracted(F.col("answer"))).alias("number")).groupBy("number").agg(F.count(F.lit(1)).alias("answers"))
+
+
+def reference_section(sources: Column, cited: Column, style: str = "numeric") -> Column:
+    """The cited ones of an array of sources, counted anew from 1, in the layout of a style; empty without any."""
+    good = F.filter(cited, lambda n: n.between(1, F.size(sources)))
+    entries = {"numeric": "[%d] %s", "verbose": "Source %d: %s", "academic": "(%d) %s", "minimal": "%d. %s", "footnote": "^%d %s"}
+    lines = F.transform(good, lambda n, i: F.format_string(entries[style], i + 1, F.element_at(sources, n)["file_name"]))
+    body = F.array_join(lines, " " if style == "minimal" else "\n")
+    headed = F.concat(F.lit("References:\n"), body) if style in ("verbose", "academic") else body
+    return F.when(F.size(good) == 0, "").otherwise(headed)
+
+
+def replaced(text: Column, numbers: Column) -> Column:
+    """Each [n] with what the map `numbers` has for n; others stay. All at once: a replacement is not replaced again."""
+    parts = F.split(text, r"(?=\[\d+\])|(?<=\])")
+    new = F.transform(parts, lambda p: F.coalesce(F.when(p.rlike(r"^\[\d+\]$"), F.try_element_at(numbers, F.regexp_extract(p, r"^\[(\d+)\]$", 1).try_cast("int"))), p))
+    return F.array_join(new, "")

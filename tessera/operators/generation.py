@@ -17,8 +17,10 @@ PROMPT_WORDS = {
     "conversational": ["tell me about", "explain", "discuss", "talk about"],
 }
 TEMPERATURE_SHIFT = {"qa": -0.2, "creative": 0.3, "analytical": -0.1, "summary": -0.15, "comparison": 0.1}
-FACTUAL = ["what is", "who is", "when did", "where is", "how many", "how much", "definition of", "meaning of", "calculate"]
+FACTUAL = ["what is", "who is", "when did", "where is", "how many", "how much", "number of", "definition of", "meaning of", "calculate"]
 WINDOWS = {"gpt-3.5-turbo": 4096, "mistral:7b": 8192}
+#: The share of the window that a context may fill; fixed values.
+CONTEXT_SHARE = {"qa": 0.6, "summary": 0.8, "analytical": 0.7, "comparison": 0.5, "extraction": 0.6, "creative": 0.4, "conversational": 0.5}
 INSTRUCTIONS = {
     "qa": "Answer the question from the context alone.",
     "summary": "Sum up the context.",
@@ -96,16 +98,19 @@ def window(model: Column, default: int = 8192) -> Column:
     return out
 
 
-def prompts(rows: DataFrame, size: int = 8192, completion: int = 1000, share: float = 0.8) -> DataFrame:
+def prompts(rows: DataFrame, size: int = 8192, completion: int = 1000) -> DataFrame:
     """query_id, kind, system, user, tokens, fits. rows: query_id, query, context.
 
-    The context is cut to whole words within the smaller of what the completion leaves and its share of the window."""
+    The context is cut to whole words within the smaller of what the completion leaves and its kind's share of the window."""
     kind = prompt_type(F.col("query"))
     system = F.lit(INSTRUCTIONS["qa"])
     for k, text in INSTRUCTIONS.items():
         system = F.when(F.col("kind") == k, text).otherwise(system)
     fixed = rows.withColumn("kind", kind).withColumn("system", system)
-    room = F.least(F.lit(size - completion - 100) - prompt_tokens("system") - prompt_tokens("query"), F.lit(int(size * share)))
+    most = F.lit(int(size * CONTEXT_SHARE["qa"]))
+    for k, share in CONTEXT_SHARE.items():
+        most = F.when(F.col("kind") == k, int(size * share)).otherwise(most)
+    room = F.least(F.lit(size - completion - 100) - prompt_tokens("system") - prompt_tokens("query"), most)
     # The estimate is 1.3 * 1.05 tokens a word.
     words = F.filter(F.split("context", r"\s+"), lambda w: w != "")
     keep = F.greatest(F.lit(0), F.floor(room / 1.365)).cast("int")
@@ -139,3 +144,35 @@ def answered(rows: DataFrame, call, column: str = "user", out: str = "answer") -
             return pd.Series([None] * len(texts), dtype="object")
 
     return rows.withColumn(out, run(column))
+
+
+#: What is said when no model answers; fixed by the hash of the question.
+GREETINGS = ["Hello, how can I help you with your documents?", "I can look things up in your documents. What would you like to know?", "Ask me about the documents that you have uploaded."]
+
+
+def general_prompts(rows: DataFrame, kept: int = 5) -> DataFrame:
+    """rows (query_id, query, history: array of role and text) with user, the last turns and the question, and fallback, a stock reply."""
+    turns = F.transform(F.slice("history", F.greatest(F.lit(1), F.size("history") - kept + 1), kept), lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
+    stock = F.element_at(F.array(*map(F.lit, GREETINGS)), (F.pmod(F.crc32("query"), F.lit(len(GREETINGS))) + 1).cast("int"))
+    return rows.withColumn("user", F.concat_ws("\n", F.array_join(turns, "\n"), F.concat(F.lit("user: "), F.col("query")))).withColumn("fallback", stock)
+
+
+def responses(asked: DataFrame, hits: DataFrame, classify, call, max_tokens: int = 8192) -> DataFrame:
+    """query_id, kind, answer, cited: each question routed to documents or to talk, answered by call, citations counted anew.
+
+    asked: query_id, query; hits: chunks of the questions, as context.assembled takes them; classify(queries column)
+    -> reply column of a classifier, for query_class; call: as for answered(). A question whose call fails, or that has
+    no chunks, gets a stock reply."""
+    from . import citations, context
+
+    sorted_ = asked.withColumn("kind", query_class(classify(F.col("query")))["type"])
+    chosen = context.within_budget(hits, max_tokens)
+    n = chosen.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("n_sources"))
+    with_text = sorted_.join(context.assembled(chosen), "query_id", "left").join(n, "query_id", "left")
+    known = with_text.where((F.col("kind") == "rag") & F.col("context").isNotNull())
+    said = answered(prompts(known.select("query_id", "query", "context")).select("query_id", "user"), call)
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    stock = general_prompts(with_text.select("query_id", "query", none.alias("history"))).select("query_id", "fallback")
+    made = with_text.join(said.select("query_id", "answer"), "query_id", "left").join(stock, "query_id")
+    answer = F.coalesce(citations.renumbered(F.col("answer"), F.coalesce("n_sources", F.lit(0))), F.col("fallback"))
+    return made.select("query_id", "kind", answer.alias("answer"), F.size(citations.extracted(answer)).alias("cited"))

@@ -76,13 +76,21 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, same: bool = Tr
         out = []
         if len(left) and len(right):
             ids, x = left.doc_id.to_numpy(), np.array(left.v.tolist())
-            for query, one in zip(right.query_id, right.v, strict=True):
-                d2 = ((x - np.asarray(one)) ** 2).sum(1)
+            squares = (x**2).sum(1)
+            for at in range(0, len(right), 256):
+                part = right.iloc[at : at + 256]
+                q = np.array(part.v.tolist())
+                near = squares[None, :] - 2 * q @ x.T  # but for the query's own square, the distance
                 if not same:
-                    d2[ids == query] = np.inf
-                best = np.lexsort((ids, d2))[:k]
-                best = best[np.isfinite(d2[best])]
-                out.append(pd.DataFrame({"query_id": query, "doc_id": ids[best], "distance": d2[best]}))
+                    near[part.query_id.to_numpy()[:, None] == ids[None, :]] = np.inf
+                kept = np.argpartition(near, min(k + 8, near.shape[1] - 1), axis=1)[:, : k + 9]
+                for query, one, row, pick in zip(part.query_id, q, near, kept, strict=True):
+                    # Distances cancel in products: the nearest and what comes close to them are measured outright.
+                    least = row[pick].max()
+                    pick = np.flatnonzero(row <= least + 1e-9 * (1 + abs(least))) if np.isfinite(least) else pick[np.isfinite(row[pick])]
+                    d2 = ((x[pick] - one) ** 2).sum(1)
+                    best = np.lexsort((ids[pick], d2))[:k]
+                    out.append(pd.DataFrame({"query_id": query, "doc_id": ids[pick][best], "distance": d2[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "distance": []}).astype({"query_id": "i8", "doc_id": "i8"})
 
     met = v.groupBy("bv", "bq").cogroup(q.groupBy("bv", "bq")).applyInPandas(run, "query_id long, doc_id long, distance double")

@@ -34,6 +34,11 @@ def looked_up(hits: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> Data
     return hits.join(chunks, key, "inner")
 
 
+def document(documents: DataFrame, doc_id) -> DataFrame:
+    """The row of one document, or none: a filter that reaches the files."""
+    return documents.where(F.col("doc_id") == F.lit(doc_id))
+
+
 def document_rows(chunks: DataFrame) -> DataFrame:
     """One row per document from its first chunk, with the number of chunks."""
     first = F.min_by("metadata", F.struct("chunk_index", "metadata"))
@@ -67,6 +72,16 @@ class Backups:
         rows.write.parquet(f"{self.path}/v={n}")
         return n
 
+    def due(self, processed: int, every: int = 1000) -> bool:
+        """Whether so many documents since the last version call for another."""
+        return processed >= every
+
+    def statistics(self) -> DataFrame:
+        """One row: versions, their bytes, the oldest and the newest number."""
+        _, fs = self._fs()
+        rows = [(v, fs.getContentSummary(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={v}")).getLength()) for v in self.versions()]
+        return self.spark.createDataFrame(rows, "version int, bytes long").agg(F.count(F.lit(1)).alias("versions"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.min("version").alias("oldest"), F.max("version").alias("newest"))
+
     def restore(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/v={version or self.versions()[0]}")
 

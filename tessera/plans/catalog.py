@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import checks, text, tokens, vectors
+from ..functions import bpe, checks, text, tokens, vectors
 from ..operators import analytics, chunking, citations, context, embedding, exports, generation, index, layout, retrieval, store
 from ..sources import files
 from ..sources.shared import new_path
@@ -49,6 +49,20 @@ def _tokens(x: str, n: str = "") -> str:
     return f"(CASE WHEN length({x}) = 0 THEN 0 ELSE greatest(1, {n}, least(CAST(floor(CASE WHEN length({x}) < 1000 THEN {n} * 1.33::DOUBLE ELSE ({n} * 1.3::DOUBLE + length({x}) / 4.0::DOUBLE) / 2 END) AS INT), length({x}) // 2)) END)"
 
 
+# Greedy packing in DuckDB: a table u (doc_id, ord, p, n, key) to groups (doc_id, c, text).
+
+
+def _grouped(units: str, size: int, name: str, by: str = "doc_id", joint: str = "' '") -> str:
+    opens = f"(len(a.cs) = 0 OR a.n + x.n > {size} OR a.key <> x.key)"
+    return f"""
+{name}_l AS (SELECT {by}, list(struct_pack(n := n::INT, key := key::INT, c := -1::INT, cs := []::INT[]) ORDER BY ord) AS l FROM {units} GROUP BY ALL),
+{name}_c AS (SELECT {by}, list_reduce(l, lambda a, x: struct_pack(n := (CASE WHEN {opens} THEN x.n ELSE a.n + x.n END)::INT, key := x.key, c := (a.c + {opens}::INT)::INT, cs := list_append(a.cs, (a.c + {opens}::INT)::INT)),
+  struct_pack(n := 0::INT, key := -9::INT, c := -1::INT, cs := []::INT[])).cs AS cs FROM {name}_l),
+{name}_o AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ord) AS r FROM {units}),
+{name}_u AS (SELECT {by}, unnest(cs) AS c, generate_subscripts(cs, 1) AS r FROM {name}_c),
+{name} AS (SELECT {by}, c, string_agg(p, {joint} ORDER BY r) AS text FROM {name}_o JOIN {name}_u USING ({by}, r) GROUP BY ALL)"""
+
+
 # --- token estimates and texts -------------------------------------------------------------------
 
 
@@ -82,9 +96,19 @@ def token_budget(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", k.alias("tokens"), tokens.fits(k).alias("fits"), tokens.completion_budget(k).alias("completion"), tokens.cost(k).alias("cost"), tokens.keep_words("text", 40).alias("head"), tokens.keep_words("text", 40, "start").alias("tail"))
 
 
-@query()
+_ENTITIES = (("&quot;", "chr(34)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&#39;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'"))
+_BARE = "regexp_replace(html, '<[^>]+>', '', 'g')"
+for _name, _sign in _ENTITIES:
+    _BARE = f"replace({_BARE}, '{_name}', {_sign})"
+
+
+@query(rf"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace({_BARE}, 'https?://[^\s]+', ' ', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}', ' ', 'g') AS a FROM pages),
+q AS (SELECT page_id, translate(a, '“”«»‘’‹›•◦▪▫⬩▹▸►▻→', repeat(chr(34), 4) || repeat(chr(39), 4) || repeat('•', 10)) AS a FROM a)
+SELECT page_id, trim(regexp_replace(regexp_replace(a, '[ \t\r\f]+', ' ', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), E' \t\n\r') AS text FROM q
+""")
 def cleaned_pages(spark, sf_dir):
-    """Entities are resolved in Python, which SQL cannot; tests hold it against html.unescape."""
+    """The SQL resolves the entities that the tables have; the operator all there are."""
     return t(spark, sf_dir, "pages").select("page_id", text.clean("html", urls=True, emails=True).alias("text"))
 
 
@@ -153,7 +177,14 @@ def text_measures(spark, sf_dir):
     return files.text_measures(documents(spark, sf_dir))
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+m AS (SELECT doc_id, sha256(string_agg(CASE WHEN upper(trim(x)) = trim(x) AND lower(trim(x)) <> trim(x) AND length(trim(x)) < 100 THEN '[HEADER] ' || x WHEN regexp_matches(trim(x), '^[\d•\-*]\s') THEN '[LIST] ' || x ELSE x END, chr(10) ORDER BY i)) AS marked FROM l GROUP BY doc_id),
+p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?]+'), lambda p: trim(p)), lambda p: p <> '') AS ps FROM documents),
+u AS (SELECT doc_id, generate_subscripts(ps, 1) AS ord, unnest(ps) AS p FROM p), u2 AS (SELECT *, length(p) + 2 AS n, 0 AS key FROM u),""" + _grouped("u2", 504, "g", joint="'. '") + """,
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT doc_id, marked, CAST(coalesce(n, 0) AS INT) AS sections FROM m LEFT JOIN s USING (doc_id)
+""")
 def marked_structure(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.sha2(text.marked_structure("text"), 256).alias("marked"), F.size(text.sections("text", 500)).alias("sections"))
 
@@ -172,20 +203,6 @@ def document_structure(spark, sf_dir):
     return chunking.structure(documents(spark, sf_dir))
 
 
-# Greedy packing in DuckDB: a table u (doc_id, ord, p, n, key) to groups (doc_id, c, text).
-
-
-def _grouped(units: str, size: int, name: str, by: str = "doc_id", joint: str = "' '") -> str:
-    opens = f"(len(a.cs) = 0 OR a.n + x.n > {size} OR a.key <> x.key)"
-    return f"""
-{name}_l AS (SELECT {by}, list(struct_pack(n := n::INT, key := key::INT, c := -1::INT, cs := []::INT[]) ORDER BY ord) AS l FROM {units} GROUP BY ALL),
-{name}_c AS (SELECT {by}, list_reduce(l, lambda a, x: struct_pack(n := (CASE WHEN {opens} THEN x.n ELSE a.n + x.n END)::INT, key := x.key, c := (a.c + {opens}::INT)::INT, cs := list_append(a.cs, (a.c + {opens}::INT)::INT)),
-  struct_pack(n := 0::INT, key := -9::INT, c := -1::INT, cs := []::INT[])).cs AS cs FROM {name}_l),
-{name}_o AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY ord) AS r FROM {units}),
-{name}_u AS (SELECT {by}, unnest(cs) AS c, generate_subscripts(cs, 1) AS r FROM {name}_c),
-{name} AS (SELECT {by}, c, string_agg(p, {joint} ORDER BY r) AS text FROM {name}_o JOIN {name}_u USING ({by}, r) GROUP BY ALL)"""
-
-
 def _sentences_of(x: str) -> str:
     held = x
     for word in text.ABBREVIATIONS:
@@ -359,6 +376,7 @@ def semantic_breaks(spark, sf_dir):
 # --- retrieval -----------------------------------------------------------------------------------
 
 _TERMS = r"list_filter(list_transform(regexp_split_to_array(lower({x}), '\s+'), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda w: length(w) BETWEEN 2 AND 50)"
+_ASKED = "SELECT doc_id AS query_id, string_split(text, chr(10))[1] AS text FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT -1 - item_id, text FROM benchmark WHERE item_id % 50 = 0"
 _BM25 = f"""
 d AS (SELECT doc_id, {_TERMS.format(x="text")} AS terms FROM documents),
 n AS (SELECT count(*) AS n, avg(len(terms)) AS mean FROM d),
@@ -367,7 +385,8 @@ f AS (SELECT term, count(*) AS df, sum(tf) AS total_tf FROM p GROUP BY term),
 r AS MATERIALIZED (SELECT *, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw FROM f, n),
 e AS MATERIALIZED (SELECT avg(raw) AS mean_raw FROM r),
 i AS (SELECT term, df, total_tf, CASE WHEN raw < 0 THEN mean_raw * 0.25::DOUBLE ELSE raw END AS idf FROM r, e),
-q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TERMS.format(x="text")}) AS term FROM benchmark WHERE item_id % 50 = 0) GROUP BY ALL),
+asked AS ({_ASKED}),
+q AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_TERMS.format(x="text")}) AS term FROM asked) GROUP BY ALL),
 h AS (SELECT query_id, doc_id, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score FROM p JOIN i USING (term) JOIN q USING (term), n GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM h WHERE score > 0)"""
 
@@ -379,7 +398,9 @@ def bm25_terms(spark, sf_dir):
 
 
 def _asked(spark, sf_dir) -> DataFrame:
-    return t(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
+    """First lines of documents, and benchmark items, whose numbers are below zero here."""
+    items = t(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select((-1 - F.col("item_id")).alias("query_id"), "text")
+    return documents(spark, sf_dir).where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.split("text", "\n")[0].alias("text")).unionByName(items)
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM b WHERE rank <= 10")
@@ -448,7 +469,18 @@ def scores_normalised(spark, sf_dir):
     return retrieval.normalised(hits).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+_DISTINCT = "list_distinct({x})"
+_SHARE = "CASE WHEN len({a}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b})) / len({a})::DOUBLE END"
+
+
+@query(f"""
+WITH {_BM25}, c AS (SELECT b.query_id, doc_id, rank, {_DISTINCT.format(x=_TERMS.format(x="asked.text"))} AS qt, {_TERMS.format(x="documents.text")} AS dt FROM b JOIN documents USING (doc_id) JOIN asked ON asked.query_id = b.query_id WHERE rank <= 20),
+s AS (SELECT *, {_SHARE.format(a="qt", b="dt")} AS raw FROM c),
+m AS (SELECT *, max(raw) OVER w AS hi, min(raw) OVER w AS lo FROM s WINDOW w AS (PARTITION BY query_id)),
+z AS (SELECT query_id, doc_id, rank, CASE WHEN hi - lo < 1e-6 THEN 0.5 ELSE (raw - lo) / (hi - lo) END AS score FROM m),
+g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, rank) AS n FROM z)
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(n AS INT) AS rank FROM g WHERE n <= 10
+""")
 def retrieval_reranked(spark, sf_dir):
     d, q = documents(spark, sf_dir), _asked(spark, sf_dir)
     hits = retrieval.bm25(d, q, 20).join(d.select("doc_id", "text"), "doc_id").join(q.withColumnRenamed("text", "query"), "query_id")
@@ -487,7 +519,15 @@ def context_selected(spark, sf_dir):
     return context.within_budget(_chunks(spark, sf_dir), 8192).select("query_id", "chunk_id", "rank", "tokens")
 
 
-@query()
+@query(f"""
+WITH {_SELECTED},
+w2 AS (SELECT query_id, doc_id::VARCHAR AS chunk_id, CAST(rank AS INT) AS rank, tokens, false AS partial FROM z WHERE used <= 1848),
+cut_at AS (SELECT *, 1848 - (used - tokens - 25) - 25 AS left_over FROM z WHERE used > 1848 AND used - tokens - 25 <= 1848 AND 1848 - (used - tokens - 25) - 25 >= 200),
+pieces AS (SELECT query_id, doc_id, rank, left_over, generate_subscripts(ss, 1) AS i, unnest(ss) AS s FROM (SELECT *, string_split(text, '. ') AS ss FROM cut_at)),
+summed AS (SELECT *, sum(greatest(10, CAST(floor(floor(floor({_words('s')} * 1.8::DOUBLE) * 1.15::DOUBLE) * 1.10::DOUBLE) AS INT))) OVER (PARTITION BY query_id, doc_id ORDER BY i) AS so_far FROM pieces),
+kept AS (SELECT query_id, doc_id, rank, string_agg(s, '. ' ORDER BY i) AS text FROM summed WHERE so_far <= left_over GROUP BY ALL)
+SELECT * FROM w2 UNION ALL SELECT query_id, doc_id::VARCHAR || '_partial', CAST(rank AS INT), greatest(10, CAST(floor(floor(floor({_words('text')} * 1.8::DOUBLE) * 1.15::DOUBLE) * 1.10::DOUBLE) AS INT)), true FROM kept WHERE text <> ''
+""")
 def context_partial(spark, sf_dir):
     return context.within_budget(_chunks(spark, sf_dir), 2048, tokens.context_tokens).select("query_id", "chunk_id", "rank", "tokens", "partial")
 
@@ -561,7 +601,23 @@ def query_kinds(spark, sf_dir):
     return t(spark, sf_dir, "conversations").select("conv_id", "turn", generation.prompt_type(F.col("text")).alias("kind"), generation.complexity(F.col("text")).alias("complexity"))
 
 
-@query()
+_CONTEXT = f"""{_SELECTED},
+held AS (SELECT query_id, string_agg('[' || (rank::INT)::VARCHAR || '] (Section: ' || lang || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM z WHERE used <= 7992 GROUP BY query_id),
+questions AS (SELECT query_id, asked.text AS query, lower(asked.text) AS q, context, {_words('asked.text')} AS qw, {_words('context')} AS cw FROM held JOIN asked USING (query_id)),
+kinds AS (SELECT *, {_KINDS} AS kind FROM questions)"""
+_SHIFTS = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in generation.TEMPERATURE_SHIFT.items()) + " ELSE 0.0 END::DOUBLE"
+_FACTUAL = " OR ".join(f"contains(q, '{w}')" for w in generation.FACTUAL)
+
+
+@query(f"""
+WITH {_CONTEXT},
+hardness AS (SELECT *, CASE WHEN contains(q, 'compare') OR contains(q, 'contrast') OR contains(q, 'difference') THEN 0.8 WHEN (contains(q, 'why') OR contains(q, 'how') OR contains(q, 'explain')) AND qw > 15 THEN 0.7 WHEN qw > 20 THEN 0.6 ELSE 0.3 END::DOUBLE AS hard,
+  len(regexp_extract_all(context, '\\.')) AS stops, least(cw / 500.0::DOUBLE, 1) AS long, least(len(regexp_extract_all(context, '\\[')) / 5.0::DOUBLE, 1) AS cited FROM kinds),
+qualities AS (SELECT *, CASE WHEN stops > 0 THEN (long + cited + 1 - least(abs(cw / stops::DOUBLE - 20) / 50.0::DOUBLE, 1)) / 3 ELSE (long + cited) / 2 END AS quality FROM hardness),
+shifted AS (SELECT *, round(greatest(0.1, least(0.1::DOUBLE + {_SHIFTS} + CASE WHEN hard > 0.7 THEN 0.1 WHEN hard < 0.3 THEN -0.1 ELSE 0.0 END::DOUBLE + CASE WHEN quality < 0.5 THEN 0.15 ELSE 0.0 END::DOUBLE, 0.8)), 2) AS adaptive FROM qualities)
+SELECT query_id, kind, round(quality, 6) AS quality, adaptive, (CASE WHEN kind = 'creative' THEN 0.8 WHEN kind = 'analytical' THEN 0.3 WHEN kind = 'qa' AND ({_FACTUAL}) THEN 0.1 WHEN kind = 'qa' THEN 0.4 WHEN kind = 'summary' THEN 0.2 ELSE 0.1 END)::DOUBLE AS progressive,
+  (CASE WHEN adaptive < 0.3 THEN 0.95 WHEN adaptive > 0.7 THEN 0.7 ELSE 0.9 END)::DOUBLE AS top_p FROM shifted
+""")
 def temperatures(spark, sf_dir):
     made = context.assembled(context.within_budget(_chunks(spark, sf_dir), 8192)).join(_asked(spark, sf_dir), "query_id")
     kind = generation.prompt_type(F.col("text"))
@@ -569,7 +625,19 @@ def temperatures(spark, sf_dir):
     return made.select("query_id", kind.alias("kind"), F.round(generation.context_quality(F.col("context")), 6).alias("quality"), adaptive.alias("adaptive"), generation.progressive_temperature(F.col("text"), kind).alias("progressive"), generation.sampling(adaptive)["top_p"].alias("top_p"))
 
 
-@query()
+_SYSTEM = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in generation.INSTRUCTIONS.items()) + " END"
+_MOST = "CASE kind " + " ".join(f"WHEN '{k}' THEN {int(8192 * v)}" for k, v in generation.CONTEXT_SHARE.items()) + " END"
+_PROMPT = "CAST(floor(floor({n} * 1.3::DOUBLE) * 1.05::DOUBLE) AS INT)"
+
+
+@query(f"""
+WITH {_CONTEXT}, systems AS (SELECT *, {_SYSTEM} AS system FROM kinds),
+rooms AS (SELECT *, least(7092 - {_PROMPT.format(n=_words('system'))} - {_PROMPT.format(n='qw')}, {_MOST}) AS room FROM systems),
+cuts AS (SELECT query_id, kind, system, query, CASE WHEN {_PROMPT.format(n='cw')} <= room THEN context ELSE array_to_string(list_slice(list_filter(regexp_split_to_array(context, '\\s+'), lambda w: w <> ''), 1, greatest(0, CAST(floor(room / 1.365::DOUBLE) AS INT))), ' ') END AS c FROM rooms),
+users AS (SELECT query_id, kind, system, 'Context:' || chr(10) || c || chr(10) || chr(10) || 'Question: ' || query AS usr FROM cuts),
+measured AS (SELECT *, {_PROMPT.format(n=_words('system'))} + {_PROMPT.format(n=_words('usr'))} AS tokens FROM users)
+SELECT query_id, kind, system, sha256(usr) AS "user", tokens, tokens + 1000 <= 8192 AS fits FROM measured
+""")
 def prompts(spark, sf_dir):
     made = context.assembled(context.within_budget(_chunks(spark, sf_dir), 8192)).join(_asked(spark, sf_dir).withColumnRenamed("text", "query"), "query_id")
     return generation.prompts(made).withColumn("user", F.sha2("user", 256))
@@ -627,7 +695,13 @@ def evaluations(spark, sf_dir):
     return analytics.lexical_evaluation(_evaluated(spark, sf_dir)).drop("overall")
 
 
-@query()
+_METRICS = ("answer_relevancy", "faithfulness", "context_relevancy", "context_utilisation", "overall")
+
+
+@query(f"""
+WITH {_EVALUATED}, o AS (SELECT *, round((0.4::DOUBLE * answer_relevancy + 0.3::DOUBLE * faithfulness + 0.1::DOUBLE * context_relevancy + 0.2::DOUBLE * context_utilisation) / 1.0::DOUBLE, 3) AS overall FROM e)
+SELECT lang, count(*) AS n, {", ".join(f"round(avg({m}), 3) AS mean_{m}, round(coalesce(stddev_samp({m}), 0), 3) AS sd_{m}" for m in _METRICS)}, min(overall) AS least, max(overall) AS most FROM o GROUP BY lang
+""")
 def evaluation_statistics(spark, sf_dir):
     rows = _evaluated(spark, sf_dir)
     return analytics.evaluation_statistics(analytics.lexical_evaluation(rows).join(rows.select("id", "lang"), "id"), "lang")
@@ -713,7 +787,14 @@ def sessions_removed(spark, sf_dir):
     return exports.without_session(c, c.groupBy("session_id").count().where("count > 5"))
 
 
-@query()
+@query(r"""
+WITH d AS (SELECT doc_id, w, unnest(range(0, len(w), 12)) AS b FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)),
+l AS (SELECT doc_id, b // 12 AS line, list_slice(w, b + 1, b + 12) AS ws FROM d),
+k AS (SELECT doc_id, line, len(ws) > 6 AND line % 3 = 0 AS gap, array_to_string(ws, ' ') AS plain, array_to_string(ws, ' | ') AS cells FROM l),
+x AS (SELECT doc_id, CASE WHEN gap THEN 'table' WHEN regexp_matches(trim(plain), '^([•●▪◦*\-–]|\d+[.):]|[a-z][.):])\s') THEN 'bullet'
+  WHEN length(regexp_replace(plain, '[^\p{L}]', '', 'g')) > 0 AND length(regexp_replace(plain, '[^\p{Lu}]', '', 'g')) / length(regexp_replace(plain, '[^\p{L}]', '', 'g'))::DOUBLE > 0.7 THEN 'heading' ELSE 'text' END AS kind FROM k)
+SELECT doc_id AS page_id, kind, count(*) AS n_lines FROM x GROUP BY ALL
+""")
 def page_layout(spark, sf_dir):
     """Words of documents as boxes of a page, 12 a line, with one wide gap in every third line."""
     d = documents(spark, sf_dir).select("doc_id", F.posexplode(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("i", "text"))
@@ -756,3 +837,206 @@ def embedding_validity(spark, sf_dir):
 def embedding_rate(spark, sf_dir):
     made = embedding.once_per_text(documents(spark, sf_dir), vectors.hashing_embedder())
     return embedding.processing(made, "lang")
+
+
+# --- exact tokens, files, answers, tasks ---------------------------------------------------------------
+
+
+@query("SELECT doc_id, sha256(text) AS restored, sha256(text) AS joined, true AS head_begins, true AS fits FROM documents")
+def tokens_exact(spark, sf_dir):
+    """Ids lead back to the text, whole and in windows; a text cut at a token begins the text, and has no more tokens than asked for."""
+    head = F.col("b.head")
+    d = documents(spark, sf_dir).withColumn("ids", bpe.ids("text")).withColumn("b", bpe.boundary("text", 100))
+    whole = F.regexp_replace(head, "\ufffd+$", "")
+    return d.select("doc_id", F.sha2(bpe.text_of("ids"), 256).alias("restored"), F.sha2(F.array_join(bpe.windows("text", 1_000_000), ""), 256).alias("joined"), F.startswith("text", whole).alias("head_begins"), (bpe.count(whole) <= 100).alias("fits"))
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents), w AS (SELECT *, {_words('x')} AS n FROM d), k AS (SELECT *, {_tokens('x', 'n')} AS k FROM w)
+SELECT doc_id, CAST(k AS INT) AS tokens, CAST(length(x) AS INT) AS chars, CAST(n AS INT) AS words, CASE WHEN k > 0 THEN round(length(x) / k::DOUBLE, 6) ELSE 0.0 END::DOUBLE AS chars_per_token, CASE WHEN n > 0 THEN round(k / n::DOUBLE, 6) ELSE 0.0 END::DOUBLE AS tokens_per_word FROM k
+""")
+def token_statistics(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in tokens.token_stats("text").items()])
+
+
+@query(f"""
+WITH m AS (SELECT conv_id, CAST(floor(floor({_words('text')} * 1.3::DOUBLE) * 1.05::DOUBLE) AS INT) + CAST(floor(floor({_words('role')} * 1.3::DOUBLE) * 1.05::DOUBLE) AS INT) + 5 AS n FROM conversations)
+SELECT conv_id, CAST(sum(n) AS BIGINT) AS tokens FROM m GROUP BY conv_id
+""")
+def message_tokens(spark, sf_dir):
+    return t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(tokens.message_tokens("text", "role")).alias("tokens"))
+
+
+@query(r"SELECT page_id, url LIKE '%.pdf' AS pdf, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '’', chr(39)), '‘', chr(39)), '“', chr(34)), '”', chr(34)), '—', '-'), '–', '-'), '…', '...'), 'l ', 'I '), '[\s ]+', ' ', 'g'))) AS folded FROM pages")
+def recognised_text(spark, sf_dir):
+    p = t(spark, sf_dir, "pages")
+    return p.select("page_id", (checks.media_type("url") == "application/pdf").alias("pdf"), F.sha2(text.ocr_folded("html"), 256).alias("folded"))
+
+
+def _made_files(spark, sf_dir) -> DataFrame:
+    """Documents as files of several kinds, made by Spark from the table: plain text in four encodings, word files with a table, archives of two."""
+    import pandas as pd
+
+    def run(frames):
+        for f in frames:
+            rows = [(f"/{i}.{ext}", f"{i}.{ext}", kind, data) for i, body, lang in zip(f.doc_id, f.text, f.lang, strict=True) for ext, kind, data in files.samples(int(i), body or "", lang or "")]
+            yield pd.DataFrame(rows, columns=["path", "name", "kind", "content"])
+
+    return documents(spark, sf_dir).select("doc_id", "text", "lang").mapInPandas(run, "path string, name string, kind string, content binary")
+
+
+_MADE = """
+f AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, doc_id % 4 AS m FROM documents)"""
+
+
+@query(f"""
+WITH {_MADE}
+SELECT '/' || doc_id || '.txt' AS path, CASE m WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' ELSE 'utf-16' END AS encoding, sha256(text) AS text FROM f WHERE m < 3
+""")
+def files_decoded(spark, sf_dir):
+    found = _made_files(spark, sf_dir).where("kind = 'txt'")
+    return files.properties(found).select("path", "encoding").join(files.documents(files.parsed(found)).select("path", F.sha2("text", 256).alias("text")), "path")
+
+
+@query(f"""
+WITH {_MADE}, l AS (SELECT doc_id, text, lang, list_filter(string_split(text, chr(10)), lambda x: trim(x, E' \\t\\n\\r') <> '') AS ls FROM f)
+SELECT '/' || doc_id || '.docx' AS path, 'Document ' || doc_id AS title, lang AS author, CAST(len(ls) + 1 AS INT) AS paragraphs, 1 AS sections, CAST(greatest(1, (len(ls) + 1) // 50) AS INT) AS pages,
+  sha256('[HEADING 1] Text' || chr(10) || array_to_string(list_transform(ls, lambda x: x || chr(10)), '') || '[TABLE 1]' || chr(10) || 'lang | ' || lang || chr(10) || 'id | ' || doc_id) AS text FROM l
+""")
+def files_word(spark, sf_dir):
+    """Word files: properties, paragraphs, headings and tables."""
+    found = _made_files(spark, sf_dir).where("kind = 'docx'")
+    held = files.properties(found).select("path", "title", F.coalesce("author", F.lit("")).alias("author"), "paragraphs", "sections", "pages")
+    return held.join(files.documents(files.parsed(found)).select("path", F.sha2("text", 256).alias("text")), "path")
+
+
+@query(f"""
+WITH {_MADE}, z AS (SELECT * FROM f WHERE m = 3)
+SELECT '/' || doc_id || '.zip' AS path, 2::BIGINT AS members, CAST(2 * octet_length(encode(text)) AS BIGINT) AS bytes, sha256('[FILE: a.txt]' || chr(10) || text || chr(10) || '[FILE: b.md]' || chr(10) || text) AS text FROM z
+""")
+def files_archived(spark, sf_dir):
+    """Archives: their members by name without unpacking, and their texts."""
+    found = _made_files(spark, sf_dir).where("kind = 'archive'")
+    names = files.listed(found).where("NOT name LIKE '__MACOSX%'").groupBy("path").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes"))
+    return names.join(files.documents(files.parsed(found)).select("path", F.sha2("text", 256).alias("text")), "path")
+
+
+@query(f"""
+WITH l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS s, text FROM documents), q AS (SELECT id, s[1] AS query, coalesce(s[2], '') AS answer, text AS context FROM l),
+w AS (SELECT *, {_words('answer')} AS aw, {_words('context')} AS cw, list_distinct(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '')) AS qs, list_distinct(list_filter(regexp_split_to_array(lower(answer), '\\s+'), lambda x: x <> '')) AS ans FROM q)
+SELECT id, CAST(aw AS INT) AS answer_words, CAST(length(answer) AS INT) AS answer_chars, CAST(len(regexp_extract_all(answer, '\\[\\d+\\]')) AS INT) AS citations, round(least(1.0, aw / greatest(1, cw)::DOUBLE), 6)::DOUBLE AS context_use,
+  round(len(list_intersect(qs, ans)) / greatest(1, len(qs))::DOUBLE, 6) AS overlap FROM w
+""")
+def answer_quality(spark, sf_dir):
+    return analytics.answer_quality(_evaluated(spark, sf_dir))
+
+
+@query("""
+WITH c AS (SELECT event_type, value, event_id % 7 <> 0 AS ok FROM events)
+SELECT event_type, count(*) AS calls, count(*) FILTER (NOT ok) AS failed, round(100.0::DOUBLE * count(*) FILTER (ok) / count(*), 4) AS success_rate, round(avg(value), 4) AS mean_ms, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS tokens FROM c GROUP BY event_type
+""")
+def generation_statistics(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 7 != 0).alias("ok"), F.col("value").alias("duration_ms"), F.floor("value").alias("tokens"))
+    return analytics.generation_statistics(e, "event_type")
+
+
+@query("""
+WITH h AS (SELECT source, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS hit FROM documents)
+SELECT source, count(*) AS requests, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(100.0::DOUBLE * count(*) FILTER (hit) / count(*), 4) AS hit_rate FROM h GROUP BY source
+""")
+def cache_hits(spark, sf_dir):
+    """Documents asked for in order of their ids: a text seen before is a hit."""
+    d = documents(spark, sf_dir).select("doc_id", "source", F.sha2("text", 256).alias("key"))
+    first = d.groupBy("key").agg(F.min("doc_id").alias("first"))
+    return analytics.cache_statistics(d.join(first, "key").select("source", (F.col("doc_id") != F.col("first")).alias("hit")), "source")
+
+
+_TASKS = """
+k AS (SELECT user_id, min(ts) AS began, max(ts) AS latest, count(*) AS n FROM events GROUP BY user_id),
+s AS (SELECT *, CASE WHEN n % 5 = 0 THEN 'failed' WHEN n % 3 = 0 THEN 'active' ELSE 'completed' END AS status FROM k),
+x AS (SELECT *, CASE WHEN status <> 'active' THEN latest END AS ended FROM s)"""
+
+
+def _tasks(spark, sf_dir) -> DataFrame:
+    k = t(spark, sf_dir, "events").groupBy("user_id").agg(F.min("ts").alias("began"), F.max("ts").alias("latest"), F.count(F.lit(1)).alias("n"))
+    s = k.withColumn("status", F.when(F.col("n") % 5 == 0, "failed").when(F.col("n") % 3 == 0, "active").otherwise("completed"))
+    return s.select(F.col("user_id").alias("task_id"), "status", F.col("began").cast("timestamp").alias("began"), F.when(F.col("status") != "active", F.col("latest").cast("timestamp")).alias("ended"))
+
+
+@query(f"""
+WITH {_TASKS}
+SELECT count(*) FILTER (status = 'active') AS active, count(*) FILTER (status = 'completed') AS completed, count(*) FILTER (status = 'failed') AS failed, count(*) AS tasks, round(100.0::DOUBLE * count(*) FILTER (status = 'completed') / count(*), 4) AS success_rate,
+  round(avg(CASE WHEN status = 'completed' THEN floor(epoch(ended)) - floor(epoch(began)) END), 4) AS mean_seconds FROM x
+""")
+def task_totals(spark, sf_dir):
+    return analytics.task_totals(_tasks(spark, sf_dir))
+
+
+@query(f"WITH {_TASKS}, m AS (SELECT max(latest) AS now FROM k) SELECT user_id AS task_id, status FROM x, m WHERE ended IS NULL OR ended > now - INTERVAL 24 HOUR")
+def tasks_kept(spark, sf_dir):
+    tasks = _tasks(spark, sf_dir)
+    now = t(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("now"))
+    return analytics.unfinished_or_recent(tasks.join(F.broadcast(now)), F.col("now")).select("task_id", "status")
+
+
+@query(f"""
+WITH {_fixed(512, 0)}, d AS (SELECT count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents), c AS (SELECT count(*) AS chunks FROM k), m AS (SELECT count(DISTINCT conv_id) AS sessions, count(*) AS messages FROM conversations)
+SELECT *, round(chunks / documents::DOUBLE, 2) AS chunks_per_document, round(messages / sessions::DOUBLE, 2) AS messages_per_session FROM d, c, m
+""")
+def overview(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    chunks = chunking.fixed(documents(spark, sf_dir), 512, 0)
+    return analytics.overview(d.select("doc_id", F.col("n_chars").alias("size")), chunks.select("doc_id"), t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")))
+
+
+@query(f"""
+WITH {_ANSWERS}, s AS (SELECT answer_id, list_filter(cited, lambda n: n BETWEEN 1 AND 3) AS good FROM c)
+SELECT answer_id, CASE WHEN len(good) = 0 THEN '' ELSE 'References:' || chr(10) || array_to_string(list_transform(good, lambda n, i: '(' || i || ') file' || n || '.txt'), chr(10)) END AS refs FROM s
+""")
+def reference_sections(spark, sf_dir):
+    sources = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.struct(F.concat(F.lit("file"), n.cast("string"), F.lit(".txt")).alias("file_name")))
+    return _answers(spark, sf_dir).select("answer_id", citations.reference_section(sources, citations.extracted(F.col("answer")), "academic").alias("refs"))
+
+
+@query(f"WITH {_ANSWERS} SELECT answer_id, replace(replace(answer, '[1]', '(first)'), '[2]', '(second)') AS answer FROM a")
+def markers_replaced(spark, sf_dir):
+    numbers = F.create_map(F.lit(1), F.lit("(first)"), F.lit(2), F.lit("(second)"))
+    return _answers(spark, sf_dir).select("answer_id", citations.replaced(F.col("answer"), numbers).alias("answer"))
+
+
+@query(f"""
+WITH {_NEAREST}, p AS (SELECT query_id, doc_id, round(distance, 6) AS distance, CAST(rank AS INT) AS rank FROM k WHERE rank <= 10) SELECT * FROM p
+""")
+def index_lists(spark, sf_dir):
+    """Vectors in lists by their centroids; all lists being read, the exact neighbours come back."""
+    e, q = _vectors(spark, sf_dir)
+    kept = index.ListIndex(spark, new_path(spark), probes=16)
+    kept.build(e.where("doc_id % 2 = 0"), 16)
+    kept.add(e.where("doc_id % 2 <> 0"))
+    return kept.search(q, 10).select("query_id", "doc_id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query("SELECT 'lists' AS kind, count(*) AS vectors FROM embeddings")
+def index_notes(spark, sf_dir):
+    kept = index.ListIndex(spark, new_path(spark))
+    kept.build(t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), 8)
+    held = index.notes(spark, kept.path)
+    return spark.range(1).select(F.lit(held["kind"]).alias("kind"), F.lit(int(held["vectors"])).cast("long").alias("vectors"))
+
+
+@query("SELECT doc_id, source, lang FROM documents WHERE doc_id = 7")
+def document_found(spark, sf_dir):
+    return store.document(t(spark, sf_dir, "documents"), 7).select("doc_id", "source", "lang")
+
+
+@query(f"""
+WITH {_BM25}, k AS (SELECT query_id, count(*) AS n FROM b WHERE rank <= 20 GROUP BY query_id),
+s AS (SELECT query_id, asked.text AS q, coalesce(n, 0) AS n FROM asked LEFT JOIN k USING (query_id))
+SELECT query_id, CASE WHEN contains(lower(q), 'the') THEN 'general' ELSE 'rag' END AS kind, n FROM s
+""")
+def questions_routed(spark, sf_dir):
+    """Each question as a classifier's reply sorts it, with the hits it would be answered from."""
+    q = _asked(spark, sf_dir)
+    reply = F.when(F.lower("text").contains("the"), '```json\n{"type": "general", "confidence": 0.9}\n```').otherwise("It needs the documents: rag.")
+    hits = retrieval.bm25(documents(spark, sf_dir), q, 20).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    return q.withColumn("kind", generation.query_class(reply)["type"]).join(hits, "query_id", "left").select("query_id", "kind", F.coalesce("n", F.lit(0)).alias("n"))

@@ -22,7 +22,7 @@ from ..functions.checks import extension
 KINDS = {
     "pdf": ["pdf"],
     "docx": ["docx", "doc"],
-    "txt": ["txt", "text", "md", "log", "csv", "json", "xml", "rst"],
+    "txt": ["txt", "text", "md", "log", "csv", "json", "xml"],
     "image": ["png", "jpg", "jpeg", "gif", "bmp", "tiff", "webp"],
     "archive": ["zip", "tar", "gz", "tgz", "rar", "7z"],
 }
@@ -51,16 +51,26 @@ def files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool =
     return raw.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), kind_of(F.col("path"), F.col("content")).alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), "content")
 
 
-def decode_bytes(data: bytes) -> tuple[str, str]:
-    """The text and the encoding, the first that fits; what fits none is read as UTF-8 with replacements."""
+def encoding_of(data: bytes) -> str:
+    """The first encoding that fits: by its mark, UTF-8, or one byte a character; Windows' where its signs are used."""
+    if data[:3] == b"\xef\xbb\xbf":
+        return "utf-8-sig"
     for name in ENCODINGS:
         if name == "utf-16" and data[:2] not in (b"\xff\xfe", b"\xfe\xff"):
             continue
         try:
-            return data.decode(name), name
+            data.decode(name)
         except UnicodeDecodeError:
             continue
-    return data.decode("utf-8", "replace"), "utf-8"
+        # Bytes 80 to 9F are control characters in the one and quotes and dashes in the other.
+        return "windows-1252" if name == "latin-1" and any(0x80 <= x <= 0x9F for x in data) else name
+    return "utf-8"
+
+
+def decode_bytes(data: bytes) -> tuple[str, str]:
+    """The text and the encoding; what does not fit is replaced."""
+    name = encoding_of(data)
+    return data.decode(name, "replace"), name
 
 
 def members(name: str, data: bytes, most: int = MAX_MEMBERS, most_bytes: int = MAX_BYTES) -> Iterator[tuple[str, bytes]]:
@@ -71,6 +81,14 @@ def members(name: str, data: bytes, most: int = MAX_MEMBERS, most_bytes: int = M
         return not re.search(SYSTEM_FILES, n) and ".." not in n.split("/")
 
     used = count = 0
+    if reader := next((r for begins, r in ARCHIVES.items() if data.startswith(begins)), None):
+        for inner, content in reader(data):
+            if wanted(inner):
+                used, count = used + len(content), count + 1
+                if used > most_bytes or count > most:
+                    raise ValueError("archive exceeds its limits")
+                yield inner, content
+        return
     if zipfile.is_zipfile(io.BytesIO(data)):
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for info in z.infolist():
@@ -97,27 +115,131 @@ def _pdf_pages(data: bytes) -> list[str]:
     return [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
 
 
-def _docx_parts(data: bytes) -> list[str]:
-    """Paragraphs of a word-processor file, headings marked; its XML is plain enough for the standard library."""
+_WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def _word_tree(z: zipfile.ZipFile, name: str):
     import xml.etree.ElementTree as ET
 
-    ns = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    out = []
+    return ET.fromstring(z.read(name))
+
+
+def _runs(node) -> str:
+    return "".join(t.text or "" for t in node.iter(f"{_WORD}t"))
+
+
+def _paragraph(p) -> str:
+    text = _runs(p)
+    style = p.find(f"{_WORD}pPr/{_WORD}pStyle")
+    name = style.get(f"{_WORD}val", "") if style is not None else ""
+    return f"[HEADING {name[7:] or 1}] {text}" if name.startswith("Heading") and text.strip() else text
+
+
+def word_parts(data: bytes, edges: bool = False) -> list[str]:
+    """Paragraphs of a word-processor file, headings marked, then its tables, cells joined by ' | ', below [TABLE n].
+
+    edges: running heads and feet too, as [HEADER] and [FOOTER]. Its XML is plain enough for the standard library."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for p in ET.fromstring(z.read("word/document.xml")).iter(f"{ns}p"):
-            text = "".join(t.text or "" for t in p.iter(f"{ns}t"))
-            style = p.find(f"{ns}pPr/{ns}pStyle")
-            name = style.get(f"{ns}val", "") if style is not None else ""
-            if text.strip():
-                out.append(f"[HEADING {name[7:] or 1}] {text}" if name.startswith("Heading") else text)
+        body = _word_tree(z, "word/document.xml").find(f"{_WORD}body")
+        out = [t for p in body.findall(f"{_WORD}p") if (t := _paragraph(p)).strip()]
+        for n, table in enumerate(body.findall(f"{_WORD}tbl"), 1):
+            rows = [" | ".join(_runs(cell).strip() for cell in row.findall(f"{_WORD}tc")) for row in table.findall(f"{_WORD}tr")]
+            out.append("\n".join([f"[TABLE {n}]", *rows]))
+        for mark, stem in (("HEADER", "header"), ("FOOTER", "footer")) if edges else ():
+            found = [_runs(_word_tree(z, name)) for name in sorted(z.namelist()) if name.startswith(f"word/{stem}") and name.endswith(".xml")]
+            out += [f"[{mark}]\n{t}" for t in found if t.strip()]
     return out
 
 
+def word_properties(data: bytes) -> dict:
+    """title, author, created, modified, paragraphs, sections, pages (one for fifty paragraphs)."""
+    import re
+
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        body = _word_tree(z, "word/document.xml").find(f"{_WORD}body")
+        paragraphs = sum(bool(_runs(p).strip()) for p in body.findall(f"{_WORD}p"))
+        sections = max(1, sum(1 for _ in body.iter(f"{_WORD}sectPr")))
+        core = z.read("docProps/core.xml").decode("utf-8", "replace") if "docProps/core.xml" in z.namelist() else ""
+    held = {k: (m[1].strip() or None) if (m := re.search(rf"<(?:dc|dcterms|cp):{tag}[^>]*>([^<]*)<", core)) else None for k, tag in (("title", "title"), ("author", "creator"), ("created", "created"), ("modified", "modified"))}
+    return held | {"paragraphs": paragraphs, "sections": sections, "pages": max(1, paragraphs // 50)}
+
+
+def _pdf_properties(data: bytes) -> dict:
+    from pypdf import PdfReader  # optional
+
+    found = PdfReader(io.BytesIO(data))
+    held = found.metadata or {}
+    return {"title": held.get("/Title"), "author": held.get("/Author"), "created": held.get("/CreationDate"), "modified": held.get("/ModDate"), "paragraphs": None, "sections": None, "pages": len(found.pages)}
+
+
+def _text_properties(data: bytes) -> dict:
+    text = decode_bytes(data)[0]
+    return {"title": None, "author": None, "created": None, "modified": None, "paragraphs": sum(bool(p.strip()) for p in text.split("\n\n")), "sections": None, "pages": max(1, len(text) // 3000)}
+
+
+#: kind -> reader of a file's properties.
+PROPERTIES: dict[str, Callable[[bytes], dict]] = {"txt": _text_properties, "docx": word_properties, "pdf": _pdf_properties}
+_PROPERTY_COLUMNS = "path string, encoding string, title string, author string, created string, modified string, paragraphs int, sections int, pages int, error string"
+
+
+def properties(found: DataFrame) -> DataFrame:
+    """path, encoding (of plain text), title, author, created, modified, paragraphs, sections, pages, error of files()."""
+    readers, names = dict(PROPERTIES), [c.split()[0] for c in _PROPERTY_COLUMNS.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, kind, data in zip(f["path"], f["kind"], f["content"], strict=True):
+                try:
+                    rows.append({"path": path, "encoding": encoding_of(data) if kind == "txt" else None, **readers[kind](data), "error": None})
+                except Exception as e:  # noqa: BLE001  reported in the row
+                    rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
+            out = pd.DataFrame(rows, columns=names)
+            for c in ("paragraphs", "sections", "pages"):
+                out[c] = out[c].astype("Int32")
+            yield out
+
+    return found.select("path", "kind", "content").mapInPandas(run, _PROPERTY_COLUMNS)
+
+
+def listed(found: DataFrame) -> DataFrame:
+    """path, name, size, packed, error: what archives of files() hold, in order, without unpacking it."""
+
+    def one(data: bytes) -> Iterator[tuple[str, int, int | None]]:
+        if zipfile.is_zipfile(io.BytesIO(data)):
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                yield from ((i.filename, i.file_size, i.compress_size) for i in z.infolist() if not i.is_dir())
+        else:
+            with tarfile.open(fileobj=io.BytesIO(data)) as t:
+                yield from ((i.name, i.size, None) for i in t if i.isfile())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows: list[tuple] = []
+            for path, data in zip(f["path"], f["content"], strict=True):
+                try:
+                    rows += [(path, *x, None) for x in one(data)]
+                except Exception as e:  # noqa: BLE001  reported in the row
+                    rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "name", "size", "packed", "error"]).astype({"size": "Int64", "packed": "Int64"})
+
+    return found.where("kind = 'archive'").select("path", "content").mapInPandas(run, "path string, name string, size long, packed long, error string")
+
+
+#: First bytes -> reader of an archive's members (name, bytes), for formats beyond zip and tar; register more here.
+ARCHIVES: dict[bytes, Callable[[bytes], Iterator[tuple[str, bytes]]]] = {}
+
+
+def register_archive(begins: bytes, reader: Callable[[bytes], Iterator[tuple[str, bytes]]]) -> None:
+    """For formats whose libraries are not at hand, such as rar and 7z."""
+    ARCHIVES[begins] = reader
+
+
 #: kind -> parser of (name, bytes) to (part, text); register more here.
 PARSERS: dict[str, Callable[[str, bytes], Iterator[tuple[str, str]]]] = {
     "txt": lambda name, data: iter([("", decode_bytes(data)[0])]),
     "pdf": lambda name, data: ((f"[PAGE {i}]", t) for i, t in enumerate(_pdf_pages(data), 1)),
-    "docx": lambda name, data: (("", t) for t in _docx_parts(data)),
+    "docx": lambda name, data: (("", t) for t in word_parts(data)),
 }
 
 
@@ -167,6 +289,35 @@ def documents(parts: DataFrame) -> DataFrame:
     return listed.select("path", F.array_join(F.transform("x", lambda x: x["t"]), "\n").alias("text"))
 
 
+def kinds(spark: SparkSession) -> DataFrame:
+    """kind, extensions, parsed: what the parsers know."""
+    return spark.createDataFrame([(k, sorted(v), k in PARSERS) for k, v in sorted(KINDS.items())], "kind string, extensions array<string>, parsed boolean")
+
+
+def page_counts(parts: DataFrame) -> DataFrame:
+    """path, pages: how many [PAGE n] parts a file has."""
+    return parts.where(F.col("marker").startswith("[PAGE ")).groupBy("path").agg(F.count(F.lit(1)).alias("pages"))
+
+
+def scanned(parts: DataFrame, pages: int = 3, least: int = 100) -> DataFrame:
+    """path, scanned: whether the first pages hold fewer than `least` characters each, on average."""
+    return parts.where(F.col("part") < pages).groupBy("path").agg((F.avg(F.length(F.trim(F.coalesce("text", F.lit(""))))) < least).alias("scanned"))
+
+
+def paragraph_counts(parts: DataFrame) -> DataFrame:
+    """path, paragraphs: parts that are neither tables nor running heads."""
+    return parts.where(~F.col("text").rlike(r"^\[(TABLE \d+|HEADER|FOOTER)\]")).groupBy("path").agg(F.count(F.lit(1)).alias("paragraphs"))
+
+
+def section(parts: DataFrame, number: int) -> DataFrame:
+    """The parts of a word file's section: sections begin at headings, the one before the first is 0."""
+    from pyspark.sql.window import Window
+
+    by = Window.partitionBy("path").orderBy("part")
+    at = F.sum(F.col("text").startswith("[HEADING").cast("int")).over(by)
+    return parts.withColumn("section", at).where(F.col("section") == number)
+
+
 def page_range(parts: DataFrame, first: int, last: int) -> DataFrame:
     return parts.where(F.col("part").between(first - 1, last - 1))
 
@@ -214,3 +365,29 @@ def inputs(spark: SparkSession, texts: DataFrame | None = None, pages: DataFrame
     for m in made[1:]:
         out = out.unionByName(m)
     return out
+
+
+def samples(number: int, body: str, lang: str) -> Iterator[tuple[str, str, bytes]]:
+    """(extension, kind, bytes): a text as a word file with a table, and as plain text or an archive, in turns of its number."""
+    from xml.sax.saxutils import escape
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    paragraph = lambda x, style="": f"<w:p>{style}<w:r><w:t>{escape(x)}</w:t></w:r></w:p>"
+    shown = [x for x in body.split("\n") if x.strip(" \t\r\n")]
+    rows = "".join(f"<w:tr><w:tc>{paragraph(k)}</w:tc><w:tc>{paragraph(v)}</w:tc></w:tr>" for k, v in (("lang", lang), ("id", str(number))))
+    head = paragraph("Text", '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>')
+    document = f"<w:document {w}><w:body>{head}{''.join(map(paragraph, shown))}<w:tbl>{rows}</w:tbl><w:sectPr/></w:body></w:document>"
+    core = f"<cp:coreProperties><dc:title>Document {number}</dc:title><dc:creator>{escape(lang)}</dc:creator></cp:coreProperties>"
+    yield "docx", "docx", _zipped({"word/document.xml": document, "docProps/core.xml": core})
+    if number % 4 == 3:
+        yield "zip", "archive", _zipped({"a.txt": body, "__MACOSX/a.txt": "", "b.md": body})
+    else:
+        yield "txt", "txt", body.encode(("utf-8", "utf-8-sig", "utf-16")[number % 4])
+
+
+def _zipped(texts: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in texts.items():
+            z.writestr(name, text)
+    return out.getvalue()
