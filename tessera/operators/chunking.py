@@ -87,9 +87,14 @@ def overlap_statistics(chunks: DataFrame) -> DataFrame:
 
 def suffix_prefix(a: Column, b: Column) -> Column:
     """The most words that end a and begin b."""
-    wa, wb = F.split(a, r"\s+"), F.split(b, r"\s+")
-    lengths = F.sequence(F.lit(0), F.least(F.size(wa), F.size(wb)))
-    return F.array_max(F.filter(lengths, lambda k: (k == 0) | (F.slice(wb, 1, F.greatest(k, F.lit(1))) == F.slice(wa, F.size(wa) - k + 1, F.greatest(k, F.lit(1))))))
+
+    def longest(wa: Column, wb: Column) -> Column:
+        lengths = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size(wa), F.size(wb))))
+        # Where the first word does not agree, nothing is sliced.
+        begun = F.filter(lengths, lambda k: F.get(wa, F.size(wa) - k) == wb[0])
+        return F.coalesce(F.array_max(F.filter(begun, lambda k: F.slice(wb, 1, k) == F.slice(wa, F.size(wa) - k + 1, k))), F.lit(0))
+
+    return F.when(a.isNotNull() & b.isNotNull(), let(F.split(a, r"\s+"), lambda wa: let(F.split(b, r"\s+"), lambda wb: longest(wa, wb))))
 
 
 def without_overlap(chunks: DataFrame) -> DataFrame:

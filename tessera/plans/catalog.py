@@ -1040,3 +1040,58 @@ def questions_routed(spark, sf_dir):
     reply = F.when(F.lower("text").contains("the"), '```json\n{"type": "general", "confidence": 0.9}\n```').otherwise("It needs the documents: rag.")
     hits = retrieval.bm25(documents(spark, sf_dir), q, 20).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return q.withColumn("kind", generation.query_class(reply)["type"]).join(hits, "query_id", "left").select("query_id", "kind", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_SHARED = """CAST(coalesce(list_max(list_filter(list_filter(range(1, least(len({a}), len({b})) + 1), lambda k: {a}[len({a}) - k + 1] = {b}[1]), lambda k: list_slice({b}, 1, k) = list_slice({a}, len({a}) - k + 1, len({a})))), 0) AS INT)"""
+_LENT_ALL = f"""{_fixed(256, 0)},
+v AS (SELECT *, lag(text) OVER w AS pt, lag(token_count) OVER w AS pn, lead(text) OVER w AS nt, lead(token_count) OVER w AS nn FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)),
+o AS (SELECT doc_id, chunk_index, regexp_split_to_array(concat_ws(' ', {_lent("pt", "pn", 25, True)}, text, {_lent("nt", "nn", 25, False)}), '\\s+') AS w FROM v),
+n AS (SELECT *, lag(w) OVER b AS before, lead(w) OVER b AS after FROM o WINDOW b AS (PARTITION BY doc_id ORDER BY chunk_index))"""
+
+
+@query(f"""
+WITH {_LENT_ALL}, c AS (SELECT *, coalesce({_SHARED.format(a="before", b="w")}, 0) AS front, coalesce({_SHARED.format(a="w", b="after")}, 0) AS back FROM n)
+SELECT doc_id, chunk_index, sha256(array_to_string(list_slice(w, front + 1, len(w)), ' ')) AS without_front, sha256(array_to_string(list_slice(w, 1, len(w) - back), ' ')) AS without_back FROM c
+""")
+def overlaps_removed(spark, sf_dir):
+    lent = chunking.with_overlap(chunking.fixed(documents(spark, sf_dir), 256, 0), 25).drop("chunk_id")
+    front = chunking.without_overlap(lent).select("doc_id", "chunk_index", F.sha2("text", 256).alias("without_front"))
+    return front.join(chunking.without_following(lent).select("doc_id", "chunk_index", F.sha2("text", 256).alias("without_back")), ["doc_id", "chunk_index"])
+
+
+@query(f"""
+WITH {_fixed(256, 0)}, w AS (SELECT *, regexp_split_to_array(text, '\\s+') AS w FROM k), n AS (SELECT *, lead(w) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS after FROM w),
+s AS (SELECT *, coalesce({_SHARED.format(a="w", b="after")}, 0) AS shared FROM n),
+h AS (SELECT *, array_to_string(list_slice(w, greatest(1, len(w) - shared + 1), len(w) - shared + shared), ' ') AS common FROM s),
+m AS (SELECT *, CASE WHEN shared = 0 THEN 0 ELSE {_tokens("common")} END AS have FROM h),
+r AS (SELECT doc_id, chunk_index, CASE WHEN after IS NULL OR abs(have - 30) <= 10 THEN text WHEN have < 30 THEN concat_ws(' ', text, array_to_string(list_slice(after, shared + 1, shared + CAST(floor((30 - have) / 1.33::DOUBLE) AS INT)), ' '))
+  ELSE array_to_string(list_slice(w, 1, greatest(1, len(w) - CAST(floor((have - 30) / 1.33::DOUBLE) AS INT))), ' ') END AS text FROM m)
+SELECT doc_id, chunk_index, sha256(text) AS adjusted, CAST({_tokens("text")} AS INT) AS token_count FROM r
+""")
+def overlaps_adjusted(spark, sf_dir):
+    made = chunking.overlap_adjusted(chunking.fixed(documents(spark, sf_dir), 256, 0), 30)
+    return made.select("doc_id", "chunk_index", F.sha2("text", 256).alias("adjusted"), "token_count")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+SELECT doc_id, CAST(i AS INT) AS chunk_index, CASE WHEN i % 5 = 2 THEN CAST(i AS INT) WHEN i < 2 THEN NULL ELSE CAST((i - 2) // 5 * 5 + 3 AS INT) END AS page_number FROM l
+""")
+def chunk_pages(spark, sf_dir):
+    """Lines as chunks, every fifth with two page marks: the first is its own page, the last that of the chunks after it."""
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "line"))
+    mark = lambda n: F.concat(F.lit("[PAGE "), n.cast("string"), F.lit("] "))
+    marked = F.when(F.col("chunk_index") % 5 == 2, F.concat(mark(F.col("chunk_index")), mark(F.col("chunk_index") + 1), "line")).otherwise(F.col("line"))
+    return chunking.page_numbers(lines.select("doc_id", "chunk_index", marked.alias("text"))).select("doc_id", "chunk_index", "page_number")
+
+
+@query(f"""
+WITH {_BM25}, k AS (SELECT query_id, count(*) AS n FROM b WHERE rank <= 20 GROUP BY query_id)
+SELECT query_id, CASE WHEN length(text) % 4 = 0 THEN 'general' ELSE 'rag' END AS kind, CAST(CASE WHEN length(text) % 4 <> 0 AND n > 0 THEN 2 ELSE 0 END AS INT) AS cited FROM asked LEFT JOIN k USING (query_id)
+""")
+def responses_made(spark, sf_dir):
+    """Questions answered by a stand-in for a model, which cites two sources; those sorted as talk get a stock reply."""
+    asked = _asked(spark, sf_dir).withColumnRenamed("text", "query")
+    chunks = _chunks(spark, sf_dir).withColumn("text", F.substring("text", 1, 400)).withColumn("tokens", tokens.context_tokens("text"))
+    classify = lambda q: F.when(F.length(q) % 4 == 0, '{"type": "general"}').otherwise('{"type": "rag"}')
+    return generation.responses(asked, chunks, classify, lambda prompts: ["See [2] and [1]." for _ in prompts]).select("query_id", "kind", "cited")

@@ -73,7 +73,16 @@ def decode_bytes(data: bytes) -> tuple[str, str]:
     return data.decode(name, "replace"), name
 
 
-def members(name: str, data: bytes, most: int = MAX_MEMBERS, most_bytes: int = MAX_BYTES) -> Iterator[tuple[str, bytes]]:
+#: First bytes -> reader of an archive's members (name, bytes), for formats beyond zip and tar; register more here.
+ARCHIVES: dict[bytes, Callable[[bytes], Iterator[tuple[str, bytes]]]] = {}
+
+
+def register_archive(begins: bytes, reader: Callable[[bytes], Iterator[tuple[str, bytes]]]) -> None:
+    """For formats whose libraries are not at hand, such as rar and 7z."""
+    ARCHIVES[begins] = reader
+
+
+def members(name: str, data: bytes, most: int = MAX_MEMBERS, most_bytes: int = MAX_BYTES, readers: dict | None = None) -> Iterator[tuple[str, bytes]]:
     """An archive's files in order, without system files, up to the limits."""
     import re
 
@@ -81,7 +90,7 @@ def members(name: str, data: bytes, most: int = MAX_MEMBERS, most_bytes: int = M
         return not re.search(SYSTEM_FILES, n) and ".." not in n.split("/")
 
     used = count = 0
-    if reader := next((r for begins, r in ARCHIVES.items() if data.startswith(begins)), None):
+    if reader := next((r for begins, r in (ARCHIVES if readers is None else readers).items() if data.startswith(begins)), None):
         for inner, content in reader(data):
             if wanted(inner):
                 used, count = used + len(content), count + 1
@@ -193,8 +202,8 @@ def properties(found: DataFrame) -> DataFrame:
                 try:
                     rows.append({"path": path, "encoding": encoding_of(data) if kind == "txt" else None, **readers[kind](data), "error": None})
                 except Exception as e:  # noqa: BLE001  reported in the row
-                    rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
-            out = pd.DataFrame(rows, columns=names)
+                    rows.append(dict.fromkeys(names) | {"path": path, "error": f"{type(e).__name__}: {e}"})
+            out = pd.DataFrame(rows, columns=names, dtype=object)
             for c in ("paragraphs", "sections", "pages"):
                 out[c] = out[c].astype("Int32")
             yield out
@@ -221,20 +230,11 @@ def listed(found: DataFrame) -> DataFrame:
                     rows += [(path, *x, None) for x in one(data)]
                 except Exception as e:  # noqa: BLE001  reported in the row
                     rows.append((path, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "name", "size", "packed", "error"]).astype({"size": "Int64", "packed": "Int64"})
+            yield pd.DataFrame(rows, columns=["path", "name", "size", "packed", "error"], dtype=object).astype({"size": "Int64", "packed": "Int64"})
 
     return found.where("kind = 'archive'").select("path", "content").mapInPandas(run, "path string, name string, size long, packed long, error string")
 
 
-#: First bytes -> reader of an archive's members (name, bytes), for formats beyond zip and tar; register more here.
-ARCHIVES: dict[bytes, Callable[[bytes], Iterator[tuple[str, bytes]]]] = {}
-
-
-def register_archive(begins: bytes, reader: Callable[[bytes], Iterator[tuple[str, bytes]]]) -> None:
-    """For formats whose libraries are not at hand, such as rar and 7z."""
-    ARCHIVES[begins] = reader
-
-
 #: kind -> parser of (name, bytes) to (part, text); register more here.
 PARSERS: dict[str, Callable[[str, bytes], Iterator[tuple[str, str]]]] = {
     "txt": lambda name, data: iter([("", decode_bytes(data)[0])]),
@@ -255,11 +255,11 @@ def _kind_of_name(name: str) -> str | None:
 
 def parsed(found: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """files() -> path, part, marker, text, error: a row per page, paragraph, or file of an archive."""
-    parsers = dict(PARSERS)
+    parsers, readers = dict(PARSERS), dict(ARCHIVES)  # as they are now, for the tasks
 
     def one(name: str, kind: str | None, data: bytes) -> Iterator[tuple[str, str]]:
         if kind == "archive":
-            for member, inner in members(name, data):
+            for member, inner in members(name, data, readers=readers):
                 if (k := _kind_of_name(member)) in parsers:
                     yield f"[FILE: {member}]", "\n".join(t for _, t in parsers[k](member, inner))
         elif kind in parsers:

@@ -52,3 +52,56 @@ def test_indexes(spark, tmp_path):
     v.add(spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, None)], "doc_id long, embedding array<float>"))
     hits = v.search(spark.createDataFrame([(9, [0.0, 0.9])], "query_id long, embedding array<float>"), 1).collect()
     assert [(r["doc_id"], r["rank"]) for r in hits] == [(1, 1)]
+
+
+def test_encodings():
+    from tessera.sources.files import decode_bytes, encoding_of
+
+    for text, name in (("héllo", "utf-8"), ("héllo", "utf-8-sig"), ("héllo", "utf-16"), ("“quoted” – é", "windows-1252"), ("hé", "latin-1")):
+        assert encoding_of(text.encode(name)) == name and decode_bytes(text.encode(name))[0] == text
+
+
+def test_archives_of_other_formats_and_word_edges(spark):
+    from tessera.sources import files
+
+    files.register_archive(b"OWN!", lambda data: iter([("a.txt", data[4:]), (".DS_Store", b"x")]))
+    found = spark.createDataFrame([("/a.own", "a.own", "archive", b"OWN!hello")], "path string, name string, kind string, content binary")
+    assert [(r["marker"], r["text"]) for r in files.parsed(found).collect()] == [("[FILE: a.txt]", "hello")]
+    files.ARCHIVES.clear()
+    word = files._zipped({"word/document.xml": f'<w:document xmlns:w="{files._WORD[1:-1]}"><w:body><w:p><w:r><w:t>x</w:t></w:r></w:p></w:body></w:document>', "word/header1.xml": f'<w:hdr xmlns:w="{files._WORD[1:-1]}"><w:p><w:r><w:t>top</w:t></w:r></w:p></w:hdr>'})
+    assert files.word_parts(word) == ["x"] and files.word_parts(word, edges=True) == ["x", "[HEADER]\ntop"]
+    broken = spark.createDataFrame([("/b.docx", "b.docx", "docx", b"no zip"), ("/c.zip", "c.zip", "archive", b"no zip")], "path string, name string, kind string, content binary")
+    assert all(r["error"] for r in files.properties(broken).collect()) and files.listed(broken).first()["error"]
+
+
+def test_pages_sections_and_kinds(spark):
+    from tessera.sources import files
+
+    parts = spark.createDataFrame([("/p", 0, "[PAGE 1]", "x" * 90), ("/p", 1, "[PAGE 2]", ""), ("/w", 0, "", "intro"), ("/w", 1, "", "[HEADING 1] A"), ("/w", 2, "", "body"), ("/w", 3, "", "[TABLE 1]\na | b")], "path string, part int, marker string, text string")
+    assert {r["path"]: r["pages"] for r in files.page_counts(parts).collect()} == {"/p": 2}
+    assert {r["path"]: r["scanned"] for r in files.scanned(parts).collect()}["/p"]
+    assert [r["text"] for r in files.section(parts.where("path = '/w'"), 1).orderBy("part").collect()] == ["[HEADING 1] A", "body", "[TABLE 1]\na | b"]
+    assert files.paragraph_counts(parts.where("path = '/w'")).first()["paragraphs"] == 3
+    known = {r["kind"]: (len(r["extensions"]), r["parsed"]) for r in files.kinds(spark).collect()}
+    assert known["docx"] == (2, True) and known["image"][1] is False
+
+
+def test_names_backups_and_stock_replies(spark, tmp_path):
+    import re
+
+    from pyspark.sql import functions as F
+    from tessera.functions import checks
+    from tessera.operators import chunking, generation, store
+
+    row = spark.range(1).select(checks.unique_name(F.lit("a b?.tar.gz"), F.lit("2024-01-02 03:04:05").cast("timestamp")).alias("n"), checks.media_type(F.lit("x.PDF")).alias("m"), chunking.clearly_structured(F.lit("docx"), F.lit(2), F.lit(None), F.lit(None)).alias("s"))
+    assert re.fullmatch(r"a b_\.tar_20240102_030405_[0-9a-f]{8}\.gz", row.first()["n"]) and row.first()["m"] == "application/pdf" and row.first()["s"]
+    kept = store.Backups(spark, str(tmp_path / "b"))
+    assert kept.statistics().first()["versions"] == 0
+    kept.create(spark.range(3))
+    kept.create(spark.range(4))
+    assert tuple(kept.statistics().first())[0] == 2 and kept.due(1000) and not kept.due(999)
+    talk = spark.createDataFrame([(1, "hi", [("user", str(i)) for i in range(7)])], "query_id int, query string, history array<struct<role:string,text:string>>")
+    said = generation.general_prompts(talk).first()
+    assert said["user"].split("\n") == [*(f"user: {i}" for i in range(2, 7)), "user: hi"] and said["fallback"] in generation.GREETINGS
+    s = spark.range(1).select(chunking.overlap_sentences(F.array(F.lit("one two three four."), F.lit("five six."), F.lit("seven.")), 4).alias("x")).first()["x"]
+    assert s == ["five six.", "seven."]
