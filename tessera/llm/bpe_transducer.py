@@ -10,7 +10,11 @@ token. States and their arcs are made when first met.
 Decoding. The machine's state is the bytes of an unfinished character. One arc per state and id holds
 the characters that the id completes. Bytes that no UTF-8 text has become U+FFFD.
 
-Nulls: a null text is empty (no ids). Repeated rows and null ids are rows like others.
+Nulls: a null text is empty (no ids), null ids give an empty text. Repeated rows and rows without an id are
+rows like others. Very long texts go through whole: states, arcs, pair tests and remembered chunks are
+forgotten when they are too many. Columns beyond the id and the text are ignored by digests() and kept by
+encode() and decode(), but for one of the name they are asked to write, which is replaced. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,6 +32,10 @@ from pyspark.sql import functions as F
 from . import tokens
 
 
+#: Pair tests that are remembered.
+MOST_PAIRS = 500_000
+
+
 class Transducer:
     """encode(piece) -> ids of one pre-token."""
 
@@ -98,6 +106,8 @@ class Transducer:
                     i += 1
                 else:
                     j += 1
+            if len(self.pairs) >= MOST_PAIRS:
+                self.pairs.clear()
             self.pairs[key] = found
         return found
 
@@ -190,6 +200,7 @@ class Utf8Machine:
 
 class Codec:
     def __init__(self, ranks_path: str, pattern: str):
+        import public_tokenizers
         import regex
 
         self.transducer = Transducer(tokens.read_ranks(ranks_path))
@@ -197,9 +208,11 @@ class Codec:
         find, encode = regex.compile(pattern).findall, self.transducer.encode
         pieces = tokens.Memo(lambda piece: tuple(encode(piece.encode())), 50_000)
 
+        known = pattern == public_tokenizers.PATTERN
+
         def chunk(text: str) -> tuple[int, ...]:
-            # Latin letters after a space are one piece under any such pattern; the rest is for the pattern to say.
-            if text[1:].isalpha() and text[0] == " " and max(text) < "\u0250":
+            # Latin letters after a space are one piece under the public pattern; the rest is for a pattern to say.
+            if known and text[1:].isalpha() and text[0] == " " and max(text) < "\u0250":
                 return tuple(encode(text.encode()))
             return tuple(chain.from_iterable(map(pieces.__getitem__, find(text))))
 

@@ -26,6 +26,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_anew(df: DataFrame, old: DataFrame | None) -> DataFrame:
+    """cut(df); old, a table that cut() wrote and that nothing else reads, is then removed."""
+    new = cut(df)
+    if old is not None:
+        for path in {f.rsplit("/", 1)[0] for f in old.inputFiles()}:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    return new
+
+
 def hash_sample(df: DataFrame, n: int, most: int, *keys: str) -> DataFrame:
     """About `most` of df's n rows (all, if there are no more): those whose keys' hash falls into that share.
 

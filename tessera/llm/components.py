@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, cut_anew
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -35,5 +35,5 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the component's least node."""
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _are_stars(now):
-        now = cut(_star(_star(now, small=False), small=True))
+        now = cut_anew(_star(_star(now, small=False), small=True), now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

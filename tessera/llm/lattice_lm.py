@@ -11,7 +11,8 @@ at most whatever the data, are scored where the documents are read; all others m
 join, in which no key can then hold more than that share.
 
 Nulls: a null text is empty (just the end token); a null id counts as the empty string for the folds.
-Repeated rows count and are scored each. Columns beyond the id and the text are ignored.
+Repeated rows count and are scored each. Very long texts and words are scored whole. Columns beyond the id
+and the text are ignored, whatever their names are; an empty table gives an empty table.
 """
 
 from __future__ import annotations

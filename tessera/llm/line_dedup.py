@@ -7,7 +7,9 @@ that fills several ranges is settled by a summary of two rows per range. What co
 compressed keep bitmap per document, not text.
 
 Nulls: a null text is one empty line; a null doc_id sorts below all others and counts as one document.
-Repeated rows of one doc_id are one document. Columns beyond doc_id and text are ignored.
+Repeated rows of one doc_id are one document. Very long texts are split whole. Columns beyond doc_id and
+text are ignored by dropped_lines() and kept by the others, whatever their names are; an empty table gives
+an empty table.
 """
 
 from __future__ import annotations
@@ -95,7 +97,7 @@ def _sweep(batches: Iterator[pa.RecordBatch], min_docs: int) -> Iterator[pa.Reco
 
 def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """(doc, body, pos) of every line that goes. docs: doc_id, text."""
-    keys = _rows(docs, min_chars)
+    keys = cut(_rows(docs, min_chars))  # else texts would be split twice, once to find the ranges
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc()]
     ranged = keys.repartitionByRange(*order).sortWithinPartitions(*order, F.col("body"), F.col("pos"))
     swept = cut(ranged.mapInArrow(lambda it: _sweep(it, min_docs), _OUT))

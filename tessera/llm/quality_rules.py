@@ -7,8 +7,10 @@ thousand documents, and copies are for the near-duplicate operators to deal with
 are counted each for itself, whatever stands beside them, so that a block goes whole.
 
 Nulls: a null text is an empty one (no words, base_failed); a null host is a host of its own; a null
-id stays null. Repeated rows are judged one by one and count as one document if their ids agree.
-Columns beyond the id, the text and the host are ignored; an empty table gives an empty table.
+id stays null. Repeated rows are judged one by one and count as one document if their ids agree; the
+limit of a host is a share of its rows. Very long texts are judged whole. Columns beyond the id, the text
+and the host are ignored by quality_rules() and kept by keep_good(), whatever their names are; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations

@@ -41,6 +41,19 @@ def test_transducer_equals_reference_on_noise():
     assert codec.transducer.encode(b" unbelievablythorough") == encode(" unbelievablythorough")
 
 
+def test_digests_of_an_empty_table(spark):
+    assert bpe_transducer.digests(table(spark, [])).count() == 0
+
+
+def test_a_pattern_that_splits_words_is_followed(spark):
+    import regex
+
+    pattern = r"\p{Lu}\p{Ll}*| ?\p{Ll}+|\s+|[^\s\p{L}]+"
+    codec, encode = bpe_transducer.codec(P.path("byte_bpe_50k.tiktoken"), pattern), reference_encoder()
+    text = " someWordsWith caseInside 12 x"
+    assert codec.encode(text) == [i for piece in regex.findall(pattern, text) for i in encode(piece)]
+
+
 def test_encode_and_decode_columns(spark):
     out = bpe_transducer.decode(bpe_transducer.encode(table(spark))).select("text", "decoded").collect()
     assert all(r["decoded"] == (r["text"] or "") for r in out)
@@ -239,6 +252,53 @@ def test_base_score(spark, clashing, hot):
     assert lattice_lm.score(table(spark, [])).count() == 0
 
 
+def test_scores_equal_sums_over_all_segmentations(spark):
+    """Whole rows against brute force: pieces counted anew, every segmentation of every word listed."""
+    import math
+    import zlib
+    from collections import Counter
+    from itertools import product
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(["a cat sat", "The cats", "", None, "dog é sat a", "sat sat on on", "cats and dogs", "zq"])]
+    out = {r["doc_id"]: r for r in lattice_lm.score(table(spark, rows)).collect()}
+    split = lambda t: (t or "").lower().split()
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, *_ in rows}
+    counts, ends = Counter(), sum(not h for h in held.values())
+    for i, t, *_ in rows:
+        for w in split(t) if not held[i] else ():
+            counts.update(sp.encode(w))
+    total = sum(counts.values()) + ends + sp.get_piece_size() + 1
+    p = {sp.id_to_piece(k): (counts[k] + 1) / total for k in range(sp.get_piece_size()) if not sp.is_control(k) and not sp.is_unknown(k)}
+
+    def marginal(word):
+        text, found = "\u2581" + word, 0.0
+        for cuts in product((0, 1), repeat=len(text) - 1):
+            parts, begin = [], 0
+            for k, c in enumerate(cuts, 1):
+                if c:
+                    parts.append(text[begin:k])
+                    begin = k
+            parts.append(text[begin:])
+            chance = 1.0
+            for part in parts:
+                if part in p:
+                    chance *= p[part]
+                elif len(part) == 1:
+                    for byte in part.encode():
+                        chance *= p[f"<0x{byte:02X}>"]
+                else:
+                    chance = 0.0
+            found += chance
+        return math.log10(found)
+
+    for i, t, *_ in rows:
+        want = sum(map(marginal, split(t))) + math.log10((ends + 1) / total)
+        assert out[i]["held_out"] == held[i] and abs(out[i]["score"] - want) < 1e-9
+
+
 def test_hot_and_rare_words_score_alike(spark):
     a, b = ({(r["doc_id"], r["n_tokens"]): round(r["score"], 6) for r in lattice_lm.score(table(spark), hot=h).collect()} for h in (100_000, 3))
     assert a == b
