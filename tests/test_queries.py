@@ -47,3 +47,23 @@ def test_entry(spark):
 
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("gone", [("tessera/llm",), ("tessera/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_registry_without_the_corpus_operators(gone, tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry.__file__).parent
+    for name in ("tessera", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).is_dir():
+            shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__"))
+        elif (root / name).exists():
+            shutil.copy(root / name, tmp_path / name)
+    for name in gone:
+        where = tmp_path / name
+        shutil.rmtree(where) if where.is_dir() else where.unlink(missing_ok=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'chunks_fixed' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
