@@ -271,8 +271,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[{}]") -> DataFrame
     """docs with every found span replaced by its kind in brackets; null texts stay null.
 
     Texts are read three times, to propose, to sample and to redact, and never shuffled."""
-    only = docs.select(F.col(text).alias("text"))
-    model = docs.sparkSession.sparkContext.broadcast(train(cut(propose(only, "text", "text").drop("doc_id", "base")), only))
+    only = docs.select(F.lit(0).alias("n"), F.col(text).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(train(cut(propose(only, "n", "text").drop("doc_id", "base")), only))
     at = docs.columns.index(text)
 
     def clean(t: str | None) -> str | None:
