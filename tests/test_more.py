@@ -105,3 +105,22 @@ def test_names_backups_and_stock_replies(spark, tmp_path):
     assert said["user"].split("\n") == [*(f"user: {i}" for i in range(2, 7)), "user: hi"] and said["fallback"] in generation.GREETINGS
     s = spark.range(1).select(chunking.overlap_sentences(F.array(F.lit("one two three four."), F.lit("five six."), F.lit("seven.")), 4).alias("x")).first()["x"]
     assert s == ["five six.", "seven."]
+
+
+def test_lists_find_most_neighbours_by_reading_some(spark, tmp_path):
+    import numpy as np
+    from tessera.operators import index, retrieval
+
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(30, 8))[rnd.integers(0, 30, 2000)] * 5 + rnd.normal(size=(2000, 8))
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(2000)], "doc_id long, embedding array<double>")
+    asked = rows.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    kept = index.ListIndex(spark, str(tmp_path / "i"), probes=4)
+    assert kept.build(rows, 24) == 24 and index.notes(spark, kept.path)["vectors"] == "2000"
+    pairs = lambda hits: {(r["query_id"], r["doc_id"]) for r in hits.collect()}
+    exact, found = pairs(retrieval.nearest(rows, asked, 10)), pairs(kept.search(asked, 10))
+    assert len(exact & found) >= 0.9 * len(exact)
+    assert kept.probe_more() == 8 and index.lists_for(99_999) == 1 and index.lists_for(390_000) == 4096 and index.lists_for(200_000) == 4096
+    assert index.notes(spark, str(tmp_path / "none")) == {}
+    none = index.ListIndex(spark, str(tmp_path / "e"))
+    assert none.build(rows.limit(0)) == 1 and none.search(asked, 3).count() == 0
