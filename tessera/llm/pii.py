@@ -41,15 +41,17 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _NAME = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|credential|api[_ -]?key|access[_ -]?key|private[_ -]?key|key|bearer|auth)"
-#: High-recall generators, by kind; the span is the group "x" where there is one.
-_CANDIDATES = (
-    (0, re.compile(r"(?<![^\s<>()\"',;])[^\s@<>()\"',;]++@[^\s@<>()\"',;]++")),
-    (1, re.compile(r"(?<![0-9.])[0-9]++(?:\.[0-9]++){2,}+(?![0-9])")),
-    (2, re.compile(r"(?<![0-9])[0-9](?:[ ./-]?[0-9]){11,}+")),
-    (3, re.compile(r"(?<![0-9])(?:\+|00)?[(]?[0-9](?:[ ().-]{0,3}[0-9]){6,}+")),
-    (4, re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+")),
-    (4, re.compile(_NAME + r"[\"']?\s{0,2}(?:[:=]|\s)\s{0,2}[\"']?(?P<x>[^\s\"'<>,;]{6,}+)", re.I)),
-)
+#: Parts of lower-cased names, one of which each of them begins with or ends in.
+_NAME_PARTS = ("token", "secret", "passw", "passphrase", "pwd", "credential", "key", "bearer", "auth")
+#: What ends an address on either side.
+_EDGES = frozenset("@<>()\"',;")
+# High-recall generators. A pattern's first item is the characters that it begins with, which a scan skips to.
+_DOTTED = re.compile(r"[0-9](?<![0-9.][0-9])[0-9]*+(?:\.[0-9]++){2,}+(?![0-9])")
+_LONG = re.compile(r"[0-9](?<![0-9]{2})(?:[ ./-]?[0-9]){11,}+")
+_GROUPS = re.compile(r"[0-9](?<![0-9]{2})(?:[ ().-]{0,3}[0-9]){6,}+")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+")
+_VALUE = re.compile(_NAME + r"[\"']?\s{0,2}(?:[:=]|\s)\s{0,2}[\"']?(?P<x>[^\s\"'<>,;]{6,}+)", re.I)
+_DIGIT = re.compile("[0-9]")
 _NAMED = re.compile(_NAME + r"[\"']?\s{0,2}[:=]?\s{0,2}[\"']?$", re.I)
 _CUES = tuple(re.compile(x, re.I) for x in (r"mail|contact|@", r"\bip\b|host|server|addr", r"card|visa|account|iban|credit", r"phone|tel|call|fax|mobile", _NAME))
 _COUNTER_CUES = re.compile(r"commit|sha-?\d*|md5|digest|checksum|version|isbn|order|invoice|serial|uuid|https?://\S*$|[/\\]\S*$|\bv$", re.I)
@@ -104,10 +106,53 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     ]
 
 
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """What stands around each @, up to white space and signs that addresses do not hold."""
+    at = text.find("@")
+    while at >= 0:
+        start, end = at, at + 1
+        while start and not (text[start - 1] in _EDGES or text[start - 1].isspace()):
+            start -= 1
+        while end < len(text) and not (text[end] in _EDGES or text[end].isspace()):
+            end += 1
+        if start < at and end > at + 1:
+            yield start, end
+        at = text.find("@", end)
+
+
+def _values(text: str) -> Iterator[tuple[int, int]]:
+    """Values after a naming word."""
+    low = text.lower()
+    if not any(part in low for part in _NAME_PARTS):
+        return
+    if len(low) != len(text):  # a letter whose lower case is two: places do not agree
+        yield from (m.span("x") for m in _VALUE.finditer(text))
+        return
+    for part in _NAME_PARTS:
+        at = low.find(part)
+        while at >= 0:
+            if m := _VALUE.match(text, at):
+                yield m.span("x")
+            at = low.find(part, at + 1)
+
+
+def _generated(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, kind) of every generator's spans."""
+    yield from ((*x, 0) for x in _addresses(text))
+    if _DIGIT.search(text):
+        yield from ((*m.span(), 1) for m in _DOTTED.finditer(text))
+        yield from ((*m.span(), 2) for m in _LONG.finditer(text))
+        for m in _GROUPS.finditer(text):
+            start = m.start()
+            start -= text[start - 1 : start] == "("
+            yield start - (text[start - 1 : start] == "+"), m.end(), 3
+        yield from ((*m.span(), 4) for m in _RUN.finditer(text))
+    yield from ((*x, 4) for x in _values(text))
+
+
 def candidates(text: str) -> list[tuple[int, int, int, list[float]]]:
     """(start, kind, end, features) of every generator's spans."""
-    spans = sorted({(*m.span("x" if "x" in pattern.groupindex else 0), kind) for kind, pattern in _CANDIDATES for m in pattern.finditer(text)})
-    return [(start, kind, end, features(text, kind, start, end)) for start, end, kind in spans]
+    return [(start, kind, end, features(text, kind, start, end)) for start, end, kind in sorted(set(_generated(text)))]
 
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
