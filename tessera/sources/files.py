@@ -133,6 +133,13 @@ def _word_tree(z: zipfile.ZipFile, name: str):
     return ET.fromstring(z.read(name))
 
 
+def _body(z: zipfile.ZipFile):
+    """The element that holds a file's paragraphs: its body, or the whole document where it has none."""
+    tree = _word_tree(z, "word/document.xml")
+    body = tree.find(f"{_WORD}body")
+    return tree if body is None else body
+
+
 def _runs(node) -> str:
     return "".join(t.text or "" for t in node.iter(f"{_WORD}t"))
 
@@ -149,7 +156,7 @@ def word_parts(data: bytes, edges: bool = False) -> list[str]:
 
     edges: running heads and feet too, as [HEADER] and [FOOTER]. Its XML is plain enough for the standard library."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = _word_tree(z, "word/document.xml").find(f"{_WORD}body")
+        body = _body(z)
         out = [t for p in body.findall(f"{_WORD}p") if (t := _paragraph(p)).strip()]
         for n, table in enumerate(body.findall(f"{_WORD}tbl"), 1):
             rows = [" | ".join(_runs(cell).strip() for cell in row.findall(f"{_WORD}tc")) for row in table.findall(f"{_WORD}tr")]
@@ -165,7 +172,7 @@ def word_properties(data: bytes) -> dict:
     import re
 
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        body = _word_tree(z, "word/document.xml").find(f"{_WORD}body")
+        body = _body(z)
         paragraphs = sum(bool(_runs(p).strip()) for p in body.findall(f"{_WORD}p"))
         sections = max(1, sum(1 for _ in body.iter(f"{_WORD}sectPr")))
         core = z.read("docProps/core.xml").decode("utf-8", "replace") if "docProps/core.xml" in z.namelist() else ""
