@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_transducer, collocations, lattice_lm, line_dedup, multi_index, packing, pii, quality_rules, signature_join, suffix_dedup, token_rollup, whitening
+from . import bpe_transducer, collocations, lattice_lm, line_dedup, multi_index, packing, pii, quality_rules, signature_join, suffix_dedup, token_rollup, toxicity, whitening
 from .common import cut, new_path, table
 
 
@@ -65,6 +65,10 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -76,6 +80,6 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array, op2_token_rollup, op3_best_fit_packing, op4_pii_boosting, op5_multi_index,
     op6_bpe_transducer, op7_line_dedup, op8_signature_join, op9_quality_rules, op10_lattice_lm,
-    op12_qd_whitening, op13_phrase_collocations,
+    op11_toxicity_gru, op12_qd_whitening, op13_phrase_collocations,
 )}
 ORACLES = {"op7_line_dedup": line_dedup.SQL, "op9_quality_rules": quality_rules.SQL, "op13_phrase_collocations": collocations.SQL}
