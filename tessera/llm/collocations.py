@@ -32,9 +32,11 @@ from .tokens import Memo
 
 ENDS = re.compile("[.,;:!?\n\u000b\f\r]+")
 #: Mean distance of triggering windows, in words.
-SPREAD = 12
-#: A task's own counts are passed on when it holds so many different keys.
-TASK_KEYS = 250_000
+SPREAD = 16
+#: A task's own counts are passed on when it holds so many different strings.
+TASK_KEYS = 400_000
+#: Counts meet in parts by their string's hash, one for so many characters of text, so that a part fits in a task.
+PART_CHARS = 8_000_000
 #: First ranking per language in so many parts.
 PARTS = 64
 
@@ -61,70 +63,114 @@ def chunks(words: list[str], width: int, code: Memo, spread: int = SPREAD) -> It
     yield words[begin:], False
 
 
-def parse(rows: DataFrame, longest: int, spread: int = SPREAD) -> DataFrame:
-    """The dictionary of rows (lang, text): (lang, chunk, goes_on, n)."""
-    width = longest - 1
+class Tally:
+    """Counts by language and string, passed on in blocks by part: a string's part is that of its hash."""
+
+    schema = "part int, lang string, size int, block binary"
+
+    def __init__(self, parts: int):
+        self.parts, self.by_lang = parts, {}
+
+    def of(self, lang: str) -> Counter:
+        held = self.by_lang.get(lang)
+        if held is None:
+            held = self.by_lang[lang] = Counter()
+        return held
+
+    def full(self) -> bool:
+        return sum(map(len, self.by_lang.values())) >= TASK_KEYS
+
+    def blocks(self) -> pa.RecordBatch:
+        codec, parts, crc, rows = pa.Codec("zstd"), self.parts, zlib.crc32, []
+        for lang, counts in self.by_lang.items():
+            by_part: dict[int, list[str]] = {}
+            for key, n in counts.items():
+                by_part.setdefault(crc(key.encode()) % parts, []).append(key if n == 1 else f"{key}\t{n}")
+            for part, lines in by_part.items():
+                raw = "\n".join(lines).encode()
+                rows.append((part, lang, len(raw), codec.compress(raw, asbytes=True)))
+        self.by_lang.clear()
+        kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["part", "lang", "size", "block"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        code = Memo(lambda w: zlib.crc32(w.encode()) >> 3)
 
-        def out() -> pa.RecordBatch:
-            langs, texts, goes_on = zip(*held, strict=True) if held else ((), (), ())
-            made = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(goes_on, pa.bool_()), pa.array(list(held.values()), pa.int64())], names=["lang", "chunk", "goes_on", "n"])
-            held.clear()
-            return made
+def met(blocks: DataFrame, parts: int) -> DataFrame:
+    """Blocks of one part next to each other, a part in one task."""
+    return blocks.repartition(parts, "part").sortWithinPartitions("part")
 
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, dict[str, int]]]:
+    """Per part, by language, its strings' counts."""
+    codec, held, current = pa.Codec("zstd"), {}, None
+    for b in few(batches, 64):
+        for part, lang, size, block in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if part != current and held:
+                yield held
+                held = {}
+            current, counts = part, held.setdefault(lang, {})
+            get = counts.get
+            for line in codec.decompress(block, size, asbytes=True).decode().split("\n"):
+                key, tab, n = line.partition("\t")
+                counts[key] = get(key, 0) + (int(n) if tab else 1)
+    if held:
+        yield held
+
+
+def parse(rows: DataFrame, longest: int, parts: int, spread: int = SPREAD) -> DataFrame:
+    """Blocks of the dictionary of rows (lang, text), yet to be merged. A chunk that goes on ends with a space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally, code = Tally(parts), Memo(lambda w: zlib.crc32(w.encode()) >> 3)
         for b in few(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                held = tally.of(lang)
                 for words in split_pieces(text):
-                    for chunk, goes_on in chunks(words, width, code, spread):
-                        held[lang, " ".join(chunk), goes_on] += 1
-                    if len(held) >= TASK_KEYS:
-                        yield out()
-        yield out()
+                    for chunk, goes_on in chunks(words, longest - 1, code, spread):
+                        held[" ".join(chunk) + " " if goes_on else " ".join(chunk)] += 1
+                if tally.full():
+                    yield tally.blocks()
+        yield tally.blocks()
 
-    found = rows.mapInArrow(run, "lang string, chunk string, goes_on boolean, n long")
-    return found.groupBy("lang", "chunk", "goes_on").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, Tally.schema)
 
 
-def count_grams(dictionary: DataFrame, longest: int) -> DataFrame:
-    """(lang, phrase, f): all n-grams up to `longest` words, and as the empty phrase the number of words."""
+def count_grams(dictionary: DataFrame, longest: int, parts: int, least: int) -> DataFrame:
+    """(lang, phrase, f): all n-grams up to `longest` words that occur `least` times, and as the empty phrase the
+    number of words."""
     width = longest - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_lang: dict[str, Counter] = {}
-        total: Counter = Counter()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for lang, n in total.items():
-                by_lang[lang][""] = n
-            for lang, c in by_lang.items():
-                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(c)), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "phrase", "n"])
-            by_lang.clear()
-            total.clear()
-
-        for b in few(batches, 4096):
-            for lang, chunk, goes_on, n in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                words = chunk.split(" ")
-                held = by_lang.get(lang)
-                if held is None:
-                    held = by_lang[lang] = Counter()
-                get, own = held.get, len(words) - width if goes_on else len(words)
-                total[lang] += own * n
-                for w in words[:own]:
-                    held[w] = get(w, 0) + n
-                grams = words
-                for size in range(2, longest + 1):
-                    grams = [f"{x} {y}" for x, y in zip(grams, words[size - 1 :], strict=False)]
-                    for g in grams[:own]:
-                        held[g] = get(g, 0) + n
-            if sum(map(len, by_lang.values())) >= TASK_KEYS:
-                yield from out()
-        yield from out()
-
-    found = dictionary.select("lang", "chunk", "goes_on", "n").mapInArrow(run, "lang string, phrase string, n long")
-    return found.groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(parts)
+        for by_lang in merged(batches):
+            for lang, found in by_lang.items():
+                for chunk, n in found.items():
+                    held = tally.of(lang)
+                    words = chunk.split(" ")
+                    own = len(words)
+                    if not words[-1]:
+                        words.pop()
+                        own -= 1 + width
+                    grams = list(words)
+                    for size in range(1, longest + 1):
+                        grams = grams if size == 1 else [f"{x} {y}" for x, y in zip(grams, words[size - 1 :], strict=False)]
+                        if n == 1:
+                            held.update(grams[:own])
+                        else:
+                            for g in grams[:own]:
+                                held[g] += n
+                    held[""] += own * n
+                    if tally.full():
+                        yield tally.blocks()
+        yield tally.blocks()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for by_lang in merged(batches):
+            for lang, found in by_lang.items():
+                kept = [(g, n) for g, n in found.items() if n >= least or not g]
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(kept)), pa.array([g for g, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["lang", "phrase", "f"])
+
+    grams = met(dictionary, parts).mapInArrow(count, Tally.schema)
+    return met(grams, parts).mapInArrow(add, "lang string, phrase string, f long")
 
 
 def parts_of(phrase, begin: int, size: int):
@@ -139,7 +185,9 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int =
     if longest < 2:
         raise ValueError("a phrase has two words at least")
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
-    grams = count_grams(parse(rows, longest), longest).where((F.col("f") >= least) | (F.col("phrase") == ""))
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = int(size // PART_CHARS) + 1
+    grams = count_grams(parse(rows, longest, parts), longest, parts, least)
     grams = cut(grams.withColumn("size", F.size(F.split("phrase", " "))))
     words = grams.where("phrase = ''").select("lang", F.col("f").alias("n"))  # a row for each language
     counts = grams.where("phrase <> ''")

@@ -45,7 +45,7 @@ STEPS, BATCH, RATE = 700, 32, 0.005
 BLOCK, REMEMBERED = 512, 100_000
 
 _WORD = re.compile(rf"\w{{1,{LONG}}}")
-PADDING = " "
+PADDING = "-"
 
 
 def split_words(text: str | None) -> list[str]:
