@@ -119,12 +119,11 @@ def reduce(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
                 if partners is None:
                     break
                 need = np.bincount([w, *partners], minlength=len(counts))
-                # Repeat while the argument holds as it stands: it always does for a full set or a lone item,
-                # which no later loss of items can spoil; for others, one at a time is on the safe side.
-                lasting = not partners or w + sum(partners) == capacity
-                times = int((counts[need > 0] // need[need > 0]).min()) if lasting else 1
-                if not lasting and len(partners) == 1:  # only losses of w's own partners change it
-                    times = max(1, int((counts[need > 0] // need[need > 0]).min()))
+                # Repeat while the argument holds as it stands. For a full set, a lone item or a pair it does to the
+                # end; for others it looks at which lengths are there, up to three of each besides, so that it
+                # holds while more than those are left of the lengths that the set takes.
+                spare = 0 if len(partners) < 2 or w + sum(partners) == capacity else 4
+                times = max(1, int(((counts[need > 0] - spare) // need[need > 0]).min()))
                 counts -= need * times
                 fixed.append(([w, *partners], times))
                 again = True
