@@ -14,7 +14,7 @@ counts, which SAMPLE and CENTROIDS bound.
 
 Vectors that are null, zero, or hold null or non-finite components take no part; all others do, of
 whatever dimension: missing components count as zeros. Rows of the query's own id are not its
-candidates; of query rows with one id, the least is asked. Ties go to the smaller id. Columns beyond the
+candidates; of query rows with one id, the least is asked; rows of one other id are candidates each. Ties go to the smaller id. Columns beyond the
 id and the vector are ignored, whatever their names are; an empty table gives an empty table.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from .common import cut, hash_sample
 
-#: Rows that the centroids are fitted on, at most: an even share by hashed id.
+#: Rows that the centroids are fitted on, at most: an even share by hashed id and vector.
 SAMPLE = 20_000
 SHARD_ROWS, QUERY_ROWS = 8192, 4096
 #: Centroids of a half at most; queries that the depth is measured on.
@@ -187,8 +187,9 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, vec: str = "ve
     spark = vectors.sparkSession
     rows = usable(vectors, vec, embedding)
     n = rows.count()
-    drawn = hash_sample(rows, n, SAMPLE, "vec_id").select("h", "vec_id", "v").collect()
-    sample = [r["v"] for r in sorted(drawn, key=lambda r: (r["h"], r["vec_id"], r["v"]))[:SAMPLE]] or [[0.0, 0.0]]
+    # Equal rows have equal hashes and are drawn together or not at all; the limit bounds what comes here in any case.
+    drawn = hash_sample(rows, n, SAMPLE, "vec_id", "v").select("h", "vec_id", "v").limit(SAMPLE).collect() or rows.select(F.lit(0).alias("h"), "vec_id", "v").limit(SAMPLE).collect()
+    sample = [r["v"] for r in sorted(drawn, key=lambda r: (r["h"], r["vec_id"], r["v"]))] or [[0.0, 0.0]]
     # Cells are told apart by as many components as most vectors of the sample have.
     dim = int(pd.Series([len(x) for x in sample]).mode().iloc[0])
     sample, half = matrix(sample, dim), dim // 2
@@ -233,7 +234,8 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = 20, vec: str = "ve
         _, first, parts, _ = index.value
         for f in frames:
             cell = f.cell.to_numpy()
-            yield f.assign(shard=first[cell] + f.vec_id.to_numpy() % np.maximum(parts[cell], 1))
+            # Rows of one id are spread as well, by their place in the batch.
+            yield f.assign(shard=first[cell] + (f.vec_id.to_numpy() + np.arange(len(f))) % np.maximum(parts[cell], 1))
 
     tasks = max(1, min(-(-n_asked // 64), 4 * spark.sparkContext.defaultParallelism + n_asked // 4096))
     probes = cut(asked.repartition(tasks, "query_id").mapInPandas(probe, "query_id long, v array<double>, depth double, shard long"))
