@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -192,10 +193,21 @@ class Model:
     def select(self, base: list[tuple[int, int, int]], found: list[tuple[int, int, int, list[float]]]) -> list[tuple[int, int, int]]:
         """base and what the model adds: best scores first, without overlaps."""
         scored = [(self.score(f), s, k, e) for s, k, e, f in found if self.thresholds[k] is not None]
-        taken = list(base)
+        taken, begins, ends = list(base), [], []  # what is covered, in order and apart
+        for s, _, e in sorted(base):
+            if begins and s < ends[-1]:
+                ends[-1] = max(ends[-1], e)
+            else:
+                begins.append(s)
+                ends.append(e)
         for p, s, k, e in sorted(scored, key=lambda x: (-x[0], x[1], x[2])):
-            if p >= self.thresholds[k] and all(e <= s2 or e2 <= s for s2, _, e2 in taken):
+            if p < self.thresholds[k]:
+                continue
+            at = bisect_right(begins, s)
+            if (not at or ends[at - 1] <= s) and (at == len(begins) or e <= begins[at]):
                 taken.append((s, k, e))
+                begins.insert(at, s)
+                ends.insert(at, e)
         return sorted(taken)
 
 
