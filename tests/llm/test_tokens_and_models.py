@@ -438,3 +438,56 @@ def test_added_tokens_are_single_ids():
     added = tokens.added_tokens(P.path("byte_bpe_50k.json"))
     ids = tokens.id_bytes(P.path("byte_bpe_50k.tiktoken"), added)("x<|endoftext|>")
     assert len(ids) == 8 and int.from_bytes(ids[4:], "little") == 50256
+
+
+def test_rollup_knows_its_ops_and_compacts(spark, tmp_path, monkeypatch):
+    schema = "op string, doc_id long, source string, lang string, version string, tokens long"
+    change = lambda *rows: spark.createDataFrame([(op, i, "s", "en", "v", n) for op, i, n in rows], schema)
+    r = token_rollup.Rollup(spark, str(tmp_path / "ops"))
+    r.commit(1, change(("revise", 1, 5), (None, 2, 7), ("bogus", 3, 9), ("delete", 4, 1)))
+    assert rows_of(r.totals()) == [("s", "en", "v", 1, 5)]
+    monkeypatch.setattr(token_rollup, "COMPACT_AFTER", 3)
+    r, plain, rnd = token_rollup.Rollup(spark, str(tmp_path / "many")), {}, random.Random(4)
+    for batch in range(9):
+        rows = [(rnd.choice(["insert", "revise", "delete"]), i, rnd.randrange(100)) for i in rnd.sample(range(12), 5)]
+        r.commit(batch, change(*rows))
+        assert not r.commit(batch, change(("insert", 99, 1)))
+        for op, i, n in rows:
+            plain.pop(i, None) if op == "delete" else plain.update({i: n})
+        want = [("s", "en", "v", len(plain), sum(plain.values()))] if plain else []
+        assert rows_of(r.totals()) == want and {x["doc_id"]: x["tokens"] for x in r.ledger().collect()} == plain
+    assert r.batches("compactions") and r._read("changes", token_rollup._LEDGER).inputFiles()
+    before = rows_of(r.totals())
+    r.compact()
+    r.compact()
+    assert rows_of(r.totals()) == before and len(r._read("deltas", token_rollup._DELTA).select("batch").distinct().collect()) <= 1
+
+
+def test_plans_do_not_grow_with_the_documents():
+    for shape in ({500: 1, 260: 2}, {342: 3, 399: 1, 500: 2, 559: 1}, {340: 5, 345: 2, 350: 1}):
+        rows = [len(packing.plan({k: v * n for k, v in shape.items()}, 1024)) for n in (1_000, 8_000, 64_000)]
+        assert max(rows) <= rows[0] + 40, (shape, rows)
+
+
+@pytest.mark.parametrize("rows", [[(3, [1.0, 2.0])] * 30_000, [(0, [0.1 * (i % 7), 1.0]) for i in range(30_000)]])
+def test_sample_of_one_id_is_bounded(spark, rows, monkeypatch):
+    monkeypatch.setattr(multi_index, "SAMPLE", 500)
+    taken = []
+    monkeypatch.setattr(multi_index, "kmeans", lambda x, k, rounds=10, old=multi_index.kmeans: taken.append(len(x)) or old(x, k, rounds))
+    table_ = spark.createDataFrame([*rows, (7, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    out = multi_index.search(table_, table_.where("vec_id = 7"), top=5).collect()
+    assert len(out) == 5 and max(taken) <= 500 and min(taken) > 0
+
+
+def test_selected_spans_do_not_meet():
+    rnd = random.Random(6)
+    model = pii.Model([], [0.2] * len(pii.KINDS))
+    model.score = lambda f: f[0]
+    for _ in range(200):
+        span = lambda: (s := rnd.randrange(80), rnd.randrange(len(pii.KINDS)), s + rnd.randrange(1, 12))
+        base, found = [span() for _ in range(3)], [(*span(), [rnd.random()]) for _ in range(30)]
+        taken = list(base)
+        for s, k, e, f in sorted(found, key=lambda x: (-x[3][0], x[0], x[1])):
+            if f[0] >= 0.2 and all(e <= s2 or e2 <= s for s2, _, e2 in taken):
+                taken.append((s, k, e))
+        assert model.select(base, found) == sorted(taken)
