@@ -989,6 +989,52 @@ def overview(spark, sf_dir):
     return analytics.overview(d.select("doc_id", F.col("n_chars").alias("size")), chunks.select("doc_id"), t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id")))
 
 
+_PDF_DATE = "printf('2024%02d%02d%02d0405', 1 + doc_id % 12, 1 + doc_id % 28, doc_id % 24)"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\s\x0B\x1C-\x1F\x85\xA0]')) AS ls FROM documents),
+p AS (SELECT *, greatest(1, (len(ls) + 39) // 40) AS n FROM l),
+t AS (SELECT *, list_transform(range(1, n + 1), lambda i: array_to_string(list_slice(ls, i * 40 - 39, i * 40), chr(10))) AS pages FROM p)
+SELECT '/' || doc_id || '.pdf' AS path, 'Document ' || doc_id AS title, 'Tessera' AS author, strftime(strptime({_PDF_DATE}, '%Y%m%d%H%M%S'), '%Y-%m-%d %H:%M:%S') AS created, CAST(n AS BIGINT) AS pages,
+  list_sum(list_transform(list_slice(pages, 1, 3), lambda x: length(trim(x)))) / least(n, 3) < 100 AS scanned, sha256(array_to_string(list_transform(pages, lambda x, i: '[PAGE ' || i || ']' || chr(10) || x), chr(10))) AS text FROM t
+""")
+def files_pdf(spark, sf_dir):
+    """Documents as PDF files of three builds, read back: properties, dates, pages in order, and whether they look scanned."""
+    import pandas as pd
+
+    from . import pdf_samples
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"path": [f"/{i}.pdf" for i in f.doc_id], "name": [f"{i}.pdf" for i in f.doc_id], "kind": "pdf", "content": [pdf_samples.made(int(i), body or "", f"D:{at}+01'00'") for i, body, at in zip(f.doc_id, f.text, f["at"], strict=True)]})
+
+    i = F.col("doc_id")
+    at = F.format_string("2024%02d%02d%02d0405", 1 + i % 12, 1 + i % 28, i % 24)
+    found = documents(spark, sf_dir).select("doc_id", "text", at.alias("at")).mapInPandas(run, "path string, name string, kind string, content binary")
+    held = files.properties(found).select("path", "title", "author", F.date_format(exports.pdf_time("created"), "yyyy-MM-dd HH:mm:ss").alias("created"))
+    parts = files.parsed(found)
+    texts = files.documents(parts).select("path", F.sha2("text", 256).alias("text"))
+    return held.join(files.page_counts(parts), "path").join(files.scanned(parts), "path").join(texts, "path")
+
+
+@query("""
+SELECT lang, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars, CAST(sum(('0x' || substr(md5(line), 1, 8))::BIGINT) AS BIGINT) AS content, true AS described
+FROM (SELECT coalesce(lang, 'none') AS lang, replace(replace(coalesce(text, ''), chr(13), ' '), chr(10), ' | ') AS line FROM documents) GROUP BY lang
+""")
+def files_scanned(spark, sf_dir):
+    """A folder of text files, written by Spark from the table and read through the scan of files: kinds by names and first bytes, sizes, hashes, and texts."""
+    at = new_path(spark)
+    line = F.regexp_replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(" ")), "\n", " | ")
+    documents(spark, sf_dir).select(F.coalesce("lang", F.lit("none")).alias("lang"), line.alias("line")).write.partitionBy("lang").option("compression", "none").text(at)
+    found = files.files(spark, at, "*.txt")
+    sound = (F.col("kind") == "txt") & (F.col("size") == F.octet_length("content")) & (F.col("sha256") == F.sha2("content", 256)) & F.col("modified").isNotNull() & F.endswith("path", "name")
+    told = found.select(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang"), sound.alias("sound")).groupBy("lang").agg(F.bool_and("sound").alias("described"))
+    lines = files.parsed(found).select(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang"), F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("line"))
+    mark = F.conv(F.substring(F.md5("line"), 1, 8), 16, 10).cast("long")
+    return lines.groupBy("lang").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"), F.sum(mark).alias("content")).join(told, "lang")
+
+
 @query(f"""
 WITH {_ANSWERS}, s AS (SELECT answer_id, list_filter(cited, lambda n: n BETWEEN 1 AND 3) AS good FROM c)
 SELECT answer_id, CASE WHEN len(good) = 0 THEN '' ELSE 'References:' || chr(10) || array_to_string(list_transform(good, lambda n, i: '(' || i || ') file' || n || '.txt'), chr(10)) END AS refs FROM s

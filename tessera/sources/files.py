@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checks import extension
+from . import pdf
 
 # Extensions by kind.
 KINDS = {
@@ -118,12 +119,6 @@ def members(name: str, data: bytes, most: int = MAX_MEMBERS, most_bytes: int = M
             yield info.name, t.extractfile(info).read()
 
 
-def _pdf_pages(data: bytes) -> list[str]:
-    from pypdf import PdfReader  # optional
-
-    return [p.extract_text() or "" for p in PdfReader(io.BytesIO(data)).pages]
-
-
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -181,11 +176,7 @@ def word_properties(data: bytes) -> dict:
 
 
 def _pdf_properties(data: bytes) -> dict:
-    from pypdf import PdfReader  # optional
-
-    found = PdfReader(io.BytesIO(data))
-    held = found.metadata or {}
-    return {"title": held.get("/Title"), "author": held.get("/Author"), "created": held.get("/CreationDate"), "modified": held.get("/ModDate"), "paragraphs": None, "sections": None, "pages": len(found.pages)}
+    return {"paragraphs": None, "sections": None} | pdf.properties(data)
 
 
 def _text_properties(data: bytes) -> dict:
@@ -245,7 +236,7 @@ def listed(found: DataFrame) -> DataFrame:
 #: kind -> parser of (name, bytes) to (part, text); register more here.
 PARSERS: dict[str, Callable[[str, bytes], Iterator[tuple[str, str]]]] = {
     "txt": lambda name, data: iter([("", decode_bytes(data)[0])]),
-    "pdf": lambda name, data: ((f"[PAGE {i}]", t) for i, t in enumerate(_pdf_pages(data), 1)),
+    "pdf": lambda name, data: ((f"[PAGE {i}]", t) for i, t in enumerate(pdf.page_texts(data), 1)),
     "docx": lambda name, data: (("", t) for t in word_parts(data)),
 }
 

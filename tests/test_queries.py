@@ -51,6 +51,7 @@ def test_registry_is_consistent():
 
 @pytest.mark.parametrize("gone", [("tessera/llm",), ("tessera/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
 def test_registry_without_the_corpus_operators(gone, tmp_path):
+    import os
     import shutil
     import subprocess
     import sys
@@ -66,4 +67,5 @@ def test_registry_without_the_corpus_operators(gone, tmp_path):
         where = tmp_path / name
         shutil.rmtree(where) if where.is_dir() else where.unlink(missing_ok=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'chunks_fixed' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}  # the copied tree alone
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
