@@ -41,13 +41,13 @@ PART_CHARS = 8_000_000
 PARTS = 64
 
 
-def split_pieces(text: str | None) -> Iterator[list[str]]:
-    """The words of each piece that has any."""
+def split_pieces(text: str | None) -> Iterator[str]:
+    """Each piece that has words, with single spaces between them."""
     text = (text or "").replace("\t", " ")
     text = text.lower() if text.isascii() else text.encode().lower().decode()  # on bytes lower() knows ASCII alone
     for piece in ENDS.split(text):
-        if words := list(filter(None, piece.split(" "))):
-            yield words
+        if piece := piece.strip(" "):
+            yield " ".join(filter(None, piece.split(" "))) if "  " in piece else piece
 
 
 def chunks(words: list[str], width: int, code: Memo, spread: int = SPREAD) -> Iterator[tuple[list[str], bool]]:
@@ -83,12 +83,13 @@ class Tally:
     def blocks(self) -> pa.RecordBatch:
         codec, parts, crc, rows = pa.Codec("zstd"), self.parts, zlib.crc32, []
         for lang, counts in self.by_lang.items():
-            by_part: dict[int, list[str]] = {}
+            by_part: list[list[str]] = [[] for _ in range(parts)]
             for key, n in counts.items():
-                by_part.setdefault(crc(key.encode()) % parts, []).append(key if n == 1 else f"{key}\t{n}")
-            for part, lines in by_part.items():
-                raw = "\n".join(lines).encode()
-                rows.append((part, lang, len(raw), codec.compress(raw, asbytes=True)))
+                by_part[crc(key.encode()) % parts].append(key if n == 1 else f"{key}\t{n}")
+            for part, lines in enumerate(by_part):
+                if lines:
+                    raw = "\n".join(lines).encode()
+                    rows.append((part, lang, len(raw), codec.compress(raw, asbytes=True)))
         self.by_lang.clear()
         kinds = (pa.int32(), pa.string(), pa.int32(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["part", "lang", "size", "block"])
@@ -123,10 +124,14 @@ def parse(rows: DataFrame, longest: int, parts: int, spread: int = SPREAD) -> Da
         tally, code = Tally(parts), Memo(lambda w: zlib.crc32(w.encode()) >> 3)
         for b in few(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held = tally.of(lang)
-                for words in split_pieces(text):
-                    for chunk, goes_on in chunks(words, longest - 1, code, spread):
+                held, whole = tally.of(lang), []
+                for piece in split_pieces(text):
+                    if piece.count(" ") < spread:  # as long as a chunk, so it is one
+                        whole.append(piece)
+                        continue
+                    for chunk, goes_on in chunks(piece.split(" "), longest - 1, code, spread):
                         held[" ".join(chunk) + " " if goes_on else " ".join(chunk)] += 1
+                held.update(whole)
                 if tally.full():
                     yield tally.blocks()
         yield tally.blocks()
@@ -154,7 +159,7 @@ def count_grams(dictionary: DataFrame, longest: int, parts: int, least: int) ->
                     for size in range(1, longest + 1):
                         grams = grams if size == 1 else [f"{x} {y}" for x, y in zip(grams, words[size - 1 :], strict=False)]
                         if n == 1:
-                            held.update(grams[:own])
+                            held.update(grams if own >= len(grams) else grams[:own])
                         else:
                             for g in grams[:own]:
                                 held[g] += n
@@ -177,7 +182,7 @@ def parts_of(phrase, begin: int, size: int):
     return F.array_join(F.slice(F.split(phrase, " "), begin + 1, size), " ")
 
 
-def mine(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = 3, least: int = 10, covered: int = 50, top: int = 2000) -> DataFrame:
+def mine(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int = 3, least: int = 10, covered: int = 50, top: int = 2000, spread: int = SPREAD) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score.
 
     Phrases of 2 to `longest` words that occur `least` times; not those within a longer one that occurs
@@ -187,7 +192,7 @@ def mine(docs: DataFrame, lang: str = "lang", text: str = "text", longest: int =
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = int(size // PART_CHARS) + 1
-    grams = count_grams(parse(rows, longest, parts), longest, parts, least)
+    grams = count_grams(parse(rows, longest, parts, spread), longest, parts, least)
     grams = cut(grams.withColumn("size", F.size(F.split("phrase", " "))))
     words = grams.where("phrase = ''").select("lang", F.col("f").alias("n"))  # a row for each language
     counts = grams.where("phrase <> ''")

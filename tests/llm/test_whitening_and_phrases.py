@@ -125,7 +125,7 @@ def test_phrases_equal_brute_force(spark, longest, least, top, clashing):
     rows = [(i, t, lang, s, n) for i, t, lang, s, n in awkward() if len(t or "") < 9000]
     texts = [" ".join(rnd.choice(["new york", "New York city", "of the", "the", "à la", "É", "x.", "y,\tz", "a  b"]) for _ in range(rnd.randrange(80))) for _ in range(60)]
     rows += [(100 + i, t, rnd.choice(["en", "fr", None, "und"]), None, None) for i, t in enumerate(texts)]
-    assert rows_of(collocations.mine(table(spark, rows, clashing), longest=longest, least=least, top=top)) == mined(rows, longest, least, 50, top)
+    assert rows_of(collocations.mine(table(spark, rows, clashing), longest=longest, least=least, top=top, spread=4)) == mined(rows, longest, least, 50, top)
 
 
 def test_phrases_of_little(spark):
