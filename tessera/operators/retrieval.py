@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..sources.shared import new_path
+from .postings import asked_terms, best, blocked, in_blocks, weighted
 
-K1, B, FLOOR = 1.5, 0.75, 0.25
 BLOCK = 4096
 
 
@@ -33,42 +34,24 @@ def postings(docs: DataFrame) -> DataFrame:
     return flat.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _weighted(df: DataFrame, n_docs: int) -> DataFrame:
-    """df (with term, df) with idf; a negative idf becomes a quarter of the mean idf."""
-    raw = df.withColumn("raw", F.log(n_docs - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5)))
-    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    return raw.join(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, F.col("mean") * FLOOR).otherwise(F.col("raw"))).drop("raw", "mean")
-
-
 def term_statistics(index: DataFrame, n_docs: int) -> DataFrame:
     """(term, df, total_tf, idf)."""
-    return _weighted(index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")), n_docs).select("term", "df", "total_tf", "idf")
-
-
-def _asked(queries: DataFrame) -> DataFrame:
-    """(query_id, term, times) of queries (query_id, text)."""
-    return queries.select("query_id", F.explode(tx.bm25_terms("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-
-
-def scored(index: DataFrame, weights: DataFrame, queries: DataFrame, mean: float, k: int = 10) -> DataFrame:
-    """Top k of an index of postings, with the weights (term, idf) of its terms, for each of queries; a query's repeated term counts as often."""
-    asked = weights.select("term", "idf").join(_asked(queries), "term")
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / mean))
-    hits = index.join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("idf") * tf).alias("score"))
-    return ranked(hits.where("score > 0"), k)
+    return weighted(index.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total_tf")), n_docs).select("term", "df", "total_tf", "idf")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Top k of docs (doc_id, text) for each of queries (query_id, text), without a stored index.
 
-    Of all terms only the counts of their documents are shuffled, added up by task before; postings are made for
-    the terms that are asked for."""
-    own = docs.select("doc_id", tx.bm25_terms("text").alias("terms"))
-    sizes = own.select(F.size("terms").alias("n")).agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
+    Texts are cut into terms once; of all terms only the counts of their documents are shuffled, added up by task before.
+    Postings are made for the terms that are asked for, in blocks, in the shared folder."""
+    spark, at = docs.sparkSession, new_path(docs.sparkSession)
+    docs.select("doc_id", tx.bm25_terms("text").alias("terms")).withColumn("length", F.size("terms")).write.parquet(f"{at}/terms")
+    own = spark.read.parquet(f"{at}/terms")
+    sizes = own.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
     df = own.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    flat = own.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    wanted = flat.join(_asked(queries).select("term").distinct(), "term", "left_semi").groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return scored(wanted, _weighted(df, sizes["n"]), queries, sizes["mean"] or 1.0, k)
+    flat = blocked(own).select("block", "doc_id", "length", F.explode("terms").alias("term")).join(asked_terms(queries).select("term").distinct(), "term", "left_semi")
+    in_blocks(flat).write.parquet(f"{at}/blocks")
+    return ranked(best(spark.read.parquet(f"{at}/blocks"), weighted(df, sizes["n"]), queries, sizes["mean"] or 1.0, k)[0], k)
 
 
 def _blocked(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:
