@@ -8,7 +8,8 @@
    signature tree: its nodes hold OR-combined bitmaps of shingles and the range of set sizes. Block
    pairs, then tree node pairs, are dropped if the largest overlap that bitmaps and sizes allow is too
    small; what is left is compared exactly, unless already known to hang together. Large clusters go in
-   rounds: within blocks, between neighbouring blocks, and then between those that are not yet one component.
+   rounds: within blocks, between neighbouring blocks, and then between the sets of any two blocks that share
+   a part key which does not yet lie within one component.
 No link between different sets is lost; no step forms all pairs of a group of copies. Where texts have to
 move, they move compressed.
 
@@ -351,26 +352,53 @@ def _link_clusters(blocked: DataFrame, num: int, den: int) -> DataFrame:
         return roots
     left = blocks.select("cluster", F.col("band").alias("b1"), F.col("sub").alias("s1"))
     right = blocks.select(F.col("cluster").alias("c2"), F.col("band").alias("b2"), F.col("sub").alias("s2"))
-    # Only neighbouring bands hold sizes that can be linked.
-    pairs = left.join(right, (F.col("cluster") == F.col("c2")) & ((F.col("b2") - F.col("b1")).isin(0, 1)) & ((F.col("b1") != F.col("b2")) | (F.col("s1") < F.col("s2")))).drop("c2")
-    chained = pairs.where((F.col("s1") + 1 == F.col("s2")) & (F.col("b1") == F.col("b2")) | (F.col("b1") != F.col("b2")) & (F.col("s1") == 0) & (F.col("s2") == 0))
-    for chosen in (chained, pairs):
-        now = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # Blocks that are one component each, and the same one, have nothing left to find.
-        state = cut(now.groupBy("cluster", "band", "sub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
-        a = state.select(F.col("cluster").alias("ca"), F.col("band").alias("ba"), F.col("sub").alias("sa"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-        b = state.select(F.col("cluster").alias("cb"), F.col("band").alias("bb"), F.col("sub").alias("sb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-        open_pairs = chosen.join(a, (F.col("cluster") == F.col("ca")) & (F.col("b1") == F.col("ba")) & (F.col("s1") == F.col("sa"))).join(b, (F.col("cluster") == F.col("cb")) & (F.col("b2") == F.col("bb")) & (F.col("s2") == F.col("sb")))
-        open_pairs = cut(open_pairs.where("la <> ha OR lb <> hb OR la <> lb").select("cluster", "b1", "s1", "b2", "s2"))
-        if open_pairs.isEmpty():
-            break
-        sides = open_pairs.select("*", F.col("b1").alias("band"), F.col("s1").alias("sub"), F.lit(0).alias("side")).union(open_pairs.select("*", F.col("b2").alias("band"), F.col("s2").alias("sub"), F.lit(1).alias("side")))
-        met = sides.join(now.select("cluster", "band", "sub", "node", "n", "members", "root"), ["cluster", "band", "sub"])
+    # Neighbours first: within a band, and from band to band.
+    near = (F.col("s1") + 1 == F.col("s2")) & (F.col("b1") == F.col("b2")) | (F.col("b2") == F.col("b1") + 1) & (F.col("s1") == 0) & (F.col("s2") == 0)
+    chained = left.join(right, (F.col("cluster") == F.col("c2")) & near).drop("c2")
+    now = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Blocks that are one component each, and the same one, have nothing left to find.
+    state = cut(now.groupBy("cluster", "band", "sub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
+    a = state.select(F.col("cluster").alias("ca"), F.col("band").alias("ba"), F.col("sub").alias("sa"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    b = state.select(F.col("cluster").alias("cb"), F.col("band").alias("bb"), F.col("sub").alias("sb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    open_pairs = chained.join(a, (F.col("cluster") == F.col("ca")) & (F.col("b1") == F.col("ba")) & (F.col("s1") == F.col("sa"))).join(b, (F.col("cluster") == F.col("cb")) & (F.col("b2") == F.col("bb")) & (F.col("s2") == F.col("sb")))
+    open_pairs = open_pairs.where("la <> ha OR lb <> hb OR la <> lb").select("cluster", "b1", "s1", "b2", "s2")
+    sides = open_pairs.select("*", F.col("b1").alias("band"), F.col("s1").alias("sub"), F.lit(0).alias("side")).union(open_pairs.select("*", F.col("b2").alias("band"), F.col("s2").alias("sub"), F.lit(1).alias("side")))
+    met = sides.join(now.select("cluster", "band", "sub", "node", "n", "members", "root"), ["cluster", "band", "sub"])
+    for last in (False, True):
         more = met.groupBy("cluster", "b1", "s1", "b2", "s2").applyInPandas(join, "u long, v long")
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+        if not last:
+            now = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            met = _sharing(now, num, den).join(now.select("node", "n", "members", "root"), "node")
     return roots
 
 
+def _sharing(now: DataFrame, num: int, den: int) -> DataFrame:
+    """(cluster, b1, s1, b2, s2, side, node): which nodes of two blocks have to meet. now: cluster, band, sub, node, root, members.
+
+    Linked sets share a part key, so that a node meets the blocks that hold others with one of its keys, and of keys
+    alone that join what is not yet one component. Clusters hang together by chains of keys: most of their
+    block pairs have few such nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts(num, den)
+        for b in few(batches, 256):
+            keys = [parts.keys(_unpack(x)) for x in b.column(5).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(keys)), list(map(len, keys))))
+            every = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(every), *(b.column(i).take(at) for i in range(5))], names=["key", "cluster", "band", "sub", "node", "root"])
+
+    keyed = cut(now.select("cluster", "band", "sub", "node", "root", "members").mapInArrow(run, "key long, cluster long, band long, sub long, node long, root long"))
+    apart = keyed.groupBy("cluster", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cluster", "key")
+    some = keyed.join(apart, ["cluster", "key"], "left_semi").drop("root")
+    there = some.select(F.col("cluster").alias("c"), F.col("key").alias("k"), F.col("band").alias("other_band"), F.col("sub").alias("other_sub")).distinct()
+    met = some.join(there, (F.col("cluster") == F.col("c")) & (F.col("key") == F.col("k")))
+    first = (F.col("band") < F.col("other_band")) | (F.col("band") == F.col("other_band")) & (F.col("sub") < F.col("other_sub"))
+    met = met.where((F.abs(F.col("band") - F.col("other_band")) <= 1) & ((F.col("band") != F.col("other_band")) | (F.col("sub") != F.col("other_sub"))))
+    place = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
+    return met.select("cluster", place("band", "other_band").alias("b1"), place("sub", "other_sub").alias("s1"), place("other_band", "band").alias("b2"), place("other_sub", "sub").alias("s2"), F.when(first, 0).otherwise(1).alias("side"), "node").distinct()
+
+
 def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest id that links of Jaccard >= num / den reach. body: a hash of the text."""
     return _linked(docs, doc, text, width, num, den).drop("root", "ident")
