@@ -194,8 +194,8 @@ def expand_to_parent(chunks: DataFrame) -> DataFrame:
     return kids.join(tops, (F.col("doc_id") == F.col("d")) & (F.col("parent_index") == F.col("p")), "left").drop("d", "p").withColumn("parent_text", F.coalesce("parent_text", "text"))
 
 
-def structure(docs: DataFrame) -> DataFrame:
-    """Five signs of structure; two make a structured document."""
+def structure_signs() -> tuple[dict[str, Column], Column]:
+    """Five signs of structure in a text, by name, and how many of them it shows."""
     t = F.coalesce("text", F.lit(""))
     lines = F.split(t, "\n")
     signs = {
@@ -205,7 +205,12 @@ def structure(docs: DataFrame) -> DataFrame:
         "subsections": F.regexp_count(t, F.lit(r"(?m)^●\s+\w+.*:")) > 3,
         "indented": F.size(F.filter(lines, lambda x: x.startswith("   ") | x.startswith("\t"))) > F.size(lines) * 0.2,
     }
-    score = sum((c.cast("int") for c in signs.values()), F.lit(0))
+    return signs, sum((c.cast("int") for c in signs.values()), F.lit(0))
+
+
+def structure(docs: DataFrame) -> DataFrame:
+    """Five signs of structure; two make a structured document."""
+    signs, score = structure_signs()
     return docs.select("doc_id", *[c.alias(n) for n, c in signs.items()], (score / 5).alias("structure_score"), (score >= 2).alias("has_structure"))
 
 
@@ -213,11 +218,12 @@ def strategy(docs: DataFrame, small: int = SMALL, large: int = LARGE, size: int
     """The chunker that a document's size calls for, with the measures behind the choice and whether it is structured.
 
     Structured documents of a middle size go to the chunker of sections, which is a part of the semantic one."""
-    n, t = chunk_tokens("text"), F.coalesce("text", F.lit(""))
+    n, t, signs = chunk_tokens("text"), F.coalesce("text", F.lit("")), structure_signs()[1]
     measured = docs.select(
         "doc_id", n.alias("tokens"), F.length(t).alias("chars"), word_count("text").alias("words"), F.size(tx.sentences("text")).alias("sentences"),
         F.size(F.filter(F.split(t, "\n\n"), lambda p: F.trim(F.translate(p, "\n\t\r", "   ")) != "")).alias("paragraphs"),
-    ).join(structure(docs).select("doc_id", "structure_score", "has_structure"), "doc_id")
+        signs.alias("signs"),
+    ).withColumns({"structure_score": F.col("signs") / 5, "has_structure": F.col("signs") >= 2}).drop("signs")
     picked = F.when(F.col("tokens") <= small, "fixed").when(F.col("tokens") <= large, "semantic").otherwise("hierarchical")
     estimate = lambda per: F.greatest(F.lit(1), F.floor(F.col("tokens") / per).cast("int"))
     return measured.withColumns({

@@ -131,19 +131,31 @@ def query_class(reply: Column) -> Column:
 
 
 def answered(rows: DataFrame, call, column: str = "user", out: str = "answer") -> DataFrame:
-    """rows with the replies of call(list of texts) -> list of texts, batch by batch; a batch that fails gives nulls."""
+    """rows with the replies of call(list of texts) -> list of texts, batch by batch, and `<out>_error`.
+
+    A batch that fails, or comes back short, is asked again text by text, so that the texts at fault alone are without
+    a reply; what went wrong with them is in the error column."""
     from pyspark.sql import types as T
 
-    @F.pandas_udf(T.StringType())
+    @F.pandas_udf(T.StructType([T.StructField("said", T.StringType()), T.StructField("error", T.StringType())]))
     def run(texts):
         import pandas as pd
 
+        def alone(text) -> tuple[str | None, str | None]:
+            try:
+                return call([text])[0], None
+            except Exception as e:  # noqa: BLE001  the row says so
+                return None, f"{type(e).__name__}: {e}"
+
+        asked = texts.tolist()
         try:
-            return pd.Series(call(texts.tolist()))
-        except Exception:  # noqa: BLE001  the row says so
-            return pd.Series([None] * len(texts), dtype="object")
+            said = [(x, None) for x in call(asked)]
+        except Exception:  # noqa: BLE001  asked again
+            said = []
+        return pd.DataFrame(said if len(said) == len(asked) else [alone(x) for x in asked], columns=["said", "error"])
 
-    return rows.withColumn(out, run(column))
+    held = rows.withColumn("__reply", run(column))
+    return held.withColumns({out: F.col("__reply.said"), f"{out}_error": F.col("__reply.error")}).drop("__reply")
 
 
 #: What is said when no model answers; fixed by the hash of the question.

@@ -58,39 +58,52 @@ def _blocked(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:
     return rows.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n)))
 
 
+def finite(rows: DataFrame) -> DataFrame:
+    """rows whose embedding is there and holds finite numbers alone."""
+    return rows.where(F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)))
+
+
+def nearest_within(left: pd.DataFrame, right: pd.DataFrame, k: int, same: bool = True) -> pd.DataFrame:
+    """query_id, doc_id, distance: of rows (doc_id, v) the k nearest to each of (query_id, v), those of a dimension together."""
+    out = []
+    if len(left) and len(right):
+        sides = [(left[left.v.map(len) == d], right[right.v.map(len) == d]) for d in sorted(set(left.v.map(len)) & set(right.v.map(len)))]
+    else:
+        sides = []
+    for left, right in sides:
+        ids, x = left.doc_id.to_numpy(), np.array(left.v.tolist()).reshape(len(left), -1)
+        squares = (x**2).sum(1)
+        for at in range(0, len(right), 256):
+            part = right.iloc[at : at + 256]
+            q = np.array(part.v.tolist()).reshape(len(part), -1)
+            near = squares[None, :] - 2 * q @ x.T  # but for the query's own square, the distance
+            if not same:
+                near[part.query_id.to_numpy()[:, None] == ids[None, :]] = np.inf
+            kept = np.argpartition(near, min(k + 8, near.shape[1] - 1), axis=1)[:, : k + 9]
+            for query, one, row, pick in zip(part.query_id, q, near, kept, strict=True):
+                # Distances cancel in products: the nearest and what comes close to them are measured outright.
+                least = row[pick].max()
+                pick = np.flatnonzero(row <= least + 1e-9 * (1 + abs(least))) if np.isfinite(least) else pick[np.isfinite(row[pick])]
+                d2 = ((x[pick] - one) ** 2).sum(1)
+                best = np.lexsort((ids[pick], d2))[:k]
+                out.append(pd.DataFrame({"query_id": query, "doc_id": ids[pick][best], "distance": d2[best]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "distance": []}).astype({"query_id": "i8", "doc_id": "i8"})
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, same: bool = True) -> DataFrame:
     """Exact top k by squared Euclidean distance; score = 1 / (1 + distance).
 
     vectors: doc_id, embedding; queries: query_id, embedding; same: whether a row may find its own id.
-    Both sides come in blocks, each pair of blocks a matrix product in a task of its own."""
+    Both sides come in blocks, each pair of blocks a matrix product in a task of its own. Vectors that are null, or hold
+    null or non-finite components, find and are found by nothing; a query meets the rows of its own dimension."""
+    vectors, queries = finite(vectors), finite(queries)
     n_v, n_q = vectors.count() // BLOCK + 1, queries.count() // BLOCK + 1
     v = _blocked(vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL"), "doc_id", n_v, "bv")
     q = _blocked(queries.select("query_id", F.col("embedding").cast("array<double>").alias("v")).where("v IS NOT NULL"), "query_id", n_q, "bq")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     v, q = v.withColumn("bq", every(n_q)), q.withColumn("bv", every(n_v))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            ids, x = left.doc_id.to_numpy(), np.array(left.v.tolist())
-            squares = (x**2).sum(1)
-            for at in range(0, len(right), 256):
-                part = right.iloc[at : at + 256]
-                q = np.array(part.v.tolist())
-                near = squares[None, :] - 2 * q @ x.T  # but for the query's own square, the distance
-                if not same:
-                    near[part.query_id.to_numpy()[:, None] == ids[None, :]] = np.inf
-                kept = np.argpartition(near, min(k + 8, near.shape[1] - 1), axis=1)[:, : k + 9]
-                for query, one, row, pick in zip(part.query_id, q, near, kept, strict=True):
-                    # Distances cancel in products: the nearest and what comes close to them are measured outright.
-                    least = row[pick].max()
-                    pick = np.flatnonzero(row <= least + 1e-9 * (1 + abs(least))) if np.isfinite(least) else pick[np.isfinite(row[pick])]
-                    d2 = ((x[pick] - one) ** 2).sum(1)
-                    best = np.lexsort((ids[pick], d2))[:k]
-                    out.append(pd.DataFrame({"query_id": query, "doc_id": ids[pick][best], "distance": d2[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "doc_id": [], "distance": []}).astype({"query_id": "i8", "doc_id": "i8"})
-
-    met = v.groupBy("bv", "bq").cogroup(q.groupBy("bv", "bq")).applyInPandas(run, "query_id long, doc_id long, distance double")
+    met = v.groupBy("bv", "bq").cogroup(q.groupBy("bv", "bq")).applyInPandas(lambda left, right: nearest_within(left, right, k, same), "query_id long, doc_id long, distance double")
     return ranked(met.withColumn("score", F.when(F.col("distance") <= 0, 1.0).otherwise(1 / (1 + F.col("distance")))), k)
 
 

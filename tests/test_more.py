@@ -124,3 +124,37 @@ def test_lists_find_most_neighbours_by_reading_some(spark, tmp_path):
     assert index.notes(spark, str(tmp_path / "none")) == {}
     none = index.ListIndex(spark, str(tmp_path / "e"))
     assert none.build(rows.limit(0)) == 1 and none.search(asked, 3).count() == 0
+
+
+def test_vectors_of_several_lengths_and_odd_components(spark, tmp_path):
+    from tessera.operators import retrieval
+
+    rows = [(1, [0.0, 1.0]), (2, [1.0, 0.0]), (3, [1.0]), (4, None), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [float("inf"), 0.0]), (8, [1.0, 0.5, 2.0]), (9, [])]
+    v = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    q = v.withColumnRenamed("doc_id", "query_id")
+    found = {(r["query_id"], r["doc_id"]) for r in retrieval.nearest(v, q, 5).collect()}
+    assert found == {(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (8, 8), (9, 9)}
+    lists = index.ListIndex(spark, str(tmp_path / "lists"), probes=2)
+    lists.build(v, 2)
+    lists.add(spark.createDataFrame([(10, [0.5, 0.5]), (11, [0.5])], "doc_id long, embedding array<double>"))
+    again = index.ListIndex(spark, str(tmp_path / "lists"), probes=2)
+    assert {r["doc_id"] for r in again.search(q.where("query_id IN (1, 3, 4)"), 5).collect()} == {1, 2, 10}
+
+
+def test_strategy_keeps_every_row(spark):
+    docs = spark.createDataFrame([(None, "a b"), (1, "c"), (1, "d " * 2000), (2, None), (3, "")], "doc_id long, text string")
+    assert chunking.strategy(docs).count() == 5 and chunking.recommendations(docs).count() == 15
+
+
+def test_a_failed_call_costs_its_own_row_alone(spark):
+    from tessera.operators import generation
+
+    def call(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("bad text")
+        return [t.upper() for t in texts]
+
+    out = {r["user"]: (r["answer"], r["answer_error"]) for r in generation.answered(spark.createDataFrame([("a",), ("bad",), ("c",)], "user string").coalesce(1), call).collect()}
+    assert out == {"a": ("A", None), "bad": (None, "ValueError: bad text"), "c": ("C", None)}
+    short = generation.answered(spark.createDataFrame([("a",), ("b",)], "user string").coalesce(1), lambda x: x[:1]).collect()
+    assert {r["answer"] for r in short} == {"a", "b"}
