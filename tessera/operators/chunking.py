@@ -27,6 +27,11 @@ def _pack(parts: Column, size: int) -> Column:
 
 def packed_sentences(text: Column, size: int) -> Column:
     """Sentences packed to size; a longer sentence is a run of its own, packed from its comma-separated parts."""
+    return packed_array(tx.sentences(text), size)
+
+
+def packed_array(sentences: Column, size: int) -> Column:
+    """As packed_sentences, of an array of sentences."""
 
     def units(sentence: Column, i: Column) -> Column:
         def parts(n: Column) -> Column:
@@ -37,7 +42,7 @@ def packed_sentences(text: Column, size: int) -> Column:
 
         return let(chunk_tokens(sentence), parts)
 
-    flat = F.flatten(F.transform(tx.sentences(text), units))
+    flat = F.flatten(F.transform(sentences, units))
     return let(flat, lambda u: let(greedy(u, size), lambda starts: F.transform(runs(u, starts), lambda r: F.array_join(F.transform(r, lambda x: x["p"]), " "))))
 
 
@@ -164,17 +169,27 @@ def breakpoints(vectors: DataFrame, threshold: float = 0.80) -> DataFrame:
     return broken.withColumn("segment", segment.cast("int")).drop("limit", "breaks")
 
 
-def semantic(docs: DataFrame, embed, size: int = 512, threshold: float = 0.80, min_tokens: int = 100) -> DataFrame:
-    """Chunks of neighbouring sentences alike in meaning. embed: a column function, text -> array<float>."""
+def semantic(docs: DataFrame, embed=None, size: int = 512, threshold: float = 0.80, min_tokens: int = 100, vectors: DataFrame | None = None) -> DataFrame:
+    """Chunks of neighbouring sentences alike in meaning, by embed, a column function of a text, or by given vectors (doc_id, pos,
+    embedding) of the sentences, counted from 0.
+
+    Documents that have a sentence without a vector, or all where there is neither embed nor vectors, are chunked by size
+    (fell_back), with the indexes that they have there."""
     sentences = docs.select("doc_id", F.posexplode(tx.sentences("text")).alias("pos", "s"))
-    cut = breakpoints(sentences.withColumn("embedding", embed(F.col("s"))), threshold)
-    segments = cut.groupBy("doc_id", "segment").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("x"))
+    if vectors is not None:
+        sentences = sentences.join(vectors.select("doc_id", "pos", "embedding"), ["doc_id", "pos"], "left")
+    else:
+        sentences = sentences.withColumn("embedding", embed(F.col("s")) if embed else F.lit(None).cast("array<float>"))
+    cut = breakpoints(sentences, threshold).withColumn("fell_back", F.max(F.col("embedding").isNull()).over(Window.partitionBy("doc_id")))
+    cut = cut.withColumn("segment", F.when(F.col("fell_back"), 0).otherwise(F.col("segment")))
+    segments = cut.groupBy("doc_id", "segment", "fell_back").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("x"))
     parts = F.transform("x", lambda x: x["s"])
     whole = F.array_join(parts, " ")
-    packed = F.when(chunk_tokens(whole) > size * 1.5, _pack(parts, size)).otherwise(F.array(whole))
-    rows = segments.select("doc_id", "segment", F.posexplode(packed).alias("part", "text"))
+    packed = F.when(F.col("fell_back"), packed_array(parts, size)).when(chunk_tokens(whole) > size * 1.5, _pack(parts, size)).otherwise(F.array(whole))
+    rows = segments.select("doc_id", "segment", "fell_back", F.posexplode(packed).alias("part", "text"))
     rows = rows.withColumn("text", clean_chunk(F.col("text"))).withColumn("token_count", chunk_tokens("text")).where(F.col("token_count") >= min_tokens)
-    return rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("segment", "part")) - 1)
+    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("segment", "part")) - 1
+    return rows.withColumn("chunk_index", F.when(F.col("fell_back"), F.col("part")).otherwise(index))
 
 
 def hierarchical(docs: DataFrame, parent: int = 2048, child: int = 512, min_tokens: int = 100) -> DataFrame:

@@ -310,9 +310,34 @@ def chunks_by_section(spark, sf_dir):
     return chunking.by_section(documents(spark, sf_dir), 512, 50)
 
 
-@query()
+# Sentences stand with given vectors, those of the table in turns; every ninth document lacks one and falls back on sizes.
+_SEMANTIC = f"""
+t AS MATERIALIZED (SELECT doc_id, {_sentences_of("text")} AS ss FROM documents),
+s0 AS (SELECT doc_id, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS pos FROM t), nv AS (SELECT count(*) AS n FROM embeddings),
+sv AS MATERIALIZED (SELECT s0.*, e.embedding::DOUBLE[] AS v FROM s0 CROSS JOIN nv LEFT JOIN embeddings e ON e.vec_id = (s0.doc_id * 31 + pos * 7) % nv.n AND NOT (s0.doc_id % 9 = 0 AND pos = 1)),
+sm AS (SELECT *, lead(v) OVER (PARTITION BY doc_id ORDER BY pos) AS w, bool_or(v IS NULL) OVER (PARTITION BY doc_id) AS fell_back FROM sv),
+sc AS (SELECT *, CASE WHEN w IS NOT NULL AND v IS NOT NULL THEN list_inner_product(v, w) / (sqrt(list_inner_product(v, v)) * sqrt(list_inner_product(w, w))) END AS similarity FROM sm),
+sl AS (SELECT *, quantile_cont(similarity, 1 - 0.8::DOUBLE) OVER (PARTITION BY doc_id) AS cut FROM sc),
+sg AS MATERIALIZED (SELECT doc_id, pos, s, fell_back, CASE WHEN fell_back THEN 0 ELSE CAST(coalesce(sum((coalesce(similarity < cut, false))::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) END AS segment FROM sl),
+sw AS (SELECT doc_id, segment, string_agg(s, ' ' ORDER BY pos) AS text FROM sg WHERE NOT fell_back GROUP BY ALL),
+big AS (SELECT doc_id, segment FROM sw WHERE {_tokens("text")} > 768),
+su AS (SELECT doc_id * 100000 + segment AS sid, pos AS ord, s AS p, {_tokens("s")} AS n, 0 AS key FROM sg JOIN big USING (doc_id, segment)),{_grouped("su", 512, "sp", "sid")},
+fd AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM sg WHERE fell_back)),{_packed("fd", 512, "fp")},
+sr AS (SELECT doc_id, false AS fell_back, segment, 0 AS part, text FROM sw WHERE {_tokens("text")} <= 768 UNION ALL SELECT sid // 100000, false, CAST(sid % 100000 AS INT), c, text FROM sp UNION ALL SELECT doc_id, true, 0, c, text FROM fp),
+sk AS (SELECT doc_id, fell_back, segment, CAST(part AS INT) AS part, {_CLEAN_CHUNK} AS text FROM sr),
+st AS (SELECT *, CAST({_tokens("text")} AS INT) AS token_count FROM sk)"""
+
+
+@query(f"""
+WITH {_SEMANTIC}
+SELECT doc_id, segment, fell_back, part, text, token_count, CASE WHEN fell_back THEN part ELSE CAST(row_number() OVER (PARTITION BY doc_id ORDER BY segment, part) - 1 AS INT) END AS chunk_index FROM st WHERE token_count >= 50
+""")
 def chunks_semantic(spark, sf_dir):
-    return chunking.semantic(documents(spark, sf_dir), vectors.hashing_embedder(), 512, 0.80, 50)
+    d, e = documents(spark, sf_dir), t(spark, sf_dir, "embeddings")
+    n = e.count()
+    places = d.select("doc_id", F.posexplode(text.sentences("text")).alias("pos", "s")).select("doc_id", "pos", ((F.col("doc_id") * 31 + F.col("pos") * 7) % n).alias("vec_id"))
+    held = places.where(~((F.col("doc_id") % 9 == 0) & (F.col("pos") == 1))).join(e.select("vec_id", "embedding"), "vec_id")
+    return chunking.semantic(d, None, 512, 0.80, 50, held)
 
 
 _FAMILY = f"""{_packed("documents", 1024, "p0")}, p1 AS (SELECT doc_id * 10000 + c AS pid, doc_id, c AS parent_index, text FROM p0), f AS (SELECT pid, text FROM p1),{_packed("f", 256, "c0", "pid")},
