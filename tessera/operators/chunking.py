@@ -266,8 +266,9 @@ def clearly_structured(kind: Column, sections: Column, paragraphs: Column, pages
     return docx | ((kind == "pdf") & (F.coalesce(pages, F.lit(0)) > 10))
 
 
-def adaptive(docs: DataFrame, embed, small: int = SMALL, large: int = LARGE, size: int = 512, min_tokens: int = 100) -> DataFrame:
-    """Each document by the chunker of its size; of the middle ones, those with section headers by section."""
+def adaptive(docs: DataFrame, embed=None, small: int = SMALL, large: int = LARGE, size: int = 512, min_tokens: int = 100, vectors: DataFrame | None = None) -> DataFrame:
+    """Each document by the chunker of its size; of the middle ones, those with section headers by section, the others
+    as semantic() does with embed or vectors."""
     sized = docs.withColumn("__n", chunk_tokens("text"))
     middle = (F.col("__n") > small) & (F.col("__n") <= large)
     headed = F.exists(F.split("text", "\n"), lambda x: header_kind(x).isNotNull())
@@ -275,7 +276,7 @@ def adaptive(docs: DataFrame, embed, small: int = SMALL, large: int = LARGE, siz
     by = {
         "fixed": (F.col("__n") <= small, lambda d: fixed(d, size, min_tokens)),
         "section": (middle & headed, lambda d: by_section(d, size, min_tokens)),
-        "semantic": (middle & ~headed, lambda d: semantic(d, embed, size, min_tokens=min_tokens)),
+        "semantic": (middle & ~headed, lambda d: semantic(d, embed, size, min_tokens=min_tokens, vectors=vectors)),
         "hierarchical": (F.col("__n") > large, lambda d: hierarchical(d, child=size, min_tokens=min_tokens).where("kind = 'child'")),
     }
     made = None

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bpe, checks, text, tokens, vectors
 from ..operators import analytics, chunking, citations, context, embedding, exports, generation, index, layout, retrieval, store
-from ..sources import files
+from ..sources import archives, files
 from ..sources.shared import new_path
 from ..streaming import timings
 
@@ -291,8 +291,8 @@ def chunks_without_boundaries(spark, sf_dir):
     return chunking.without_boundaries(documents(spark, sf_dir), 512)
 
 
-@query(f"""
-WITH l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+_SECTIONED = f"""
+l AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 h AS (SELECT *, (regexp_matches(trim(x), '^[a-z]\\)\\s+[A-Z]') OR regexp_matches(trim(x), '^●.*:') OR regexp_matches(trim(x), '^\\d+\\.\\s+[A-Z\\s&]+:')) AND i > 1 AS b FROM l),
 g AS (SELECT *, CAST(sum(b::INT) OVER (PARTITION BY doc_id ORDER BY i) AS INT) AS section FROM h),
 y AS (SELECT doc_id, section, arg_min(x, i) AS head, string_agg(x, chr(10) ORDER BY i) AS text FROM g GROUP BY ALL),
@@ -303,7 +303,11 @@ e AS (SELECT doc_id * 100000 + section AS sid, unnest(ps) AS p, generate_subscri
 e2 AS (SELECT *, {_tokens('p')} AS n, 0 AS key FROM e),{_grouped('e2', 512, 'e3', 'sid')},
 r AS (SELECT doc_id, section, title, 0 AS part, text FROM z WHERE whole UNION ALL SELECT doc_id, section, title, c, k0.text FROM k0 JOIN z ON sid = doc_id * 100000 + section UNION ALL SELECT doc_id, section, title, c, e3.text FROM e3 JOIN z ON sid = doc_id * 100000 + section),
 m AS (SELECT doc_id, section, title, CAST(part AS INT) AS part, {_CLEAN_CHUNK} AS text FROM r),
-n AS (SELECT *, CAST({_tokens('text')} AS INT) AS token_count FROM m)
+n AS (SELECT *, CAST({_tokens('text')} AS INT) AS token_count FROM m)"""
+
+
+@query(f"""
+WITH {_SECTIONED}
 SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section, part) - 1 AS INT) AS chunk_index FROM n WHERE token_count >= 50
 """)
 def chunks_by_section(spark, sf_dir):
@@ -333,17 +337,24 @@ WITH {_SEMANTIC}
 SELECT doc_id, segment, fell_back, part, text, token_count, CASE WHEN fell_back THEN part ELSE CAST(row_number() OVER (PARTITION BY doc_id ORDER BY segment, part) - 1 AS INT) END AS chunk_index FROM st WHERE token_count >= 50
 """)
 def chunks_semantic(spark, sf_dir):
+    return chunking.semantic(documents(spark, sf_dir), None, 512, 0.80, 50, _sentence_vectors(spark, sf_dir))
+
+
+def _sentence_vectors(spark, sf_dir) -> DataFrame:
     d, e = documents(spark, sf_dir), t(spark, sf_dir, "embeddings")
     n = e.count()
     places = d.select("doc_id", F.posexplode(text.sentences("text")).alias("pos", "s")).select("doc_id", "pos", ((F.col("doc_id") * 31 + F.col("pos") * 7) % n).alias("vec_id"))
-    held = places.where(~((F.col("doc_id") % 9 == 0) & (F.col("pos") == 1))).join(e.select("vec_id", "embedding"), "vec_id")
-    return chunking.semantic(d, None, 512, 0.80, 50, held)
+    return places.where(~((F.col("doc_id") % 9 == 0) & (F.col("pos") == 1))).join(e.select("vec_id", "embedding"), "vec_id")
 
 
-_FAMILY = f"""{_packed("documents", 1024, "p0")}, p1 AS (SELECT doc_id * 10000 + c AS pid, doc_id, c AS parent_index, text FROM p0), f AS (SELECT pid, text FROM p1),{_packed("f", 256, "c0", "pid")},
+def _family(parent: int, child: int, least: int) -> str:
+    return f"""{_packed("documents", parent, "p0")}, p1 AS (SELECT doc_id * 10000 + c AS pid, doc_id, c AS parent_index, text FROM p0), f AS (SELECT pid, text FROM p1),{_packed("f", child, "c0", "pid")},
 c1 AS (SELECT p1.doc_id, p1.parent_index, c0.c AS part, c0.text AS text, p1.text AS body FROM c0 JOIN p1 USING (pid)),
 c2 AS (SELECT doc_id, parent_index, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY parent_index, part) - 1 AS INT) AS chunk_index, {_CLEAN_CHUNK} AS text, {_CLEAN_CHUNK.replace("text", "body")} AS body FROM c1),
-h AS (SELECT doc_id, 'child' AS kind, parent_index, chunk_index, text, CAST({_tokens("text")} AS INT) AS token_count, sha256(body) AS parent_text FROM c2 WHERE {_tokens("text")} >= 50)"""
+h AS (SELECT doc_id, 'child' AS kind, parent_index, chunk_index, text, CAST({_tokens("text")} AS INT) AS token_count, sha256(body) AS parent_text FROM c2 WHERE {_tokens("text")} >= {least})"""
+
+
+_FAMILY = _family(1024, 256, 50)
 
 
 @query(f"WITH {_FAMILY} SELECT * FROM h")
@@ -356,9 +367,23 @@ def chunk_families(spark, sf_dir):
     return chunking.family(chunking.hierarchical(documents(spark, sf_dir), 1024, 256, 50)).withColumn("children", F.array_join(F.col("children").cast("array<string>"), ","))
 
 
-@query()
+_OF_SIZE = f"(SELECT *, {_tokens('text')} AS n FROM documents)"
+_HEADED = r"""len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '^[a-z]\)\s+[A-Z]') OR regexp_matches(trim(x), '^●.*:') OR regexp_matches(trim(x), '^\d+\.\s+[A-Z\s&]+:')
+  OR upper(trim(x)) = trim(x) AND lower(trim(x)) <> trim(x) AND length(trim(x)) > 15 AND NOT starts_with(trim(x), '●'))) > 0"""
+
+
+def _routed(which: str, made: str, chosen: str) -> str:
+    return f"SELECT * FROM (WITH documents AS (SELECT doc_id, text FROM {_OF_SIZE} WHERE {which}), {made} {chosen})"
+
+
+@query(" UNION ALL ".join([
+    _routed("n <= 1000", _fixed(512, 100), "SELECT doc_id, chunk_index, text, token_count, 'fixed' AS strategy FROM k"),
+    _routed(f"n > 1000 AND n <= 4000 AND {_HEADED}", _SECTIONED, "SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section, part) - 1 AS INT), text, token_count, 'section' FROM n WHERE token_count >= 100"),
+    _routed(f"n > 1000 AND n <= 4000 AND NOT {_HEADED}", _SEMANTIC, "SELECT doc_id, CASE WHEN fell_back THEN part ELSE CAST(row_number() OVER (PARTITION BY doc_id ORDER BY segment, part) - 1 AS INT) END, text, token_count, 'semantic' FROM st WHERE token_count >= 100"),
+    _routed("n > 4000", _family(2048, 512, 100), "SELECT doc_id, chunk_index, text, token_count, 'hierarchical' FROM h"),
+]))
 def chunks_adaptive(spark, sf_dir):
-    return chunking.adaptive(documents(spark, sf_dir), vectors.hashing_embedder(), 1000, 4000)
+    return chunking.adaptive(documents(spark, sf_dir), None, 1000, 4000, vectors=_sentence_vectors(spark, sf_dir))
 
 
 @query(f"""
@@ -1071,6 +1096,48 @@ def files_scanned(spark, sf_dir):
     return lines.groupBy("lang").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).alias("chars"), F.sum(mark).alias("content")).join(told, "lang")
 
 
+@query("""
+SELECT 'batch-' || doc_id // 200 || CASE WHEN doc_id // 200 % 2 = 0 THEN '.zip' ELSE '.tar' END AS archive, doc_id || '.txt' AS member, octet_length(encode(coalesce(text, ''))) AS size, sha256(coalesce(text, '')) AS text FROM documents
+""")
+def files_in_archives(spark, sf_dir):
+    """Documents in archives on disk, 200 a file, zip and tar in turns, read back by lots of members; other members stay out."""
+    import io
+    import tarfile
+    import zipfile
+
+    import pandas as pd
+
+    at = new_path(spark)
+
+    def write(f: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        number, out = int(f.doc_id.iloc[0]) // 200, io.BytesIO()
+        rows = [(f"{i}.txt", (body or "").encode()) for i, body in zip(f.doc_id, f.text, strict=True)] + [("notes.bin", b"no text"), ("__MACOSX/x.txt", b"")]
+        if number % 2 == 0:
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for name, data in rows:
+                    z.writestr(name, data)
+        else:
+            with tarfile.open(fileobj=out, mode="w") as tar:
+                for name, data in rows:
+                    info = tarfile.TarInfo(name)
+                    info.size = len(data)
+                    tar.addfile(info, io.BytesIO(data))
+        name = f"batch-{number}.{'tar' if number % 2 else 'zip'}"
+        system, inner = fs.FileSystem.from_uri(at if "://" in at else f"file://{at.removeprefix('file:')}")
+        system.create_dir(inner, recursive=True)
+        with system.open_output_stream(f"{inner}/{name}") as to:  # a second attempt writes the same file again
+            to.write(out.getvalue())
+        return pd.DataFrame({"name": [name]})
+
+    documents(spark, sf_dir).select("doc_id", "text").groupBy(F.floor(F.col("doc_id") / 200)).applyInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+    found = archives.members(spark, at, ["*.txt", "*.md"], "batch-*", lot_bytes=200_000)
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    sizes = found.select(name.alias("archive"), "member", "size")
+    return sizes.join(archives.texts(found).select(name.alias("archive"), "member", F.sha2("text", 256).alias("text")), ["archive", "member"])
+
+
 @query(f"""
 WITH {_ANSWERS}, s AS (SELECT answer_id, list_filter(cited, lambda n: n BETWEEN 1 AND 3) AS good FROM c)
 SELECT answer_id, CASE WHEN len(good) = 0 THEN '' ELSE 'References:' || chr(10) || array_to_string(list_transform(good, lambda n, i: '(' || i || ') file' || n || '.txt'), chr(10)) END AS refs FROM s
