@@ -950,6 +950,33 @@ _MADE = """
 f AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text, doc_id % 4 AS m FROM documents)"""
 
 
+_ROMAN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_CYRILLIC = "абцдефгхийклмнопярстувщжызАБЦДЕФГХИЙКЛМНОПЯРСТУВЩЖЫЗ"
+
+
+@query(f"""
+WITH x AS (SELECT doc_id, doc_id % 6 AS m, CASE WHEN doc_id % 6 < 3 THEN coalesce(text, '') WHEN doc_id % 6 = 3 THEN regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F\\xA0-\\xFF]', '?', 'g')
+  ELSE translate(regexp_replace(lower(coalesce(text, '')), '[^\\x00-\\x7F]', '?', 'g'), '{_ROMAN}', '{_CYRILLIC}') END AS text FROM documents)
+SELECT doc_id, CASE WHEN m = 1 THEN 'utf-8-sig' WHEN m = 2 THEN 'utf-16' WHEN m = 0 OR regexp_full_match(text, '[\\x00-\\x7F]*') THEN 'utf-8' WHEN m = 3 THEN 'latin-1' WHEN m = 4 THEN 'windows-1251' ELSE 'koi8-r' END AS encoding, sha256(text) AS text FROM x
+""")
+def files_encoded(spark, sf_dir):
+    """Texts in six encodings, two of them Cyrillic ones of one byte a letter, told by their bytes alone. Cyrillic texts
+    are in small letters: of capitals alone, the two encodings differ in little but how common the letters are."""
+    import pandas as pd
+
+    m, held = F.col("doc_id") % 6, F.coalesce("text", F.lit(""))
+    shown = F.when(m < 3, held).when(m == 3, F.regexp_replace(held, "[^\\x00-\\x7F\\xA0-\\xFF]", "?")).otherwise(F.translate(F.regexp_replace(F.lower(held), "[^\\x00-\\x7F]", "?"), _ROMAN, _CYRILLIC))
+
+    def run(frames):
+        for f in frames:
+            names = [("utf-8", "utf-8-sig", "utf-16", "latin-1", "windows-1251", "koi8-r")[i % 6] for i in f.doc_id]
+            yield pd.DataFrame({"path": f.doc_id.astype(str), "name": f.doc_id.astype(str) + ".txt", "kind": "txt", "content": [x.encode(name) for x, name in zip(f.text, names, strict=True)]})
+
+    found = documents(spark, sf_dir).select("doc_id", shown.alias("text")).mapInPandas(run, "path string, name string, kind string, content binary")
+    told = files.properties(found).select(F.col("path").cast("long").alias("doc_id"), "encoding")
+    return told.join(files.parsed(found).select(F.col("path").cast("long").alias("doc_id"), F.sha2("text", 256).alias("text")), "doc_id")
+
+
 @query(f"""
 WITH {_MADE}
 SELECT '/' || doc_id || '.txt' AS path, CASE m WHEN 0 THEN 'utf-8' WHEN 1 THEN 'utf-8-sig' ELSE 'utf-16' END AS encoding, sha256(text) AS text FROM f WHERE m < 3

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import io
 import tarfile
+import unicodedata
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,20 +55,86 @@ def files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool =
     return raw.select("path", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), kind_of(F.col("path"), F.col("content")).alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), "content")
 
 
-def encoding_of(data: bytes) -> str:
-    """The first encoding that fits: by its mark, UTF-8, or one byte a character; Windows' where its signs are used."""
-    if data[:3] == b"\xef\xbb\xbf":
-        return "utf-8-sig"
-    for name in ENCODINGS:
-        if name == "utf-16" and data[:2] not in (b"\xff\xfe", b"\xfe\xff"):
-            continue
+#: One-byte encodings told apart by their pairs of bytes; of equals the first.
+ONE_BYTE = ["windows-1252", "windows-1251", "koi8-r", "windows-1250"]
+#: The ten most frequent letters of Russian; fixed values.
+COMMON = "оеаинтсрвл"
+#: Below this the fixed list of encodings is tried in order.
+SURE = 0.7
+
+
+@lru_cache(None)
+def _pair_weights(name: str) -> np.ndarray:
+    """256 x 256: how well two neighbouring bytes go together if they are in that encoding, from 0 to 1.
+
+    Letters of another script beside each other, signs within words and capitals behind small letters do not; capitals
+    in a row less than small letters; two accented Latin letters less well than one, while Cyrillic ones come in runs."""
+    kinds = []  # (script, whether small), "sign", "gap" or None
+    for i in range(256):
         try:
-            data.decode(name)
+            c = bytes([i]).decode(name)
         except UnicodeDecodeError:
+            kinds.append(None)
             continue
-        # Bytes 80 to 9F are control characters in the one and quotes and dashes in the other.
-        return "windows-1252" if name == "latin-1" and any(0x80 <= x <= 0x9F for x in data) else name
-    return "utf-8"
+        if c.isalpha():
+            script = "cyrillic" if "CYRILLIC" in unicodedata.name(c, "") else "latin"
+            kinds.append((script, c.islower(), i >= 0x80))
+        else:
+            kinds.append(None if unicodedata.category(c) == "Cc" and i >= 0x80 else "gap" if i < 0x80 or unicodedata.category(c)[0] in "PZ" else "sign")
+
+    def weight(a, b) -> float:
+        if a is None or b is None:
+            return 0.0
+        if isinstance(a, str) or isinstance(b, str):
+            return 0.0 if "sign" in (a, b) and not (isinstance(a, str) and isinstance(b, str)) else 1.0
+        if a[0] != b[0] or a[1] and not b[1]:
+            return 0.0
+        fit = 1.0 if a[1] else 0.9 if b[1] else 0.75
+        return 0.6 * fit if a[0] == "latin" and a[2] and b[2] else fit
+
+    return np.array([[weight(a, b) for b in kinds] for a in kinds])
+
+
+@lru_cache(None)
+def _cyrillic(name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of 256 bytes, which are common Cyrillic letters, and which are any."""
+    shown = [bytes([i]).decode(name, "replace").lower() for i in range(256)]
+    return np.array([c in COMMON for c in shown]), np.array(["CYRILLIC" in unicodedata.name(c, "") for c in shown])
+
+
+def chance(data: bytes, name: str) -> float:
+    """How likely bytes are in a one-byte encoding: the mean over pairs that hold a byte over 127, less where Cyrillic letters are rare ones; 0 without any."""
+    x = np.frombuffer(b" " + data + b" ", np.uint8)
+    pick = (x[:-1] >= 0x80) | (x[1:] >= 0x80)
+    if not pick.any():
+        return 0.0
+    pairs = float(_pair_weights(name)[x[:-1][pick], x[1:][pick]].mean())
+    common, letters = _cyrillic(name)
+    n = int(letters[x].sum())  # of Cyrillic letters, about two in three are common ones
+    return pairs * (0.5 + min(0.5, common[x].sum() / n)) if n else pairs
+
+
+def encoding_of(data: bytes) -> str:
+    """By its mark, UTF-8 if it is that, UTF-16 by its zeros, else the one-byte encoding that its pairs of bytes speak for.
+
+    If none is likely, the last of ENCODINGS. Latin text is Windows' where it uses its signs."""
+    if data[:3] == b"\xef\xbb\xbf":
+        return "utf-8-sig"
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "utf-16"
+    odd, even = data[1::2].count(0), data[::2].count(0)
+    if len(data) >= 4 and not len(data) % 2 and max(odd, even) > 0.2 * len(data) > 8 * min(odd, even):
+        return "utf-16-le" if odd > even else "utf-16-be"
+    try:
+        data.decode("utf-8")
+        return "utf-8"
+    except UnicodeDecodeError:
+        pass
+    best = max(ONE_BYTE, key=lambda name: chance(data, name))
+    if best != ONE_BYTE[0] and chance(data, best) >= SURE:
+        return best
+    # What is left of the fixed list fits always; bytes 80 to 9F are control characters in it and quotes and dashes in Windows'.
+    return "windows-1252" if any(0x80 <= x <= 0x9F for x in data) else ENCODINGS[-1]
 
 
 def decode_bytes(data: bytes) -> tuple[str, str]:

@@ -1,3 +1,4 @@
+import pytest
 """Replies, layout, exports and stored indexes."""
 
 from pyspark.sql import functions as F
@@ -160,3 +161,21 @@ def test_a_failed_call_costs_its_own_row_alone(spark):
     assert out == {"a": ("A", None), "bad": (None, "ValueError: bad text"), "c": ("C", None)}
     short = generation.answered(spark.createDataFrame([("a",), ("b",)], "user string").coalesce(1), lambda x: x[:1]).collect()
     assert {r["answer"] for r in short} == {"a", "b"}
+
+
+@pytest.mark.parametrize(("text", "name"), [
+    ("Съешь же ещё этих мягких французских булок", "windows-1251"), ("Съешь же ещё этих мягких французских булок", "koi8-r"), ("да", "koi8-r"), ("Да", "windows-1251"),
+    ("Zażółć gęślą jaźń, proszę", "windows-1250"), ("Fünf Wörter für größere Übungen", "latin-1"), ("naïve façade “déjà vu” — été", "windows-1252"), ("été éêè", "latin-1"),
+    ("plain words without a mark", "utf-16-le"), ("plain words without a mark", "utf-16-be"), ("plain", "utf-8"), ("да", "utf-8"),
+])
+def test_encodings_by_pairs_of_bytes(text, name):
+    from tessera.sources.files import decode_bytes
+
+    assert decode_bytes(text.encode(name)) == (text, name)
+
+
+def test_bytes_that_speak_for_nothing_fall_back():
+    from tessera.sources.files import chance, encoding_of
+
+    noise = bytes([0x80, 0x61, 0xA4, 0x62, 0xB6, 0x63]) * 5
+    assert encoding_of(noise) == "windows-1252" and encoding_of(b"") == "utf-8" and chance(b"abc", "koi8-r") == 0
