@@ -352,18 +352,14 @@ def _link_clusters(blocked: DataFrame, num: int, den: int) -> DataFrame:
         return roots
     left = blocks.select("cluster", F.col("band").alias("b1"), F.col("sub").alias("s1"))
     right = blocks.select(F.col("cluster").alias("c2"), F.col("band").alias("b2"), F.col("sub").alias("s2"))
-    # Neighbours first: within a band, and from band to band.
+    # Neighbours first, within a band and from band to band: one set of each component there is so far stands for it, which
+    # joins what large groups of copies have in several blocks.
     near = (F.col("s1") + 1 == F.col("s2")) & (F.col("b1") == F.col("b2")) | (F.col("b2") == F.col("b1") + 1) & (F.col("s1") == 0) & (F.col("s2") == 0)
     chained = left.join(right, (F.col("cluster") == F.col("c2")) & near).drop("c2")
     now = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # Blocks that are one component each, and the same one, have nothing left to find.
-    state = cut(now.groupBy("cluster", "band", "sub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")))
-    a = state.select(F.col("cluster").alias("ca"), F.col("band").alias("ba"), F.col("sub").alias("sa"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    b = state.select(F.col("cluster").alias("cb"), F.col("band").alias("bb"), F.col("sub").alias("sb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    open_pairs = chained.join(a, (F.col("cluster") == F.col("ca")) & (F.col("b1") == F.col("ba")) & (F.col("s1") == F.col("sa"))).join(b, (F.col("cluster") == F.col("cb")) & (F.col("b2") == F.col("bb")) & (F.col("s2") == F.col("sb")))
-    open_pairs = open_pairs.where("la <> ha OR lb <> hb OR la <> lb").select("cluster", "b1", "s1", "b2", "s2")
-    sides = open_pairs.select("*", F.col("b1").alias("band"), F.col("s1").alias("sub"), F.lit(0).alias("side")).union(open_pairs.select("*", F.col("b2").alias("band"), F.col("s2").alias("sub"), F.lit(1).alias("side")))
-    met = sides.join(now.select("cluster", "band", "sub", "node", "n", "members", "root"), ["cluster", "band", "sub"])
+    stand = now.groupBy("cluster", "band", "sub", "root").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c > 1").drop("c")
+    sides = chained.select("*", F.col("b1").alias("band"), F.col("s1").alias("sub"), F.lit(0).alias("side")).union(chained.select("*", F.col("b2").alias("band"), F.col("s2").alias("sub"), F.lit(1).alias("side")))
+    met = sides.join(stand, ["cluster", "band", "sub"]).join(large.select("node", "n", "members"), "node")
     for last in (False, True):
         more = met.groupBy("cluster", "b1", "s1", "b2", "s2").applyInPandas(join, "u long, v long")
         roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
@@ -390,7 +386,7 @@ def _sharing(now: DataFrame, num: int, den: int) -> DataFrame:
 
     keyed = cut(now.select("cluster", "band", "sub", "node", "root", "members").mapInArrow(run, "key long, cluster long, band long, sub long, node long, root long"))
     apart = keyed.groupBy("cluster", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cluster", "key")
-    some = keyed.join(apart, ["cluster", "key"], "left_semi").drop("root")
+    some = cut(keyed.join(apart, ["cluster", "key"], "left_semi").drop("root"))
     there = some.select(F.col("cluster").alias("c"), F.col("key").alias("k"), F.col("band").alias("other_band"), F.col("sub").alias("other_sub")).distinct()
     met = some.join(there, (F.col("cluster") == F.col("c")) & (F.col("key") == F.col("k")))
     first = (F.col("band") < F.col("other_band")) | (F.col("band") == F.col("other_band")) & (F.col("sub") < F.col("other_sub"))
