@@ -6,11 +6,13 @@ result where SQL can state it. Searches ask with every row whose id is divisible
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bpe, checks, text, tokens, vectors
-from ..operators import analytics, chunking, citations, context, embedding, exports, generation, index, layout, retrieval, store
+from ..operators import analytics, chunking, citations, context, embedding, exports, generation, index, judged, layout, retrieval, store
 from ..sources import archives, files
 from ..sources.shared import new_path
 from ..streaming import timings
@@ -1271,3 +1273,58 @@ def responses_made(spark, sf_dir):
     chunks = _chunks(spark, sf_dir).withColumn("text", F.substring("text", 1, 400)).withColumn("tokens", tokens.context_tokens("text"))
     classify = lambda q: F.when(F.length(q) % 4 == 0, '{"type": "general"}').otherwise('{"type": "rag"}')
     return generation.responses(asked, chunks, classify, lambda prompts: ["See [2] and [1]." for _ in prompts]).select("query_id", "kind", "cited")
+
+
+def _word_judge(prompts: list[str]) -> list[str]:
+    """A judge that goes by words: a statement is borne out if half its words are in the context, a context useful if a fifth of the
+    question's are; the questions made back are the answer's first lines."""
+    import json
+
+    words = lambda x: {w for w in re.split(r"[ \n]+", x) if w}
+    out = []
+    for p in map(json.loads, prompts):
+        if p["task"] == "questions":
+            out.append(json.dumps({"questions": p["answer"].split("\n")[:3]}))
+            continue
+        asked = words(p.get("statement", p.get("query", "")))
+        share = len(asked & words(p["context"])) / max(1, len(asked))
+        out.append(f'```json\n{{"verdict": {int(share >= (0.5 if "statement" in p else 0.2))}}}\n```')
+    return out
+
+
+def _letters(x):
+    """A text's counts of letters, as a vector."""
+    return F.array(*((F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"))
+
+
+_LETTERS = "[" + ", ".join("(length({x}) - length(replace({x}, '" + c + "', '')))::DOUBLE" for c in "abcdefghijklmnopqrstuvwxyz") + "]"
+_JUDGED_WORDS = "list_distinct(list_filter(string_split(replace({x}, chr(10), ' '), ' '), lambda w: w <> ''))"
+_COSINE = "CASE WHEN list_inner_product({a}, {a}) = 0 OR list_inner_product({b}, {b}) = 0 THEN 0.0 ELSE list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b}))) END"
+
+
+@query(f"""
+WITH l AS (SELECT doc_id AS id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+r AS (SELECT id, ls[1] AS query, coalesce(array_to_string(ls[2:4], chr(10)), '') AS answer, ls[4:6] AS contexts, coalesce(ls[3], '') AS truth FROM l),
+f AS (SELECT *, CASE WHEN len(contexts) = 0 THEN 'Not a RAG response' WHEN trim(query) = '' OR trim(answer) = '' THEN 'Missing query or answer' END AS reason FROM r),
+o AS (SELECT *, array_to_string(contexts, chr(10)) AS context FROM f WHERE reason IS NULL),
+s AS (SELECT id, 'answer' AS kind, context, unnest({_sentences_of("answer")}) AS x FROM o UNION ALL SELECT id, 'truth', context, unnest({_sentences_of("truth")}) FROM o),
+w AS (SELECT id, kind, {_JUDGED_WORDS.format(x="x")} AS ws, {_JUDGED_WORDS.format(x="context")} AS cs FROM s),
+v AS (SELECT id, kind, (len(list_intersect(ws, cs)) / greatest(1, len(ws))::DOUBLE >= 0.5)::INT AS v FROM w),
+a AS (SELECT id, avg(v) FILTER (kind = 'answer') AS faithfulness, avg(v) FILTER (kind = 'truth') AS context_recall FROM v GROUP BY id),
+c0 AS (SELECT id, query, unnest(contexts) AS part, generate_subscripts(contexts, 1) AS i FROM o),
+c1 AS (SELECT id, i, {_JUDGED_WORDS.format(x="query")} AS ws, {_JUDGED_WORDS.format(x="part")} AS cs FROM c0),
+c2 AS (SELECT id, i, (len(list_intersect(ws, cs)) / greatest(1, len(ws))::DOUBLE >= 0.2)::INT AS v FROM c1),
+c3 AS (SELECT *, sum(v) OVER (PARTITION BY id ORDER BY i) / i::DOUBLE AS at_i FROM c2),
+c AS (SELECT id, avg(v) AS context_relevancy, CASE WHEN sum(v) = 0 THEN 0.0 ELSE sum(v * at_i) / sum(v) END AS context_precision FROM c3 GROUP BY id),
+q0 AS (SELECT id, query, unnest(string_split(answer, chr(10))[1:3]) AS question FROM o),
+q1 AS (SELECT id, {_LETTERS.format(x="query")} AS a, {_LETTERS.format(x="question")} AS b FROM q0),
+q AS (SELECT id, greatest(0.0, avg({_COSINE.format(a="a", b="b")})) AS answer_relevancy FROM q1 GROUP BY id)
+SELECT f.id, reason IS NULL AS evaluated, reason, round(faithfulness, 6) AS faithfulness, round(context_relevancy, 6) AS context_relevancy, round(context_precision, 6)::DOUBLE AS context_precision, round(context_recall, 6) AS context_recall, round(answer_relevancy, 6) AS answer_relevancy,
+  CASE WHEN reason IS NULL THEN round((RELEVANCY * coalesce(answer_relevancy, 0) + FAITHFULNESS * coalesce(faithfulness, 0) + CONTEXT * coalesce(context_relevancy, 0) + EXTRA * context_precision) / (RELEVANCY + FAITHFULNESS + CONTEXT + EXTRA), 3) END AS overall
+FROM f LEFT JOIN a USING (id) LEFT JOIN c USING (id) LEFT JOIN q USING (id)
+""".replace("RELEVANCY", str(analytics.RELEVANCY)).replace("FAITHFULNESS", str(analytics.FAITHFULNESS)).replace("CONTEXT +", f"{analytics.CONTEXT} +").replace("CONTEXT *", f"{analytics.CONTEXT} *").replace("EXTRA", str(analytics.EXTRA)))
+def evaluations_judged(spark, sf_dir):
+    """Documents' lines as questions, answers and contexts, scored by a judge that goes by words."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), lines[0].alias("query"), F.array_join(F.slice(lines, 2, 3), "\n").alias("answer"), F.slice(lines, 4, 3).alias("contexts"), F.coalesce(F.get(lines, F.lit(2)), F.lit("")).alias("truth"))
+    return judged.evaluate(rows, _word_judge, _letters).drop("asked_again")
