@@ -195,8 +195,10 @@ def semantic(docs: DataFrame, embed=None, size: int = 512, threshold: float = 0.
 def hierarchical(docs: DataFrame, parent: int = 2048, child: int = 512, min_tokens: int = 100) -> DataFrame:
     """Parents and, below each, its children; children are numbered through the document and name their parent."""
     parents = docs.select("doc_id", F.posexplode(packed_sentences(F.col("text"), parent)).alias("parent_index", "body"))
-    below = parents.select("doc_id", "parent_index", F.posexplode(packed_sentences(F.col("body"), child)).alias("part", "text"))
-    numbered = below.withColumn("chunk_index", (F.row_number().over(Window.partitionBy("doc_id").orderBy("parent_index", "part")) - 1))
+    below = lambda p, i: F.transform(packed_sentences(p, child), lambda c: F.struct(i.alias("parent_index"), c.alias("text")))
+    # Children of all parents in a row, so that their places in it are their numbers.
+    flat = let(packed_sentences(F.col("text"), parent), lambda ps: F.flatten(F.transform(ps, below)))
+    numbered = docs.select("doc_id", F.posexplode(flat).alias("chunk_index", "c")).select("doc_id", F.col("c.parent_index").alias("parent_index"), "chunk_index", F.col("c.text").alias("text"))
     children = numbered.select("doc_id", F.lit("child").alias("kind"), "parent_index", "chunk_index", clean_chunk(F.col("text")).alias("text"))
     tops = parents.select("doc_id", F.lit("parent").alias("kind"), "parent_index", F.lit(None).cast("int").alias("chunk_index"), clean_chunk(F.col("body")).alias("text"))
     return tops.union(children).withColumn("token_count", chunk_tokens("text")).where((F.col("kind") == "parent") | (F.col("token_count") >= min_tokens))
