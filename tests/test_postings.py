@@ -90,3 +90,30 @@ def test_a_part_that_was_not_marked_does_not_count(spark, tmp_path):
     kept.add(frame(spark, texts(20)))
     frame(spark, [(1, "x")]).select(F.lit("zz").alias("term"), F.lit(1).cast("long").alias("df"), F.lit(1).cast("long").alias("total_tf")).write.parquet(str(tmp_path / "k/terms/segment=2"))
     assert kept.terms().where("term = 'zz'").count() == 0
+
+
+def test_blocks_hold_bounded_terms_and_are_made_without_a_row_for_each_term(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK_TERMS", 2000)
+    own = spark.createDataFrame([(i, 100, [f"w{(i + j) % 150}" for j in range(100)]) for i in range(200)], "doc_id long, length int, terms array<string>")
+    dealt = postings.blocked(own)
+    assert dealt.groupBy("block").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] < 6000
+    made = postings.in_blocks(dealt)
+    assert "Generate" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.agg(F.sum(F.size("docs"))).first()[0] == 200 * 100
+
+
+def test_deleted_ids_come_once_a_block_and_not_with_each_term(spark, tmp_path):
+    kept = index.KeywordIndex(spark, str(tmp_path / "k"))
+    kept.add(spark.createDataFrame([(f"d{i}", f"common w{i}") for i in range(400)], "doc_id string, text string"))
+    kept.delete(spark.createDataFrame([(f"d{i}",) for i in range(1, 200)], "doc_id string"))
+    found = kept.search(frame(spark, [(1, "w0 w5")], "query_id"), 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter, (block" not in plan
+    assert [(r["doc_id"], r["rank"]) for r in found.collect()] == [("d0", 1)]
+
+
+def test_marks_within_words_go_and_words_stay_apart(spark):
+    from tessera.functions import text as tx
+
+    row = spark.createDataFrame([("Don't-stop\t— a1_b2\nÉté, x  yy!",)], "t string").select(tx.bm25_terms("t").alias("w")).first()
+    assert row["w"] == ["dontstop", "a1b2", "été", "yy"]
