@@ -21,7 +21,8 @@ def recent(timings: DataFrame, by: str | None = None, n: int = KEPT_TIMINGS) ->
 
 def performance(timings: DataFrame, by: str | None = None) -> DataFrame:
     """Mean, least and largest duration as whole numbers, the count, the last hour's count, and the 95th
-    percentile by position (0 for up to ten). The hour ends with the newest timing.
+    percentile by position (0 for up to ten). The hour ends with the newest timing. Sums differ in their last
+    digits by the order in which they are added up: mean and median are cut off after rounding to six digits.
 
     One aggregation a step, in partial sums: counts of equal durations stand for the durations, so that a key of
     any number of timings comes as its different values."""
@@ -30,8 +31,8 @@ def performance(timings: DataFrame, by: str | None = None) -> DataFrame:
     joined = timings.join(F.broadcast(newest)) if not keys else timings.join(newest, keys)  # without a key, one row
     late = F.col("ts") > F.col("newest") - F.expr("INTERVAL 1 HOUR")
     base = joined.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("duration_ms").cast("long").alias("mean_ms"), F.min("duration_ms").cast("long").alias("least_ms"), F.max("duration_ms").cast("long").alias("most_ms"),
-        F.percentile("duration_ms", F.lit(0.5)).cast("long").alias("median_ms"), F.count_if(late).alias("last_hour"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("duration_ms"), 6).cast("long").alias("mean_ms"), F.min("duration_ms").cast("long").alias("least_ms"), F.max("duration_ms").cast("long").alias("most_ms"),
+        F.round(F.percentile("duration_ms", F.lit(0.5)), 6).cast("long").alias("median_ms"), F.count_if(late).alias("last_hour"),
     )
     held = timings.groupBy(*keys, "duration_ms").agg(F.count(F.lit(1)).alias("k"))
     up_to = F.sum("k").over((Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0))
