@@ -162,3 +162,16 @@ def test_a_mean_that_is_whole_is_not_cut_below_by_the_order_of_its_sum(spark):
     rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(held)], "who string, n int, duration_ms double").coalesce(1)
     rows = rows.withColumn("ts", F.timestamp_seconds("n"))
     assert analytics.performance(rows, "who").first()["mean_ms"] == 3
+
+
+def test_sql_of_cleaned_pages_resolves_ampersands_without_a_semicolon(spark, tmp_path):
+    import duckdb
+
+    from tessera.plans import catalog
+
+    pages = [(1, "a &amp; b &ampc &quot;d&quot; &amp;quot; &amp"), (2, "<p>x&amp;amp;y &ampamp;</p>")]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = dict(con.sql(catalog.ORACLES["cleaned_pages"]).fetchall())
+    assert {r["page_id"]: r["text"] for r in catalog.cleaned_pages(spark, str(tmp_path)).collect()} == want
