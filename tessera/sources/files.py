@@ -103,12 +103,15 @@ def _cyrillic(name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chance(data: bytes, name: str) -> float:
-    """How likely bytes are in a one-byte encoding: the mean over pairs that hold a byte over 127, less where Cyrillic letters are rare ones; 0 without any."""
+    """How likely bytes are in a one-byte encoding: the mean over pairs that hold a byte over 127, less where Cyrillic letters are rare ones; 0 without any.
+
+    A pair counts with the root of how often it is there: one run of two letters in turns is not to decide for the whole text."""
     x = np.frombuffer(b" " + data + b" ", np.uint8)
     pick = (x[:-1] >= 0x80) | (x[1:] >= 0x80)
     if not pick.any():
         return 0.0
-    pairs = float(_pair_weights(name)[x[:-1][pick], x[1:][pick]].mean())
+    found, times = np.unique(x[:-1][pick].astype("i4") * 256 + x[1:][pick], return_counts=True)
+    pairs = float(np.average(_pair_weights(name).ravel()[found], weights=np.sqrt(times)))
     common, letters = _cyrillic(name)
     n = int(letters[x].sum())  # of Cyrillic letters, about two in three are common ones
     return pairs * (0.5 + min(0.5, common[x].sum() / n)) if n else pairs

@@ -175,3 +175,8 @@ def test_sql_of_cleaned_pages_resolves_ampersands_without_a_semicolon(spark, tmp
     con.sql(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     want = dict(con.sql(catalog.ORACLES["cleaned_pages"]).fetchall())
     assert {r["page_id"]: r["text"] for r in catalog.cleaned_pages(spark, str(tmp_path)).collect()} == want
+
+
+def test_a_long_run_of_accented_letters_does_not_make_a_text_cyrillic():
+    shown = "Et treêaux pourenêaire aneau étreoi. Éré. Le pré où vêtu d'été il rêva. " * 3 + "éè" * 70 + "."
+    assert files.encoding_of(shown.encode("latin-1")) == "latin-1"
