@@ -178,5 +178,19 @@ def test_sql_of_cleaned_pages_resolves_ampersands_without_a_semicolon(spark, tmp
 
 
 def test_a_long_run_of_accented_letters_does_not_make_a_text_cyrillic():
-    shown = "Et treêaux pourenêaire aneau étreoi. Éré. Le pré où vêtu d'été il rêva. " * 3 + "éè" * 70 + "."
+    shown = "Et treêaux pourenêaire aneau étreoi. Éré. Le pré où vêtu d'été il rêva. " + "éè" * 100 + "."
     assert files.encoding_of(shown.encode("latin-1")) == "latin-1"
+
+
+def test_what_a_task_hands_on_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(files, "SLICE", 100)
+    made = list(files.in_slices(((str(i), b"x" * 40) for i in range(10)), ["path", "content"]))
+    assert [len(f) for f in made] == [3, 3, 3, 1] and [p for f in made for p in f["path"]] == [str(i) for i in range(10)]
+
+
+def test_ids_of_a_batch_are_arrays_of_four_bytes_each():
+    import pandas as pd
+
+    from tessera.functions import bpe
+
+    assert bpe.id_arrays(pd.Series(["two words", None])).map(lambda x: (x.dtype.str, len(x) > 0)).tolist() == [("<i4", True), ("<i4", False)]
