@@ -258,6 +258,23 @@ def _text_properties(data: bytes) -> dict:
 
 #: kind -> reader of a file's properties.
 PROPERTIES: dict[str, Callable[[bytes], dict]] = {"txt": _text_properties, "docx": word_properties, "pdf": _pdf_properties}
+#: Bytes of made or parsed content that a task hands on at a time, about.
+SLICE = 8_000_000
+
+
+def in_slices(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """rows as frames of about SLICE bytes, so that what a task holds does not grow with a batch's rows or files."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, (str, bytes)))
+        if size >= SLICE:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 _PROPERTY_COLUMNS = "path string, encoding string, title string, author string, created string, modified string, paragraphs int, sections int, pages int, error string"
 
 
@@ -337,17 +354,18 @@ def parsed(found: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
         else:
             raise ValueError(f"no parser for {kind}")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for f in frames:
-            rows = []
             for path, name, kind, data in zip(f["path"], f["name"], f["kind"], f["content"], strict=True):
                 try:
-                    rows += [(path, i, marker, text, None) for i, (marker, text) in enumerate(one(name, kind, data))]
+                    yield from [(path, i, marker, text, None) for i, (marker, text) in enumerate(one(name, kind, data))]
                 except Exception as e:  # noqa: BLE001  reported in the row
                     if mode == "FAILFAST":
                         raise
-                    rows.append((path, 0, "", None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "part", "marker", "text", "error"])
+                    yield path, 0, "", None, f"{type(e).__name__}: {e}"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return in_slices(rows(frames), ["path", "part", "marker", "text", "error"])
 
     return found.select("path", "name", "kind", "content").mapInPandas(run, "path string, part int, marker string, text string, error string")
 
