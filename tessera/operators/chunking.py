@@ -48,13 +48,20 @@ def packed_array(sentences: Column, size: int) -> Column:
 
 def clean_chunk(text: Column) -> Column:
     """Without page and block marks, white space squeezed."""
-    bare = F.regexp_replace(text, r"\[PAGE \d+\]|\[HEADER\]|\[FOOTER\]|\[TABLE \d+\]", "")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    bare = F.when(text.contains("["), F.regexp_replace(text, r"\[PAGE \d+\]|\[HEADER\]|\[FOOTER\]|\[TABLE \d+\]", "")).otherwise(text)
+    return F.trim(F.regexp_replace(bare, r" \s+|[^\S ]\s*", " "))  # lone blanks, most of all, are left as they are
+
+
+def _measured(text: Column) -> Column:
+    """(text, token_count) of a chunk as it is given out."""
+    return let(clean_chunk(text), lambda t: F.struct(t.alias("text"), chunk_tokens(t).alias("token_count")))
 
 
 def _exploded(docs: DataFrame, chunks: Column, keep: list[str] = ()) -> DataFrame:
-    rows = docs.select("doc_id", *keep, F.posexplode(chunks).alias("chunk_index", "text"))
-    return rows.withColumn("text", clean_chunk(F.col("text"))).withColumn("token_count", chunk_tokens("text"))
+    """A row per chunk. Chunks are cleaned and measured within the array: as columns of their rows they would be so again
+    in each filter that is pushed below them."""
+    rows = docs.select("doc_id", *keep, F.posexplode(F.transform(chunks, _measured)).alias("chunk_index", "__c"))
+    return rows.select("doc_id", *keep, "chunk_index", "__c.text", "__c.token_count")
 
 
 def fixed(docs: DataFrame, size: int = 512, min_tokens: int = 100, overlap: int = 0) -> DataFrame:
@@ -81,13 +88,30 @@ def with_overlap(chunks: DataFrame, tokens: int) -> DataFrame:
     return joined.drop("__pt", "__pn", "__nt", "__nn").withColumn("token_count", chunk_tokens("text"))
 
 
-def overlap_statistics(chunks: DataFrame) -> DataFrame:
-    """Per document: pairs of neighbours, and the mean, least and largest share of common words (of the smaller set, in %)."""
+def _shares(chunks: DataFrame, *keep: Column) -> DataFrame:
+    """Each chunk with the words it has (a), those of the next one (b), and the share of common ones (of the smaller set, in %).
+
+    Texts are what is shuffled; their words take several times the room."""
     by = Window.partitionBy("doc_id").orderBy("chunk_index")
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
-    pairs = chunks.select("doc_id", words.alias("a"), F.lead(words).over(by).alias("b")).where("b IS NOT NULL")
-    share = F.size(F.array_intersect("a", "b")) / F.least(F.size("a"), F.size("b")) * 100
-    return pairs.select("doc_id", share.alias("share")).groupBy("doc_id").agg(F.count("share").alias("pairs"), F.round(F.avg("share"), 4).alias("mean_share"), F.round(F.min("share"), 4).alias("least_share"), F.round(F.max("share"), 4).alias("most_share"))
+    pairs = chunks.repartition("doc_id").select("doc_id", "chunk_index", *keep, words.alias("a")).withColumn("b", F.lead("a").over(by))
+    return pairs.withColumn("share", F.size(F.array_intersect("a", "b")) / F.least(F.size("a"), F.size("b")) * 100)
+
+
+def _share_figures() -> list[Column]:
+    return [F.count("share").alias("pairs"), F.round(F.avg("share"), 4).alias("mean_share"), F.round(F.min("share"), 4).alias("least_share"), F.round(F.max("share"), 4).alias("most_share")]
+
+
+def _size_figures(chars: Column) -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("tokens"), F.round(F.avg("token_count"), 4).alias("mean_tokens"),
+        F.min("token_count").alias("least_tokens"), F.max("token_count").alias("most_tokens"), F.sum(chars).alias("chars"),
+    ]
+
+
+def overlap_statistics(chunks: DataFrame) -> DataFrame:
+    """Per document: pairs of neighbours, and the mean, least and largest share of common words (of the smaller set, in %)."""
+    return _shares(chunks).where("b IS NOT NULL").groupBy("doc_id").agg(*_share_figures())
 
 
 def suffix_prefix(a: Column, b: Column) -> Column:
@@ -118,10 +142,14 @@ def merged(chunks: DataFrame, max_tokens: int) -> DataFrame:
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("tokens"), F.round(F.avg("token_count"), 4).alias("mean_tokens"),
-        F.min("token_count").alias("least_tokens"), F.max("token_count").alias("most_tokens"), F.sum(F.length("text")).alias("chars"),
-    )
+    return chunks.groupBy("doc_id").agg(*_size_figures(F.length("text")))
+
+
+def all_statistics(chunks: DataFrame) -> DataFrame:
+    """statistics() and, null for documents of one chunk, overlap_statistics(), in one pass."""
+    made = _shares(chunks, F.col("token_count"), F.length("text").alias("chars"))
+    found = made.groupBy("doc_id").agg(*_size_figures(F.col("chars")), *_share_figures(), F.count("b").alias("__b"))
+    return found.withColumn("pairs", F.when(F.col("__b") > 0, F.col("pairs"))).drop("__b")
 
 
 # Line classes of the section chunker; fixed values.
@@ -151,8 +179,8 @@ def by_section(docs: DataFrame, size: int = 512, min_tokens: int = 100) -> DataF
     body = cut.select("doc_id", "section", F.when(breaks(F.col("lines")[0]), F.trim(F.col("lines")[0])).alias("title"), F.array_join("lines", "\n").alias("body"))
     items = F.filter(F.split("body", f"(?={ITEM})"), lambda p: F.trim(p) != "")
     parts = F.when(chunk_tokens("body") <= size * 1.5, F.array("body")).when(F.col("body").contains(ITEM), _pack(items, size)).otherwise(packed_sentences(F.col("body"), size))
-    rows = body.select("doc_id", "section", "title", F.posexplode(parts).alias("part", "text"))
-    rows = rows.withColumn("text", clean_chunk(F.col("text"))).withColumn("token_count", chunk_tokens("text")).where(F.col("token_count") >= min_tokens)
+    rows = body.select("doc_id", "section", "title", F.posexplode(F.transform(parts, _measured)).alias("part", "__c"))
+    rows = rows.select("doc_id", "section", "title", "part", "__c.text", "__c.token_count").where(F.col("token_count") >= min_tokens)
     return rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "part")) - 1)
 
 
@@ -184,24 +212,36 @@ def semantic(docs: DataFrame, embed=None, size: int = 512, threshold: float = 0.
     cut = cut.withColumn("segment", F.when(F.col("fell_back"), 0).otherwise(F.col("segment")))
     segments = cut.groupBy("doc_id", "segment", "fell_back").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("x"))
     parts = F.transform("x", lambda x: x["s"])
-    whole = F.array_join(parts, " ")
-    packed = F.when(F.col("fell_back"), packed_array(parts, size)).when(chunk_tokens(whole) > size * 1.5, _pack(parts, size)).otherwise(F.array(whole))
-    rows = segments.select("doc_id", "segment", "fell_back", F.posexplode(packed).alias("part", "text"))
-    rows = rows.withColumn("text", clean_chunk(F.col("text"))).withColumn("token_count", chunk_tokens("text")).where(F.col("token_count") >= min_tokens)
+    of_size = lambda p: let(F.array_join(p, " "), lambda w: F.when(chunk_tokens(w) > size * 1.5, _pack(p, size)).otherwise(F.array(w)))
+    packed = let(parts, lambda p: F.when(F.col("fell_back"), packed_array(p, size)).otherwise(of_size(p)))
+    rows = segments.select("doc_id", "segment", "fell_back", F.posexplode(F.transform(packed, _measured)).alias("part", "__c"))
+    rows = rows.select("doc_id", "segment", "fell_back", "part", "__c.text", "__c.token_count").where(F.col("token_count") >= min_tokens)
     index = F.row_number().over(Window.partitionBy("doc_id").orderBy("segment", "part")) - 1
     return rows.withColumn("chunk_index", F.when(F.col("fell_back"), F.col("part")).otherwise(index))
 
 
+def _children(docs: DataFrame, parent: int, child: int, bodies: bool = False) -> DataFrame:
+    """Children of all parents in a row, so that their places in it are their numbers; bodies: with their parent's text."""
+
+    def below(p: Column, i: Column) -> Column:
+        made = lambda body: F.transform(packed_sentences(p, child), lambda c: F.struct(i.alias("parent_index"), _measured(c).alias("c"), *body))
+        return let(clean_chunk(p), lambda body: made([body.alias("parent_text")])) if bodies else made([])
+
+    flat = let(packed_sentences(F.col("text"), parent), lambda ps: F.flatten(F.transform(ps, below)))
+    rows = docs.select("doc_id", F.posexplode(flat).alias("chunk_index", "__c"))
+    return rows.select("doc_id", F.lit("child").alias("kind"), "__c.parent_index", "chunk_index", "__c.c.text", "__c.c.token_count", *(["__c.parent_text"] if bodies else []))
+
+
 def hierarchical(docs: DataFrame, parent: int = 2048, child: int = 512, min_tokens: int = 100) -> DataFrame:
     """Parents and, below each, its children; children are numbered through the document and name their parent."""
-    parents = docs.select("doc_id", F.posexplode(packed_sentences(F.col("text"), parent)).alias("parent_index", "body"))
-    below = lambda p, i: F.transform(packed_sentences(p, child), lambda c: F.struct(i.alias("parent_index"), c.alias("text")))
-    # Children of all parents in a row, so that their places in it are their numbers.
-    flat = let(packed_sentences(F.col("text"), parent), lambda ps: F.flatten(F.transform(ps, below)))
-    numbered = docs.select("doc_id", F.posexplode(flat).alias("chunk_index", "c")).select("doc_id", F.col("c.parent_index").alias("parent_index"), "chunk_index", F.col("c.text").alias("text"))
-    children = numbered.select("doc_id", F.lit("child").alias("kind"), "parent_index", "chunk_index", clean_chunk(F.col("text")).alias("text"))
-    tops = parents.select("doc_id", F.lit("parent").alias("kind"), "parent_index", F.lit(None).cast("int").alias("chunk_index"), clean_chunk(F.col("body")).alias("text"))
-    return tops.union(children).withColumn("token_count", chunk_tokens("text")).where((F.col("kind") == "parent") | (F.col("token_count") >= min_tokens))
+    parents = docs.select("doc_id", F.posexplode(F.transform(packed_sentences(F.col("text"), parent), _measured)).alias("parent_index", "__c"))
+    tops = parents.select("doc_id", F.lit("parent").alias("kind"), "parent_index", F.lit(None).cast("int").alias("chunk_index"), "__c.text", "__c.token_count")
+    return tops.union(_children(docs, parent, child).where(F.col("token_count") >= min_tokens))
+
+
+def with_parents(docs: DataFrame, parent: int = 2048, child: int = 512, min_tokens: int = 100) -> DataFrame:
+    """The children of hierarchical() with their parent's text, as expand_to_parent() of them, without a second pass or a join."""
+    return _children(docs, parent, child, True).where(F.col("token_count") >= min_tokens)
 
 
 def expand_to_parent(chunks: DataFrame) -> DataFrame:
@@ -271,19 +311,19 @@ def clearly_structured(kind: Column, sections: Column, paragraphs: Column, pages
 def adaptive(docs: DataFrame, embed=None, small: int = SMALL, large: int = LARGE, size: int = 512, min_tokens: int = 100, vectors: DataFrame | None = None) -> DataFrame:
     """Each document by the chunker of its size; of the middle ones, those with section headers by section, the others
     as semantic() does with embed or vectors."""
-    sized = docs.withColumn("__n", chunk_tokens("text"))
-    middle = (F.col("__n") > small) & (F.col("__n") <= large)
     headed = F.exists(F.split("text", "\n"), lambda x: header_kind(x).isNotNull())
+    middle = F.when(headed, "section").otherwise("semantic")
+    chosen = let(chunk_tokens("text"), lambda n: F.when(n <= small, "fixed").when(n > large, "hierarchical").otherwise(middle))
     cols = ["doc_id", "chunk_index", "text", "token_count", "strategy"]
     by = {
-        "fixed": (F.col("__n") <= small, lambda d: fixed(d, size, min_tokens)),
-        "section": (middle & headed, lambda d: by_section(d, size, min_tokens)),
-        "semantic": (middle & ~headed, lambda d: semantic(d, embed, size, min_tokens=min_tokens, vectors=vectors)),
-        "hierarchical": (F.col("__n") > large, lambda d: hierarchical(d, child=size, min_tokens=min_tokens).where("kind = 'child'")),
+        "fixed": lambda d: fixed(d, size, min_tokens),
+        "section": lambda d: by_section(d, size, min_tokens),
+        "semantic": lambda d: semantic(d, embed, size, min_tokens=min_tokens, vectors=vectors),
+        "hierarchical": lambda d: hierarchical(d, child=size, min_tokens=min_tokens).where("kind = 'child'"),
     }
     made = None
-    for name, (which, chunk) in by.items():
-        part = chunk(sized.where(which).drop("__n")).withColumn("strategy", F.lit(name)).select(cols)
+    for name, chunk in by.items():
+        part = chunk(docs.where(chosen == name)).withColumn("strategy", F.lit(name)).select(cols)
         made = part if made is None else made.unionByName(part)
     return made
 
@@ -326,12 +366,22 @@ def without_following(chunks: DataFrame) -> DataFrame:
     return rest.withColumn("text", F.array_join(F.slice(words, F.lit(1), F.size(words) - F.col("__n")), " ")).drop("__n").withColumn("token_count", chunk_tokens("text"))
 
 
+def without_either(chunks: DataFrame) -> DataFrame:
+    """doc_id, chunk_index, the text of without_overlap() (without_front) and that of without_following() (without_back): what a
+    chunk shares with the one before is what that one shares with it, and is measured once."""
+    by, words = Window.partitionBy("doc_id").orderBy("chunk_index"), F.split("text", r"\s+")
+    shared = chunks.withColumn("__front", F.coalesce(suffix_prefix(F.lag("text").over(by), F.col("text")), F.lit(0)))
+    shared = shared.withColumns({"__back": F.coalesce(F.lead("__front").over(by), F.lit(0)), "__w": words})
+    front = F.array_join(F.slice("__w", F.col("__front") + 1, F.size("__w")), " ")
+    return shared.select("doc_id", "chunk_index", front.alias("without_front"), F.array_join(F.slice("__w", F.lit(1), F.size("__w") - F.col("__back")), " ").alias("without_back"))
+
+
 def overlap_adjusted(chunks: DataFrame, target: int, tolerance: int = 10) -> DataFrame:
     """Chunks whose overlap with the next is near target tokens: the next one's start is lent, or one's own end cut.
 
     The overlap is measured in words that end the one and begin the other, of the unchanged chunks."""
     by = Window.partitionBy("doc_id").orderBy("chunk_index")
-    near = chunks.withColumns({"__next": F.lead("text").over(by), "__words": F.split("text", r"\s+")})
+    near = chunks.withColumn("__next", F.lead("text").over(by)).withColumn("__words", F.split("text", r"\s+"))  # words behind the shuffle
     shared = suffix_prefix(F.col("text"), F.col("__next"))
     near = near.withColumn("__shared", shared).withColumn("__have", chunk_tokens(F.array_join(F.slice("__words", F.greatest(F.lit(1), F.size("__words") - F.col("__shared") + 1), F.col("__shared")), " ")))
     per_word = lambda tokens: F.floor(tokens / F.lit(1.33)).cast("int")

@@ -103,3 +103,40 @@ def test_adaptive_takes_every_branch(spark, sf_small):
 def test_windows(spark):
     row = spark.range(1).select(windows(F.array(*map(F.lit, range(7))), 3, 1).alias("w")).first()
     assert row["w"] == [[0, 1, 2], [2, 3, 4], [4, 5, 6]]
+
+
+def test_sentences_by_one_split_are_those_of_replaced_stops(spark):
+    odd = ["See e.g. This. And i.e.g. That. The U.S. Army, the U.S.S. Enterprise. Mr. X met Dr.  Y.\n\nEtc. Ends etc. Here! Is it? Yes", "\x0b A. B. C \f", "Corp. Co. Ph.D. M.D. X.M.A. Is. Vs. vs. So. ", ""]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").select("doc_id", tx.sentences("text").alias("s"))
+    assert {r["doc_id"]: r["s"] for r in rows.collect()} == {i: sentences(t) for i, t in enumerate(odd)}
+
+
+def test_chunks_are_cleaned_as_by_plain_patterns(spark):
+    odd = ["a  b\n\nc \t d\x0b", " [PAGE 3] x[HEADER]y [TABLE 12]\n[FOOTER] [NOTE] z ", "\n \n", "plain text"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").select("doc_id", chunking.clean_chunk(F.col("text")).alias("t"))
+    plain = [re.sub(r"[ \t\n\x0b\f\r]+", " ", re.sub(r"\[PAGE \d+\]|\[HEADER\]|\[FOOTER\]|\[TABLE \d+\]", "", t)).strip(" ") for t in odd]
+    assert {r["doc_id"]: r["t"] for r in rows.collect()} == dict(enumerate(plain))
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_are_cut_once_however_they_are_filtered(spark, sf_small):
+    docs = texts(spark, sf_small)
+    for made in (chunking.fixed(docs, 256, 50), chunking.with_parents(docs, 1024, 256, 50), chunking.semantic(docs, hashing_embedder(), 256, min_tokens=50)):
+        filters = [x for x in planned(made).splitlines() if "Filter" in x]
+        assert not any("regexp_replace" in x or "split" in x for x in filters)
+    for made in (chunking.all_statistics(chunking.fixed(docs, 256, 0)), chunking.without_either(chunking.fixed(docs, 256, 0)), chunking.with_parents(docs, 1024, 256, 50)):
+        assert planned(made).count("FileScan") == 1 and "Join" not in planned(made)
+
+
+def test_one_pass_gives_what_two_gave(spark, sf_small):
+    docs = texts(spark, sf_small)
+    both = lambda a, b: sorted(map(str, a.select(sorted(a.columns)).collect())) == sorted(map(str, b.select(sorted(a.columns)).collect()))
+    made = chunking.fixed(docs, 64, 0)
+    assert both(chunking.all_statistics(made), chunking.statistics(made).join(chunking.overlap_statistics(made), "doc_id", "left"))
+    lent = chunking.with_overlap(made, 25)
+    front, back = (f(lent).select("doc_id", "chunk_index", F.col("text").alias(n)) for f, n in ((chunking.without_overlap, "without_front"), (chunking.without_following, "without_back")))
+    assert both(chunking.without_either(lent), front.join(back, ["doc_id", "chunk_index"]))
+    assert both(chunking.with_parents(docs, 256, 64, 10), chunking.expand_to_parent(chunking.hierarchical(docs, 256, 64, 10)))
