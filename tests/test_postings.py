@@ -117,3 +117,38 @@ def test_marks_within_words_go_and_words_stay_apart(spark):
 
     row = spark.createDataFrame([("Don't-stop\t— a1_b2\nÉté, x  yy!",)], "t string").select(tx.bm25_terms("t").alias("w")).first()
     assert row["w"] == ["dontstop", "a1b2", "été", "yy"]
+
+
+def test_texts_become_the_terms_that_spark_cuts_them_into(spark):
+    from tessera.functions import text as tx
+
+    odd = ["Don't-stop\t— a1_b2\nÉté, x  yy!", "ΟΔΟΣ ΣΟΦΟΣ.\x0bİstanbul ẞtraße\x1cnotaspace", "a\u00a0b\u2003c d\x85e", "x" * 51 + " " + "y" * 50 + " ٣٤ ½ ⅷ 漢字 e\u0301a", "  ", "", None, "dup dup Dup dup!"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    want = {(r["doc_id"], r["term"], r["tf"], r["length"]) for r in retrieval.postings(rows).collect()}
+    made = postings.in_blocks(postings.blocked(rows.withColumn("length", F.octet_length("text"))))
+    flat = made.select("term", "df", "total_tf", F.explode(F.arrays_zip("docs", "tfs", "lengths")).alias("p")).collect()
+    assert {(r["p"]["docs"], r["term"], r["p"]["tfs"], r["p"]["lengths"]) for r in flat} == want
+    assert {(r["term"], r["df"], r["total_tf"]) for r in postings.counts(made).collect()} == {(t, len(own := [x for x in want if x[1] == t]), sum(x[2] for x in own)) for _, t, _, _ in want}
+
+
+def test_search_without_an_index_cuts_texts_in_their_blocks(spark):
+    docs = frame(spark, texts(50))
+    made = retrieval.in_blocks(retrieval.blocked(docs.withColumn("length", F.octet_length("text"))))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "regexp_replace(" not in plan
+
+
+def test_documents_that_cannot_come_up_are_not_finished():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    n, k = 4000, 10
+    sparse, whole = np.where(rnd.random(n) < 0.05, rnd.random(n) * 20, 0.0), rnd.random((6, n))
+    rows, weights, stay = np.arange(6), np.array([0.5, 0.1, 0.4, 0.2, 0.3, 0.6]), rnd.random(n) < 0.9
+    want = sparse + weights @ whole
+    first = np.argsort(np.where(stay, -want, 0))[:k]
+    for lowest in (0.0, want[first[-1]]):
+        pick, total = postings.finished(sparse.copy(), whole, whole.max(axis=1), rows, weights, lowest, k, stay)
+        assert len(pick) < n / 8 and set(first) <= set(pick) and np.allclose(total, want[pick])
+    pick, total = postings.finished(sparse.copy(), whole, whole.max(axis=1), rows, -weights, 0.0, k, stay)
+    assert len(pick) == n and np.allclose(total, sparse - weights @ whole)
