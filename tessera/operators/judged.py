@@ -113,8 +113,9 @@ def evaluate(responses: DataFrame, call: Call, embed: Callable[[Column], Column]
     summed = summed.withColumn("context_precision", F.when(F.size("seen") == 0, None).when(helped == 0, 0.0).otherwise(gained / helped)).drop("seen")
 
     made = asked(own.select("id", "query", prompt("questions", answer="answer").alias("prompt")), call, questions_of)
-    back = made.select("id", "query", F.explode(F.from_json("told", "array<string>")).alias("question"))
-    near = back.select("id", cosine(embed(F.col("query")), embed(F.col("question"))).alias("near")).groupBy("id").agg(F.greatest(F.lit(0.0), F.avg("near")).alias("answer_relevancy"))
+    # Vectors are columns of their own, each made once, whatever the cosine does with them.
+    back = made.select("id", embed(F.col("query")).alias("query"), "told").select("id", "query", F.explode(F.from_json("told", "array<string>")).alias("question"))
+    near = back.select("id", "query", embed(F.col("question")).alias("question")).select("id", cosine("query", "question").alias("near")).groupBy("id").agg(F.greatest(F.lit(0.0), F.avg("near")).alias("answer_relevancy"))
     scores = ["faithfulness", "context_relevancy", "context_precision", "context_recall", "answer_relevancy"]
     out = fit.select("id", "evaluated", "reason").join(summed, "id", "left").join(near, "id", "left")
     or_none = lambda c: F.coalesce(F.col(c), F.lit(0.0))
