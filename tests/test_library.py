@@ -194,3 +194,20 @@ def test_ids_of_a_batch_are_arrays_of_four_bytes_each():
     from tessera.functions import bpe
 
     assert bpe.id_arrays(pd.Series(["two words", None])).map(lambda x: (x.dtype.str, len(x) > 0)).tolist() == [("<i4", True), ("<i4", False)]
+
+
+def test_what_a_list_search_meets_in_one_task_is_bounded(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import index, retrieval
+
+    monkeypatch.setattr(retrieval, "BLOCK", 50)
+    rows = spark.range(600).select(F.col("id").alias("doc_id"), F.array((F.col("id") % 7).cast("double"), (F.col("id") % 11).cast("double")).alias("embedding"))
+    kept = index.ListIndex(spark, str(tmp_path / "v"), probes=2)
+    kept.build(rows.where("doc_id < 100"), 2)
+    kept.add(rows.where("doc_id >= 100"))  # a list grows after it was made
+    asked = rows.withColumnRenamed("doc_id", "query_id")
+    for side in kept._dealt(asked):
+        assert side.groupBy("list", "part", "share").count().agg(F.max("count")).first()[0] < 100
+    found = {(r["query_id"], r["doc_id"], r["rank"]) for r in kept.search(asked, 3).collect()}
+    assert found == {(r["query_id"], r["doc_id"], r["rank"]) for r in retrieval.nearest(rows, asked, 3).collect()}
