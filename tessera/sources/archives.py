@@ -111,7 +111,9 @@ def members(spark: SparkSession, path: str, patterns: list[str] | None = None, p
     wanted = patterns or ["*"]
     archives = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path")
     dealt = lots(archives, wanted, lot_bytes)
-    n = dealt.count()  # names and sizes alone
+    # Names and sizes alone. A task has LOT_BYTES or so, as one lot or several; what a compressed tar holds is not known.
+    told = dealt.agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("bytes") > 0, F.col("bytes")).otherwise(LOT_BYTES)).alias("bytes")).first()
+    tasks = min(told["n"], max(4 * spark.sparkContext.defaultParallelism, (told["bytes"] or 0) // LOT_BYTES + 1))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -131,7 +133,7 @@ def members(spark: SparkSession, path: str, patterns: list[str] | None = None, p
                     rows.append((where, None, None, None, f"{type(e).__name__}: {e}"))
                 yield _frame(rows)
 
-    return dealt.repartition(max(1, min(n, 100_000))).mapInPandas(run, _ROWS)
+    return dealt.repartition(max(1, min(tasks, 100_000))).mapInPandas(run, _ROWS)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -139,7 +141,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def texts(found: DataFrame) -> DataFrame:
-    """path, member, text, error of members(): each member's text by its kind's parser."""
+    """path, member, size, text, error of members(): each member's text by its kind's parser."""
     from .files import PARSERS, _kind_of_name
 
     parsers = dict(PARSERS)
@@ -147,7 +149,7 @@ def texts(found: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for path, member, content, error in zip(f["path"], f["member"], f["content"], f["error"], strict=True):
+            for path, member, size, content, error in zip(f["path"], f["member"], f["size"], f["content"], f["error"], strict=True):
                 text, kind = None, _kind_of_name(member) if member else None
                 if error is None and kind not in parsers:
                     error = f"no parser for {member}"
@@ -156,7 +158,7 @@ def texts(found: DataFrame) -> DataFrame:
                         text = "\n".join(t for _, t in parsers[kind](member, content))
                     except Exception as e:  # noqa: BLE001  reported in the row
                         error = f"{type(e).__name__}: {e}"
-                rows.append((path, member, text, error))
-            yield pd.DataFrame(rows, columns=["path", "member", "text", "error"])
+                rows.append((path, member, size, text, error))
+            yield pd.DataFrame(rows, columns=["path", "member", "size", "text", "error"], dtype=object).astype({"size": "Int64"})
 
-    return found.select("path", "member", "content", "error").mapInPandas(run, "path string, member string, text string, error string")
+    return found.select("path", "member", "size", "content", "error").mapInPandas(run, "path string, member string, size long, text string, error string")

@@ -55,3 +55,11 @@ def test_what_cannot_be_read_is_a_row(spark, tmp_path):
 def test_no_archives(spark, tmp_path):
     (tmp_path / "a.md").write_text("x")
     assert archives.members(spark, str(tmp_path), pattern="*.zip").count() == 0
+
+
+def test_small_lots_share_tasks_and_texts_tell_sizes(spark, tmp_path):
+    (tmp_path / "a.tar").write_bytes(packed("tar"))
+    out = archives.members(spark, str(tmp_path), ["d/*.txt"], lot_bytes=1)
+    n_lots = archives.lots(spark.createDataFrame([(str(tmp_path / "a.tar"),)], "path string"), ["d/*.txt"], 1).count()
+    assert out.rdd.getNumPartitions() <= min(n_lots - 1, 4 * spark.sparkContext.defaultParallelism)
+    assert {r["member"]: r["size"] for r in archives.texts(out).collect()} == {name: len(data) for name, data in ROWS if name.startswith("d/")}
