@@ -152,3 +152,31 @@ def test_documents_that_cannot_come_up_are_not_finished():
         assert len(pick) < n / 8 and set(first) <= set(pick) and np.allclose(total, want[pick])
     pick, total = postings.finished(sparse.copy(), whole, whole.max(axis=1), rows, -weights, 0.0, k, stay)
     assert len(pick) == n and np.allclose(total, sparse - weights @ whole)
+
+
+def test_many_queries_are_scored_together(spark, monkeypatch):
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    n, n_terms, n_queries = 900, 60, 41
+    has = rnd.random((n_terms, n)) < rnd.choice([0.01, 0.2, 0.9], n_terms)[:, None]
+    value = np.where(has, rnd.random((n_terms, n)), 0.0)
+    weight = np.where(rnd.random((n_queries, n_terms)) < 0.3, rnd.random((n_queries, n_terms)) - 0.1, 0.0)
+    term, at = np.nonzero(has)
+    ends, (query, asked) = np.append(0, np.cumsum(has.sum(1))), np.nonzero(weight)
+    for chunk, step in ((4_000_000, 100_000), (9 * n, 2 * n)):
+        monkeypatch.setattr(postings, "CHUNK", chunk)
+        monkeypatch.setattr(postings, "STEP", step)
+        total = postings.totals(at, value[term, at], ends, n, query, asked, weight[query, asked], n_queries)
+        assert np.allclose(total, weight @ value)
+        least = np.where(np.arange(n_queries) % 2, 0.0, np.sort(total, axis=1)[:, -3])
+        row, column, score = postings.chunk_best(total, least, 7)
+        for q in range(n_queries):
+            want = [d for d in np.lexsort((np.arange(n), -np.round(total[q], 9)))[:7] if total[q, d] > 0 and total[q, d] >= least[q] - 1e-9]
+            assert column[row == q].tolist() == want
+    # The same through Spark, several chunks a block.
+    monkeypatch.setattr(postings, "CHUNK", 300)
+    monkeypatch.setattr(postings, "BLOCK_DOCS", 40)
+    docs, queries = texts(300), [(q, f"common w{q} w{3 * q} w{q} w999") for q in range(60)] + [(90, ""), (91, None)]
+    out = {(r["query_id"], r["doc_id"], r["rank"]) for r in retrieval.bm25(frame(spark, docs), frame(spark, queries, "query_id"), 5).collect()}
+    assert out == brute(docs, queries, 5)
