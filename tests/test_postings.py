@@ -180,3 +180,18 @@ def test_many_queries_are_scored_together(spark, monkeypatch):
     docs, queries = texts(300), [(q, f"common w{q} w{3 * q} w{q} w999") for q in range(60)] + [(90, ""), (91, None)]
     out = {(r["query_id"], r["doc_id"], r["rank"]) for r in retrieval.bm25(frame(spark, docs), frame(spark, queries, "query_id"), 5).collect()}
     assert out == brute(docs, queries, 5)
+
+
+def test_packed_postings_hold_what_arrays_hold(spark, small_blocks):
+    import numpy as np
+
+    docs = frame(spark, texts(150)).withColumn("length", F.octet_length("text"))
+    rows = lambda packed: postings.in_blocks(postings.blocked(docs), packed).collect()
+    plain = {(r["block"], r["term"]): (r["docs"], r["tfs"], r["lengths"], r["df"]) for r in rows(False)}
+    read = lambda x, kind: np.frombuffer(x, kind).tolist()
+    assert plain == {(r["block"], r["term"]): (read(r["docs"], "i8"), read(r["tfs"], "i4"), read(r["lengths"], "i4"), r["df"]) for r in rows(True)}
+    # Ids that are no longs stay what they are.
+    named = docs.select(F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 4, "0")).alias("doc_id"), "text")
+    asked = frame(spark, [(1, "common w3 w5"), (2, "")], "query_id")
+    out = lambda d: sorted((r["query_id"], int(str(r["doc_id"]).lstrip("d")), r["rank"]) for r in retrieval.bm25(d, asked, 5).collect())
+    assert out(named) == out(docs.select("doc_id", "text"))
