@@ -14,10 +14,15 @@ LEAST_CONFIDENCE, NEW_LINE, WORD_GAP, CELL_GAP, PARAGRAPH = 0.5, 25, 5, 30, 35
 
 def lines(boxes: DataFrame) -> DataFrame:
     """page_id, line, text, kind, paragraph: boxes from top to bottom and left to right."""
-    down = Window.partitionBy("page_id").orderBy("cy", "cx")
-    sure = boxes.where(F.col("confidence") > LEAST_CONFIDENCE).withColumn("gap", F.coalesce(F.abs(F.col("cy") - F.lag("cy").over(down)), F.lit(0)))
-    placed = sure.withColumn("line", F.sum((F.col("gap") >= NEW_LINE).cast("int")).over(down))
-    across = placed.groupBy("page_id", "line").agg(F.array_sort(F.collect_list(F.struct("cx", "text", "x0", "x1", "height"))).alias("b"), F.avg("cy").alias("cy"))
+    # A page's boxes become one row where they lie: what is shuffled and sorted are pages, not boxes.
+    own = F.struct("cy", "cx", "text", "x0", "x1", "height")
+    pages = boxes.where(F.col("confidence") > LEAST_CONFIDENCE).groupBy("page_id").agg(F.sort_array(F.collect_list(own)).alias("boxes"))
+    at = F.sequence(F.lit(0), F.size("boxes") - 1)
+    starts = F.filter(at, lambda i: (i == 0) | (F.abs(F.get("boxes", i)["cy"] - F.get("boxes", i - 1)["cy"]) >= NEW_LINE))
+    cut = pages.withColumn("starts", starts).select("page_id", F.posexplode(F.transform("starts", lambda s, i: F.slice("boxes", s + 1, F.coalesce(F.get("starts", i + 1), F.size("boxes")) - s))).alias("line", "b"))
+    known = F.size(F.filter("b", lambda x: x["cy"].isNotNull()))
+    mean = F.when(known > 0, F.aggregate("b", F.lit(0.0), lambda a, x: a + F.coalesce(x["cy"], F.lit(0.0))) / known)
+    across = cut.select("page_id", F.col("line").cast("long").alias("line"), F.sort_array(F.transform("b", lambda x: F.struct(x["cx"].alias("cx"), x["text"].alias("text"), x["x0"].alias("x0"), x["x1"].alias("x1"), x["height"].alias("height")))).alias("b"), mean.alias("cy"))
     first = F.struct(F.lit("").alias("t"), F.lit(None).cast("double").alias("x"))
 
     def put(a, b):
@@ -41,11 +46,11 @@ def bullet(text: Column) -> Column:
 
 def heading(text: Column, tall: Column) -> Column:
     """Mostly capitals, or mostly title case in a tall line."""
-    letters = F.regexp_replace(text, r"[^\p{L}]", "")
-    capital = F.length(F.regexp_replace(letters, r"[^\p{Lu}]", "")) / F.greatest(F.lit(1), F.length(letters))
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    capital = F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")) / F.greatest(F.lit(1), letters)
     words = F.filter(F.split(text, r"\s+"), lambda w: w.rlike(r"^\p{L}"))
     title = F.size(F.filter(words, lambda w: w.rlike(r"^\p{Lu}"))) / F.greatest(F.lit(1), F.size(words))
-    return (letters != "") & ((capital > 0.7) | (title > 0.8) & tall)
+    return (capital > 0.7) | tall & (letters > 0) & (title > 0.8)
 
 
 def artefact(text: Column) -> Column:

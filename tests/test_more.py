@@ -179,3 +179,15 @@ def test_bytes_that_speak_for_nothing_fall_back():
 
     noise = bytes([0x80, 0x61, 0xA4, 0x62, 0xB6, 0x63]) * 5
     assert encoding_of(noise) == "windows-1252" and encoding_of(b"") == "utf-8" and chance(b"abc", "koi8-r") == 0
+
+
+def test_boxes_are_neither_shuffled_nor_sorted_one_by_one(spark):
+    box = lambda page, text, cy, cx, height=12.0, sure=0.9: (page, text, sure, cx, cy, cx - 5.0, cx + 5.0, height)
+    rows = [box(1, "b", 12.0, 30.0), box(1, "a", 10.0, 12.0), box(1, "low", 11.0, 50.0, sure=0.5), box(1, "Tall Words", 60.0, 5.0, 30.0), box(1, "Words, not Tall", 90.0, 5.0), box(1, "LOUD 1!", 120.0, 5.0), box(1, "- x", 150.0, 5.0), box(2, "n", None, 5.0), box(2, "m", 3.0, 15.0), box(3, "none", 1.0, 1.0, sure=0.1)]
+    boxes = spark.createDataFrame(rows, "page_id int, text string, confidence double, cx double, cy double, x0 double, x1 double, height double").repartition(3)
+    found = layout.lines(boxes)
+    assert sorted((r["page_id"], r["line"], r["text"], r["kind"], r["paragraph"]) for r in found.collect()) == [
+        (1, 0, "a b", "text", 0), (1, 1, "Tall Words", "heading", 1), (1, 2, "Words, not Tall", "text", 1), (1, 3, "LOUD 1!", "heading", 1), (1, 4, "- x", "bullet", 1), (2, 0, "nm", "text", 0),
+    ]
+    windows = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in x]
+    assert windows and not any("cx" in x for x in windows)
