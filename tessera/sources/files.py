@@ -61,6 +61,9 @@ ONE_BYTE = ["windows-1252", "windows-1251", "koi8-r", "windows-1250"]
 COMMON = "оеаинтсрвл"
 #: Below this the fixed list of encodings is tried in order.
 SURE = 0.7
+#: What a Cyrillic encoding loses if nearly all letters are ASCII ones, and a Latin one if none is.
+BESIDE = 0.2
+_ASCII_LETTERS = np.array([bytes([i]).isalpha() for i in range(256)])
 
 
 @lru_cache(None)
@@ -105,16 +108,21 @@ def _cyrillic(name: str) -> tuple[np.ndarray, np.ndarray]:
 def chance(data: bytes, name: str) -> float:
     """How likely bytes are in a one-byte encoding: the mean over pairs that hold a byte over 127, less where Cyrillic letters are rare ones; 0 without any.
 
-    A pair counts with the root of how often it is there: one run of two letters in turns is not to decide for the whole text."""
+    A pair counts once, however often it is there: a few words in long rows are not to decide for the whole text. Words of accented
+    letters alone look Cyrillic: beside many ASCII letters they are rather Latin, without any rather not."""
     x = np.frombuffer(b" " + data + b" ", np.uint8)
     pick = (x[:-1] >= 0x80) | (x[1:] >= 0x80)
     if not pick.any():
         return 0.0
-    found, times = np.unique(x[:-1][pick].astype("i4") * 256 + x[1:][pick], return_counts=True)
-    pairs = float(np.average(_pair_weights(name).ravel()[found], weights=np.sqrt(times)))
+    found = np.unique(x[:-1][pick].astype("i4") * 256 + x[1:][pick])
+    pairs = float(_pair_weights(name).ravel()[found].mean())
     common, letters = _cyrillic(name)
-    n = int(letters[x].sum())  # of Cyrillic letters, about two in three are common ones
-    return pairs * (0.5 + min(0.5, common[x].sum() / n)) if n else pairs
+    times = np.bincount(x, minlength=256)
+    n = int(times[letters].sum())  # of Cyrillic letters, about two in three are common ones
+    # From C0 on all four encodings have letters; here too, repeating a letter tells little.
+    high, plain = (float(np.log1p(times[at]).sum()) for at in (slice(0xC0, 256), _ASCII_LETTERS))
+    share = high / max(1e-9, high + plain)
+    return pairs * (0.5 + min(0.5, times[common].sum() / n)) * (1 - BESIDE * (1 - share)) if n else pairs * (1 - BESIDE * share)
 
 
 def encoding_of(data: bytes) -> str:

@@ -211,3 +211,11 @@ def test_what_a_list_search_meets_in_one_task_is_bounded(spark, tmp_path, monkey
         assert side.groupBy("list", "part", "share").count().agg(F.max("count")).first()[0] < 100
     found = {(r["query_id"], r["doc_id"], r["rank"]) for r in kept.search(asked, 3).collect()}
     assert found == {(r["query_id"], r["doc_id"], r["rank"]) for r in retrieval.nearest(rows, asked, 3).collect()}
+
+
+def test_words_of_accented_letters_alone_do_not_make_a_text_cyrillic():
+    for shown in ("Of erlysh er the esou atlyre.\nAionon on èê, le paeuxelle.", "De De una una " * 9 + "ñó " * 700 + "\nRaas, noosmios ciónes jagañ lañraraó asierr doas osar el doque.", "Ti wh, enndst onndble.\nDe anque re éè en auxrepa."):
+        assert files.encoding_of(shown.encode("latin-1")) == "latin-1"
+    for name in ("windows-1251", "koi8-r"):
+        for shown in ("а.", "The word мир means peace, and world as well."):
+            assert files.encoding_of(shown.encode(name)) == name
