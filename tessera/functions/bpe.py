@@ -77,17 +77,37 @@ def boundary(text, target: int, ranks_path: str | None = None) -> Column:
 
 
 def windows(text, size: int, overlap: int = 0, ranks_path: str | None = None) -> Column:
-    """The texts of windows of `size` ids, each beginning `overlap` before the last one's end."""
-    stride = size - overlap
+    """The texts of windows of `size` ids, each beginning `overlap` before the last one's end.
+
+    An edge within a character moves back to where that begins, so that windows hold whole characters and without an overlap join to the text."""
+    if overlap >= size:
+        raise ValueError("overlap must be less than size")
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(texts):
         encoding = _encoding(ranks_path)
 
         def cut(text):
-            found = encoding.encode_ordinary(text or "")
-            starts = [i for i in range(0, len(found), stride) if i == 0 or i + overlap < len(found)]
-            return [encoding.decode(found[i : i + size]) for i in starts]
+            found, start, out = encoding.encode_ordinary(text or ""), 0, []
+
+            def edge(i: int) -> int:
+                """The nearest place before i, or where that is not behind start, after it, at which a character begins."""
+                within = lambda i: i < len(found) and encoding.decode_single_token_bytes(found[i])[0] & 0xC0 == 0x80
+                back = i
+                while back > start and within(back):
+                    back -= 1
+                if back > start:
+                    return back
+                i = max(i, start + 1)
+                while within(i):
+                    i += 1
+                return i
+
+            while start < len(found):
+                end = edge(min(start + size, len(found)))
+                out.append(encoding.decode(found[start:end]))
+                start = edge(end - overlap) if end < len(found) else end
+            return out
 
         return texts.map(cut)
 

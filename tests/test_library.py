@@ -219,3 +219,24 @@ def test_words_of_accented_letters_alone_do_not_make_a_text_cyrillic():
     for name in ("windows-1251", "koi8-r"):
         for shown in ("а.", "The word мир means peace, and world as well."):
             assert files.encoding_of(shown.encode(name)) == name
+
+
+def test_windows_of_ids_are_many_and_join_to_the_text(spark):
+    from unittest import mock
+
+    from tessera.functions import bpe
+    from tessera.plans import catalog
+
+    texts = ["plain words again and again " * 30, "日本語の文字 🎉 ñandú éß " * 20, "🎉" * 9, "a", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for size in (1, 2, 7, 100):
+        cut = [r["w"] for r in rows.select("i", bpe.windows("text", size).alias("w")).orderBy("i").collect()]
+        assert ["".join(w) for w in cut] == [t or "" for t in texts] and (size == 100 or all(len(w) > 1 for w in cut[:3]))
+    lapped = [r["w"] for r in rows.select("i", bpe.windows("text", 20, 5).alias("w")).orderBy("i").collect()]
+    ids = bpe._encoding(None)
+    assert lapped[0][:2] == [ids.decode(ids.encode_ordinary(texts[0])[a : a + 20]) for a in (0, 15)] and lapped[0][-1] and texts[0].endswith(lapped[0][-1])
+    for text, found in zip(texts[1:3], lapped[1:3], strict=True):
+        assert all(w in text for w in found) and text.endswith(found[-1]) and len("".join(found)) > len(text)
+    with mock.patch.object(catalog.bpe, "windows", wraps=bpe.windows) as asked:
+        catalog.tokens_exact(spark, "/root/testdata/sf0.001")
+    assert all(call.args[1] <= 512 for call in asked.call_args_list)
