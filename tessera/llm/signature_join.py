@@ -9,9 +9,9 @@
    pairs, then tree node pairs, are dropped if the largest overlap that bitmaps and sizes allow is too
    small; what is left is compared exactly, unless already known to hang together. Large clusters go in
    rounds: within blocks, between neighbouring blocks, and then between the sets of any two blocks that share
-   a part key which does not yet lie within one component.
-No link between different sets is lost; no step forms all pairs of a group of copies. Where texts have to
-move, they move compressed.
+   a part key which does not yet lie within one component, as many of them at a time as ROUND allows.
+No link between different sets is lost; no step forms all pairs of a group of copies. Sets are made where they
+meet: what moves are texts, compressed, which take a third of their shingles' room.
 
 Nulls: a null or wordless text has an empty set and is linked with nothing. A null id gives a null
 component unless linked rows have ids. Rows are the nodes: of repeated ids, each row is judged by its
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import shingles
-from .common import cut, few
+from .common import cut, few, release
 from .components import components
 from .packed import packed, unpack_text, unpacked
 
@@ -42,6 +42,8 @@ CLASS_RATIO = 1.4
 #: Sets, and shingles, of a block at most (a single larger set is a block).
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 LEAF, FANOUT, SEEDS = 16, 4, 3
+#: How often a round may move the texts of all large clusters, on average: what meets may grow faster than the table.
+ROUND = 4
 #: Part keys that a task gathers before it joins and passes them on; nodes that it remembers having met.
 TASK_KEYS, TASK_NODES = 500_000, 250_000
 
@@ -285,16 +287,17 @@ def tree_links(left: list[np.ndarray], right: list[np.ndarray] | None, roots: li
     return found
 
 
-def _unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.uint64)
+def _set_of(packed: bytes, width: int, memo: shingles.WordHashes) -> np.ndarray:
+    return shingles.shingle_set(shingles.word_hashes(unpack_text(packed), memo), width)
 
 
-def _block_links(num: int, den: int):
+def _block_links(width: int, num: int, den: int):
     """A block, or two, to edges that join each root with the least one that its links reach."""
+    memo = shingles.WordHashes()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["side", "n", "node"], kind="stable")
-        roots, sets = frame.root.tolist(), [_unpack(x) for x in frame.members]
+        roots, sets = frame.root.tolist(), [_set_of(x, width, memo) for x in frame.text]
         n_left = int((frame.side == 0).sum())
         links = tree_links(sets[:n_left], sets[n_left:] if n_left < len(sets) else None, roots, num, den) if n_left else []
         up = {r: r for r in roots}
@@ -312,21 +315,13 @@ def _root(up: dict[int, int], r: int) -> int:
     return r
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """wanted, which names a row of docs by body and ident, with members, the row's set."""
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted, which names a row of docs by body and ident, with the row's text, compressed."""
     columns = [c for c in wanted.columns if c not in ("body", "ident")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = shingles.WordHashes()
-        for b in few(batches, 128):
-            made = [shingles.shingle_set(shingles.word_hashes(unpack_text(x), memo), width).tobytes() for x in b.column(len(columns)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(made, pa.binary())], names=[*columns, "members"])
-
     texts = packed(docs.select(F.col("body").alias("text_body"), F.col("ident").alias("text_ident"), "text").where("text IS NOT NULL"), "text")
     met = texts.join(wanted, (F.col("text_body") == F.col("body")) & (F.col("text_ident") == F.col("ident")))
     # Rows alike in id and text are one.
-    once = met.groupBy("text_body", "text_ident").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in columns)).select(*columns, "text")
-    return once.mapInArrow(run, T.StructType([*wanted.select(columns).schema, T.StructField("members", T.BinaryType())]))
+    return met.groupBy("text_body", "text_ident").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in columns)).select(*columns, "text")
 
 
 def _blocks(wanted: DataFrame, num: int, den: int) -> DataFrame:
@@ -340,9 +335,9 @@ def _blocks(wanted: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.select("cluster", "node", "n", "small", *(F.when(F.col("small"), 0).otherwise(F.col(c)).cast("long").alias(c) for c in ("band", "sub")), "body", "ident")
 
 
-def _link_clusters(blocked: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, root) of every node with a link. blocked, a written table: cluster, node, n, small, band, sub, members."""
-    join = _block_links(num, den)
+def _link_clusters(blocked: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, root) of every node with a link. blocked, a written table: cluster, node, n, small, band, sub, text."""
+    join, spark = _block_links(width, num, den), blocked.sparkSession
     own = blocked.withColumn("root", F.col("node")).withColumn("side", F.lit(0))
     # Stars within blocks: of clusters of one block these are the components.
     roots = components(own.groupBy("cluster", "band", "sub").applyInPandas(join, "u long, v long"))
@@ -359,40 +354,50 @@ def _link_clusters(blocked: DataFrame, num: int, den: int) -> DataFrame:
     now = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stand = now.groupBy("cluster", "band", "sub", "root").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).where("c > 1").drop("c")
     sides = chained.select("*", F.col("b1").alias("band"), F.col("s1").alias("sub"), F.lit(0).alias("side")).union(chained.select("*", F.col("b2").alias("band"), F.col("s2").alias("sub"), F.lit(1).alias("side")))
-    met = sides.join(stand, ["cluster", "band", "sub"]).join(large.select("node", "n", "members"), "node")
-    for last in (False, True):
-        more = met.groupBy("cluster", "b1", "s1", "b2", "s2").applyInPandas(join, "u long, v long")
-        roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
-        if not last:
-            now = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            met = _sharing(now, num, den).join(now.select("node", "n", "members", "root"), "node")
+    by = ["cluster", "b1", "s1", "b2", "s2"]
+
+    def joined(met: DataFrame) -> DataFrame:
+        more = met.groupBy(*by).applyInPandas(join, "u long, v long")
+        found = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
+        release(spark)
+        return found
+
+    roots = joined(sides.join(stand, ["cluster", "band", "sub"]).join(large.select("node", "n", "text"), "node"))
+    now = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sharing = cut(_sharing(now, width, num, den))
+    release(spark)
+    moved, held = (t.agg(F.sum("n")).first()[0] or 0 for t in (sharing, large))
+    rounds = int(-(-moved // (ROUND * held)))
+    for i in range(rounds):
+        now = large.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        roots = joined(sharing.where(F.pmod(F.xxhash64(*by), F.lit(rounds)) == i).drop("n").join(now.select("node", "n", "text", "root"), "node"))
     return roots
 
 
-def _sharing(now: DataFrame, num: int, den: int) -> DataFrame:
-    """(cluster, b1, s1, b2, s2, side, node): which nodes of two blocks have to meet. now: cluster, band, sub, node, root, members.
+def _sharing(now: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(cluster, b1, s1, b2, s2, side, node, n): which nodes of two blocks have to meet. now: cluster, band, sub, node, n, root, text.
 
     Linked sets share a part key, so that a node meets the blocks that hold others with one of its keys, and of keys
     alone that join what is not yet one component. Clusters hang together by chains of keys: most of their
     block pairs have few such nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(num, den)
+        parts, memo = Parts(num, den), shingles.WordHashes()
         for b in few(batches, 256):
-            keys = [parts.keys(_unpack(x)) for x in b.column(5).to_pylist()]
+            keys = [parts.keys(_set_of(x, width, memo)) for x in b.column(6).to_pylist()]
             at = pa.array(np.repeat(np.arange(len(keys)), list(map(len, keys))))
             every = np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(every), *(b.column(i).take(at) for i in range(5))], names=["key", "cluster", "band", "sub", "node", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(every), *(b.column(i).take(at) for i in range(6))], names=["key", "cluster", "band", "sub", "node", "n", "root"])
 
-    keyed = cut(now.select("cluster", "band", "sub", "node", "root", "members").mapInArrow(run, "key long, cluster long, band long, sub long, node long, root long"))
-    apart = keyed.groupBy("cluster", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cluster", "key")
-    some = cut(keyed.join(apart, ["cluster", "key"], "left_semi").drop("root"))
+    keyed = now.select("cluster", "band", "sub", "node", "n", "root", "text").mapInArrow(run, "key long, cluster long, band long, sub long, node long, n long, root long")
+    of_key = Window.partitionBy("cluster", "key")  # one shuffle: most keys are one node's, and end here
+    some = cut(keyed.withColumn("lo", F.min("root").over(of_key)).withColumn("hi", F.max("root").over(of_key)).where("lo <> hi").drop("root", "lo", "hi"))
     there = some.select(F.col("cluster").alias("c"), F.col("key").alias("k"), F.col("band").alias("other_band"), F.col("sub").alias("other_sub")).distinct()
     met = some.join(there, (F.col("cluster") == F.col("c")) & (F.col("key") == F.col("k")))
     first = (F.col("band") < F.col("other_band")) | (F.col("band") == F.col("other_band")) & (F.col("sub") < F.col("other_sub"))
     met = met.where((F.abs(F.col("band") - F.col("other_band")) <= 1) & ((F.col("band") != F.col("other_band")) | (F.col("sub") != F.col("other_sub"))))
     place = lambda a, b: F.when(first, F.col(a)).otherwise(F.col(b))
-    return met.select("cluster", place("band", "other_band").alias("b1"), place("sub", "other_sub").alias("s1"), place("other_band", "band").alias("b2"), place("other_sub", "sub").alias("s2"), F.when(first, 0).otherwise(1).alias("side"), "node").distinct()
+    return met.select("cluster", place("band", "other_band").alias("b1"), place("sub", "other_sub").alias("s1"), place("other_band", "band").alias("b2"), place("other_sub", "sub").alias("s2"), F.when(first, 0).otherwise(1).alias("side"), "node", "n").distinct()
 
 
 def link(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -406,9 +411,12 @@ def _linked(docs: DataFrame, doc: str, text: str, width: int, num: int, den: int
     heads = cut(_heads(own, width))
     some = heads.where("n > 0")
     clusters = _clusters(own, width, num, den)
+    release(docs.sparkSession)
     nodes = some.groupBy("node").agg(F.min(F.struct("doc_id", "ident", "body")).alias("x"), F.first("n").alias("n")).select(F.col("node").alias("own_node"), "n", F.col("x.doc_id").alias("least"), "x.ident", "x.body")
     wanted = nodes.join(clusters.withColumnRenamed("root", "cluster"), F.col("own_node") == F.col("node")).select("cluster", "node", "n", "body", "ident")
-    roots = _link_clusters(cut(_sets(own, _blocks(cut(wanted), num, den), width)), num, den)
+    blocked = cut(_texts(own, _blocks(cut(wanted), num, den)))
+    release(docs.sparkSession)
+    roots = _link_clusters(blocked, width, num, den)
     placed = nodes.join(roots, F.col("own_node") == F.col("node"), "left").select("own_node", "least", F.coalesce("root", "own_node").alias("root"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = placed.select("own_node", "root").join(least, "root")
@@ -420,6 +428,7 @@ def keep_one(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: in
 
     Documents without words stay, each row of them; of other rows alike in id and text, one stays."""
     found = cut(_linked(docs, doc, text, width, num, den))
+    release(docs.sparkSession)
     empty = found.where("n_shingles = 0").select("ident", "body").distinct()
     first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "body", "ident")).alias("x")).select("x.ident", "x.body")
     chosen = empty.select("*", F.lit(True).alias("every")).union(first.select("*", F.lit(False).alias("every")))

@@ -64,6 +64,21 @@ def test_large_clusters_go_in_blocks(spark, monkeypatch):
     assert rows_of(out) == plain_components(rows, 3, 85)
 
 
+def test_large_clusters_that_share_much_go_in_rounds_and_move_texts(spark, monkeypatch):
+    rounds, moved = [], []
+    monkeypatch.setattr(signature_join, "BLOCK", 8)
+    monkeypatch.setattr(signature_join, "ROUND", 0.5)
+    monkeypatch.setattr(signature_join, "components", lambda edges: rounds.append(1) or components(edges))
+    link = signature_join._link_clusters
+    monkeypatch.setattr(signature_join, "_link_clusters", lambda blocked, *more: moved.append(blocked) or link(blocked, *more))
+    rows = near_copies(7, 2, 60, 12)
+    out = signature_join.link(table(spark, rows), width=3, num=85).select("doc_id", "n_shingles", "component_id")
+    assert rows_of(out) == plain_components(rows, 3, 85)
+    assert len(rounds) > 4  # clusters, blocks, neighbours, and more than one round
+    # What moves is smaller than the sets, of eight bytes a shingle.
+    assert moved[0].selectExpr("sum(length(text)) < 8 * sum(n)").first()[0]
+
+
 def test_parts_of_linked_sets_meet():
     rnd = np.random.default_rng(3)
     for num in (80, 90):
