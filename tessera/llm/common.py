@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import new_path
+from ..sources.shared import new_path, release  # noqa: F401
 
 #: ASCII white space; the complement makes words.
 SPACE = " \t\n\u000b\f\r"
@@ -26,11 +26,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files that no table at hand needs any more; else they stay until the driver happens to collect its garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def cut_anew(df: DataFrame, old: DataFrame | None) -> DataFrame:
     """cut(df); old, a table that cut() wrote and that nothing else reads, is then removed."""
     new = cut(df)

@@ -195,3 +195,21 @@ def test_packed_postings_hold_what_arrays_hold(spark, small_blocks):
     asked = frame(spark, [(1, "common w3 w5"), (2, "")], "query_id")
     out = lambda d: sorted((r["query_id"], int(str(r["doc_id"]).lstrip("d")), r["rank"]) for r in retrieval.bm25(d, asked, 5).collect())
     assert out(named) == out(docs.select("doc_id", "text"))
+
+
+def test_terms_move_as_one_string_and_pairs_meet_in_rounds(spark, tmp_path, monkeypatch):
+    docs = [(i, f"word{i % 7} common " + " ".join(f"t{(i * j) % 31}" for j in range(i % 9))) for i in range(120)] + [(500, ""), (501, None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    asked = rows.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    shown = lambda found: sorted((r["query_id"], r["doc_id"], r["rank"], round(r["score"], 6)) for r in found.collect())
+    want = shown(retrieval.bm25(rows, asked, 5))
+    monkeypatch.setattr(postings, "PAIRS", 10)
+    monkeypatch.setattr(postings, "BLOCK_DOCS", 8)
+    rounds, pairs = [], postings.scored_pairs
+    monkeypatch.setattr(postings, "scored_pairs", lambda *a: rounds.append(1) or pairs(*a))
+    kept = index.KeywordIndex(spark, str(tmp_path / "i"))
+    kept.add(rows.where("doc_id % 2 = 0"))
+    kept.add(rows.where("doc_id % 2 = 1"))
+    assert shown(kept.search(asked, 5)) == want and len(rounds) > 3  # the foremost blocks, then several rounds
+    own = postings.in_blocks(spark.createDataFrame([("b", 1, ["x", "y", "x"]), ("b", 2, [])], "block string, doc_id long, terms array<string>"))
+    assert sorted((r["term"], r["docs"], r["tfs"], r["lengths"]) for r in own.collect()) == [("x", [1], [2], [3]), ("y", [1], [1], [3])]
